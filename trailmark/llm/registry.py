@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate
+from trailmark.llm import decontaminate, linededup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_line_dedup": linededup.op6_line_dedup,
         "op10_winnowing_decontamination": decontaminate.op10_winnowing_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_line_dedup": linededup.OP6_SQL,
+    }
