@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, linededup, toxicity
+from trailmark.llm import decontaminate, linededup, neardup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_probminhash_near_dedup": neardup.op4_probminhash_near_dedup,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_winnowing_decontamination": decontaminate.op10_winnowing_decontamination,
