@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, linededup, neardup, toxicity
+from trailmark.llm import decontaminate, linededup, neardup, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op4_probminhash_near_dedup": neardup.op4_probminhash_near_dedup,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -22,5 +23,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scan": secrets.OP2_SQL,
         "op6_line_dedup": linededup.OP6_SQL,
     }
