@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, linededup, neardup, secrets, toxicity
+from trailmark.llm import decontaminate, linededup, mixing, neardup, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op4_probminhash_near_dedup": neardup.op4_probminhash_near_dedup,
         "op6_line_dedup": linededup.op6_line_dedup,
+        "op7_poisson_mixing": mixing.op7_poisson_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_winnowing_decontamination": decontaminate.op10_winnowing_decontamination,
     }
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scan": secrets.OP2_SQL,
         "op6_line_dedup": linededup.OP6_SQL,
+        "op7_poisson_mixing": mixing.OP7_SQL,
     }
