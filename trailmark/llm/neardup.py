@@ -13,13 +13,13 @@ pairs are listed: all are compared with one pivot, and only those that ended up
 outside the pivot's class are compared on, until every bucket is one class or
 all its outsiders were compared with all of it.  Hence groups of thousands of
 copies cost one comparison a member and band, and no link that the bands show
-is lost.  Every comparison is exact, from the texts.
+is lost.  Pairs whose signatures are near
+enough are then compared exactly, from their texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
-#: Outsiders of a bucket that are compared in the first round; four times as many in each that follows.
+#: Outsiders of a bucket that are compared in the first round; sixteen times as many in each that follows.
 OUTSIDERS = 16
+#: Pairs are compared exactly if their signatures agree this much less than the threshold; five deviations at 160 slots.
+SLACK = 0.16
+#: Ids (8 bytes each) up to which a list of them is broadcast; beyond, texts are joined with it by the id.
+BROADCAST_NODES = 1_000_000
 _NULL_DOC = -(1 << 63)
 _U = np.uint64
 
@@ -104,8 +108,10 @@ def _signer(shingle: int, bands: int, rows: int):
                 band = mix(band + np.arange(bands, dtype=np.uint64) * _BASE).view(np.int64)
                 solid = np.bincount(doc, minlength=j - i) > 0
                 keys = [SpanHash(data, w)(off[:-1], off[1:]).view(np.int64) for w in (0, 1)]
+                low = (sig & _U(0xFF)).astype(np.uint8)
+                sketch = [x.tobytes() for x in low]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(solid, bands, 0))]).astype(np.int32)), pa.array(band[solid].ravel()))
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(keys[0]), pa.array(keys[1]), lists], names=["doc", "k1", "k2", "bands"])
+                yield pa.record_batch([ids.slice(i, j - i), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array(sketch, pa.binary())], names=["doc", "k1", "k2", "bands", "sketch"])
 
     return run
 
@@ -152,10 +158,31 @@ def _verifier(shingle: int, threshold: float):
     return run
 
 
+def _sifter(slots: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots) for c in ("sketch_a", "sketch_b"))
+            equal = (x == y).mean(axis=1)
+            # bytes agree by chance as well
+            mask = pa.array((equal - 1 / 256) / (1 - 1 / 256) >= least)
+            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, least: float, slots: int) -> DataFrame:
+    """The pairs (a, b) whose signatures, by their low bytes, agree in a share of ``least`` or more."""
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_sifter(slots, least), "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; ``texts`` has (node, text)."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = cut(texts.join(some, "node", "left_semi"))
+    """The pairs (a, b) whose texts are similar; ``texts`` has (node, text), maybe more than once."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = wanted.count() <= BROADCAST_NODES
+    own = cut(texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]))
     joined = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, threshold), "a long, b long"))
 
@@ -184,44 +211,45 @@ def near_duplicate_classes(
     with a probability of 3e-6.
     """
     rows_in = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = rows_in.mapInArrow(_signer(shingle, bands, rows), "doc long, k1 long, k2 long, bands array<long>")
-    signed = cut(signed)
-    texts_of = signed.groupBy("k1", "k2").agg(F.min("doc").alias("node"))
+    signed = cut(rows_in.mapInArrow(_signer(shingle, bands, rows), "doc long, k1 long, k2 long, bands array<long>, sketch binary"))
     # one row of each text, the one with the least id, stands for it
-    heads = signed.join(texts_of, ["k1", "k2"]).where("doc = node").select("node", "k1", "k2", "bands").dropDuplicates(["k1", "k2"])
+    texts_of = signed.groupBy("k1", "k2").agg(F.min("doc").alias("node"))
+    heads = cut(signed.join(texts_of, ["k1", "k2"]).where("doc = node").select("node", "k1", "k2", "bands", "sketch").dropDuplicates(["k1", "k2"]))
     members = heads.select("node", F.explode("bands").alias("bucket"))
-    buckets = cut(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).where("pivot <> last"))
-    members = cut(members.join(buckets.select("bucket", "pivot", "n"), "bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(buckets, "bucket"))
     texts = rows_in.select(F.coalesce("doc", F.lit(_NULL_DOC)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(texts_of.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sketches = cut(heads.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch").dropDuplicates(["node"]))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return verify(cut(likely(pairs, sketches, threshold - SLACK, bands * rows)), texts, threshold, shingle)
 
-    tested = [cut(_pairs(members, "pivot", "node"))]
-    edges = [verify(tested[0], texts, threshold, shingle)]
-    crowd = members.where("n > 2")
-    done: list[DataFrame] = []
+    found = connected_components(links(_pairs(members, "pivot", "node")))
+    labels = cut(sketches.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    crowd = members.where("n > 2").select("bucket", "pivot", "node")
+    done: DataFrame | None = None
     most = OUTSIDERS
     while True:
-        labels = connected_components(reduce(DataFrame.unionByName, edges))
-        of = crowd.join(labels, "node", "left").select("bucket", "pivot", "node", F.coalesce("label", "node").alias("label"))
-        home = labels.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
-        of = of.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
+        of = crowd.join(labels, "node").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("home")), "pivot")
         outside = of.where("label <> home").select("bucket", "node", "label")
-        if done:
-            outside = outside.join(reduce(DataFrame.unionByName, done), ["bucket", "node"], "left_anti")
+        if done is not None:
+            outside = outside.join(done, ["bucket", "node"], "left_anti")
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
         chosen = cut(outside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank"))
         if chosen.isEmpty():
             break
-        done.append(chosen.select("bucket", "node"))
+        now = chosen.select("bucket", "node")
+        done = now if done is None else cut(done.unionByName(now))
         asked = chosen.select("bucket", F.col("node").alias("asks"), F.col("label").alias("own"))
-        meets = _pairs(of.join(asked, "bucket").where("label <> own").select("node", "asks"), "node", "asks")
-        for known in tested:
-            meets = meets.join(known, ["a", "b"], "left_anti")
-        tested.append(cut(meets))
-        edges.append(verify(tested[-1], texts, threshold, shingle))
-        most *= 4
-
-    by_text = texts_of.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
+        meets = crowd.select("bucket", "node").join(asked, "bucket").join(labels, "node").where("label <> own")
+        fresh = links(_pairs(meets, "node", "asks"))
+        if not fresh.isEmpty():
+            ends = fresh.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+            joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            labels = cut(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        most *= 16
+
+    by_text = heads.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return signed.select("doc", "k1", "k2").join(by_text, ["k1", "k2"])
 
 
