@@ -8,13 +8,14 @@ Elements stop as soon as their next arrival is later than the last slot.  Two
 texts agree in a slot with the probability of their probability Jaccard
 similarity, whatever their lengths.
 
-Texts that agree in all slots of a band meet in a bucket.  Within a bucket no
-pairs are listed: all are compared with one pivot, and only those that ended up
-outside the pivot's class are compared on, until every bucket is one class or
-all its outsiders were compared with all of it.  Hence groups of thousands of
-copies cost one comparison a member and band, and no link that the bands show
-is lost.  Pairs whose signatures are near
-enough are then compared exactly, from their texts.
+Texts that agree in all slots of a band meet in a bucket.  All members of a
+bucket are compared with one pivot first.  Those that end up outside the
+pivot's class are then compared with all others: in small buckets as pairs, and
+in larger ones, which are joined to groups where they overlap, in blocks of
+texts, each of which yields just the links that connect its classes.  So no link
+that the bands show is lost, and thousands of copies of one text make few rows.
+Every link is exact, from the texts; pairs whose signatures are far apart are
+not looked at further.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.bytewords import _BASE, SpanHash, Words, blocks, grams, mix
@@ -34,8 +35,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
-#: Outsiders of a bucket that are compared in the first round; sixteen times as many in each that follows.
-OUTSIDERS = 16
+#: Members up to which the outsiders of a bucket are compared with all of it at once.
+SMALL_BUCKET = 32
+#: Texts on either side of a block in which larger groups are compared, and shingles that it looks at together.
+BLOCK, BLOCK_COLUMNS = 256, 8192
 #: Pairs are compared exactly if their signatures agree this much less than the threshold; five deviations at 160 slots.
 SLACK = 0.16
 #: Ids (8 bytes each) up to which a list of them is broadcast; beyond, texts are joined with it by the id.
@@ -136,22 +139,23 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float((1 / terms).sum()), plain
 
 
-def _verifier(shingle: int, threshold: float):
-    def bag_list(column: pa.Array, i: int, j: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for p, q, data, off in blocks(column.slice(i, j - i)):
-            doc, element, count = bags(Words(data, off), shingle)
-            cuts = np.searchsorted(doc, np.arange(q - p + 1))
-            out += [(element[s:e], count[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        return out
+def _bag_list(column: pa.Array, shingle: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for p, q, data, off in blocks(column):
+        doc, element, count = bags(Words(data, off), shingle)
+        cuts = np.searchsorted(doc, np.arange(q - p + 1))
+        out += [(element[s:e], count[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
 
+def _verifier(shingle: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [batch.column("text_a"), batch.column("text_b")]
             keep = []
             for i in range(0, batch.num_rows, 64):
                 j = min(batch.num_rows, i + 64)
-                keep += [max(similarity(x, y)) >= threshold for x, y in zip(bag_list(texts[0], i, j), bag_list(texts[1], i, j), strict=True)]
+                keep += [max(similarity(x, y)) >= threshold for x, y in zip(*(_bag_list(t.slice(i, j - i), shingle) for t in texts), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -178,11 +182,16 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: float, slots: int) -> D
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_sifter(slots, least), "a long, b long")
 
 
+def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes; a short list goes to the texts, for a long one both are dealt by the node."""
+    wanted = cut(wanted)
+    few = wanted.count() <= BROADCAST_NODES
+    return cut(texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar; ``texts`` has (node, text), maybe more than once."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = wanted.count() <= BROADCAST_NODES
-    own = cut(texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]))
+    own = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
     joined = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, threshold), "a long, b long"))
 
@@ -191,6 +200,90 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) with the classes that ``links`` (a, b) connect made one."""
+    if links.isEmpty():
+        return labels
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return cut(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
+def _block_links(shingle: int, threshold: float):
+    """Links between outsiders and members of one block, as few as connect what all its links connect."""
+
+    def run(block: pa.Table) -> pa.Table:
+        outside = np.array(block.column("outside").to_pylist(), bool)
+        node, label = (block.column(c).to_numpy() for c in ("node", "label"))
+        rows = _bag_list(block.column("text").combine_chunks(), shingle)
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        left, right = np.unique(np.concatenate([rows[i][0] for i in x])), np.unique(np.concatenate([rows[i][0] for i in y]))
+        vocabulary = np.intersect1d(left, right, assume_unique=True)
+        places, shared = [], []
+        for element, count in rows:
+            at = np.searchsorted(vocabulary, element)
+            known = at < len(vocabulary)
+            known[known] = vocabulary[at[known]] == element[known]
+            places.append(at[known])
+            shared.append(count[known])
+        both, in_x, in_y = (np.zeros((len(x), len(y)), np.float32) for _ in range(3))
+        for lo in range(0, len(vocabulary), BLOCK_COLUMNS):
+            hi = min(len(vocabulary), lo + BLOCK_COLUMNS)
+            tables = []
+            for side in (x, y):
+                one, part = np.zeros((len(side), hi - lo), np.float32), np.zeros((len(side), hi - lo), np.float32)
+                for r, i in enumerate(side):
+                    s, e = np.searchsorted(places[i], [lo, hi])
+                    one[r, places[i][s:e] - lo] = 1
+                    part[r, places[i][s:e] - lo] = shared[i][s:e] / rows[i][1].sum()
+                tables += [one, part]
+            both += tables[0] @ tables[2].T
+            in_x += tables[1] @ tables[2].T
+            in_y += tables[0] @ tables[3].T
+        size = np.array([len(r[0]) for r in rows], np.float32)
+        plain = both / np.maximum(size[x][:, None] + size[y][None] - both, 1)
+        # the probability Jaccard similarity is at most the weight of what is shared on either side
+        maybe = (plain >= threshold - 1e-4) | (np.minimum(in_x, in_y) >= threshold - 1e-4)
+        maybe &= label[x][:, None] != label[y][None]
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (to := up.get(i, i)) != i:
+                up[i] = i = up.get(to, to)
+            return i
+
+        links = []
+        for i, j in zip(*np.nonzero(maybe), strict=True):
+            a, b = root(int(label[x[i]])), root(int(label[y[j]]))
+            if a != b and max(similarity(rows[x[i]], rows[y[j]])) >= threshold:
+                up[max(a, b)] = min(a, b)
+                links.append((int(node[x[i]]), int(node[y[j]])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _links_within(groups: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(a, b) links that connect the classes of each group, by exact comparison in blocks.
+
+    Members of a group that are not of its largest class are the outsiders;
+    blocks of at most about BLOCK outsiders meet blocks of at most about BLOCK
+    members, each pair of blocks in a task of its own.
+    """
+    rows = cut(groups.join(labels, "node"))
+    largest = rows.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("home"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_out"))
+    rows = rows.join(largest, "group").withColumns({"in_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "out_blocks": F.ceil(F.col("n_out") / BLOCK).cast("int")}).where("n_out > 0")
+    rows = cut(rows.join(_texts_of(rows.select("node").distinct(), texts), "node"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["group", "i", "j", "node", "label", "text", "outside"]
+    asks = rows.where("label <> home").select("*", own("out_blocks").alias("i"), all_of("in_blocks").alias("j"), F.lit(True).alias("outside")).select(*cols)
+    members = rows.select("*", own("in_blocks").alias("j"), all_of("out_blocks").alias("i"), F.lit(False).alias("outside")).select(*cols)
+    return cut(asks.unionByName(members).groupBy("group", "i", "j").applyInArrow(_block_links(shingle, threshold), "a long, b long"))
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -226,28 +319,22 @@ def near_duplicate_classes(
 
     found = connected_components(links(_pairs(members, "pivot", "node")))
     labels = cut(sketches.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    crowd = members.where("n > 2").select("bucket", "pivot", "node")
-    done: DataFrame | None = None
-    most = OUTSIDERS
-    while True:
-        of = crowd.join(labels, "node").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("home")), "pivot")
-        outside = of.where("label <> home").select("bucket", "node", "label")
-        if done is not None:
-            outside = outside.join(done, ["bucket", "node"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-        chosen = cut(outside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank"))
-        if chosen.isEmpty():
-            break
-        now = chosen.select("bucket", "node")
-        done = now if done is None else cut(done.unionByName(now))
-        asked = chosen.select("bucket", F.col("node").alias("asks"), F.col("label").alias("own"))
-        meets = crowd.select("bucket", "node").join(asked, "bucket").join(labels, "node").where("label <> own")
-        fresh = links(_pairs(meets, "node", "asks"))
-        if not fresh.isEmpty():
-            ends = fresh.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-            joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-            labels = cut(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        most *= 16
+
+    def open_buckets(size: Column) -> DataFrame:
+        """Members of buckets that are not of one class yet, with their class and that of the pivot."""
+        some = members.where(size).select("bucket", "pivot", "node").join(labels, "node")
+        torn = some.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
+        return cut(some.join(torn, "bucket"))
+
+    few = open_buckets(F.col("n").between(3, SMALL_BUCKET))
+    home = few.where("node = pivot").select("bucket", F.col("label").alias("home"))
+    asked = few.join(home, "bucket").where("label <> home").select("bucket", F.col("node").alias("asks"), F.col("label").alias("own"))
+    meets = few.join(asked, "bucket").where("label <> own")
+    labels = _relabelled(labels, links(_pairs(meets, "node", "asks")))
+
+    many = open_buckets(F.col("n") > SMALL_BUCKET)
+    groups = connected_components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).select("node", F.col("label").alias("group"))
+    labels = _relabelled(labels, _links_within(groups, labels, texts, threshold, shingle))
 
     by_text = heads.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return signed.select("doc", "k1", "k2").join(by_text, ["k1", "k2"])
