@@ -25,18 +25,22 @@ from trailmark.llm.bytewords import _BASE, SpanHash, Words, blocks, mix
 from trailmark.llm.common import table
 
 #: Lengths of n-grams in bytes; word edges count as a byte.
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
-DIM = 8
-#: Labelled rows of each label that training reads at most; chosen by a hash of the id.
-SAMPLE_PER_LABEL = 2500
-#: Words of a training text that count at most; scoring always takes whole texts.
-SAMPLE_WORDS = 4000
-EPOCHS = 120
-RATE = 0.05
+DIM = 4
+#: Labelled rows of label 1 and of label 0 that training reads at most; chosen by a hash of the id.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
+#: Buckets in fewer training texts have no weight.
+MIN_TEXTS = 3
+#: Minibatches of training, in as many passes over the sample as they take.
+BATCHES = 1400
+BATCH = 64
+RATE = 0.3
 DECAY = 1e-4
 #: The mean over words is multiplied by this, as single words decide.
 SCALE = 100.0
+#: Words of weight nothing that every text has besides its own, so that single words don't decide alone.
+SMOOTH = 20
 THRESHOLD = 0.7
 
 
@@ -76,80 +80,84 @@ class Model:
         few.data, few.start, few.end, few.hash = words.data, words.start[one], words.end[one], words.hash[one]
         bucket, owner, count = _features(few)
         per_word = np.bincount(owner, weights=self.weight[bucket], minlength=len(one)) / count
-        per_doc = np.bincount(words.doc, weights=per_word[back], minlength=n) / np.maximum(np.diff(words.first), 1)
+        per_doc = np.bincount(words.doc, weights=per_word[back], minlength=n) / (np.diff(words.first) + SMOOTH)
         return 1 / (1 + np.exp(-np.clip(SCALE * per_doc + self.bias, -40, 40)))
 
 
+def _bag(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, weight) of a block: how much each bucket's vector counts in the mean of each text."""
+    words = Words(data, off)
+    _, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
+    few = Words.__new__(Words)
+    few.data, few.start, few.end, few.hash = words.data, words.start[one], words.end[one], words.hash[one]
+    bucket, owner, count = _features(few)
+    order = np.argsort(owner, kind="stable")
+    bucket, begin = bucket[order], np.concatenate([[0], np.cumsum(count)])
+    pair, times = np.unique(words.doc * len(one) + back, return_counts=True)
+    doc, word = pair // max(1, len(one)), pair % max(1, len(one))
+    n = count[word]
+    at = np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    share = times / (n * (np.diff(words.first)[doc] + SMOOTH))
+    key, place = np.unique(np.repeat(doc, n) * BUCKETS + bucket[at], return_inverse=True)
+    return key // BUCKETS, key % BUCKETS, np.bincount(place, weights=np.repeat(share, n))
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) -> Model:
-    """Joint training of vectors and softmax by full-batch Adam.
+    """Joint training of vectors and softmax by minibatches of Adagrad.
 
-    ``prior`` is the share of label 1 among all labelled rows; the sample's
-    share may differ, and the bias is set right by the log-odds.
+    ``prior`` is the share of label 1 among all labelled rows.  Both labels
+    weigh alike in training; the bias then goes half of the way, in log-odds,
+    from even odds to that share, as misses cost about as much as false alarms.
     """
     n = len(texts)
     if n == 0 or labels.min() == labels.max():
         share = np.clip(prior, 1e-3, 1 - 1e-3)
         return Model(np.zeros(BUCKETS), np.log(share / (1 - share)))
-    index: dict[int, int] = {}
-    word_buckets, word_owner, rows, cols, values, total = [], [], [], [], [], 0
-    for _, j, data, off in blocks(pa.array(texts, pa.string())):
-        first_doc = j - (len(off) - 1)
-        words = Words(data, off)
-        place = np.arange(len(words.start)) - words.first[words.doc]
-        taken = np.flatnonzero(place < SAMPLE_WORDS)
-        _, one, back = np.unique(words.hash[taken], return_index=True, return_inverse=True)
-        keys = words.hash[taken][one].tolist()
-        fresh = np.array([k not in index for k in keys], dtype=bool)
-        for k in np.flatnonzero(fresh):
-            index[keys[k]] = total + len(index) - total
-        own = np.array([index[k] for k in keys], dtype=np.int64)
-        few = Words.__new__(Words)
-        pick = taken[one][fresh]
-        few.data, few.start, few.end, few.hash = words.data, words.start[pick], words.end[pick], words.hash[pick]
-        if len(pick):
-            bucket, owner, _ = _features(few)
-            word_buckets.append(bucket)
-            word_owner.append(own[fresh][owner])
-        pair, times = np.unique(np.stack([words.doc[taken] + first_doc, own[back]]), axis=1, return_counts=True)
-        rows.append(pair[0])
-        cols.append(pair[1])
-        values.append(times.astype(np.float32))
-    v = len(index)
-    g_bucket, g_word = np.concatenate(word_buckets or [np.zeros(0, np.int64)]), np.concatenate(word_owner or [np.zeros(0, np.int64)])
-    g_weight = (1.0 / np.maximum(np.bincount(g_word, minlength=v), 1)).astype(np.float32)[g_word]
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    value = SCALE * value / np.maximum(np.bincount(row, weights=value, minlength=n), 1).astype(np.float32)[row]
-    by_word = np.argsort(col, kind="stable")
+    row, bucket, value = [], [], []
+    for i, _, data, off in blocks(pa.array(texts, pa.string())):
+        d, b, x = _bag(data, off)
+        row.append(d + i)
+        bucket.append(b)
+        value.append((SCALE * x).astype(np.float32))
+    row, bucket, value = np.concatenate(row), np.concatenate(bucket), np.concatenate(value)
+    # buckets of very few texts only would be learned by heart
+    known = np.bincount(bucket, minlength=BUCKETS) >= MIN_TEXTS
+    keep = known[bucket]
+    row, bucket, value = row[keep], bucket[keep], value[keep]
+    used, local = np.unique(bucket, return_inverse=True)
+    begin = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
-    vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
+    vectors = (rng.standard_normal((len(used), DIM)) * 0.01).astype(np.float32)
     soft = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     one_hot = np.eye(2, dtype=np.float32)[labels]
-    state = [np.zeros_like(x) for x in (vectors, soft, bias) for _ in range(2)]
-
-    def spread(index: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(index, weights=weights, minlength=size).astype(np.float32)
-
-    for epoch in range(1, EPOCHS + 1):
-        word_vec = np.stack([spread(g_word, vectors[g_bucket, k] * g_weight, v) for k in range(DIM)], axis=1)
-        doc_vec = np.stack([spread(row, word_vec[col, k] * value, n) for k in range(DIM)], axis=1)
-        logit = doc_vec @ soft + bias
-        logit -= logit.max(1, keepdims=True)
-        p = np.exp(logit)
-        p /= p.sum(1, keepdims=True)
-        error = (p - one_hot) / n
-        d_doc = error @ soft.T
-        d_word = np.stack([spread(col[by_word], d_doc[row[by_word], k] * value[by_word], v) for k in range(DIM)], axis=1)
-        d_vec = np.stack([spread(g_bucket, d_word[g_word, k] * g_weight, BUCKETS) for k in range(DIM)], axis=1)
-        for i, (x, g) in enumerate(((vectors, d_vec + DECAY * vectors / n), (soft, doc_vec.T @ error + DECAY * soft), (bias, error.sum(0)))):
-            m, s = state[2 * i], state[2 * i + 1]
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            x -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(s / (1 - 0.999**epoch)) + 1e-8)
-    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    real = np.clip(prior, 1e-3, 1 - 1e-3)
-    shift = np.log(real / (1 - real)) - np.log(share / (1 - share))
-    return Model(vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]) + shift)
+    # both labels weigh alike, however many rows they have
+    weight = (0.5 / np.bincount(labels, minlength=2).clip(1))[labels].astype(np.float32) * n
+    squares = [np.full_like(x, 1e-6) for x in (vectors, soft, bias)]
+    epochs = -(-BATCHES * BATCH // n)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
+        order = rng.permutation(n)
+        for i in range(0, n, BATCH):
+            docs = order[i : i + BATCH]
+            size = begin[docs + 1] - begin[docs]
+            at = np.repeat(begin[docs] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            own, col, x = np.repeat(np.arange(len(docs)), size), local[at], value[at]
+            taken = vectors[col] * x[:, None]
+            doc_vec = np.stack([np.bincount(own, weights=taken[:, k], minlength=len(docs)) for k in range(DIM)], axis=1).astype(np.float32)
+            logit = doc_vec @ soft + bias
+            p = np.exp(logit - logit.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            error = (p - one_hot[docs]) * weight[docs, None] / len(docs)
+            d_doc = error @ soft.T
+            d_vec = np.stack([np.bincount(col, weights=d_doc[own, k] * x, minlength=len(used)) for k in range(DIM)], axis=1).astype(np.float32) + DECAY * vectors
+            for v, s, g in zip((vectors, soft, bias), squares, (d_vec, doc_vec.T @ error + DECAY * soft, error.sum(0)), strict=True):
+                s += g * g
+                v -= rate * g / np.sqrt(s)
+    share = np.clip(prior, 1e-3, 1 - 1e-3)
+    table = np.zeros(BUCKETS)
+    table[used] = vectors @ (soft[:, 1] - soft[:, 0])
+    return Model(table, float(bias[1] - bias[0]) + 0.5 * np.log(share / (1 - share)))
 
 
 def fold(doc_id) -> F.Column:
@@ -157,8 +165,8 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """A model from at most ``sample_per_label`` rows of each label outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
+    """A model from at most ``sample_toxic`` and ``sample_clean`` rows of each label, outside the held-out fold.
 
     Rows with a null id or label take no part; of contradicting labels of an id
     the greater counts.
@@ -166,9 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     # two lists of bounded length, which are small enough to broadcast
-    chosen = known.where("_toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_label).unionByName(known.where("_toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_label))
+    chosen = known.where("_toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_toxic).unionByName(known.where("_toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_clean))
     # a sample in order of another hash, so that repeated rows of an id can't make it longer
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_per_label).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_toxic + sample_clean).collect()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return train([r.text or "" for r in rows], np.array([r["_toxic"] for r in rows], dtype=np.int64), prior)
 
