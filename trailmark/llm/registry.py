@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, linededup, mixing, neardup, secrets, toxicity
+from trailmark.llm import decontaminate, linededup, media, mixing, neardup, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_media_archive": media.op3_media_archive,
         "op4_probminhash_near_dedup": neardup.op4_probminhash_near_dedup,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op7_poisson_mixing": mixing.op7_poisson_mixing,
