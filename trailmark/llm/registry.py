@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, linededup, media, mixing, neardup, secrets, toxicity
+from trailmark.llm import decontaminate, langid, linededup, media, mixing, neardup, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_media_archive": media.op3_media_archive,
         "op4_probminhash_near_dedup": neardup.op4_probminhash_near_dedup,
+        "op5_language_id": langid.op5_language_id,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op7_poisson_mixing": mixing.op7_poisson_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
