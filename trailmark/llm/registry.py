@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, langid, linededup, media, mixing, neardup, secrets, toxicity
+from trailmark.llm import decontaminate, langid, linededup, media, mixing, neardup, pseudonyms, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_media_archive": media.op3_media_archive,
         "op4_probminhash_near_dedup": neardup.op4_probminhash_near_dedup,
