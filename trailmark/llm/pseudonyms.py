@@ -40,7 +40,7 @@ PATTERN = re.compile(
     r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}(?P<sep>[-/.])[0-9]{1,2}(?P=sep)[0-9]{1,2}|[0-9]{1,2}(?P<sep2>[-/.])[0-9]{1,2}(?P=sep2)[0-9]{4}|[0-9]{1,2} (?:" + "|".join(_MONTHS) + r") [0-9]{4})(?![0-9]|[./-][0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
     r"|(?P<phone>(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
+    r"|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<sep3>[ -])[0-9]{4}(?P=sep3)[0-9]{4}(?P=sep3)[0-9]{1,7}|[0-9]{4}(?P<sep4>[ -])[0-9]{6}(?P=sep4)[0-9]{5})(?![0-9]))"
 )
 
 
@@ -85,7 +85,7 @@ def _refill(shape: str, values: str) -> str:
 
 def card(text: str, permute: Permuter) -> str | None:
     digits = re.sub("[ -]", "", text)
-    if len(set(re.findall("[ -]", text))) > 1 or digits[0] == "0" or _luhn(digits[:-1]) != int(digits[-1]):
+    if digits[0] == "0" or _luhn(digits[:-1]) != int(digits[-1]):
         return None
     # the first digit names the network and stays; the last one checks the rest
     n = len(digits) - 2
