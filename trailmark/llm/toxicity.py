@@ -29,7 +29,7 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 4
 #: Labelled rows of label 1 and of label 0 that training reads at most; chosen by a hash of the id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 #: Buckets in fewer training texts have no weight.
 MIN_TEXTS = 3
 #: Minibatches of training, in as many passes over the sample as they take.
@@ -113,21 +113,22 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
     if n == 0 or labels.min() == labels.max():
         share = np.clip(prior, 1e-3, 1 - 1e-3)
         return Model(np.zeros(BUCKETS), np.log(share / (1 - share)))
-    row, bucket, value = [], [], []
-    for i, _, data, off in blocks(pa.array(texts, pa.string())):
+    # the bags of all texts in compact arrays: bucket and weight, text after text
+    sizes, buckets, values = [], [], []
+    for i, j, data, off in blocks(pa.array(texts, pa.string())):
         d, b, x = _bag(data, off)
-        row.append(d + i)
-        bucket.append(b)
-        value.append((SCALE * x).astype(np.float32))
-    row, bucket, value = np.concatenate(row), np.concatenate(bucket), np.concatenate(value)
+        sizes.append(np.bincount(d, minlength=j - i))
+        buckets.append(b.astype(np.int32))
+        values.append((SCALE * x).astype(np.float32))
+    begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    bucket = np.concatenate(buckets)
+    del buckets
+    value = np.concatenate(values)
+    del values
     # buckets of very few texts only would be learned by heart
-    known = np.bincount(bucket, minlength=BUCKETS) >= MIN_TEXTS
-    keep = known[bucket]
-    row, bucket, value = row[keep], bucket[keep], value[keep]
-    used, local = np.unique(bucket, return_inverse=True)
-    begin = np.searchsorted(row, np.arange(n + 1))
+    value[np.bincount(bucket, minlength=BUCKETS)[bucket] < MIN_TEXTS] = 0
     rng = np.random.default_rng(seed)
-    vectors = (rng.standard_normal((len(used), DIM)) * 0.01).astype(np.float32)
+    vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
     soft = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     one_hot = np.eye(2, dtype=np.float32)[labels]
@@ -142,7 +143,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
             docs = order[i : i + BATCH]
             size = begin[docs + 1] - begin[docs]
             at = np.repeat(begin[docs] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            own, col, x = np.repeat(np.arange(len(docs)), size), local[at], value[at]
+            own, col, x = np.repeat(np.arange(len(docs)), size), bucket[at], value[at]
             taken = vectors[col] * x[:, None]
             doc_vec = np.stack([np.bincount(own, weights=taken[:, k], minlength=len(docs)) for k in range(DIM)], axis=1).astype(np.float32)
             logit = doc_vec @ soft + bias
@@ -150,14 +151,12 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
             p /= p.sum(1, keepdims=True)
             error = (p - one_hot[docs]) * weight[docs, None] / len(docs)
             d_doc = error @ soft.T
-            d_vec = np.stack([np.bincount(col, weights=d_doc[own, k] * x, minlength=len(used)) for k in range(DIM)], axis=1).astype(np.float32) + DECAY * vectors
+            d_vec = np.stack([np.bincount(col, weights=d_doc[own, k] * x, minlength=BUCKETS) for k in range(DIM)], axis=1).astype(np.float32) + DECAY * vectors
             for v, s, g in zip((vectors, soft, bias), squares, (d_vec, doc_vec.T @ error + DECAY * soft, error.sum(0)), strict=True):
                 s += g * g
                 v -= rate * g / np.sqrt(s)
     share = np.clip(prior, 1e-3, 1 - 1e-3)
-    table = np.zeros(BUCKETS)
-    table[used] = vectors @ (soft[:, 1] - soft[:, 0])
-    return Model(table, float(bias[1] - bias[0]) + 0.5 * np.log(share / (1 - share)))
+    return Model(vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]) + 0.5 * np.log(share / (1 - share)))
 
 
 def fold(doc_id) -> F.Column:
