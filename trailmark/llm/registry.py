@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, langid, linededup, media, mixing, neardup, pseudonyms, secrets, toxicity
+from trailmark.llm import decontaminate, langid, linededup, media, mixing, neardup, pseudonyms, secrets, toxicity, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": langid.op5_language_id,
         "op6_line_dedup": linededup.op6_line_dedup,
         "op7_poisson_mixing": mixing.op7_poisson_mixing,
+        "op8_transcript_roles": transcripts.op8_transcript_roles,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_winnowing_decontamination": decontaminate.op10_winnowing_decontamination,
     }
