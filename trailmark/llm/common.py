@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Rows of a small table that one task reads.
+ROWS_A_TASK = 100_000
+
+
+def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows; the result has as few partitions as the rows ask for."""
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // ROWS_A_TASK))), n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import cut
+from trailmark.llm.common import cut_small
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,24 +18,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     composed from the last to the first.  Nothing is collected: the driver only
     counts what is left.
     """
-    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, n_left = cut_small(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
-    while not left.isEmpty():
+    while n_left:
         n = len(steps)
         rank = (lambda c: F.col(c)) if n < 2 else (lambda c, n=n: F.xxhash64(c, F.lit(n)))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
         mine = F.struct(rank("a").alias("r"), F.col("a").alias("to"))
-        step = cut(near.select(F.col("a").alias("node"), F.least("m", mine)["to"].alias("to")))
+        step, _ = cut_small(near.select(F.col("a").alias("node"), F.least("m", mine)["to"].alias("to")))
         steps.append(step)
         moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        left = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left, n_left = cut_small(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).where(F.lit(False))
     labels = steps[-1]
     for step in reversed(steps[:-1]):
         later = labels.select(F.col("node").alias("to"), F.col("to").alias("last"))
         labels = step.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
-    labels = cut(labels)
+    labels, _ = cut_small(labels)
     least = labels.groupBy("to").agg(F.min("node").alias("label"))
-    return cut(labels.join(least, "to").select("node", "label"))
+    return cut_small(labels.join(least, "to").select("node", "label"))[0]

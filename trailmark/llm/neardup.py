@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.bytewords import _BASE, SpanHash, Words, blocks, grams, mix
-from trailmark.llm.common import cut, table
+from trailmark.llm.common import cut, cut_small, table
 from trailmark.llm.components import connected_components
 
 SHINGLE = 5
@@ -184,16 +184,15 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: float, slots: int) -> D
 
 def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes; a short list goes to the texts, for a long one both are dealt by the node."""
-    wanted = cut(wanted)
-    few = wanted.count() <= BROADCAST_NODES
-    return cut(texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]))
+    wanted, n = cut_small(wanted)
+    return cut(texts.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar; ``texts`` has (node, text), maybe more than once."""
     own = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
     joined = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, threshold), "a long, b long"))
+    return cut_small(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, threshold), "a long, b long"))[0]
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -206,7 +205,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
     joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return cut(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return cut_small(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))[0]
 
 
 def _block_links(shingle: int, threshold: float):
@@ -272,7 +271,7 @@ def _links_within(groups: DataFrame, labels: DataFrame, texts: DataFrame, thresh
     blocks of at most about BLOCK outsiders meet blocks of at most about BLOCK
     members, each pair of blocks in a task of its own.
     """
-    rows = cut(groups.join(labels, "node"))
+    rows, _ = cut_small(groups.join(labels, "node"))
     largest = rows.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("home"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_out"))
     rows = rows.join(largest, "group").withColumns({"in_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "out_blocks": F.ceil(F.col("n_out") / BLOCK).cast("int")}).where("n_out > 0")
     rows = cut(rows.join(_texts_of(rows.select("node").distinct(), texts), "node"))
@@ -281,7 +280,7 @@ def _links_within(groups: DataFrame, labels: DataFrame, texts: DataFrame, thresh
     cols = ["group", "i", "j", "node", "label", "text", "outside"]
     asks = rows.where("label <> home").select("*", own("out_blocks").alias("i"), all_of("in_blocks").alias("j"), F.lit(True).alias("outside")).select(*cols)
     members = rows.select("*", own("in_blocks").alias("j"), all_of("out_blocks").alias("i"), F.lit(False).alias("outside")).select(*cols)
-    return cut(asks.unionByName(members).groupBy("group", "i", "j").applyInArrow(_block_links(shingle, threshold), "a long, b long"))
+    return cut_small(asks.unionByName(members).groupBy("group", "i", "j").applyInArrow(_block_links(shingle, threshold), "a long, b long"))[0]
 
 
 def near_duplicate_classes(
@@ -315,26 +314,27 @@ def near_duplicate_classes(
     sketches = cut(heads.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch").dropDuplicates(["node"]))
 
     def links(pairs: DataFrame) -> DataFrame:
-        return verify(cut(likely(pairs, sketches, threshold - SLACK, bands * rows)), texts, threshold, shingle)
+        near, _ = cut_small(likely(pairs, sketches, threshold - SLACK, bands * rows))
+        return verify(near, texts, threshold, shingle)
 
     found = connected_components(links(_pairs(members, "pivot", "node")))
-    labels = cut(sketches.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    labels, _ = cut_small(sketches.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
     def open_buckets(size: Column) -> DataFrame:
         """Members of buckets that are not of one class yet, with their class and that of the pivot."""
         some = members.where(size).select("bucket", "pivot", "node").join(labels, "node")
         torn = some.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
-        return cut(some.join(torn, "bucket"))
+        return cut_small(some.join(torn, "bucket"))[0]
 
     few = open_buckets(F.col("n").between(3, SMALL_BUCKET))
     home = few.where("node = pivot").select("bucket", F.col("label").alias("home"))
     asked = few.join(home, "bucket").where("label <> home").select("bucket", F.col("node").alias("asks"), F.col("label").alias("own"))
     meets = few.join(asked, "bucket").where("label <> own")
-    labels = _relabelled(labels, links(_pairs(meets, "node", "asks")))
+    more = links(_pairs(meets, "node", "asks"))
 
     many = open_buckets(F.col("n") > SMALL_BUCKET)
     groups = connected_components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).select("node", F.col("label").alias("group"))
-    labels = _relabelled(labels, _links_within(groups, labels, texts, threshold, shingle))
+    labels = _relabelled(labels, more.unionByName(_links_within(groups, labels, texts, threshold, shingle)))
 
     by_text = heads.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return signed.select("doc", "k1", "k2").join(by_text, ["k1", "k2"])
