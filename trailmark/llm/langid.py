@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from trailmark.llm.bytewords import LOWER, blocks, mix
 from trailmark.llm.common import cut, table
 
-#: Labelled texts of each language that fitting reads at most; chosen by a hash of the id.
+#: Labelled texts of each language that fitting reads, on average; chosen by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1500
 #: Languages that are told apart at most: the most frequent labels.
 MAX_LANGUAGES = 64
@@ -77,18 +77,18 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> TextModel:
-    """A model from at most ``sample_per_language`` rows of each of the most frequent labels; null labels take no part.
+    """A model from about ``sample_per_language`` rows of each of the most frequent labels; null labels take no part.
 
     Trigrams are counted by the tasks, one table of fixed size each, and summed by language.
     """
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("key")).where("lang IS NOT NULL")
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
-    sample = None
-    for lang in languages:
-        some = rows.where(F.col("lang") == lang).orderBy("key").limit(sample_per_language)
-        sample = some if sample is None else sample.unionByName(some)
-    if sample is None:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    languages = sorted(counts)
+    if not languages:
         return TextModel([], np.zeros((BUCKETS, 0)))
+    # the rows whose hash is low enough: sample_per_language of each label, give or take what chance does
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_per_language / n)))])
+    sample = rows.where(F.pmod("key", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
