@@ -38,7 +38,7 @@ MARKER = re.compile(r"^(?:(?:#{1,6} ?|\*\*|\[|<\|?)(?P<decked>[A-Za-z]+(?: [0-9]
 SIZES = (6, 8, 2, 2)
 #: Turns that are one piece of a transcript; longer conversations are parsed in pieces.
 PIECE_TURNS = 256
-#: Labelled pieces that fitting reads at most; chosen by a hash of the id.
+#: Labelled pieces that fitting reads, on average; chosen by a hash of the id.
 SAMPLE_PIECES = 5000
 TRANSCRIPTS_AT_ONCE = 256
 
@@ -115,15 +115,15 @@ def pieces(conversations: DataFrame) -> DataFrame:
     """(conv_id, piece, turns) from (conv_id, turn, role, text), turns in order as array<struct<turn, role, text>>.
 
     A piece holds PIECE_TURNS turn numbers.  If more than four times as many
-    rows share them, as (conv_id, turn) repeats, the piece is split by a hash of
-    the rows, so that no group is unbounded.  A null turn comes last, a null text
+    rows share them, as (conv_id, turn) repeats, the piece is split by the
+    places of the rows in the table, so that no group is unbounded.  A null turn comes last, a null text
     is empty, a null or unknown role is ``user``.
     """
     at = F.coalesce(F.floor(F.col("turn") / PIECE_TURNS), F.lit(-1)).cast("long")
-    rows = conversations.select("conv_id", at.alias("part"), F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select("conv_id", at.alias("part"), F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user").alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
     large = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > 4 * PIECE_TURNS).select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.ceil(F.col("n") / PIECE_TURNS).alias("_n"))
     rows = rows.join(large, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left")
-    split = F.coalesce(F.pmod(F.xxhash64("turn", "role", "text", F.monotonically_increasing_id()), F.col("_n")), F.lit(0))
+    split = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_n")), F.lit(0))
     grouped = rows.groupBy("conv_id", "part", split.alias("split")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return grouped.select("conv_id", F.concat_ws(".", "part", "split").alias("piece"), "turns")
 
@@ -178,7 +178,7 @@ def held_out(conv_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_PIECES) -> Model:
-    """A model from at most ``sample`` rows of (conv_id, piece, text, states); tasks return tables of counts of fixed size."""
+    """A model from about ``sample`` rows of (conv_id, piece, text, states); tasks return tables of counts of fixed size."""
     width = STATES + STATES * STATES + STATES * sum(SIZES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PIECES) -> Model:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    some = labelled.orderBy(F.xxhash64("conv_id", "piece")).limit(sample).select("text", "states")
+    share = min(1.0, sample / max(1, labelled.count()))
+    some = labelled.where(F.pmod(F.xxhash64("conv_id", "piece"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "states")
     total = np.zeros(width)
     for r in some.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         total[r["at"]] = r["n"]
