@@ -60,11 +60,12 @@ def safe_identifier(c: Column, length: int = 64) -> Column:
 
 def indian_money(c: Column) -> Column:
     """``Rs. 1,23,456.00``: groups of two digits above the thousands."""
-    fixed = F.abs(c.cast("decimal(18,2)")).cast("string")
+    amount = c.cast("decimal(18,2)")
+    fixed = F.abs(amount).cast("string")
     whole, part = F.split_part(fixed, F.lit("."), F.lit(1)), F.split_part(fixed, F.lit("."), F.lit(2))
     head = F.regexp_replace(F.substring(whole, F.lit(1), F.length(whole) - 3), r"\B(?=([0-9]{2})+$)", ",")
     grouped = F.when(F.length(whole) > 3, F.concat(head, F.lit(","), F.right(whole, F.lit(3)))).otherwise(whole)
-    return F.concat(F.when(c < 0, "-Rs. ").otherwise("Rs. "), grouped, F.lit("."), part)
+    return F.concat(F.when(amount < 0, "-Rs. ").otherwise("Rs. "), grouped, F.lit("."), part)
 
 
 def display_date(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import or_empty
@@ -10,18 +10,19 @@ from trailmark.operators.core import hops, total
 from trailmark.schema import AGGREGATOR_MIN, AGGREGATOR_RED, COLLECTOR_TOP, CYCLE_MAX_LENGTH, FANOUT_HIGH
 from trailmark.session import cut
 
-_BANK = F.col("beneficiary_bank")
+def _bank() -> Column:
+    """The bank of a leg, null if it is blank."""
+    return F.when(or_empty(F.col("beneficiary_bank")) != "", F.col("beneficiary_bank"))
 
 
 def edges(rows: DataFrame) -> DataFrame:
     """(source, destination, amount, disputed, txns, layers, banks): one row for each pair of accounts."""
-    bank = F.when(or_empty(_BANK) != "", _BANK)
     return hops(rows).groupBy(F.col("victim_key").alias("source"), F.col("benef_key").alias("destination")).agg(
         total(F.col("transaction_amount")).alias("amount"),
         total(F.col("disputed_amount")).alias("disputed"),
         F.count("*").alias("txns"),
         F.array_sort(F.collect_set("layer_no")).alias("layers"),
-        F.array_sort(F.collect_set(bank)).alias("banks"),
+        F.array_sort(F.collect_set(_bank())).alias("banks"),
     )
 
 
@@ -71,8 +72,7 @@ def layers(rows: DataFrame) -> DataFrame:
     )
     following = base.select((F.col("layer_no") - 1).alias("layer_no"), F.col("account_count").alias("_next"))
     ratio = F.when((F.col("_next") > 0) & (F.col("account_count") > 0), F.round(F.col("_next") / F.col("account_count"), 4))
-    bank = F.when(or_empty(_BANK) != "", _BANK)
-    ranked = hops(rows).where(bank.isNotNull()).groupBy("layer_no", bank.alias("bank")).agg(F.count("*").alias("n"))
+    ranked = hops(rows).where(_bank().isNotNull()).groupBy("layer_no", _bank().alias("bank")).agg(F.count("*").alias("n"))
     best = ranked.groupBy("layer_no").agg(F.count("*").alias("bank_count"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "bank"))).alias("_r"))
     named = F.transform(F.slice("_r", 1, 3), lambda x: F.concat(x["bank"], F.lit(" ("), -x["m"], F.lit(")")))
     return (
