@@ -52,18 +52,21 @@ def with_instrument(lien_rows: DataFrame) -> DataFrame:
     return lien_rows.withColumn("instrument", instrument_kind(F.col("account_no"), F.col("ifsc_code"), F.col("bank_name")))
 
 
-def letters(lien_rows: DataFrame) -> DataFrame:
-    """(bank_key, bank_name, account_count, total_amount, accounts): one letter for each bank, for bank accounts only.
+def letters(lien_rows: DataFrame, most: int = 1000) -> DataFrame:
+    """(bank_key, part, bank_name, account_count, total_amount, accounts): letters to each bank, for bank accounts only.
 
-    A bank's accounts are listed in its letter; their number is bounded by what a letter can carry.
+    A bank with more than ``most`` accounts gets several parts, to which accounts are dealt by a hash.
     """
     some = with_instrument(lien_rows).where("instrument = 'bank'").withColumn("bank_key", F.lower(F.trim(F.coalesce("bank_name", F.lit("Unknown")))))
-    return some.groupBy("bank_key").agg(F.min("bank_name").alias("bank_name"), F.count("*").alias("account_count"), total(F.col("lien_eligible_amount")).alias("total_amount"), F.array_sort(F.collect_list(F.struct((-F.col("lien_eligible_amount")).alias("minus_amount"), "account_no"))).alias("accounts"))
+    parts = some.groupBy("bank_key").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = some.join(parts, "bank_key").withColumn("part", F.pmod(F.xxhash64("account_no"), "_parts").cast("int"))
+    return dealt.groupBy("bank_key", "part").agg(F.min("bank_name").alias("bank_name"), F.count("*").alias("account_count"), total(F.col("lien_eligible_amount")).alias("total_amount"), F.array_sort(F.collect_list(F.struct((-F.col("lien_eligible_amount")).alias("minus_amount"), "account_no"))).alias("accounts"))
 
 
 def letters_to_send(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Fresh letters with the status of equal stored ones: ``sent`` stays where bank and total are the same."""
     old = stored.select(F.col("bank_key").alias("_k"), F.col("total_amount").alias("_t"), F.col("status").alias("_s"))
+    fresh = fresh.groupBy("bank_key").agg(total(F.col("total_amount")).alias("total_amount"))
     joined = fresh.join(old, F.col("bank_key") == F.col("_k"), "full_outer")
     state = F.when(F.col("bank_key").isNull(), "withdrawn").when((F.col("_s") == "sent") & (F.col("_t") == F.col("total_amount")), "sent").otherwise("draft")
     return joined.select(F.coalesce("bank_key", "_k").alias("bank_key"), F.coalesce("total_amount", "_t").alias("total_amount"), state.alias("status"))

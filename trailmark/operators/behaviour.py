@@ -33,10 +33,12 @@ def bursts(rows: DataFrame, key: str, minutes: int, least: int) -> DataFrame:
 
     A leg exactly ``minutes`` later counts.  Of equal stretches the earliest is taken.
     """
-    dated = rows.where(F.col("transaction_date").isNotNull() & (or_empty(F.col(key)) != ""))
-    order = F.unix_seconds(F.col("transaction_date").cast("timestamp"))
-    span = Window.partitionBy(key).orderBy("_s").rangeBetween(0, minutes * 60)
-    seen = dated.withColumn("_s", order).withColumns({"_n": F.count("*").over(span), "_sum": F.sum("transaction_amount").over(span), "_end": F.max("transaction_date").over(span)})
+    dated = rows.where(F.col("transaction_date").isNotNull() & (or_empty(F.col(key)) != "")).withColumn("_s", F.unix_seconds(F.col("transaction_date").cast("timestamp")))
+    # a leg is seen with its own slice of time and, as one that follows, with the slice before; so a busy key is many groups
+    slice_of = F.floor(F.col("_s") / (minutes * 60))
+    both = dated.withColumn("_at", F.explode(F.array(F.struct(slice_of.alias("k"), F.lit(True).alias("own")), F.struct((slice_of - 1).alias("k"), F.lit(False).alias("own")))))
+    span = Window.partitionBy(key, "_at.k").orderBy("_s").rangeBetween(0, minutes * 60)
+    seen = both.withColumns({"_n": F.count("*").over(span), "_sum": F.sum("transaction_amount").over(span), "_end": F.max("transaction_date").over(span)}).where("_at.own")
     best = F.max_by(F.struct("_n", "_sum", "transaction_date", "_end"), F.struct("_n", (-F.col("_s")).alias("s")))
     found = seen.where(F.col("_n") >= least).groupBy(key).agg(best.alias("b"))
     return found.select(key, F.col("b._n").alias("count"), F.col("b._sum").cast("decimal(18,2)").alias("total_amount"), F.col("b.transaction_date").alias("first"), F.col("b._end").alias("last"))

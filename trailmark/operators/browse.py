@@ -117,6 +117,21 @@ def layer_accounts(scored: DataFrame, layer: int) -> DataFrame:
     return scored.where(F.col("layer_no") == layer)
 
 
+def risk_list(scored: DataFrame, risk: str | None = None, layers: list[int] | None = None, bank: str | None = None, text: str | None = None, received_from: Decimal | None = None, received_to: Decimal | None = None) -> DataFrame:
+    """Scored accounts that meet all conditions; ``text`` is sought in account and bank."""
+    for c in (
+        F.col("risk_label") == risk if risk else None,
+        F.col("layer_no").isin(layers) if layers else None,
+        F.col("bank_name") == bank if bank else None,
+        F.col("account_no").ilike(escaped_like(text)) | F.coalesce(F.col("bank_name").ilike(escaped_like(text)), F.lit(False)) if text else None,
+        F.col("total_received") >= F.lit(str(received_from)).cast("decimal(18,2)") if received_from is not None else None,
+        F.col("total_received") <= F.lit(str(received_to)).cast("decimal(18,2)") if received_to is not None else None,
+    ):
+        if c is not None:
+            scored = scored.where(c)
+    return scored
+
+
 def leg_fields(rows: DataFrame, leg: int) -> DataFrame:
     """(field, value) of one leg, fields without a value left out."""
     some = rows.where(F.col("id") == leg)

@@ -112,3 +112,11 @@ def same_day_exits(rows: DataFrame) -> DataFrame:
 
 def cashouts_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.where("row_kind = 'EXIT'").groupBy(*keys).agg(total(F.col("transaction_amount")).alias("amount"), F.count("*").alias("count"))
+
+
+def cashout_reconciliation(flagged: DataFrame, accounts: DataFrame) -> DataFrame:
+    """One row: gross cash-outs shown, less repeated legs, less what is above the cap, is what is confirmed."""
+    exit_ = F.col("row_kind") == "EXIT"
+    gross = flagged.agg(total(F.col("transaction_amount"), exit_).alias("gross_shown"), total(F.col("transaction_amount"), exit_ & F.col("is_duplicate")).alias("dup_amount_shown"))
+    cap = capped_cashouts(accounts).agg(total(F.col("cashed") - F.col("capped")).alias("cap_excess"), total(F.col("capped")).alias("confirmed"))
+    return one_row(gross, cap)

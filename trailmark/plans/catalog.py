@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.operators import attribution, behaviour, browse, calendar, findings, graph, money, registry, scoring
-from trailmark.operators.core import enrich, flag_duplicates, legs, rollup
+from trailmark.functions import parse, text
+from trailmark.operators import attribution, behaviour, browse, calendar, findings, graph, ingest, money, registry, scoring
+from trailmark.operators.core import enrich, flag_duplicates, legs, one_row, rollup
 from trailmark.plans.sql import EDGES, ROLLUP, on_events, on_ledger
 from trailmark.sources.adapter import events_ledger, ledger
 
@@ -386,7 +387,7 @@ def _(l):
     return attribution.with_instrument(money.liens(rollup(legs(l)))).select("account_no", "bank_name", "instrument", "lien_eligible_amount")
 
 
-@query("letters", on_ledger(ROLLUP, _INSTRUMENT, select=f"SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, min(bank_name) AS bank_name, count(*) AS account_count, {D('sum(lien_eligible_amount)', 'total_amount')}, string_agg(account_no, '; ' ORDER BY lien_eligible_amount DESC, account_no) AS accounts FROM instruments WHERE instrument = 'bank' GROUP BY 1"))
+@query("letters", on_ledger(ROLLUP, _INSTRUMENT, select=f"SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, 0 AS part, min(bank_name) AS bank_name, count(*) AS account_count, {D('sum(lien_eligible_amount)', 'total_amount')}, string_agg(account_no, '; ' ORDER BY lien_eligible_amount DESC, account_no) AS accounts FROM instruments WHERE instrument = 'bank' GROUP BY 1"))
 def _(l):
     out = attribution.letters(money.liens(rollup(legs(l))))
     return out.withColumn("accounts", F.transform("accounts", lambda a: a["account_no"]))
@@ -508,10 +509,117 @@ def _(l):
 
 
 # -- scores and words --------------------------------------------------------
-@query("mule_scores")
+_CLIP = lambda x: f"greatest(least({x}, 1.0), 0.0)"
+_POINTS = {
+    "pass_through": (30, _CLIP("coalesce(ratio, 0.0) / 0.9")),
+    "cashout_speed": (20, f"coalesce({_CLIP('(24.0::DOUBLE - hours) / 23.0')}, 0.0)"),
+    "txn_count": (15, _CLIP("log2(1.0::DOUBLE + txn_count) / log2(21.0::DOUBLE)")),
+    "cross_case": (20, _CLIP("(cases - 1) / 2.0::DOUBLE")),
+    "geo_spread": (10, _CLIP("(places - 1) / 3.0::DOUBLE")),
+    "kyc_variance": (5, _CLIP("(names - 1) / 2.0::DOUBLE")),
+    "both_sheets": (18, "CASE WHEN hops_in > 0 AND total_cashed_out > 0 THEN 1.0 ELSE 0.0 END"),
+    "multi_channel": (8, "CASE WHEN channels >= 2 THEN 1.0 ELSE 0.0 END"),
+    "fan_in": (8, _CLIP("(distinct_senders - 1) / 2.0::DOUBLE")),
+    "high_cashout_ratio": (15, "CASE WHEN total_received > 0 AND CAST(total_cashed_out AS DOUBLE) / CAST(total_received AS DOUBLE) >= 0.8 THEN 1.0 ELSE 0.0 END"),
+    "same_day_in_out": (17, "CASE WHEN same_day THEN 1.0 ELSE 0.0 END"),
+    "in_degree_collector": (6, "CASE WHEN distinct_senders >= 3 THEN 1.0 ELSE 0.0 END"),
+}
+_SCORES = f"""
+seen AS (SELECT account_no, count(DISTINCT ack_no) AS cases, count(DISTINCT city) FILTER (WHERE role <> 'out' AND trim(city) <> '') AS places, count(DISTINCT lower(beneficiary_name)) FILTER (WHERE role <> 'out' AND trim(beneficiary_name) <> '') AS names,
+  count(DISTINCT upper(payment_mode)) FILTER (WHERE row_kind = 'EXIT') AS channels, min(day) FILTER (WHERE role = 'in') AS first_day, min(day) FILTER (WHERE row_kind = 'EXIT') AS first_cash_day
+  FROM (SELECT * FROM touches UNION ALL SELECT cash_account, 'other', * FROM legs WHERE row_kind = 'OTHER') GROUP BY account_no),
+parts AS (SELECT accounts.*, cases, places, names, channels, coalesce(first_day = first_cash_day, false) AS same_day, hours,
+  CASE WHEN disputed_received > 0 THEN round(CAST(total_forwarded AS DOUBLE) / CAST(disputed_received AS DOUBLE), 4) END AS ratio
+  FROM accounts JOIN seen USING (account_no) LEFT JOIN speed USING (account_no) WHERE hops_in > 0),
+points AS (SELECT *, {", ".join(f"round(CAST({w} * ({c}) AS DOUBLE), 3) AS points_{k}" for k, (w, c) in _POINTS.items())} FROM parts),
+scores AS (SELECT *, CAST(floor({" + ".join(f"points_{k}" for k in _POINTS)} + 0.5) AS INT) AS mule_score FROM points),
+scored AS (SELECT *, CASE WHEN mule_score >= 70 THEN 'HIGH' WHEN mule_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_label FROM scores)"""
+_CONDUIT = "risk_label IN ('HIGH', 'MEDIUM') AND disputed_received < 10000 AND greatest(total_received, onward_forwarded, total_cashed_out, total_forwarded) >= 100000"
+
+
+@query("mule_scores", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, bank_name, layer_no, mule_score, risk_label, ratio AS pass_through_ratio, cases, places, channels, same_day, {_CONDUIT} AS gross_conduit, CASE WHEN distinct_senders >= 5 THEN 'danger' WHEN distinct_senders >= 3 THEN 'warn' END AS aggregator_severity, {', '.join(f'points_{k}' for k in _POINTS)} FROM scored"))
 def _(l):
     rows = legs(l)
-    return scoring.score(rows, rollup(rows)).select("account_no", "bank_name", "layer_no", "mule_score", "risk_label", "pass_through_ratio", "cases", "places", "channels", "same_day", "gross_conduit", "aggregator_severity", "suspicion_reasons", *[f"points_{k}" for k in scoring.WEIGHTS])
+    return scoring.score(rows, rollup(rows)).select("account_no", "bank_name", "layer_no", "mule_score", "risk_label", "pass_through_ratio", "cases", "places", "channels", "same_day", "gross_conduit", "aggregator_severity", *[f"points_{k}" for k in scoring.WEIGHTS])
+
+
+@query("mule_reasons")
+def _(l):
+    rows = legs(l)
+    return scoring.score(rows, rollup(rows)).select("account_no", "mule_score", "suspicion_reasons")
+
+
+@query("mule_list", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, bank_name, layer_no, mule_score, {D('total_received')} FROM scored WHERE risk_label = 'HIGH' AND layer_no IN (1, 2) AND bank_name ILIKE '%bank%' AND scored.total_received BETWEEN 100000 AND 5000000"))
+def _(l):
+    rows = legs(l)
+    return browse.risk_list(scoring.score(rows, rollup(rows)), risk="HIGH", layers=[1, 2], text="bank", received_from=Decimal(100000), received_to=Decimal(5000000)).select("account_no", "bank_name", "layer_no", "mule_score", "total_received")
+
+
+@query("risk_counts", on_ledger(ROLLUP, _SPEED, _SCORES, select="SELECT count(*) FILTER (WHERE risk_label = 'HIGH') AS high, count(*) FILTER (WHERE risk_label = 'MEDIUM') AS medium, count(*) FILTER (WHERE risk_label = 'LOW') AS low FROM scored"))
+def _(l):
+    rows = legs(l)
+    return scoring.risk_counts(scoring.score(rows, rollup(rows)))
+
+
+@query("layer_detail", on_ledger(ROLLUP, _SPEED, _SCORES, select="SELECT account_no, mule_score, risk_label, layer_no FROM scored WHERE layer_no = 2"))
+def _(l):
+    rows = legs(l)
+    return browse.layer_accounts(scoring.score(rows, rollup(rows)), 2).select("account_no", "mule_score", "risk_label", "layer_no")
+
+
+@query("peak_layer", on_ledger(_LAYERS, select="SELECT arg_max(layer_no, account_count) AS peak_layer, max(account_count) AS accounts FROM base"))
+def _(l):
+    return graph.layers(legs(l)).agg(F.max_by("layer_no", "account_count").alias("peak_layer"), F.max("account_count").alias("accounts"))
+
+
+@query("cashout_reconciliation", on_ledger(ROLLUP, select=f"""SELECT {D("(SELECT sum(transaction_amount) FROM flagged WHERE row_kind = 'EXIT')", "gross_shown")}, {D("(SELECT coalesce(sum(transaction_amount), 0) FROM flagged WHERE row_kind = 'EXIT' AND is_duplicate)", "dup_amount_shown")},
+ {D("(SELECT sum(cashed - capped) FROM capped)", "cap_excess")}, {D("(SELECT sum(capped) FROM capped)", "confirmed")}"""))
+def _(l):
+    flagged = _flagged(l)
+    return money.cashout_reconciliation(flagged, rollup(flagged.where("NOT is_duplicate")))
+
+
+@query("badges", on_ledger(ROLLUP, _SPEED, _SCORES, _QUALITY, select="SELECT (SELECT count(*) FROM scored WHERE risk_label = 'HIGH') AS high_risk, (SELECT count(*) FROM quality) AS bank_flags"))
+def _(l):
+    rows = legs(l)
+    return one_row(scoring.score(rows, rollup(rows)).agg(F.count_if(F.col("risk_label") == "HIGH").alias("high_risk")), attribution.flagged_accounts(rows).agg(F.count("*").alias("bank_flags")))
+
+
+@query("audit_tail", on_ledger(select=f"SELECT id, {S('complaint_date', 'logged_at')} FROM flagged ORDER BY flagged.complaint_date DESC, id DESC LIMIT 100"))
+def _(l):
+    return registry.newest(_flagged(l).select("id", F.col("complaint_date").alias("logged_at")))
+
+
+@query("earlier_sources", on_ledger("reports AS (SELECT DISTINCT ack_no, report_id, 'h' || (report_id % 3) AS source_sha256 FROM flagged)", select="SELECT DISTINCT a.ack_no, a.source_sha256, b.source_sha256 AS earlier_sha256 FROM reports a JOIN reports b ON a.ack_no = b.ack_no AND b.report_id < a.report_id AND a.source_sha256 <> b.source_sha256"))
+def _(l):
+    return registry.earlier_sources(_flagged(l).select("ack_no", "report_id", F.concat(F.lit("h"), F.col("report_id") % 3).alias("source_sha256")).distinct())
+
+
+@query("weak_duplicates", on_ledger(select=f"SELECT utr_no, beneficiary_account, {D('transaction_amount')}, {S('transaction_date')}, count(*) AS n FROM flagged WHERE utr_no IS NOT NULL AND beneficiary_account IS NOT NULL GROUP BY utr_no, beneficiary_account, flagged.transaction_amount, flagged.transaction_date HAVING count(*) > 1"))
+def _(l):
+    return ingest.weak_duplicates(_flagged(l))
+
+
+# -- cells to values: texts as exports write them, and what they stand for ----
+@query("parsed_amounts", on_ledger(select=f"SELECT id, {D('CASE id % 5 WHEN 3 THEN -transaction_amount WHEN 4 THEN 0 ELSE transaction_amount END', 'amount')} FROM flagged"))
+def _(l):
+    v = F.col("transaction_amount").cast("string")
+    k = F.col("id") % 5
+    cell = F.when(k == 0, F.concat(F.lit("Rs. "), v)).when(k == 1, F.concat(F.lit("₹ "), F.format_number(F.col("transaction_amount"), 2), F.lit("/-"))).when(k == 2, F.concat(F.lit(" INR "), v)).when(k == 3, F.concat(F.lit("("), v, F.lit(")"))).otherwise(F.concat(v, F.lit(" Cr")))
+    return _flagged(l).select("id", parse.parse_amount(cell).alias("amount"))
+
+
+@query("parsed_dates", on_ledger(select=f"SELECT id, {S('CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 2 THEN CAST(day AS TIMESTAMP) ELSE transaction_date END', 'at')} FROM flagged"))
+def _(l):
+    t = F.col("transaction_date")
+    k = F.col("id") % 4
+    cell = F.when(k == 0, F.date_format(t, "dd/MM/yyyy hh:mm:ss a")).when(k == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'.000Z'")).when(k == 2, F.datediff(t, F.lit("1899-12-30")).cast("string")).otherwise(F.date_format(t, "'31/02/'yyyy"))
+    return _flagged(l).select("id", parse.parse_date(cell).alias("at"))
+
+
+@query("account_labels", on_ledger(select="SELECT id, repeat('•', CAST(least(greatest(length(trim(beneficiary_account)) - 4, 0), 8) AS INT)) || right(trim(beneficiary_account), 4) AS masked FROM flagged"))
+def _(l):
+    return _flagged(l).select("id", text.masked_account(F.col("beneficiary_account")).alias("masked"))
 
 
 @query("key_findings")
