@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_A_TASK = 100_000
 
 
+#: Rows of two or three integers up to which a table is broadcast (a few MB); beyond, both sides are dealt by key.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows as a side of a join: broadcast if it is short."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def cut_small(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut`` and the number of rows; the result has as few partitions as the rows ask for."""
     out = cut(df)

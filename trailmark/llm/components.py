@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import cut_small
+from trailmark.llm.common import cut_small, small
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of ``edges`` (a long, b long); a label is the least node of its component.
+def connected_components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, label) and their number, of all nodes of ``edges`` (a long, b long); a label is the least node of its component.
 
     In every round each node points to the least node of its neighbourhood and
     all edges move to where their ends point; edges within one node vanish.
@@ -19,23 +19,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     counts what is left.
     """
     left, n_left = cut_small(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    steps: list[DataFrame] = []
+    steps: list[tuple[DataFrame, int]] = []
     while n_left:
         n = len(steps)
         rank = (lambda c: F.col(c)) if n < 2 else (lambda c, n=n: F.xxhash64(c, F.lit(n)))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
         mine = F.struct(rank("a").alias("r"), F.col("a").alias("to"))
-        step, _ = cut_small(near.select(F.col("a").alias("node"), F.least("m", mine)["to"].alias("to")))
-        steps.append(step)
-        moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        step, n_step = cut_small(near.select(F.col("a").alias("node"), F.least("m", mine)["to"].alias("to")))
+        steps.append((step, n_step))
+        ends = [small(step.select(F.col("node").alias(c), F.col("to").alias(t)), n_step) for c, t in (("a", "x"), ("b", "y"))]
+        moved = left.join(ends[0], "a").join(ends[1], "b")
         left, n_left = cut_small(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).where(F.lit(False))
-    labels = steps[-1]
-    for step in reversed(steps[:-1]):
+        return left.select(F.col("a").alias("node"), F.col("a").alias("label")), 0
+    labels, n = steps[-1]
+    for step, n_step in reversed(steps[:-1]):
         later = labels.select(F.col("node").alias("to"), F.col("to").alias("last"))
-        labels = step.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
-    labels, _ = cut_small(labels)
+        labels, n = step.join(small(later, n), "to", "left").select("node", F.coalesce("last", "to").alias("to")), n_step
+    labels, n = cut_small(labels)
     least = labels.groupBy("to").agg(F.min("node").alias("label"))
-    return cut_small(labels.join(least, "to").select("node", "label"))[0]
+    return cut_small(labels.join(small(least, n), "to").select("node", "label"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.bytewords import _BASE, SpanHash, Words, blocks, grams, mix
-from trailmark.llm.common import cut, cut_small, table
+from trailmark.llm.common import cut, cut_small, small, table
 from trailmark.llm.components import connected_components
 
 SHINGLE = 5
@@ -199,13 +199,15 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) with the classes that ``links`` (a, b) connect made one."""
-    if links.isEmpty():
-        return labels
-    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return cut_small(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))[0]
+def _relabelled(labels: DataFrame, n: int, links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, label), ``n`` of them, with the classes that ``links`` (a, b) connect made one."""
+    mine = [small(labels.select(F.col("node").alias(c), F.col("label").alias(t)), n) for c, t in (("a", "x"), ("b", "y"))]
+    ends = links.join(mine[0], "a").join(mine[1], "b")
+    joined, n_joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    if not n_joined:
+        return labels, n
+    to = small(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), n_joined)
+    return cut_small(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def _block_links(shingle: int, threshold: float):
@@ -264,14 +266,14 @@ def _block_links(shingle: int, threshold: float):
     return run
 
 
-def _links_within(groups: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """(a, b) links that connect the classes of each group, by exact comparison in blocks.
+def _links_within(groups: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(a, b) links that connect the classes of each group (node, group, label), by exact comparison in blocks.
 
     Members of a group that are not of its largest class are the outsiders;
     blocks of at most about BLOCK outsiders meet blocks of at most about BLOCK
     members, each pair of blocks in a task of its own.
     """
-    rows, _ = cut_small(groups.join(labels, "node"))
+    rows, _ = cut_small(groups)
     largest = rows.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("home"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_out"))
     rows = rows.join(largest, "group").withColumns({"in_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "out_blocks": F.ceil(F.col("n_out") / BLOCK).cast("int")}).where("n_out > 0")
     rows = cut(rows.join(_texts_of(rows.select("node").distinct(), texts), "node"))
@@ -317,12 +319,12 @@ def near_duplicate_classes(
         near, _ = cut_small(likely(pairs, sketches, threshold - SLACK, bands * rows))
         return verify(near, texts, threshold, shingle)
 
-    found = connected_components(links(_pairs(members, "pivot", "node")))
-    labels, _ = cut_small(sketches.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    found, n_found = connected_components(links(_pairs(members, "pivot", "node")))
+    labels, n_labels = cut_small(sketches.select("node").join(small(found, n_found), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
     def open_buckets(size: Column) -> DataFrame:
         """Members of buckets that are not of one class yet, with their class and that of the pivot."""
-        some = members.where(size).select("bucket", "pivot", "node").join(labels, "node")
+        some = members.where(size).select("bucket", "pivot", "node").join(small(labels, n_labels), "node")
         torn = some.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
         return cut_small(some.join(torn, "bucket"))[0]
 
@@ -333,10 +335,11 @@ def near_duplicate_classes(
     more = links(_pairs(meets, "node", "asks"))
 
     many = open_buckets(F.col("n") > SMALL_BUCKET)
-    groups = connected_components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).select("node", F.col("label").alias("group"))
-    labels = _relabelled(labels, more.unionByName(_links_within(groups, labels, texts, threshold, shingle)))
+    groups, _ = connected_components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    groups = groups.select("node", F.col("label").alias("group")).join(small(labels, n_labels), "node")
+    labels, n_labels = _relabelled(labels, n_labels, more.unionByName(_links_within(groups, texts, threshold, shingle)))
 
-    by_text = heads.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
+    by_text = heads.join(small(labels, n_labels), "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return signed.select("doc", "k1", "k2").join(by_text, ["k1", "k2"])
 
 
