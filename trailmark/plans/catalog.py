@@ -637,3 +637,45 @@ def _(l):
     accounts = rollup(rows)
     quality = attribution.quality_summary(rows, attribution.flagged_accounts(rows), money.liens(accounts))
     return findings.roadmap(money.summary(flagged, accounts), scoring.risk_counts(scoring.score(rows, accounts)), quality)
+
+
+@query("payment_rails", on_ledger(select="SELECT id, nullif(regexp_extract(upper(remarks), '(?:^|[^A-Z])(?:DR|CR)?(UPI|IMPS|NEFT|RTGS)(?:[^A-Z]|$)', 1), '') AS rail FROM flagged"))
+def _(l):
+    return _flagged(l).select("id", parse.payment_rail(F.col("remarks")).alias("rail"))
+
+
+_WHOLE, _HEAD = "split_part(CAST(transaction_amount AS VARCHAR), '.', 1)", "CAST(transaction_amount AS VARCHAR)"
+
+
+@query("money_labels", on_ledger(select=f"""SELECT id, 'Rs. ' || CASE WHEN length({_WHOLE}) > 3 THEN ltrim(reverse(regexp_replace(reverse({_WHOLE}[1:length({_WHOLE}) - 3]), '([0-9][0-9])', '\\1,', 'g')), ',') || ',' || right({_WHOLE}, 3) ELSE {_WHOLE} END || '.' || split_part({_HEAD}, '.', 2) AS label FROM flagged"""))
+def _(l):
+    return _flagged(l).select("id", text.indian_money(F.col("transaction_amount")).alias("label"))
+
+
+@query("report_gap", on_ledger(select="SELECT datediff('day', min(day), DATE '2003-01-01') AS days FROM legs"))
+def _(l):
+    return calendar.report_gap(legs(l), "2003-01-01")
+
+
+@query("lien_statuses", on_ledger(ROLLUP, select="SELECT account_no, CASE WHEN total_on_hold > 0 THEN 'applied' ELSE 'pending' END AS status, 'first list' AS remarks FROM liens"))
+def _(l):
+    lien_rows = money.liens(rollup(legs(l)))
+    stored = lien_rows.select("account_no", F.lit("pending").alias("status"), F.lit("first list").alias("remarks"))
+    news = lien_rows.where("total_on_hold > 0").select("account_no", F.lit("applied").alias("status"), F.lit(None).cast("string").alias("remarks"))
+    return registry.upsert(stored, news, ["account_no"])
+
+
+@query("letters_diff", on_ledger(ROLLUP, _INSTRUMENT, "fresh AS (SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, sum(lien_eligible_amount) AS total_amount FROM instruments WHERE instrument = 'bank' GROUP BY 1)", select=f"SELECT bank_key, {D('total_amount')}, CASE WHEN bank_key LIKE '%bank%' THEN 'sent' ELSE 'draft' END AS status FROM fresh UNION ALL SELECT 'closed bank', 1.0, 'withdrawn'"))
+def _(l):
+    fresh = attribution.letters(money.liens(rollup(legs(l))))
+    sent = fresh.groupBy("bank_key").agg(F.sum("total_amount").cast("decimal(18,2)").alias("total_amount")).withColumn("total_amount", F.when(F.col("bank_key").contains("bank"), F.col("total_amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
+    gone = fresh.sparkSession.createDataFrame([("closed bank", Decimal(1))], "bank_key string, total_amount decimal(18,2)")
+    return attribution.letters_to_send(fresh, sent.unionByName(gone).withColumn("status", F.lit("sent")))
+
+
+@query("report_deleted", on_ledger(_CONTRIB, select="SELECT 'contributions' AS name, count(*) AS rows FROM contributed WHERE report_id <> 2 UNION ALL SELECT 'transactions', count(*) FROM flagged WHERE report_id <> 2 UNION ALL SELECT 'audit_log', count(*) FROM flagged WHERE is_duplicate"))
+def _(l):
+    flagged = _flagged(l)
+    tables = registry.delete_report({"transactions": flagged, "contributions": registry.contributions(flagged.where("NOT is_duplicate")), "audit_log": flagged.where("is_duplicate")}, 2)
+    out = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
