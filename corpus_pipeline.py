@@ -20,9 +20,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without any letter go, as they have no language; the source is the host whose prior counts."""
+    """Texts in no language that the labels teach go; ``lang`` is what is found, the source is the host whose prior counts."""
     model = langid.fit_text_model(docs)
-    return langid.keep_identified(docs, model).select(*COLUMNS)
+    return langid.keep_identified(docs, model, lang_col="lang").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

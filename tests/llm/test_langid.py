@@ -76,3 +76,19 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "x", "en", "s")], docs.schema)
     assert [r._lang for r in d.identify_languages(some, model, F.col("text")).collect()] == ["und"]
     assert d.keep_identified(docs, d.fit_text_model(some)).count() == 0
+
+
+def test_kept_by_posterior(spark):
+    words = {"en": "the cat sat on the mat with the hat and this was there", "de": "der hund und die katze sind nicht hier aber auch das ist schon", "fr": "le chien est dans la maison avec les enfants qui sont ici"}
+    docs = [(i, t, lang, "a") for i, (lang, t) in enumerate([*words.items()] * 30)]
+    docs += [(100, "Это просто текст на другом языке, которого модель не знает", None, "a"), (101, "1234 5678 #### 90 !! 12 34 x 77 88", "en", "a"), (102, "12 34", "en", "a")]
+    docs += [(103, "xqj", None, "a"), (104, "the cat", None, "a"), (105, words["de"], "en", "a"), (106, "kissa istuu matolla", "fi", "a")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    model = d.fit_text_model(docs.where("doc_id < 100"))
+    kept = {r.doc_id: r.lang for r in d.keep_identified(docs, model, lang_col="lang").collect()}
+    # 103 may be of any of three languages: its posterior is below a half
+    assert kept == {i: ("en", "de", "fr")[i % 3] for i in range(90)} | {104: "en", 105: "de", 106: "fi"}
+    judged = {r.doc_id: r for r in d.identify_languages(docs, model, F.col("text"), F.col("source"), F.col("lang")).collect()}
+    assert judged[103]._posterior < d.LEAST_POSTERIOR and judged[103]._lang == "und"
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert d.keep_identified(bare, d.fit_text_model(bare), lang_col="lang").count() == docs.count()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.bytewords import LOWER, blocks, mix
+from trailmark.llm.bytewords import IS_BLANK, LOWER, blocks, mix
 from trailmark.llm.common import cut, table
 
 #: Labelled texts of each language that fitting reads, on average; chosen by a hash of the id.
@@ -39,6 +39,10 @@ SMOOTH = 5.0
 AGREE, AGREE_ROWS = 0.9, 20.0
 #: A decision needs this much of the posterior.
 LEAST_POSTERIOR = 0.5
+#: Odds of a language that the model does not know, under which all trigrams are equally likely.
+UNKNOWN_ODDS = 1e-3
+#: Least share of letters among the bytes of a text that aren't blank; the given tables have 0.30 or more.
+LEAST_LETTERS = 0.1
 #: Country suffixes that speak for a language (fixed values); they count as SMOOTH rows.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
 UNDECIDED = "und"
@@ -132,7 +136,7 @@ def host_of(url: Column) -> Column:
 
 
 def _likelihoods(docs: DataFrame, model: TextModel, text: Column, host: Column, declared: Column, keep: bool = True) -> DataFrame:
-    """(_host, _declared, _ll, _n) of every row, besides the columns of ``docs`` if they are to be kept."""
+    """(_host, _declared, _ll, _n, _solid) of every row, besides the columns of ``docs`` if they are to be kept."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.schema.fields if keep else []
     rows = docs.select(*[F.col(f"`{f.name}`") for f in fields], text.alias("_text"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(declared, F.lit("")).alias("_declared"))
@@ -141,18 +145,20 @@ def _likelihoods(docs: DataFrame, model: TextModel, text: Column, host: Column,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            values, counts = [np.zeros((0, len(own.languages)))], [np.zeros(0, np.int64)]
+            values, counts, solid = [np.zeros((0, len(own.languages)))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, off in blocks(batch.column(at)):
                 ll, n = own.likelihoods(data, off)
                 values.append(ll)
                 counts.append(n)
+                seen = np.concatenate([[0], np.cumsum(~IS_BLANK[data])])
+                solid.append(seen[off[1:]] - seen[off[:-1]])
             ll = np.concatenate(values)
             size = ll.shape[1]
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(ll) + 1) * size).astype(np.int32)), pa.array(ll.ravel()))
             columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.record_batch([*columns, lists, pa.array(np.concatenate(counts))], names=[*(n for i, n in enumerate(batch.schema.names) if i != at), "_ll", "_n"])
+            yield pa.record_batch([*columns, lists, pa.array(np.concatenate(counts)), pa.array(np.concatenate(solid))], names=[*(n for i, n in enumerate(batch.schema.names) if i != at), "_ll", "_n", "_solid"])
 
-    schema = T.StructType([*fields, T.StructField("_host", T.StringType()), T.StructField("_declared", T.StringType()), T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType())])
+    schema = T.StructType([*fields, T.StructField("_host", T.StringType()), T.StructField("_declared", T.StringType()), T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType()), T.StructField("_solid", T.LongType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -175,6 +181,7 @@ def identify_languages(
     declared: Column | None = None,
     smooth: float = SMOOTH,
     least_posterior: float = LEAST_POSTERIOR,
+    by_text: bool = False,
 ) -> DataFrame:
     """``docs`` with ``_lang`` and ``_posterior``, by text, host and declared language (columns of ``docs``, or None).
 
@@ -183,6 +190,9 @@ def identify_languages(
     no language has ``least_posterior``, it is ``und``.  A null host has no prior
     but that of the corpus, a null declaration says nothing.  A table without
     rows stays empty; without labelled texts to fit every row is ``und``.
+    ``by_text`` asks that the text itself speaks for a language, whatever markup
+    and host say: it has letters, in a share of LEAST_LETTERS, and no language
+    that the model does not know is likelier, at UNKNOWN_ODDS.
     """
     languages = model.languages
     if not languages:
@@ -240,19 +250,32 @@ def identify_languages(
     best = F.array_max("_p")
     lang = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_p", best).cast("int"))
     clear = (best >= least_posterior) & ((F.col("_n") > 0) | (F.col("_declared") != ""))
+    if by_text:
+        clear &= (F.col("_n") > 0) & (F.col("_n") >= LEAST_LETTERS * F.col("_solid"))
+        clear &= F.array_max("_ll") >= F.col("_n") * float(-np.log(BUCKETS) / TEMPER) + float(np.log(UNKNOWN_ODDS))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(clear, lang).otherwise(F.lit(UNDECIDED)).alias("_lang"), best.alias("_posterior"))
 
 
-def keep_identified(docs: DataFrame, model: TextModel, text_col: str = "text", host_col: str = "source", languages: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows of ``docs`` that have a language (one of ``languages``, if given), columns as they were.
+def keep_identified(docs: DataFrame, model: TextModel, text_col: str = "text", host_col: str = "source", languages: tuple[str, ...] | None = None, lang_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a language (one of ``languages``, if given) by the fused posterior.
 
-    A text with letters always has one, its likeliest, so clean texts stay however short they are.
+    ``lang_col`` counts as the declaration of a row, and what is found is written
+    there; other columns are as they were.  A label that the model does not know
+    cannot be judged: such rows stay as they are if they have letters.  Without a
+    model nothing can be judged, and all rows stay.
     """
-    judged = identify_languages(docs, model, F.col(f"`{text_col}`"), F.col(f"`{host_col}`").cast("string"), least_posterior=0.0)
+    if not model.languages:
+        return docs
+    none = F.lit(None).cast("string")
+    label = none if lang_col is None else F.col(f"`{lang_col}`")
+    judged = identify_languages(docs, model, F.col(f"`{text_col}`"), F.col(f"`{host_col}`").cast("string"), label, by_text=True)
+    if lang_col is not None:
+        beyond = (label != "") & ~label.isin(model.languages) & F.col(f"`{text_col}`").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")
+        judged = judged.withColumn("_lang", F.when(F.coalesce(beyond, F.lit(False)), label).otherwise(F.col("_lang")))
     judged = judged.where(F.col("_lang") != UNDECIDED)
     if languages is not None:
         judged = judged.where(F.col("_lang").isin(list(languages)))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.select(*[F.col("_lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
