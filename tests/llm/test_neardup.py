@@ -115,6 +115,19 @@ def test_drop_keeps_one_of_each(spark):
     assert d.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_and_clashing_ids(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [say(40) for _ in range(30)]
+    rows = [(None, t) for t in texts[:20]] + [(5, t) for t in texts[20:]] + [(None, texts[0] + " more"), (6, texts[20] + " more"), (6, texts[20] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = d.near_duplicate_classes(docs).collect()
+    assert len(found) == len(rows) and sum(r.is_kept for r in found) == len(texts)
+    assert all(r.class_id == (5 if r.doc == 6 else r.doc) for r in found)
+    kept = sorted(r.text for r in d.drop_near_duplicates(docs).collect())
+    assert len(kept) == len(texts) and {t.removesuffix(" more") for t in kept} == {*texts} and texts[20] in kept
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(5001, 5100)]

@@ -101,7 +101,7 @@ def _signer(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(_NULL_DOC)
-            for i, j, data, off in blocks(batch.column(1)):
+            for i, j, data, off in blocks(batch.column(2)):
                 words = Words(data, off)
                 doc, element, count = bags(words, shingle)
                 sig = signatures(doc, element, count.astype(np.float64), j - i, bands * rows)
@@ -114,7 +114,7 @@ def _signer(shingle: int, bands: int, rows: int):
                 low = (sig & _U(0xFF)).astype(np.uint8)
                 sketch = [x.tobytes() for x in low]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(solid, bands, 0))]).astype(np.int32)), pa.array(band[solid].ravel()))
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array(sketch, pa.binary())], names=["doc", "k1", "k2", "bands", "sketch"])
+                yield pa.record_batch([ids.slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array(sketch, pa.binary())], names=["doc", "node", "k1", "k2", "bands", "sketch"])
 
     return run
 
@@ -285,34 +285,23 @@ def _links_within(groups: DataFrame, texts: DataFrame, threshold: float, shingle
     return cut_small(asks.unionByName(members).groupBy("group", "i", "j").applyInArrow(_block_links(shingle, threshold), "a long, b long"))[0]
 
 
-def near_duplicate_classes(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = SIMILARITY,
-    shingle: int = SHINGLE,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """(doc, k1, k2, class_id) for every row of ``docs``: the least id among all texts its text is linked with.
+def _text_node(text: Column) -> Column:
+    """The node of a text: 64 bits of hash, which two of 15 million texts share with a probability of 6e-6."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
-    Equal texts are always of one class.  Different texts are linked if their
-    probability Jaccard or their plain Jaccard similarity is ``threshold`` or
-    more, and classes are what links connect.  Null counts as empty; empty texts
-    and other texts without words are linked with equal texts only.  A null id is
-    treated as the least integer, and texts that share the least id of their
-    copies are of one class.  With 32 bands of 5 slots a pair at 0.8 is missed
-    with a probability of 3e-6.
-    """
-    rows_in = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = cut(rows_in.mapInArrow(_signer(shingle, bands, rows), "doc long, k1 long, k2 long, bands array<long>, sketch binary"))
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(doc, node, k1, k2, n, class_id, is_kept) for every id and text of ``docs``, n times there; one of each class is kept."""
+    text = F.col(f"`{text_col}`")
+    rows_in = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), _text_node(text).alias("node"), text.cast("string").alias("text"))
+    signed = cut(rows_in.mapInArrow(_signer(shingle, bands, rows), "doc long, node long, k1 long, k2 long, bands array<long>, sketch binary"))
     # one row of each text, the one with the least id, stands for it
-    texts_of = signed.groupBy("k1", "k2").agg(F.min("doc").alias("node"))
-    heads = cut(signed.join(texts_of, ["k1", "k2"]).where("doc = node").select("node", "k1", "k2", "bands", "sketch").dropDuplicates(["k1", "k2"]))
+    texts_of = signed.groupBy("k1", "k2").agg(F.min("doc").alias("first"))
+    heads = cut(signed.join(texts_of, ["k1", "k2"]).where("doc = first").select("doc", "node", "k1", "k2", "bands", "sketch").dropDuplicates(["k1", "k2"]))
     members = heads.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(buckets, "bucket"))
-    texts = rows_in.select(F.coalesce("doc", F.lit(_NULL_DOC)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = rows_in.select("node", F.coalesce("text", F.lit("")).alias("text"))
     sketches = cut(heads.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch").dropDuplicates(["node"]))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -339,22 +328,58 @@ def near_duplicate_classes(
     groups = groups.select("node", F.col("label").alias("group")).join(small(labels, n_labels), "node")
     labels, n_labels = _relabelled(labels, n_labels, more.unionByName(_links_within(groups, texts, threshold, shingle)))
 
-    by_text = heads.join(small(labels, n_labels), "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
-    return signed.select("doc", "k1", "k2").join(by_text, ["k1", "k2"])
+    firsts = labels.join(heads.select("node", "doc"), "node").groupBy("label").agg(F.min(F.struct("doc", "node")).alias("m"))
+    of_node = labels.join(firsts, "label").select("node", F.col("m.doc").alias("_least"), F.col("m.node").alias("_home"))
+    by_text = heads.join(small(of_node, n_labels), "node", "left").select("k1", "k2", F.coalesce("_least", "doc").alias("class_id"), F.coalesce("_home", "node").alias("home"))
+    listed = signed.groupBy("k1", "k2", "node", "doc").agg(F.count("*").alias("n")).join(by_text, ["k1", "k2"])
+    return listed.select("doc", "node", "k1", "k2", "n", "class_id", ((F.col("node") == F.col("home")) & (F.col("doc") == F.col("class_id"))).alias("is_kept"))
+
+
+def near_duplicate_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """(doc, k1, k2, class_id, is_kept) for every row of ``docs``: the least id among all texts its text is linked with.
+
+    Equal texts are always of one class.  Different texts are linked if their
+    probability Jaccard or their plain Jaccard similarity is ``threshold`` or
+    more, and classes are what links connect.  Null counts as empty; empty texts
+    and other texts without words are linked with equal texts only.  Texts are
+    told apart by their hashes, so ids may be null or clash: a null id is shown
+    as the least integer, and classes with one least id stay classes of their
+    own.  One row of each class ``is_kept``, the first by id and hash.  With 32
+    bands of 5 slots a pair at 0.8 is missed with a probability of 3e-6.
+    """
+    listed = _classes(docs, id_col, text_col, threshold, shingle, bands, rows)
+    copies = listed.select("doc", "k1", "k2", "class_id", "is_kept", F.explode(F.sequence(F.lit(1), "n")).alias("_copy"))
+    return copies.select("doc", "k1", "k2", "class_id", (F.col("is_kept") & (F.col("_copy") == 1)).alias("is_kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each class, that with the least id, with all columns of ``docs``.
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row of each class, the first by id and text hash, with all columns of ``docs``.
 
-    Of repeated rows with that id one stays.  A null id counts as the least.
+    Of repeated rows with that id and text one stays.  A null id counts as the least.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, **how)
-    kept = classes.where("doc = class_id").select(F.col("doc").alias("_kept")).distinct()
+    kept = _classes(docs, id_col, text_col, threshold, shingle, bands, rows).where("is_kept").select(F.col("doc").alias("_own"), F.col("node").alias("_node"))
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_DOC))
-    return docs.withColumn("_own", own).join(kept, F.col("_own") == F.col("_kept"), "left_semi").dropDuplicates(["_own"]).drop("_own")
+    named = docs.withColumns({"_own": own, "_node": _text_node(F.col(f"`{text_col}`"))})
+    return named.join(kept, ["_own", "_node"], "left_semi").dropDuplicates(["_own", "_node"]).drop("_own", "_node")
 
 
 def op4_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     classes = near_duplicate_classes(docs)
-    return classes.select(F.when(F.col("doc") != _NULL_DOC, F.col("doc")).alias("doc_id"), "class_id", (F.col("doc") == F.col("class_id")).alias("is_kept"))
+    return classes.select(F.when(F.col("doc") != _NULL_DOC, F.col("doc")).alias("doc_id"), "class_id", "is_kept")
