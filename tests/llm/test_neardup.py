@@ -128,6 +128,20 @@ def test_null_and_clashing_ids(spark):
     assert len(kept) == len(texts) and {t.removesuffix(" more") for t in kept} == {*texts} and texts[20] in kept
 
 
+def test_repeated_passages_are_linked(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(20):  # alike by plain Jaccard only
+        body, passage = say(400), say(12)
+        rows += [(3 * i, f"{body} {passage}"), (3 * i + 1, body + f" {passage}" * 20), (3 * i + 2, body + f" {passage}" * 40)]
+    a, c = bag(rows[0][1]), bag(rows[2][1])
+    assert prob_jaccard(a, c) < 0.6 and len(a.keys() & c.keys()) / len(a.keys() | c.keys()) > 0.9
+    assert run(spark, rows) == {i: i // 3 * 3 for i in range(60)}
+    ends = [r for r in rows if r[0] % 3 != 1]
+    assert run(spark, ends) == {i: i // 3 * 3 for i, _ in ends}
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(5001, 5100)]

@@ -6,7 +6,9 @@ rate: its arrivals are drawn from a hash of the element, each falls into a
 random slot of the signature, and a slot keeps the element that came first.
 Elements stop as soon as their next arrival is later than the last slot.  Two
 texts agree in a slot with the probability of their probability Jaccard
-similarity, whatever their lengths.
+similarity, whatever their lengths.  With weights of one it is the plain Jaccard
+similarity; texts that repeat a run of words have such a signature as well, and
+for all others the two are the same.
 
 Texts that agree in all slots of a band meet in a bucket.  All members of a
 bucket are compared with one pivot first.  Those that end up outside the
@@ -97,6 +99,14 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     return who.reshape(n_docs, slots)
 
 
+def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(texts, bands) buckets of signatures."""
+    band = np.zeros((len(sig), bands), np.uint64)
+    for r in range(rows):
+        band = mix(band * _BASE + sig.reshape(len(sig), bands, rows)[:, :, r])
+    return mix(band + np.arange(bands, dtype=np.uint64) * _BASE).view(np.int64)
+
+
 def _signer(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +115,19 @@ def _signer(shingle: int, bands: int, rows: int):
                 words = Words(data, off)
                 doc, element, count = bags(words, shingle)
                 sig = signatures(doc, element, count.astype(np.float64), j - i, bands * rows)
-                band = np.zeros((j - i, bands), np.uint64)
-                for r in range(rows):
-                    band = mix(band * _BASE + sig.reshape(j - i, bands, rows)[:, :, r])
-                band = mix(band + np.arange(bands, dtype=np.uint64) * _BASE).view(np.int64)
-                solid = np.bincount(doc, minlength=j - i) > 0
+                # texts that repeat an element, and their signatures with all weights one
+                twice = np.flatnonzero(np.bincount(doc, weights=count > 1, minlength=j - i) > 0)
+                own = np.isin(doc, twice)
+                flat = signatures(np.searchsorted(twice, doc[own]), element[own], np.ones(own.sum()), len(twice), bands * rows)
+                band = np.tile(_band_keys(sig, bands, rows), (1, 2))
+                band[twice, bands:] = _band_keys(flat, bands, rows)
+                use = np.repeat((np.bincount(doc, minlength=j - i) > 0)[:, None], 2 * bands, axis=1)
+                use[:, bands:] &= band[:, :bands] != band[:, bands:]
                 keys = [SpanHash(data, w)(off[:-1], off[1:]).view(np.int64) for w in (0, 1)]
-                low = (sig & _U(0xFF)).astype(np.uint8)
-                sketch = [x.tobytes() for x in low]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(solid, bands, 0))]).astype(np.int32)), pa.array(band[solid].ravel()))
+                sketch = [x.tobytes() for x in (sig & _U(0xFF)).astype(np.uint8)]
+                for t, x in zip(twice, (flat & _U(0xFF)).astype(np.uint8), strict=True):
+                    sketch[t] += x.tobytes()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)), pa.array(band[use]))
                 yield pa.record_batch([ids.slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array(sketch, pa.binary())], names=["doc", "node", "k1", "k2", "bands", "sketch"])
 
     return run
@@ -167,8 +181,12 @@ def _sifter(slots: int, least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots) for c in ("sketch_a", "sketch_b"))
-            equal = (x == y).mean(axis=1)
+            both = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b")]
+            # by weights and by weights of one, where a text has a second sketch
+            equal = np.zeros(batch.num_rows)
+            for part in (lambda s: s[:slots], lambda s: s[-slots:]):
+                x, y = (np.frombuffer(b"".join(map(part, side)), np.uint8).reshape(-1, slots) for side in both)
+                equal = np.maximum(equal, (x == y).mean(axis=1))
             # bytes agree by chance as well
             mask = pa.array((equal - 1 / 256) / (1 - 1 / 256) >= least)
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
@@ -177,7 +195,7 @@ def _sifter(slots: int, least: float):
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, least: float, slots: int) -> DataFrame:
-    """The pairs (a, b) whose signatures, by their low bytes, agree in a share of ``least`` or more."""
+    """The pairs (a, b) of which signatures of either kind, by their low bytes, agree in a share of ``least`` or more."""
     both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_sifter(slots, least), "a long, b long")
 
@@ -353,7 +371,7 @@ def near_duplicate_classes(
     told apart by their hashes, so ids may be null or clash: a null id is shown
     as the least integer, and classes with one least id stay classes of their
     own.  One row of each class ``is_kept``, the first by id and hash.  With 32
-    bands of 5 slots a pair at 0.8 is missed with a probability of 3e-6.
+    bands of 5 slots a pair at 0.8 of either is missed with a probability of 3e-6.
     """
     listed = _classes(docs, id_col, text_col, threshold, shingle, bands, rows)
     copies = listed.select("doc", "k1", "k2", "class_id", "is_kept", F.explode(F.sequence(F.lit(1), "n")).alias("_copy"))
