@@ -41,6 +41,26 @@ def test_formats_stay_valid():
     assert re.fullmatch(r"[a-z]{3}\.\d\d@x\.org", d.email("abc.19@x.org", P)) and d.email("ABC.19@x.org", P).lower() == d.email("abc.19@x.org", P)
 
 
+def test_iban_before_other_words():
+    replace = d.Replacer(b"k")
+    for old, rest in (("DE89370400440532013000", " BIC COBADEFF"), ("DE89 3704 0044 0532 0130 00", " 2021"), ("GB82WEST12345698765432", " OR"), ("GB82WEST12345698765432", " DE89370400440532013000 END")):
+        new, counts = replace(f"IBAN {old}{rest}")
+        assert counts[d.KINDS.index("iban")] == (2 if "END" in rest else 1)
+        assert new.startswith(f"IBAN {d.iban(old, P)}") and old not in new and new.endswith(rest if "END" not in rest else " END")
+    i = f"DE{d._iban_check('DE', '1' * 20):02d}{'1' * 20}"  # not of the length of that country
+    assert replace(i) == (i, [0] * len(d.KINDS))
+
+
+def test_month_first_dates_have_the_same_pseudonyms():
+    first = datetime.date(1900, 1, 1)
+    days = [first + datetime.timedelta(i) for i in range(73049)]
+    new = [datetime.date.fromisoformat(d.date(x.isoformat(), P)) for x in days]
+    assert len({*new}) == len(days)
+    for x, y in [*zip(days, new)][::7]:
+        if x.day > 12:
+            assert datetime.datetime.strptime(d.date(f"{x:%m/%d/%Y}", P), "%m/%d/%Y").date() == y
+
+
 def test_documents(spark):
     rows = [
         (1, "Call +1 (743) 555-3824 or 743-555-3824, card 4111 1111 1111 1111.", "x"),

@@ -33,6 +33,9 @@ KINDS = ("card", "ssn", "iban", "phone", "ip", "email", "date")
 _FIRST, _LAST = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 _MONTHS = "January February March April May June July August September October November December".split()
 
+#: Characters of the IBAN of each country that has a fixed format.
+_IBAN_LENGTHS = {c: int(n) for n, some in (x.split(":") for x in "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split()) for c in some.split(",")}
+
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
@@ -112,7 +115,7 @@ def _iban_check(country: str, body: str) -> int:
 def iban(text: str, permute: Permuter) -> str | None:
     bare = text.replace(" ", "")
     country, check, body = bare[:2], bare[2:4], bare[4:]
-    if not 15 <= len(bare) <= 34 or int(check) != _iban_check(country, body):
+    if not 15 <= len(bare) <= 34 or len(bare) != _IBAN_LENGTHS.get(country, len(bare)) or int(check) != _iban_check(country, body):
         return None
     # digits stay digits and letters stay letters
     value, n = 0, 1
@@ -128,6 +131,11 @@ def iban(text: str, permute: Permuter) -> str | None:
     return _refill(text, f"{country}{_iban_check(country, body):02d}{body}")
 
 
+def iban_ends(text: str) -> list[int]:
+    """Where an IBAN at the beginning of a match may end: before a blank or at its end, the longest first."""
+    return [len(text), *(m.start() for m in reversed([*re.finditer(" ", text)]))]
+
+
 def phone(text: str, permute: Permuter) -> str | None:
     digits = re.sub("[^0-9]", "", text)
     prefix, own = digits[:-10], digits[-10:]
@@ -164,7 +172,11 @@ def email(text: str, permute: Permuter) -> str | None:
 
 
 def date(text: str, permute: Permuter) -> str | None:
-    """A day of 1900 to 2099, in the same notation; day before month unless only the reverse is valid."""
+    """A day of 1900 to 2099, in the same notation; day before month unless only the reverse is valid.
+
+    Days above the 12th and the others are permuted among themselves, so that a
+    pseudonym with the month first is read as that date as well.
+    """
     try:
         if " " in text:
             d, month, y = text.split(" ")
@@ -181,24 +193,17 @@ def date(text: str, permute: Permuter) -> str | None:
             else:
                 a, b, y = map(int, parts)
                 day = datetime.date(y, b, a) if b <= 12 else datetime.date(y, a, b)
-                show = (lambda x: sep.join((two(x.day, 0), two(x.month, 1), f"{x.year}"))) if b <= 12 else None
-                if show is None:
-                    # a month first, which a pseudonym shows as well: its day must be above 12
-                    days = (_LAST - _FIRST).days + 1
-                    at = (day - _FIRST).days
-                    if not 0 <= at < days:
-                        return None
-                    while True:
-                        at = permute(at, days, "date")
-                        new = _FIRST + datetime.timedelta(at)
-                        if new.day > 12:
-                            return sep.join((two(new.month, 0), two(new.day, 1), f"{new.year}"))
+                show = lambda x: sep.join((*((two(x.day, 0), two(x.month, 1)) if b <= 12 else (two(x.month, 0), two(x.day, 1))), f"{x.year}"))
     except ValueError:
         return None
     at = (day - _FIRST).days
     if not 0 <= at <= (_LAST - _FIRST).days:
         return None
-    return show(_FIRST + datetime.timedelta(permute(at, (_LAST - _FIRST).days + 1, "date")))
+    while True:
+        at = permute(at, (_LAST - _FIRST).days + 1, "date")
+        new = _FIRST + datetime.timedelta(at)
+        if (new.day > 12) == (day.day > 12):
+            return show(new)
 
 
 _MAKE: dict[str, Callable[[str, Permuter], str | None]] = {"card": card, "ssn": ssn, "iban": iban, "phone": phone, "ip": ip, "email": email, "date": date}
@@ -218,13 +223,18 @@ class Replacer:
         pos = 0
         while (m := PATTERN.search(text, pos)) is not None:
             kind = m.lastgroup if m.lastgroup in _MAKE else next(k for k in KINDS if m[k])
-            new = self.one(kind, m[0]) if kind in self.kinds else None
+            new, end = None, m.end()
+            if kind in self.kinds:
+                for n in iban_ends(m[0]) if kind == "iban" else [len(m[0])]:
+                    new, end = self.one(kind, m[0][:n]), m.start() + n
+                    if new is not None:
+                        break
             # what isn't valid may still hold something that begins later
-            pos = m.end() if new is not None else m.start() + 1
+            pos = end if new is not None else m.start() + 1
             if new is not None:
                 counts[KINDS.index(kind)] += 1
                 out += [text[at : m.start()], new]
-                at = m.end()
+                at = end
         return "".join([*out, text[at:]]) if out else text, counts
 
 
