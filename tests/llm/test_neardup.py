@@ -146,7 +146,8 @@ def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(5001, 5100)]
     want = classes_of({x for e in links for x in e if e[0] != e[1]}, links)
-    got, n = connected_components(spark.createDataFrame(links, "a long, b long"))
-    assert n == len(want)
-    assert {r.node: r.label for r in got.collect()} == want
+    for at_once in (10_000, 50, 0):  # in one task, in rounds and one task, in rounds only
+        got, n = connected_components(spark.createDataFrame(links, "a long, b long"), len(links), at_once)
+        assert n == len(want)
+        assert {r.node: r.label for r in got.collect()} == want
     assert np.unique([*want.values()]).size > 3

@@ -13,11 +13,15 @@ for all others the two are the same.
 Texts that agree in all slots of a band meet in a bucket.  All members of a
 bucket are compared with one pivot first.  Those that end up outside the
 pivot's class are then compared with all others: in small buckets as pairs, and
-in larger ones, which are joined to groups where they overlap, in blocks of
+in larger ones, of which those with one pivot are taken together, in blocks of
 texts, each of which yields just the links that connect its classes.  So no link
 that the bands show is lost, and thousands of copies of one text make few rows.
 Every link is exact, from the texts; pairs whose signatures are far apart are
 not looked at further.
+
+A bucket, a pivot, a class or the copies of one text may hold a third of all
+rows.  Keys that hold more than a ten-thousandth are found by counts that are
+combined before they are shuffled, and their rows are not dealt by the key.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.bytewords import _BASE, SpanHash, Words, blocks, grams, mix
-from trailmark.llm.common import cut, cut_small, small, table
+from trailmark.llm.bytewords import _BASE, Words, blocks, grams, mix
+from trailmark.llm.common import HOT_ROWS, cut, cut_small, fresh, hot_bound, join_counted, join_hot, table
 from trailmark.llm.components import connected_components
 
 SHINGLE = 5
@@ -39,12 +43,14 @@ BANDS = 32
 ROWS = 5
 #: Members up to which the outsiders of a bucket are compared with all of it at once.
 SMALL_BUCKET = 32
-#: Texts on either side of a block in which larger groups are compared, and shingles that it looks at together.
-BLOCK, BLOCK_COLUMNS = 256, 8192
+#: Texts and their bytes on either side of a block in which larger groups are compared, and shingles that it looks at together.
+BLOCK, BLOCK_BYTES, BLOCK_COLUMNS = 512, 1 << 23, 8192
 #: Pairs are compared exactly if their signatures agree this much less than the threshold; five deviations at 160 slots.
 SLACK = 0.16
-#: Ids (8 bytes each) up to which a list of them is broadcast; beyond, texts are joined with it by the id.
-BROADCAST_NODES = 1_000_000
+#: Nodes (32 bytes each) up to which a list of them is broadcast; beyond, texts are joined with it by their keys.
+BROADCAST_NODES = 250_000
+#: Tasks that the text of a node is sent to if many pairs have it.
+SALTS = 64
 _NULL_DOC = -(1 << 63)
 _U = np.uint64
 
@@ -110,8 +116,7 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signer(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL_DOC)
-            for i, j, data, off in blocks(batch.column(2)):
+            for i, j, data, off in blocks(batch.column(3)):
                 words = Words(data, off)
                 doc, element, count = bags(words, shingle)
                 sig = signatures(doc, element, count.astype(np.float64), j - i, bands * rows)
@@ -123,12 +128,11 @@ def _signer(shingle: int, bands: int, rows: int):
                 band[twice, bands:] = _band_keys(flat, bands, rows)
                 use = np.repeat((np.bincount(doc, minlength=j - i) > 0)[:, None], 2 * bands, axis=1)
                 use[:, bands:] &= band[:, :bands] != band[:, bands:]
-                keys = [SpanHash(data, w)(off[:-1], off[1:]).view(np.int64) for w in (0, 1)]
                 sketch = [x.tobytes() for x in (sig & _U(0xFF)).astype(np.uint8)]
                 for t, x in zip(twice, (flat & _U(0xFF)).astype(np.uint8), strict=True):
                     sketch[t] += x.tobytes()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)), pa.array(band[use]))
-                yield pa.record_batch([ids.slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array(sketch, pa.binary())], names=["doc", "node", "k1", "k2", "bands", "sketch"])
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(np.diff(off)), lists, pa.array(sketch, pa.binary())], names=["doc", "k1", "k2", "n_bytes", "bands", "sketch"])
 
     return run
 
@@ -194,38 +198,55 @@ def _sifter(slots: int, least: float):
     return run
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, least: float, slots: int) -> DataFrame:
-    """The pairs (a, b) of which signatures of either kind, by their low bytes, agree in a share of ``least`` or more."""
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+def likely(pairs: DataFrame, n: int, heads: DataFrame, least: float, slots: int) -> DataFrame:
+    """The pairs (a, b), ``n`` of them, of which signatures of either kind, by their low bytes, agree in a share of ``least`` or more."""
+    both = join_hot(pairs, n, heads.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a", F.col("b"))
+    both = both.join(heads.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_sifter(slots, least), "a long, b long")
 
 
-def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes; a short list goes to the texts, for a long one both are dealt by the node."""
-    wanted, n = cut_small(wanted)
-    return cut(texts.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node", "left_semi").dropDuplicates(["node"]))
+def _texts_of(nodes: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes``; a short list goes to the texts, for a long one both are dealt by the text's key."""
+    wanted, n = cut_small(nodes.join(heads.select("node", "doc", "k1", "k2"), "node"))
+    found = texts.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, ["doc", "k1", "k2"])
+    return cut(found.groupBy("node").agg(F.first("text").alias("text")))
+
+
+def verify(pairs: DataFrame, n: int, heads: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b), ``n`` of them, whose texts are similar, and their number."""
+    own = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), heads, texts)
+    salted, first = pairs.withColumn("salt", F.lit(0)), own.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.lit(0).alias("salt"))
+    if n > HOT_ROWS:  # the text of a node that many pairs have is sent to SALTS tasks
+        hot = F.broadcast(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > hot_bound(n)).select(F.col("a").alias("hot")))
+        salt = F.when(F.col("hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        salted = pairs.join(hot, F.col("a") == F.col("hot"), "left").select("a", "b", salt.alias("salt"))
+        salts = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        first = own.join(hot, F.col("node") == F.col("hot"), "left").select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.explode(salts).alias("salt"))
+    joined = salted.join(first, ["a", "salt"]).join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut_small(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, threshold), "a long, b long"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; ``texts`` has (node, text), maybe more than once."""
-    own = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
-    joined = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut_small(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, threshold), "a long, b long"))[0]
+def _pairs(rows: DataFrame, x: str, y: str) -> tuple[DataFrame, int]:
+    return cut_small(rows.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
 
 
-def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    return rows.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def _block_sift(slots: int, least: float):
+    """Rows of one block that any row of another class, on the other side, may be similar to, by their sketches."""
 
+    def run(block: pa.Table) -> pa.Table:
+        outside = np.array(block.column("outside").to_pylist(), bool)
+        label, sketch = block.column("label").to_numpy(), block.column("sketch").to_pylist()
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        kinds = [np.frombuffer(b"".join(s[cut] for s in sketch), np.uint8).reshape(-1, slots) for cut in (slice(slots), slice(-slots, None))]
+        use = np.zeros(len(label), bool)
+        for i in x:
+            equal = np.maximum(*((k[y] == k[i]).mean(axis=1) for k in kinds)) if len(y) else np.zeros(0)
+            near = y[((equal - 1 / 256) / (1 - 1 / 256) >= least) & (label[y] != label[i])]
+            use[near] = True
+            use[i] = len(near) > 0
+        return block.select(["group", "i", "j", "node", "label", "outside"]).filter(pa.array(use))
 
-def _relabelled(labels: DataFrame, n: int, links: DataFrame) -> tuple[DataFrame, int]:
-    """(node, label), ``n`` of them, with the classes that ``links`` (a, b) connect made one."""
-    mine = [small(labels.select(F.col("node").alias(c), F.col("label").alias(t)), n) for c, t in (("a", "x"), ("b", "y"))]
-    ends = links.join(mine[0], "a").join(mine[1], "b")
-    joined, n_joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    if not n_joined:
-        return labels, n
-    to = small(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), n_joined)
-    return cut_small(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return run
 
 
 def _block_links(shingle: int, threshold: float):
@@ -284,73 +305,81 @@ def _block_links(shingle: int, threshold: float):
     return run
 
 
-def _links_within(groups: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """(a, b) links that connect the classes of each group (node, group, label), by exact comparison in blocks.
+def _links_within(groups: DataFrame, heads: DataFrame, texts: DataFrame, threshold: float, shingle: int, slots: int) -> tuple[DataFrame, int]:
+    """(a, b) links that connect the classes of each group (group, node, label), by exact comparison in blocks, and their number.
 
     Members of a group that are not of its largest class are the outsiders;
-    blocks of at most about BLOCK outsiders meet blocks of at most about BLOCK
-    members, each pair of blocks in a task of its own.
+    blocks of about BLOCK outsiders or BLOCK_BYTES of their texts meet blocks of
+    as many members, each pair of blocks in a task of its own.  Sketches are
+    sent to all blocks, texts only where sketches say that two may be similar.
     """
-    rows, _ = cut_small(groups)
-    largest = rows.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("home"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_out"))
-    rows = rows.join(largest, "group").withColumns({"in_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "out_blocks": F.ceil(F.col("n_out") / BLOCK).cast("int")}).where("n_out > 0")
-    rows = cut(rows.join(_texts_of(rows.select("node").distinct(), texts), "node"))
+    rows, n = cut_small(groups.join(heads.select("node", "n_bytes", "sketch"), "node"))
+    largest = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).groupBy("group")
+    largest = largest.agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.sum("n").alias("n"), F.sum("b").alias("b"), (F.sum("n") - F.max("n")).alias("n_out"), (F.sum("b") - F.max_by("b", F.struct("n", "label"))).alias("b_out"))
+    in_blocks = lambda n, b: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(b) / BLOCK_BYTES)).cast("int")
+    rows = join_counted(rows, largest, "group", hot_bound(n), F.col("node")).where("n_out > 0").withColumns({"in_blocks": in_blocks("n", "b"), "out_blocks": in_blocks("n_out", "b_out")})
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["group", "i", "j", "node", "label", "text", "outside"]
+    cols = ["group", "i", "j", "node", "label", "sketch", "outside"]
     asks = rows.where("label <> home").select("*", own("out_blocks").alias("i"), all_of("in_blocks").alias("j"), F.lit(True).alias("outside")).select(*cols)
     members = rows.select("*", own("in_blocks").alias("j"), all_of("out_blocks").alias("i"), F.lit(False).alias("outside")).select(*cols)
-    return cut_small(asks.unionByName(members).groupBy("group", "i", "j").applyInArrow(_block_links(shingle, threshold), "a long, b long"))[0]
+    near, _ = cut_small(asks.unionByName(members).groupBy("group", "i", "j").applyInArrow(_block_sift(slots, threshold - SLACK), "group long, i int, j int, node long, label long, outside boolean"))
+    own_texts = _texts_of(near.select("node").distinct(), heads, texts)
+    return cut_small(near.join(own_texts, "node").groupBy("group", "i", "j").applyInArrow(_block_links(shingle, threshold), "a long, b long"))
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, k1, k2, text); texts are told apart by 128 bits of hash, a null id is the least integer and a null text empty."""
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_DOC)).alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
-def _text_node(text: Column) -> Column:
-    """The node of a text: 64 bits of hash, which two of 15 million texts share with a probability of 6e-6."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
+def _classes(texts: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, int]:
+    """(k1, k2, n, class_id, is_home) of every text of ``texts`` (doc, k1, k2, text), n times there, and the number of rows of ``texts``.
+
+    ``class_id`` is the least id of the class; the text that comes first by id and hash is its home.
+    """
+    signed = texts.mapInArrow(_signer(shingle, bands, rows), "doc long, k1 long, k2 long, n_bytes long, bands array<long>, sketch binary")
+    one = signed.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n_bytes", "bands", "sketch")])
+    # a node is a place in this table, which is read from the shared folder from here on
+    seen = Observation()
+    heads = cut(one.observe(seen, F.sum("n").alias("rows"), F.sum(F.size("bands")).alias("members")).select(F.monotonically_increasing_id().alias("node"), "*"))
+    n_rows, n_members = seen.get["rows"] or 0, seen.get["members"] or 0
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc, node, k1, k2, n, class_id, is_kept) for every id and text of ``docs``, n times there; one of each class is kept."""
-    text = F.col(f"`{text_col}`")
-    rows_in = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), _text_node(text).alias("node"), text.cast("string").alias("text"))
-    signed = cut(rows_in.mapInArrow(_signer(shingle, bands, rows), "doc long, node long, k1 long, k2 long, bands array<long>, sketch binary"))
-    # one row of each text, the one with the least id, stands for it
-    texts_of = signed.groupBy("k1", "k2").agg(F.min("doc").alias("first"))
-    heads = cut(signed.join(texts_of, ["k1", "k2"]).where("doc = first").select("doc", "node", "k1", "k2", "bands", "sketch").dropDuplicates(["k1", "k2"]))
     members = heads.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(buckets, "bucket"))
-    texts = rows_in.select("node", F.coalesce("text", F.lit("")).alias("text"))
-    sketches = cut(heads.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch").dropDuplicates(["node"]))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        near, _ = cut_small(likely(pairs, sketches, threshold - SLACK, bands * rows))
-        return verify(near, texts, threshold, shingle)
-
-    found, n_found = connected_components(links(_pairs(members, "pivot", "node")))
-    labels, n_labels = cut_small(sketches.select("node").join(small(found, n_found), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-
-    def open_buckets(size: Column) -> DataFrame:
-        """Members of buckets that are not of one class yet, with their class and that of the pivot."""
-        some = members.where(size).select("bucket", "pivot", "node").join(small(labels, n_labels), "node")
-        torn = some.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
-        return cut_small(some.join(torn, "bucket"))[0]
-
-    few = open_buckets(F.col("n").between(3, SMALL_BUCKET))
-    home = few.where("node = pivot").select("bucket", F.col("label").alias("home"))
-    asked = few.join(home, "bucket").where("label <> home").select("bucket", F.col("node").alias("asks"), F.col("label").alias("own"))
-    meets = few.join(asked, "bucket").where("label <> own")
-    more = links(_pairs(meets, "node", "asks"))
-
-    many = open_buckets(F.col("n") > SMALL_BUCKET)
-    groups, _ = connected_components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    groups = groups.select("node", F.col("label").alias("group")).join(small(labels, n_labels), "node")
-    labels, n_labels = _relabelled(labels, n_labels, more.unionByName(_links_within(groups, texts, threshold, shingle)))
-
-    firsts = labels.join(heads.select("node", "doc"), "node").groupBy("label").agg(F.min(F.struct("doc", "node")).alias("m"))
-    of_node = labels.join(firsts, "label").select("node", F.col("m.doc").alias("_least"), F.col("m.node").alias("_home"))
-    by_text = heads.join(small(of_node, n_labels), "node", "left").select("k1", "k2", F.coalesce("_least", "doc").alias("class_id"), F.coalesce("_home", "node").alias("home"))
-    listed = signed.groupBy("k1", "k2", "node", "doc").agg(F.count("*").alias("n")).join(by_text, ["k1", "k2"])
-    return listed.select("doc", "node", "k1", "k2", "n", "class_id", ((F.col("node") == F.col("home")) & (F.col("doc") == F.col("class_id"))).alias("is_kept"))
+    buckets = cut(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
+    members = cut(join_counted(members, buckets, "bucket", hot_bound(n_members), F.col("node")))
+
+    def links(found: tuple[DataFrame, int]) -> tuple[DataFrame, int]:
+        near = cut_small(likely(*found, heads, threshold - SLACK, bands * rows))
+        return verify(*near, heads, texts, threshold, shingle)
+
+    labels, n_labels = connected_components(*links(_pairs(members, "pivot", "node")))
+
+    # members of buckets that are not of one class yet, with their class
+    classed = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    torn, n_torn = cut_small(classed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m").select("bucket", "n"))
+    if n_torn:
+        rows_in = join_counted(classed.drop("n"), torn, "bucket", hot_bound(n_members), F.col("node"))
+        torn_rows, _ = cut_small(rows_in)
+        few = torn_rows.where(F.col("n") <= SMALL_BUCKET)
+        home = few.where("node = pivot").select("bucket", F.col("label").alias("home"))
+        asked = few.join(home, "bucket").where("label <> home").select("bucket", F.col("node").alias("asks"), F.col("label").alias("own"))
+        meets = few.join(asked, "bucket").where("label <> own AND node <> pivot")
+        more = [links(_pairs(meets, "node", "asks"))]
+        # larger buckets of one pivot are much alike, and compared together
+        many = torn_rows.where(F.col("n") > SMALL_BUCKET).select(F.col("pivot").alias("group"), "node", "label").distinct()
+        more.append(_links_within(many, heads, texts, threshold, shingle, bands * rows))
+        if n_more := sum(n for _, n in more):
+            edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more[0][0]).unionByName(more[1][0])
+            labels, n_labels = connected_components(edges, n_labels + n_more)
+
+    own = labels.join(heads.select("node", "doc", "k1", "k2"), "node")
+    firsts = own.groupBy("label").agg(F.min(F.struct("doc", "k1", "k2")).alias("home"), F.count("*").alias("n"))
+    of_node = join_counted(labels, firsts, "label", hot_bound(n_labels), F.col("node")).select("node", "home")
+    me = F.struct("doc", "k1", "k2")
+    of_text = heads.select("node", "doc", "k1", "k2", "n").join(of_node, "node", "left").select("k1", "k2", "n", F.coalesce("home", me).alias("home"), me.alias("me"))
+    return of_text.select("k1", "k2", "n", F.col("home.doc").alias("class_id"), (F.col("home") == F.col("me")).alias("is_home")), n_rows
 
 
 def near_duplicate_classes(
@@ -368,14 +397,20 @@ def near_duplicate_classes(
     probability Jaccard or their plain Jaccard similarity is ``threshold`` or
     more, and classes are what links connect.  Null counts as empty; empty texts
     and other texts without words are linked with equal texts only.  Texts are
-    told apart by their hashes, so ids may be null or clash: a null id is shown
-    as the least integer, and classes with one least id stay classes of their
-    own.  One row of each class ``is_kept``, the first by id and hash.  With 32
-    bands of 5 slots a pair at 0.8 of either is missed with a probability of 3e-6.
+    told apart by 128 bits of hash, so ids may be null or clash: a null id is
+    shown as the least integer, and classes with one least id stay classes of
+    their own.  One row of each class ``is_kept``, the first by id and hash; of
+    repeated rows any one.  Texts may have any length, an empty table stays
+    empty, and other columns of ``docs``, whatever their names, play no part.
+    With 32 bands of 5 slots a pair at 0.8 of either similarity is missed with a
+    probability of 3e-6.
     """
-    listed = _classes(docs, id_col, text_col, threshold, shingle, bands, rows)
-    copies = listed.select("doc", "k1", "k2", "class_id", "is_kept", F.explode(F.sequence(F.lit(1), "n")).alias("_copy"))
-    return copies.select("doc", "k1", "k2", "class_id", (F.col("is_kept") & (F.col("_copy") == 1)).alias("is_kept"))
+    texts = _keyed(docs, id_col, text_col)
+    classes, n = _classes(texts, threshold, shingle, bands, rows)
+    listed = texts.groupBy("doc", "k1", "k2").agg(F.count("*").alias("copies"))
+    found = join_counted(listed, classes, ["k1", "k2"], hot_bound(n), F.col("doc"), F.xxhash64("doc"))
+    copies = found.select("doc", "k1", "k2", "class_id", "is_home", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return copies.select("doc", "k1", "k2", "class_id", (F.col("is_home") & (F.col("doc") == F.col("class_id")) & (F.col("copy") == 1)).alias("is_kept"))
 
 
 def drop_near_duplicates(
@@ -387,14 +422,18 @@ def drop_near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row of each class, the first by id and text hash, with all columns of ``docs``.
+    """One row of each class, the first by id and text hash, with all columns of ``docs`` as they were, whatever their names.
 
-    Of repeated rows with that id and text one stays.  A null id counts as the least.
+    Of repeated rows with that id and text one stays.  A null id counts as the
+    least, a null text as empty; an empty table stays empty.
     """
-    kept = _classes(docs, id_col, text_col, threshold, shingle, bands, rows).where("is_kept").select(F.col("doc").alias("_own"), F.col("node").alias("_node"))
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_DOC))
-    named = docs.withColumns({"_own": own, "_node": _text_node(F.col(f"`{text_col}`"))})
-    return named.join(kept, ["_own", "_node"], "left_semi").dropDuplicates(["_own", "_node"]).drop("_own", "_node")
+    classes, _ = _classes(_keyed(docs, id_col, text_col), threshold, shingle, bands, rows)
+    own, k1, k2 = fresh(docs, "own", "k1", "k2")
+    kept = classes.where("is_home").select(F.col("class_id").alias(own), F.col("k1").alias(k1), F.col("k2").alias(k2))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    named = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_DOC)).alias(own), F.xxhash64(text).alias(k1), F.xxhash64(F.lit(1), text).alias(k2))
+    # repeated rows are dropped before they are dealt
+    return named.dropDuplicates([own, k1, k2]).join(kept, [own, k1, k2]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
