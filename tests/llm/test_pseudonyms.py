@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import random
 import re
 
@@ -90,3 +91,99 @@ def test_whole_table(spark):
     for r in changed:
         for m in d.PATTERN.finditer(old[r.doc_id]):
             assert m[0] not in r.text or d.Replacer(d.KEY)(m[0])[0] == m[0]
+
+
+def naive_round(key, name, i, half, size):
+    seed = hashlib.blake2b(f"{name}|{i}|".encode() + half, key=key).digest()
+    return seed[:size] if size <= 64 else hashlib.shake_256(seed).digest(size)
+
+
+def naive_number(value, n, name, key):
+    """The permutation by plain integers: walks until the value is within range(n)."""
+    a = max(2, int(n**0.5) if n < 1 << 52 else 1 << (n.bit_length() // 2))
+    b = -(-n // a)
+    while True:
+        x, y = value // b, value % b
+        for i in range(8):
+            h = int.from_bytes(naive_round(key, f"{name}|{n}", i, str(y if i % 2 == 0 else x).encode(), 24), "big")
+            x, y = ((x + h) % a, y) if i % 2 == 0 else (x, (y + h) % b)
+        value = x * b + y
+        if value < n:
+            return value
+
+
+def naive_digits(value, bases, name, key):
+    m = len(bases) // 2
+    parts, sizes = [value[:m], value[m:]], [bases[:m], bases[m:]]
+    for i in range(8):
+        noise = naive_round(key, f"{name}|{len(bases)}", i, bytes(parts[(i + 1) % 2]), 4 * len(sizes[i % 2]))
+        parts[i % 2] = [(v + int.from_bytes(noise[4 * j : 4 * j + 4], "little")) % n for j, (v, n) in enumerate(zip(parts[i % 2], sizes[i % 2]))]
+    return parts[0] + parts[1]
+
+
+def luhn_ok(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def naive(kind, text, key):
+    """The pseudonym of one value that is known to be of its kind."""
+    if kind == "ip":
+        n = sum(int(x) << (24 - 8 * i) for i, x in enumerate(text.split(".")))
+        n = naive_number(n, 1 << 32, "ip", key)
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "card":
+        m = len(text) - 2
+        body = text[0] + f"{naive_number(int(text[1:-1]), 10**m, f'card{text[0]}', key):0{m}d}"
+        return next(body + str(c) for c in range(10) if luhn_ok(body + str(c)))
+    if kind == "ssn":
+        all_of = [x for x in range(1, 900) if x != 666]
+        a, g, s = (int(x) for x in text.split("-"))
+        n = naive_number((all_of.index(a) * 99 + g - 1) * 9999 + s - 1, 898 * 99 * 9999, "ssn", key)
+        return f"{all_of[n // 9999 // 99]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
+    if kind == "email":
+        local, domain = text.split("@")
+        shape = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in local)
+        new = iter(naive_digits([int(c, 36) - (10 if c.isalpha() else 0) for c in local if c.isalnum()], [10 if c.isdigit() else 26 for c in local if c.isalnum()], f"email{shape}@{domain}", key))
+        return "".join(c if not c.isalnum() else str(next(new)) if c.isdigit() else chr(97 + next(new)) for c in local) + "@" + domain
+    day = datetime.date.fromisoformat(text)
+    n = (day - datetime.date(1900, 1, 1)).days
+    while True:
+        n = naive_number(n, 73049, "date", key)
+        new = datetime.date(1900, 1, 1) + datetime.timedelta(n)
+        if (new.day > 12) == (day.day > 12):
+            return new.isoformat()
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = {
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": lambda: next(x for x in iter(lambda: "4" + digits(15), "") if luhn_ok(x)),
+        "ssn": lambda: f"{rng.randint(1, 600):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "email": lambda: "".join(rng.choice("abcxyz0189._") for _ in range(rng.randint(1, 30))) + "@mail.example.org",
+        "date": lambda: (datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))).isoformat(),
+    }
+    known = [(k, f()) for k, f in make.items() for _ in range(8)]
+    fillers = ["plain words", "no 666-12-1234 here", "999.1.1.1", "2024-13-45", "4000000000000001", "\n", "über"]
+    rows, want = [], {}
+    for i in range(60):
+        parts = [rng.choice(known) if rng.random() < 0.6 else ("", rng.choice(fillers)) for _ in range(rng.randint(1, 9))]
+        rows.append((i, " ; ".join(x for _, x in parts)))
+        want[i] = " ; ".join(naive(k, x, d.KEY) if k else x for k, x in parts), [sum(k == kind for k, _ in parts) for kind in make]
+    spark.createDataFrame([*rows, (100, None), (101, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in d.op1_feistel_pseudonyms(spark, str(tmp_path)).collect()}
+    assert len(got) == 62 and got[100].text is None and got[101].text == ""
+    for i, (text, counts) in want.items():
+        assert (got[i].text, [got[i][f"n_{k}"] for k in make]) == (text, counts)
+
+
+def test_long_values_are_permuted_whole(spark):
+    assert len({tuple(P.digits([a, b], [26, 10], "x")) for a in range(26) for b in range(10)}) == 260
+    a, b = (d.email("b" * 119 + c + "@x.org", P) for c in "bc")
+    assert sum(x == y for x, y in zip(a[:120], b[:120])) < 30 and sum(x == "b" for x in a[:120]) < 30
+    texts = ["c" * 100_000 + "@x.org", "DE1" * 50_000, "1" * 300_000, "1.2." * 100_000]
+    out = d.pseudonymise(spark.createDataFrame([(t, 1) for t in texts], "text string, _PII int")).collect()
+    assert [len(r.text) for r in out] == [len(t) for t in texts] and out[0].text[:99_000] != texts[0][:99_000]
+    assert sum(x == "c" for x in out[0].text[:100_000]) < 8000 and [r.text for r in out[1:]] == texts[1:]
+    assert out[0]._pii == {"email": 1}

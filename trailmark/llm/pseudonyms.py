@@ -5,6 +5,9 @@ numbers, addresses (IPv4 and e-mail) and dates are found by patterns and
 validated.  The value of each is a number in a domain of exactly the valid
 values of its format, on which a Feistel network with a keyed hash as round
 function, walked in cycles until it is back in the domain, is a permutation.
+Bank account numbers and local parts, whose letters and digits are free, are
+vectors of digits of base 10 and 26; a Feistel network adds the hash of each
+half to all digits of the other one, in time that is linear in their length.
 So a pseudonym is valid and looks as the original did, equal values (whatever
 their separators) have equal pseudonyms in all documents, and different values
 have different ones.
@@ -19,12 +22,13 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import table
+from trailmark.llm.common import table, without
 
 #: For tests and the query; a caller gives a secret one.
 KEY = b"pseudonyms-1"
@@ -48,28 +52,46 @@ PATTERN = re.compile(
 
 
 class Permuter:
-    """Permutations of ``range(n)``, one for each key, name and n."""
+    """Permutations of ``range(n)``, one for each key, name and n, and of vectors of digits."""
 
     def __init__(self, key: bytes, rounds: int = ROUNDS):
         self.key, self.rounds = key[:64], rounds
 
-    def _round(self, name: str, n: int, i: int, half: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{name}|{n}|{i}|{half}".encode(), digest_size=16, key=self.key).digest(), "big")
+    def _round(self, name: str, i: int, half: bytes, size: int) -> bytes:
+        """``size`` bytes that depend on key, name, round and all of ``half``."""
+        seed = hashlib.blake2b(f"{name}|{i}|".encode() + half, key=self.key).digest()
+        return seed[:size] if size <= len(seed) else hashlib.shake_256(seed).digest(size)
 
     def __call__(self, value: int, n: int, name: str) -> int:
+        """``value`` of ``range(n)``, n at most 2**128."""
         if n <= 1:
             return value
         a = max(2, int(n**0.5) if n < 1 << 52 else 1 << (n.bit_length() // 2))
         b = -(-n // a)
+        name = f"{name}|{n}"
+        hashed = lambda i, half: int.from_bytes(self._round(name, i, b"%d" % half, 24), "big")
         while True:  # at most n < a * b values, nearly all of them within range(n)
             left, right = divmod(value, b)
             for i in range(0, self.rounds, 2):
-                left = (left + self._round(name, n, i, right)) % a
-                right = (right + self._round(name, n, i + 1, left)) % b
+                left = (left + hashed(i, right)) % a
+                right = (right + hashed(i + 1, left)) % b
             value = left * b + right
             if value < n:
                 return value
 
+    def digits(self, value: list[int], bases: list[int], name: str) -> list[int]:
+        """A vector of digits, each below the base of its place."""
+        base = np.array(bases, np.uint32)
+        at = len(bases) // 2
+        halves, sizes = [np.array(value[:at], np.uint32), np.array(value[at:], np.uint32)], (base[:at], base[at:])
+        name = f"{name}|{len(bases)}"
+        for i in range(self.rounds):
+            k = i % 2
+            other = halves[1 - k].astype(np.uint8).tobytes()
+            noise = np.frombuffer(self._round(name, i, other, 4 * len(sizes[k])), "<u4")
+            halves[k] = (halves[k] + noise % sizes[k]) % sizes[k]
+        return np.concatenate(halves).tolist()
+
 
 def _luhn(digits: str) -> int:
     """The check digit that ``digits`` lack."""
@@ -118,16 +140,9 @@ def iban(text: str, permute: Permuter) -> str | None:
     if not 15 <= len(bare) <= 34 or len(bare) != _IBAN_LENGTHS.get(country, len(bare)) or int(check) != _iban_check(country, body):
         return None
     # digits stay digits and letters stay letters
-    value, n = 0, 1
-    for c in body:
-        base = 10 if c.isdigit() else 26
-        value, n = value * base + (int(c) if base == 10 else ord(c) - 65), n * base
-    value = permute(value, n, "iban" + country + re.sub("[A-Z]", "A", re.sub("[0-9]", "0", body)))
-    out = []
-    for c in reversed(body):
-        value, d = divmod(value, 10 if c.isdigit() else 26)
-        out.append(str(d) if c.isdigit() else chr(65 + d))
-    body = "".join(reversed(out))
+    bases = [10 if c.isdigit() else 26 for c in body]
+    new = permute.digits([int(c) if c.isdigit() else ord(c) - 65 for c in body], bases, "iban" + country + "".join("0" if x == 10 else "A" for x in bases))
+    body = "".join(str(d) if x == 10 else chr(65 + d) for d, x in zip(new, bases, strict=True))
     return _refill(text, f"{country}{_iban_check(country, body):02d}{body}")
 
 
@@ -157,18 +172,12 @@ def ip(text: str, permute: Permuter) -> str | None:
 def email(text: str, permute: Permuter) -> str | None:
     """The local part, of letters and digits as before; the domain stays."""
     local, domain = text.rsplit("@", 1)
-    value, n, shape = 0, 1, []
-    for c in local.lower():
-        base = 10 if c.isdigit() else 26 if c.isalpha() else 1
-        shape.append("0" if base == 10 else "a" if base == 26 else c)
-        value, n = value * base + (int(c) if base == 10 else ord(c) - 97 if base == 26 else 0), n * base
-    value = permute(value, n, f"email{''.join(shape)}@{domain.lower()}")
-    out = []
-    for c in reversed(local):
-        base = 10 if c.isdigit() else 26 if c.isalpha() else 1
-        value, d = divmod(value, base)
-        out.append(str(d) if base == 10 else chr((65 if c.isupper() else 97) + d) if base == 26 else c)
-    return "".join(reversed(out)) + "@" + domain
+    free = [c for c in local.lower() if c.isalnum()]
+    bases = [10 if c.isdigit() else 26 for c in free]
+    shape = re.sub("[a-z]", "a", re.sub("[0-9]", "0", local.lower()))
+    new = permute.digits([int(c) if c.isdigit() else ord(c) - 97 for c in free], bases, f"email{shape}@{domain.lower()}")
+    out = iter([str(d) if x == 10 else chr(97 + d) for d, x in zip(new, bases, strict=True)])
+    return "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(out)) else c for c in local) + "@" + domain
 
 
 def date(text: str, permute: Permuter) -> str | None:
@@ -215,7 +224,9 @@ class Replacer:
     def __init__(self, key: bytes, kinds: tuple[str, ...] = KINDS):
         permute = Permuter(key)
         self.kinds = kinds
-        self.one = lru_cache(1 << 16)(lambda kind, value: _MAKE[kind](value, permute))
+        cached = lru_cache(1 << 16)(lambda kind, value: _MAKE[kind](value, permute))
+        # long values are not kept
+        self.one = lambda kind, value: cached(kind, value) if len(value) < 256 else _MAKE[kind](value, permute)
 
     def __call__(self, text: str) -> tuple[str, list[int]]:
         counts = [0] * len(KINDS)
@@ -241,9 +252,12 @@ class Replacer:
 def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``, and ``_pii``: map<kind, number found>, kinds that were found only.
 
-    Null and empty texts stay as they are.  Rows are treated one by one, repeated
-    rows alike, and all other columns stay.  ``key`` has up to 64 bytes.
+    Null and empty texts stay as they are, and an empty table stays empty.  Texts
+    and what is found in them may have any length.  Rows are treated one by one,
+    repeated rows alike, and all other columns stay, whatever their names; a
+    column ``_pii`` is replaced.  ``key`` has up to 64 bytes.
     """
+    docs = without(docs, "_pii")
     at = docs.columns.index(text_col)
     kind_of = docs.schema.fields[at].dataType
 
