@@ -43,3 +43,22 @@ def test_cases(spark):
 
 def test_sql(spark):
     assert same(spark, d.op7_poisson_mixing, d.OP7_SQL, "/root/testdata/sf0.01") > 900
+
+
+def test_tiny_shares_and_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else None if i % 10 == 0 else f"s{i}") for i in range(400)], "doc_id long, source string")
+    weights = spark.createDataFrame([("a", 1.0), ("s2", 4e-10), (None, 0.5)], "source string, weight double")
+    rates = {r.source: r.rate for r in d.source_rates(docs, weights=weights, total=1e10).collect()}
+    assert abs(rates["s2"] - 4e-10 / (1.5 + 4e-10) * 1e10) < 1e-6 and rates["s4"] == 0
+    want = sorted(tuple(r) for r in d.mix_sources(docs).collect())
+    monkeypatch.setattr(d, "BROADCAST_SOURCES", 10)
+    for bound in (1000, 20):
+        monkeypatch.setattr(d, "hot_bound", lambda n, bound=bound: bound)
+        assert sorted(tuple(r) for r in d.mix_sources(docs).collect()) == want
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", 7, "x", "y") for i in range(50)], "doc_id long, source string, _COPY int, cdf string, source_key string")
+    out = d.mix_sources(docs)
+    assert out.columns == ["doc_id", "source", "cdf", "source_key", "_n_copies", "_copy", "_mix_key"]
+    assert all((r.cdf, r.source_key) == ("x", "y") for r in out.collect())

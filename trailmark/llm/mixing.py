@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import cut, table
+from trailmark.llm.common import cut, fresh, hot_bound, join_counted, table, without
 
 SEED = "mix-1"
 #: Weights are (rows of the source) ** ALPHA unless they are given: large sources are damped, small ones lifted.
@@ -23,7 +23,7 @@ ALPHA = 0.5
 PIECE = 16.0
 #: Terms of the distribution function; beyond them the tail of a mean of PIECE is below 2**-53.
 TERMS = 96
-#: Rows of the table of rates up to which it is broadcast; beyond, it is joined by its key.
+#: Rows of the table of rates up to which it is broadcast; beyond, only the largest sources are.
 BROADCAST_SOURCES = 10_000
 
 
@@ -50,7 +50,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: DataFrame
     if not sums["w"]:
         return counts.select("source", "n_rows", F.lit(0.0).alias("rate"))
     goal = float(sums["n"] if total is None else total)
-    return counts.select("source", "n_rows", (F.lit(goal) * (F.round(F.col("weight") / F.lit(sums["w"]), 9)) / F.col("n_rows")).alias("rate"))
+    return counts.select("source", "n_rows", (F.lit(goal) * (F.col("weight") / F.lit(sums["w"])) / F.col("n_rows")).alias("rate"))
 
 
 def _distribution(rate: Column, pieces: Column) -> Column:
@@ -79,23 +79,32 @@ def mix_sources(
     The output is in order of ``_mix_key``, a hash of seed, id and copy, within
     each of its partitions, to which rows are dealt by the same hash.  The draw
     depends on the id alone: repeated rows are repeated alike, a null id is an
-    id, and texts play no part.  An empty table stays empty.
+    id, a null source a source, and texts, of any length or null, play no part.
+    An empty table stays empty.  Other columns stay, whatever their names, but
+    for ``_copy``, ``_n_copies`` and ``_mix_key``, which are replaced.
     """
+    docs = without(docs, "_copy", "_n_copies", "_mix_key")
+    source, absent, pieces, cdf = fresh(docs, "source_key", "source_null", "pieces", "cdf")
     rates = source_rates(docs, source_col, weights, total, alpha)
-    pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1))
-    rates = rates.select("source", pieces.cast("int").alias("_pieces"), _distribution(F.col("rate"), pieces).alias("_cdf"))
-    if rates.count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    rates = rates.withColumnRenamed("source", "_source")
-    joined = docs.join(rates, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_source")))
+    n_pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1))
+    rates = rates.select(F.coalesce("source", F.lit("")).alias(source), F.col("source").isNull().alias(absent), F.col("n_rows").alias("n"), n_pieces.cast("int").alias(pieces), _distribution(F.col("rate"), n_pieces).alias(cdf))
+    own = F.col(f"`{source_col}`").cast("string")
+    rows = docs.select("*", F.coalesce(own, F.lit("")).alias(source), own.isNull().alias(absent))
+    sums = rates.agg(F.count("*").alias("sources"), F.sum("n").alias("n")).first()
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    if sums["sources"] <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(rates.drop("n")), [source, absent])
+    else:  # the largest sources are looked up all the same, and their rows are not dealt by the source
+        packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        found = join_counted(rows.select(packed, source, absent), rates, [source, absent], hot_bound(sums["n"]), F.sha1(F.monotonically_increasing_id().cast("string")), F.lit(False))
+        joined = found.select("row.*", source, absent, pieces, cdf)
 
     def drawn(k: Column) -> Column:
         u = uniform(F.lit(seed), name, k.cast("string"))
-        return F.size(F.filter("_cdf", lambda c: c < u))
+        return F.size(F.filter(cdf, lambda c: c < u))
 
-    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_pieces")), drawn), F.lit(0), lambda a, n: a + n)
-    out = joined.withColumn("_n_copies", copies).drop("_source", "_pieces", "_cdf").where("_n_copies > 0")
+    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(pieces)), drawn), F.lit(0), lambda a, n: a + n)
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("_n_copies")).where("_n_copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), name, F.col("_copy").cast("string")).cast("binary"))
     return out.withColumn("_mix_key", key).repartition("_mix_key").sortWithinPartitions("_mix_key")
@@ -110,7 +119,7 @@ OP7_SQL = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n_rows, pow(CAST(count(*) AS DOUBLE), {ALPHA}) AS weight FROM documents GROUP BY source),
 rates AS (
   SELECT source, CAST(greatest(ceil(rate / {PIECE}), 1) AS INT) AS pieces, rate / greatest(ceil(rate / {PIECE}), 1) AS mean
-  FROM (SELECT source, (SELECT CAST(sum(n_rows) AS DOUBLE) FROM counts) * round(weight / (SELECT sum(weight) FROM counts), 9) / n_rows AS rate FROM counts)),
+  FROM (SELECT source, (SELECT CAST(sum(n_rows) AS DOUBLE) FROM counts) * (weight / (SELECT sum(weight) FROM counts)) / n_rows AS rate FROM counts)),
 cdf AS (
   SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM rates
   UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < {TERMS - 1}),
