@@ -19,7 +19,7 @@ def test_text_alone_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
     model = d.fit_text_model(docs.where(half == 0))
-    rows = d.identify_languages(docs.where((half == 1) & (F.length("text") > 40)), model, F.col("text")).select("lang", "_lang").collect()
+    rows = d.identify_languages(docs.where((half == 1) & (F.length("text") > 40)), model, "text").select("lang", "_lang").collect()
     assert sum(r.lang == r._lang for r in rows) / len(rows) > 0.97
     assert d.keep_identified(docs, model).count() == docs.count()
 
@@ -29,7 +29,7 @@ def test_evidence_decides_short_texts(spark):
     model = d.fit_text_model(docs)
     rows = [(i, "der hund und die katze", "a.example.org", None) for i in range(20)] + [(100, "ha", "a.example.org", None), (101, "ha", "b.site.test", "en"), (102, "", "x.site.de", "de"), (103, None, "a.example.org", None), (104, "42 ...", None, None), (105, "", None, "xx")]
     pages = spark.createDataFrame(rows, "n long, text string, host string, declared string")
-    got = {r.n: r for r in d.identify_languages(pages, model, F.col("text"), F.col("host"), F.col("declared")).collect()}
+    got = {r.n: r for r in d.identify_languages(pages, model, "text", F.col("host"), F.col("declared")).collect()}
     assert got[0]._lang == got[100]._lang == got[102]._lang == "de" and got[101]._lang == "en"
     assert got[103]._lang == got[104]._lang == "und" and got[104].declared is None
     assert all(0 < r._posterior <= 1 for r in got.values())
@@ -57,7 +57,7 @@ def test_posterior_matches_brute_force(spark):
             said[p[2] if p[2] in model.languages else "other"] = [a + b for a, b in zip(said[p[2] if p[2] in model.languages else "other"], s)]
     columns = [sum(v[k] for v in said.values()) for k in range(2)]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "i long, text string, host string, declared string")
-    got = {r.i: r for r in d.identify_languages(rows, model, F.col("text"), F.col("host"), F.col("declared")).collect()}
+    got = {r.i: r for r in d.identify_languages(rows, model, "text", F.col("host"), F.col("declared")).collect()}
     for i, p in enumerate(pages):
         suffix, domain = p[1].split(".")[-1], ".".join(p[1].split(".")[-2:])
         q = mix(*total(lambda x: x[1].endswith("." + suffix)), share)
@@ -74,7 +74,7 @@ def test_empty_tables(spark):
     model = d.fit_text_model(docs)
     assert d.keep_identified(docs, model).count() == 0
     some = spark.createDataFrame([(1, "x", "en", "s")], docs.schema)
-    assert [r._lang for r in d.identify_languages(some, model, F.col("text")).collect()] == ["und"]
+    assert [r._lang for r in d.identify_languages(some, model, "text").collect()] == ["und"]
     assert d.keep_identified(docs, d.fit_text_model(some)).count() == 0
 
 
@@ -88,7 +88,23 @@ def test_kept_by_posterior(spark):
     kept = {r.doc_id: r.lang for r in d.keep_identified(docs, model, lang_col="lang").collect()}
     # 103 may be of any of three languages: its posterior is below a half
     assert kept == {i: ("en", "de", "fr")[i % 3] for i in range(90)} | {104: "en", 105: "de", 106: "fi"}
-    judged = {r.doc_id: r for r in d.identify_languages(docs, model, F.col("text"), F.col("source"), F.col("lang")).collect()}
+    judged = {r.doc_id: r for r in d.identify_languages(docs, model, "text", F.col("source"), F.col("lang")).collect()}
     assert judged[103]._posterior < d.LEAST_POSTERIOR and judged[103]._lang == "und"
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert d.keep_identified(bare, d.fit_text_model(bare), lang_col="lang").count() == docs.count()
+
+
+def test_many_languages_and_hosts(spark, monkeypatch):
+    say = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}q" for c in "abcdefgh")
+    docs = spark.createDataFrame([(i, say(i % 70), f"l{i % 70:02d}") for i in range(700)], "doc_id long, text string, lang string")
+    model = d.fit_text_model(docs)
+    assert len(model.languages) == 70
+    rows = spark.createDataFrame([(i, say(i % 70), "big" if i % 3 else f"h{i}", 7, "r") for i in range(300)] + [(900, "", None, 7, "r")], "i long, text string, host string, `_POSTERIOR` int, `row` string")
+    run = lambda: sorted(tuple(r) for r in d.identify_languages(rows, model, "text", F.col("host")).collect())
+    want = run()
+    assert all(r[4] == f"l{r[0] % 70:02d}" for r in want[:300]) and want[300][4] == "und" and all(r[3] == "r" for r in want)
+    monkeypatch.setattr(d, "BROADCAST_HOSTS", 5)
+    for bound in (1000, 20):  # hosts joined by key, and the large one looked up
+        monkeypatch.setattr(d, "hot_bound", lambda n, bound=bound: bound)
+        got = run()
+        assert [r[:5] for r in got] == [r[:5] for r in want] and all(abs(a[5] - b[5]) < 1e-9 for a, b in zip(got, want))

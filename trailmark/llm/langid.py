@@ -24,12 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.bytewords import IS_BLANK, LOWER, blocks, mix
-from trailmark.llm.common import cut, table
+from trailmark.llm.common import cut, fresh, hot_bound, join_counted, table, without
 
 #: Labelled texts of each language that fitting reads, on average; chosen by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1500
-#: Languages that are told apart at most: the most frequent labels.
-MAX_LANGUAGES = 64
 BUCKETS = 1 << 16
 #: Trigrams that count as one independent observation.
 TEMPER = 4.0
@@ -80,33 +78,28 @@ class TextModel:
         return out / TEMPER, np.bincount(doc, minlength=n)
 
 
-def fit_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> TextModel:
-    """A model from about ``sample_per_language`` rows of each of the most frequent labels; null labels take no part.
+def fit_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> TextModel:
+    """A model from about ``sample_per_language`` rows of each label; null labels take no part.
 
-    Trigrams are counted by the tasks, one table of fixed size each, and summed by language.
+    Trigrams are counted by the tasks and summed by language; the model has
+    256 KB for each language.
     """
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("key")).where("lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return TextModel([], np.zeros((BUCKETS, 0)))
     # the rows whose hash is low enough: sample_per_language of each label, give or take what chance does
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_per_language / n)))])
-    sample = rows.where(F.pmod("key", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    share = labelled.sparkSession.createDataFrame([(lang, min(1.0, sample_per_language / n)) for lang, n in counts.items()], "lang string, share double")
+    sample = rows.join(F.broadcast(share), "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names, code = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
             for i, _, data, off in blocks(batch.column(1)):
                 doc, bucket = _trigrams(data, off)
-                for d in range(len(off) - 1):
-                    own = bucket[np.searchsorted(doc, d) : np.searchsorted(doc, d + 1)]
-                    total = seen.setdefault(names[i + d], np.zeros(BUCKETS, np.int64))
-                    np.add.at(total, own, 1)
-        for lang, total in seen.items():
-            at = np.flatnonzero(total)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
+                key, n = np.unique(code[i + doc] * BUCKETS + bucket, return_counts=True)
+                yield pa.record_batch([pa.array(names[key // BUCKETS], pa.string()), pa.array(key % BUCKETS), pa.array(n)], names=["lang", "bucket", "n"])
 
     # at most languages * BUCKETS rows
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -135,48 +128,123 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def _likelihoods(docs: DataFrame, model: TextModel, text: Column, host: Column, declared: Column, keep: bool = True) -> DataFrame:
-    """(_host, _declared, _ll, _n, _solid) of every row, besides the columns of ``docs`` if they are to be kept."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.schema.fields if keep else []
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in fields], text.alias("_text"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(declared, F.lit("")).alias("_declared"))
-    at = len(fields)
+def _posterior(logs: np.ndarray) -> np.ndarray:
+    """Rows of log-weights as shares."""
+    weights = np.exp(logs - logs.max(axis=1, keepdims=True)) if logs.size else logs
+    return weights / weights.sum(axis=1, keepdims=True) if logs.size else logs
+
+
+def _evidence(rows: DataFrame, model: TextModel) -> DataFrame:
+    """(host, said, n, rows, s0, s1, ...) of (host, said, text): rows, those with letters, and the sums of what their texts say."""
+    shipped, size = rows.sparkSession.sparkContext.broadcast(model), len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
         for batch in batches:
-            values, counts, solid = [np.zeros((0, len(own.languages)))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, _, data, off in blocks(batch.column(at)):
-                ll, n = own.likelihoods(data, off)
-                values.append(ll)
-                counts.append(n)
-                seen = np.concatenate([[0], np.cumsum(~IS_BLANK[data])])
-                solid.append(seen[off[1:]] - seen[off[:-1]])
-            ll = np.concatenate(values)
-            size = ll.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(ll) + 1) * size).astype(np.int32)), pa.array(ll.ravel()))
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.record_batch([*columns, lists, pa.array(np.concatenate(counts)), pa.array(np.concatenate(solid))], names=[*(n for i, n in enumerate(batch.schema.names) if i != at), "_ll", "_n", "_solid"])
-
-    schema = T.StructType([*fields, T.StructField("_host", T.StringType()), T.StructField("_declared", T.StringType()), T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType()), T.StructField("_solid", T.LongType())])
-    return rows.mapInArrow(run, schema)
+            if not batch.num_rows:
+                continue
+            hosts, said = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names: dict[tuple[str, str | None], int] = {}
+            at = np.array([names.setdefault(x, len(names)) for x in zip(hosts, said, strict=True)])
+            sums, n = np.zeros((len(names), size)), np.zeros(len(names), np.int64)
+            for i, j, data, off in blocks(batch.column(2)):
+                ll, count = shipped.value.likelihoods(data, off)
+                own = count > 0
+                np.add.at(sums, at[i:j][own], _posterior(ll[own]))
+                np.add.at(n, at[i:j][own], 1)
+            keys = [pa.array([k[c] for k in names], pa.string()) for c in (0, 1)]
+            yield pa.record_batch([*keys, pa.array(n), pa.array(np.bincount(at)), *(pa.array(sums[:, k]) for k in range(size))], names=["host", "said", "n", "rows", *(f"s{k}" for k in range(size))])
+
+    return rows.mapInArrow(run, ", ".join(["host string, said string, n long, rows long", *(f"s{k} double" for k in range(size))]))
+
+
+def _decide(docs: DataFrame, model: TextModel, text_col: str, host: Column | None, declared: Column | None, smooth: float, least_posterior: float, by_text: bool) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with three columns more, whose names follow: the language, its posterior, and whether the text has letters."""
+    languages = model.languages
+    names = range(len(languages))
+    none = F.lit(None).cast("string")
+    host = F.coalesce(none if host is None else host.cast("string"), F.lit(""))
+    declared = none if declared is None else declared.cast("string")
+    # 'other' stands for all declared languages that are not told apart, so that their table is small
+    said = F.when(declared.isin(languages), declared).when(declared != "", F.lit("other"))
+    text = F.col(f"`{text_col}`").cast("string")
+    # what the text says of those rows that have one, by host and declaration; texts are read again for the decision
+    add = [F.sum(c).alias(c) for c in ("n", "rows", *(f"s{k}" for k in names))]
+    evidence = cut(_evidence(docs.select(host.alias("host"), said.alias("said"), text.alias("text")), model).groupBy("host", "said").agg(*add))
 
+    parts = F.split("host", r"\.")
+    domain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.size(parts) - 1, F.lit(2)), ".")).otherwise(F.col("host"))
+    hosts = evidence.groupBy("host").agg(*add).withColumns({"domain": domain, "suffix": F.element_at(parts, -1)})
+    sums = evidence.groupBy("said").agg(F.count("*").alias("hosts"), *add).collect()  # a row for each language, 'other' and none
+    seen = float(sum(r["n"] for r in sums))
+    share = np.array([(sum(r[f"s{k}"] for r in sums) + 1.0) / (seen + len(languages)) for k in names])
 
-def _normalised(logs: Column) -> Column:
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+    speaks = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
+    own = speaks[F.col("suffix")]
+    base = lambda k: F.when(own == languages[k], F.lit(1.0)).when(own.isin(languages), F.lit(0.0)).otherwise(F.lit(float(share[k])))
+    level = lambda k, above: (F.col(f"s{k}") + smooth * above) / (F.col("n") + smooth)
+    up = lambda key: hosts.groupBy(key).agg(*add)
+    suffixes = up("suffix").select("suffix", *[level(k, 0.9 * base(k) + 0.1 * F.lit(float(share[k]))).alias(f"q{k}") for k in names])
+    domains = up("domain").withColumn("suffix", F.element_at(F.split("domain", r"\."), -1)).join(suffixes, "suffix")
+    domains = domains.select("domain", *[level(k, F.col(f"q{k}")).alias(f"q{k}") for k in names])
+    priors = hosts.join(domains, "domain").select("host", F.col("rows").alias("n"), F.col("n").alias("seen"), F.array(*[F.col(f"s{k}") for k in names]).alias("s"), F.array(*[F.col(f"q{k}") for k in names]).alias("q"))
 
+    # P(declared | language)
+    markup = np.full((len(languages) + 1, len(languages)), AGREE_ROWS * (1 - AGREE) / len(languages))
+    markup[np.arange(len(languages)), np.arange(len(languages))] = AGREE_ROWS * AGREE
+    place = {x: i for i, x in enumerate([*languages, "other"])}
+    for r in sums:
+        if r["said"] is not None:
+            markup[place[r["said"]]] += [r[f"s{k}"] for k in names]
+    markup = np.log(markup / markup.sum(axis=0))
+
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    lang, posterior, letters = fresh(docs, "lang_found", "posterior_found", "letters_found")
+    rows = docs.select(packed, host.alias("host"), said.alias("said"))
+    if sum(r["hosts"] for r in sums) <= BROADCAST_HOSTS:
+        rows = rows.join(F.broadcast(priors), "host", "left")
+    else:
+        rows = join_counted(rows, cut(priors), "host", hot_bound(sum(r["rows"] for r in sums)), F.monotonically_increasing_id().cast("string"), keep=True)
+    rows = rows.select(*[F.col(f"row.`{c}`") for c in docs.columns], *[F.col(c).alias(f"evidence_{c}") for c in ("host", "said", "seen", "s", "q")])
+    if docs.schema[text_col].dataType != T.StringType():
+        rows = rows.withColumn(text_col, text)
+    fields = rows.schema.fields[: len(docs.columns)]
+    shipped = docs.sparkSession.sparkContext.broadcast((model, markup, share))
+    at, n_fields = docs.columns.index(text_col), len(fields)
 
-def _sums(names: range, col: str) -> list[Column]:
-    return [F.sum(F.get(col, F.lit(k))).alias(f"s{k}") for k in names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, markup, share = shipped.value
+        size = len(languages)
+        table_of = lambda c: np.array([x if x is not None else [0.0] * size for x in c.to_pylist()], float).reshape(-1, size)
+        for batch in batches:
+            hosts, said, seen, s, q = batch.columns[n_fields:]
+            parts = [(np.zeros((0, size)), np.zeros(0, int), np.zeros(0, int))]
+            for _, _, data, off in blocks(batch.column(at)):
+                filled = np.concatenate([[0], np.cumsum(~IS_BLANK[data])])
+                parts.append((*model.likelihoods(data, off), filled[off[1:]] - filled[off[:-1]]))
+            ll, n, solid = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mine = np.where((n > 0)[:, None], _posterior(ll), 0.0)
+            rest = seen.fill_null(0).to_numpy(zero_copy_only=False) - (n > 0)
+            prior = np.log((np.maximum(table_of(s) - mine, 0) + smooth * table_of(q)) / (rest + smooth)[:, None] + 1e-300)
+            known = np.array([h != "" for h in hosts.to_pylist()], bool) & ~np.array(seen.is_null())
+            prior = np.where(known[:, None], prior, np.log(share))
+            code = np.array([place.get(x, -1) for x in said.to_pylist()], int)
+            p = _posterior(ll + prior + np.where((code >= 0)[:, None], markup[code], 0.0))
+            best = p.max(axis=1) if size else np.zeros(len(n))
+            clear = (best >= least_posterior) & ((n > 0) | (code >= 0))
+            if by_text:
+                clear &= (n > 0) & (n >= LEAST_LETTERS * solid)
+                clear &= ll.max(axis=1) >= n * float(-np.log(BUCKETS) / TEMPER) + float(np.log(UNKNOWN_ODDS))
+            found = np.where(clear, np.array([*languages], object)[p.argmax(axis=1)], UNDECIDED) if len(n) else np.zeros(0, object)
+            yield pa.record_batch([*batch.columns[:n_fields], pa.array(found, pa.string()), pa.array(best), pa.array(n > 0)], names=[*batch.schema.names[:n_fields], lang, posterior, letters])
+
+    schema = T.StructType([*fields, T.StructField(lang, T.StringType()), T.StructField(posterior, T.DoubleType()), T.StructField(letters, T.BooleanType())])
+    return rows.mapInArrow(run, schema), lang, posterior, letters
 
 
 def identify_languages(
     docs: DataFrame,
     model: TextModel,
-    text: Column,
+    text_col: str = "text",
     host: Column | None = None,
     declared: Column | None = None,
     smooth: float = SMOOTH,
@@ -187,73 +255,21 @@ def identify_languages(
 
     A text without a letter, null and empty ones too, has no likelihood
     of its own and gets what markup and host say; without a declaration, or if
-    no language has ``least_posterior``, it is ``und``.  A null host has no prior
-    but that of the corpus, a null declaration says nothing.  A table without
-    rows stays empty; without labelled texts to fit every row is ``und``.
+    no language has ``least_posterior``, it is ``und``; of equal ones the first
+    by name counts.  A null host has no prior but that of the corpus, a null
+    declaration says nothing.  Texts may have any length, repeated rows are
+    treated alike.  A table without rows stays empty; without labelled texts to
+    fit every row is ``und``.  Other columns stay, whatever their names, but for
+    the two added, which are replaced.
     ``by_text`` asks that the text itself speaks for a language, whatever markup
     and host say: it has letters, in a share of LEAST_LETTERS, and no language
     that the model does not know is likelier, at UNKNOWN_ODDS.
     """
-    languages = model.languages
-    if not languages:
+    docs = without(docs, "_lang", "_posterior")
+    if not model.languages:
         return docs.select("*", F.lit(UNDECIDED).alias("_lang"), F.lit(0.0).alias("_posterior"))
-    names = range(len(languages))
-    none = F.lit(None).cast("string")
-    body = F.coalesce(text.cast("string"), F.lit(""))
-    host, declared = none if host is None else host, none if declared is None else declared
-    # 'other' stands for all declared languages that are not told apart, so that their table is small
-    known = F.when(F.col("_declared").isin(languages), F.col("_declared")).when(F.col("_declared") != "", F.lit("other"))
-    # what the text says of those rows that have one, by host and declaration; texts are read again for the decision
-    bare = _likelihoods(docs.select(body.alias("_b"), host.alias("_h"), declared.alias("_d")), model, F.col("_b"), F.col("_h"), F.col("_d"), keep=False)
-    evidence = cut(bare.where("_n > 0").select("_host", known.alias("_said"), _normalised(F.col("_ll")).alias("_p")).groupBy("_host", "_said").agg(F.count("*").alias("n"), *_sums(names, "_p")))
-    add = [F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in names]]
-
-    parts = F.split("_host", r"\.")
-    domain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.size(parts) - 1, F.lit(2)), ".")).otherwise(F.col("_host"))
-    hosts = cut(evidence.groupBy("_host").agg(*add).withColumns({"_domain": domain, "_suffix": F.element_at(parts, -1)}))
-    up = lambda key: hosts.groupBy(key).agg(*add)
-    everything = hosts.agg(*add).first()
-    seen = float(everything["n"] or 0)
-    share = [((everything[f"s{k}"] or 0.0) + 1.0) / (seen + len(languages)) for k in names]
-
-    speaks = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
-    own = speaks[F.col("_suffix")]
-    base = lambda k: F.when(own == languages[k], F.lit(1.0)).when(own.isin(languages), F.lit(0.0)).otherwise(F.lit(share[k]))
-    level = lambda k, above: (F.col(f"s{k}") + smooth * above) / (F.col("n") + smooth)
-    suffixes = up("_suffix").select("_suffix", *[level(k, 0.9 * base(k) + 0.1 * F.lit(share[k])).alias(f"q{k}") for k in names])
-    domains = up("_domain").withColumn("_suffix", F.element_at(F.split("_domain", r"\."), -1)).join(suffixes, "_suffix")
-    domains = domains.select("_domain", *[level(k, F.col(f"q{k}")).alias(f"q{k}") for k in names])
-    priors = hosts.join(domains, "_domain").select("_host", F.col("n").alias("_rows"), F.array(*[F.col(f"s{k}") for k in names]).alias("_s"), F.array(*[F.col(f"q{k}") for k in names]).alias("_q"))
-
-    # P(declared | language)
-    said = evidence.where("_said IS NOT NULL").groupBy(F.col("_said").alias("d")).agg(*add).collect()
-    table_of = np.full((len(languages) + 1, len(languages)), AGREE_ROWS * (1 - AGREE) / len(languages))
-    for k in names:
-        table_of[k, k] = AGREE_ROWS * AGREE
-    place = {x: i for i, x in enumerate([*languages, "other"])}
-    for r in said:
-        table_of[place[r["d"]]] += [r[f"s{k}"] for k in names]
-    table_of = np.log(table_of / table_of.sum(axis=0))
-    markup = F.create_map(*[x for d, i in place.items() for x in (F.lit(d), F.array(*[F.lit(float(v)) for v in table_of[i]]))])
-    markup = F.when(F.col("_declared") != "", markup[known]).otherwise(F.array_repeat(F.lit(0.0), len(languages)))
-
-    priors = cut(priors)
-    if priors.count() <= BROADCAST_HOSTS:
-        priors = F.broadcast(priors)
-    joined = _likelihoods(docs, model, body, host, declared).join(priors, "_host", "left")
-    mine = F.when(F.col("_n") > 0, _normalised(F.col("_ll"))).otherwise(F.array_repeat(F.lit(0.0), len(languages)))
-    rest = F.col("_rows") - (F.col("_n") > 0).cast("int")
-    prior = F.transform(F.arrays_zip(F.col("_s").alias("s"), F.col("_q").alias("q"), mine.alias("m")), lambda x: F.log((F.greatest(x["s"] - x["m"], F.lit(0.0)) + smooth * x["q"]) / (rest + smooth)))
-    prior = F.when((F.col("_host") != "") & F.col("_s").isNotNull(), prior).otherwise(F.array(*[F.lit(float(np.log(x))) for x in share]))
-    logs = F.transform(F.arrays_zip(F.col("_ll").alias("a"), F.col("_prior").alias("b"), F.col("_markup").alias("c")), lambda x: x["a"] + x["b"] + x["c"])
-    out = joined.withColumns({"_prior": prior, "_markup": markup}).withColumn("_p", _normalised(logs))
-    best = F.array_max("_p")
-    lang = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_p", best).cast("int"))
-    clear = (best >= least_posterior) & ((F.col("_n") > 0) | (F.col("_declared") != ""))
-    if by_text:
-        clear &= (F.col("_n") > 0) & (F.col("_n") >= LEAST_LETTERS * F.col("_solid"))
-        clear &= F.array_max("_ll") >= F.col("_n") * float(-np.log(BUCKETS) / TEMPER) + float(np.log(UNKNOWN_ODDS))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(clear, lang).otherwise(F.lit(UNDECIDED)).alias("_lang"), best.alias("_posterior"))
+    found, lang, posterior, _ = _decide(docs, model, text_col, host, declared, smooth, least_posterior, by_text)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(lang).alias("_lang"), F.col(posterior).alias("_posterior"))
 
 
 def keep_identified(docs: DataFrame, model: TextModel, text_col: str = "text", host_col: str = "source", languages: tuple[str, ...] | None = None, lang_col: str | None = None) -> DataFrame:
@@ -262,24 +278,25 @@ def keep_identified(docs: DataFrame, model: TextModel, text_col: str = "text", h
     ``lang_col`` counts as the declaration of a row, and what is found is written
     there; other columns are as they were.  A label that the model does not know
     cannot be judged: such rows stay as they are if they have letters.  Without a
-    model nothing can be judged, and all rows stay.
+    model nothing can be judged, and all rows stay.  Null and empty texts go.
     """
     if not model.languages:
         return docs
-    none = F.lit(None).cast("string")
-    label = none if lang_col is None else F.col(f"`{lang_col}`")
-    judged = identify_languages(docs, model, F.col(f"`{text_col}`"), F.col(f"`{host_col}`").cast("string"), label, by_text=True)
+    label = None if lang_col is None else F.col(f"`{lang_col}`")
+    judged, lang, _, letters = _decide(docs, model, text_col, F.col(f"`{host_col}`"), label, SMOOTH, LEAST_POSTERIOR, True)
+    found = F.col(lang)
     if lang_col is not None:
-        beyond = (label != "") & ~label.isin(model.languages) & F.col(f"`{text_col}`").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")
-        judged = judged.withColumn("_lang", F.when(F.coalesce(beyond, F.lit(False)), label).otherwise(F.col("_lang")))
-    judged = judged.where(F.col("_lang") != UNDECIDED)
+        beyond = F.coalesce((label != "") & ~label.isin(model.languages) & F.col(letters), F.lit(False))
+        found = F.when(beyond, label).otherwise(found)
+    judged = judged.where(found != UNDECIDED)
     if languages is not None:
-        judged = judged.where(F.col("_lang").isin(list(languages)))
-    return judged.select(*[F.col("_lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+        judged = judged.where(found.isin(list(languages)))
+    return judged.select(*[found.alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_text_model(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     pages = table(spark, sf_dir, "pages")
-    found = identify_languages(pages.select("page_id", host_of(F.col("url")).alias("host"), declared_language(F.col("html")).alias("declared"), html_text(F.col("html")).alias("body")), model, F.col("body"), F.col("host"), F.col("declared"))
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), declared_language(F.col("html")).alias("declared"), html_text(F.col("html")).alias("body"))
+    found = identify_languages(rows, model, "body", F.col("host"), F.col("declared"))
     return found.select("page_id", "host", "declared", F.col("_lang").alias("lang"), F.round("_posterior", 6).alias("posterior"))
