@@ -3,11 +3,12 @@ from collections import Counter
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+import test_decontaminate
 import test_linededup
 import test_neardup
 
 import corpus_pipeline as p
-from trailmark.llm import decontaminate, mixing
+from trailmark.llm import mixing
 
 SENTENCES = "the quick river runs over old stones while bright birds sing in tall green trees and small boats drift slowly toward the wide open sea under pale morning light".split()
 
@@ -28,13 +29,14 @@ def corpus():
         if i % 15 == 7:
             text += "\n" + items[i % 3][1][: 20 + len(items[i % 3][1]) // 2]
         rows.append((i, text))
-    rows += [(120, None), (121, ""), (122, "12 34 ###"), (123, rows[0][1]), (124, "ok")]
+    rows += [(120, None), (121, ""), (122, "12 34 ###"), (123, rows[0][1]), (124, "the ok")]
+    rows += [(125, "Это просто текст на другом языке, которого модель не знает"), (126, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 a")]
     return rows, items
 
 
 def test_stages_match_brute_force(spark, tmp_path):
     rows, items = corpus()
-    data = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in rows]
+    data = [(i, t, "en" if i != 125 else None, f"s{i % 3}", len(t or "")) for i, t in rows]
     spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, want = spark.read.parquet(str(tmp_path / "documents.parquet")), rows
@@ -44,14 +46,15 @@ def test_stages_match_brute_force(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.columns == p.COLUMNS
         if name == "language_id":
-            want = [(i, t) for i, t in want if t and any(c.isalpha() for c in t)]
+            # 122 has no letters, 125 no known language, and 126 hardly a letter
+            want = [(i, t) for i, t in want if t and i not in (122, 125, 126)]
         elif name == "line_dedup":
             want = [(i, t) for i, _, _, t in test_linededup.brute_force(want, 10, 1, "none")]
         elif name == "near_dedup":
             classes = test_neardup.brute_force([(i, t.lower()) for i, t in want])
             want = [(i, t) for i, t in want if classes[i] == i]
         else:
-            hits = decontaminate.brute_force([t for _, t in want], [(str(i), t) for i, t in items])
+            hits = test_decontaminate.brute_force([t for _, t in want], [(str(i), t) for i, t in items])
             want = [x for x, h in zip(want, hits) if not h[1]]
         got = docs.collect()
         assert sorted((r.doc_id, r.text) for r in got) == sorted(want), name
