@@ -17,23 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.bytewords import _BASE, SpanHash, Words, blocks, mix
-from trailmark.llm.common import table
+from trailmark.llm.common import table, without
 
 #: Lengths of n-grams in bytes; word edges count as a byte.
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 4
-#: Labelled rows of label 1 and of label 0 that training reads at most; chosen by a hash of the id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+#: Labelled rows of label 1 and of label 0 that training reads at most, chosen by a hash of the id, and the bytes of their texts.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2500, 5000, 1 << 26
 #: Buckets in fewer training texts have no weight.
 MIN_TEXTS = 3
 #: Minibatches of training, in as many passes over the sample as they take.
-BATCHES = 1400
+BATCHES = 2000
 BATCH = 64
 RATE = 0.3
 DECAY = 1e-4
@@ -102,7 +102,26 @@ def _bag(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key // BUCKETS, key % BUCKETS, np.bincount(place, weights=np.repeat(share, n))
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) -> Model:
+def gradients(vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray, own: np.ndarray, col: np.ndarray, x: np.ndarray, truth: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Loss and its gradients by vectors, softmax and bias of a batch of texts.
+
+    Entry k counts the vector of bucket ``col[k]`` with ``x[k]`` in text ``own[k]``;
+    ``truth`` has the weight of each text at its label and zero elsewhere.
+    """
+    n, dim = len(truth), vectors.shape[1]
+    doc_vec = np.stack([np.bincount(own, weights=vectors[col, k] * x, minlength=n) for k in range(dim)], axis=1).astype(np.float32)
+    logit = doc_vec @ soft + bias
+    logit -= logit.max(1, keepdims=True)
+    p = np.exp(logit)
+    total = p.sum(1, keepdims=True)
+    loss = float((truth * (np.log(total) - logit)).sum() / n)
+    error = (p / total * truth.sum(1, keepdims=True) - truth) / n
+    d_doc = error @ soft.T
+    d_vec = np.stack([np.bincount(col, weights=d_doc[own, k] * x, minlength=len(vectors)) for k in range(dim)], axis=1).astype(np.float32)
+    return loss, d_vec, doc_vec.T @ error, error.sum(0)
+
+
+def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 0) -> Model:
     """Joint training of vectors and softmax by minibatches of Adagrad.
 
     ``prior`` is the share of label 1 among all labelled rows.  Both labels
@@ -110,30 +129,30 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
     from even odds to that share, as misses cost about as much as false alarms.
     """
     n = len(texts)
+    share = np.clip(prior, 1e-3, 1 - 1e-3)
     if n == 0 or labels.min() == labels.max():
-        share = np.clip(prior, 1e-3, 1 - 1e-3)
         return Model(np.zeros(BUCKETS), np.log(share / (1 - share)))
     # the bags of all texts in compact arrays: bucket and weight, text after text
     sizes, buckets, values = [], [], []
-    for i, j, data, off in blocks(pa.array(texts, pa.string())):
+    for i, j, data, off in blocks(texts):
         d, b, x = _bag(data, off)
         sizes.append(np.bincount(d, minlength=j - i))
         buckets.append(b.astype(np.int32))
         values.append((SCALE * x).astype(np.float32))
     begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    bucket = np.concatenate(buckets)
-    del buckets
-    value = np.concatenate(values)
-    del values
+    bucket, value = np.concatenate(buckets), np.concatenate(values)
+    del buckets, values
     # buckets of very few texts only would be learned by heart
-    value[np.bincount(bucket, minlength=BUCKETS)[bucket] < MIN_TEXTS] = 0
+    keep = np.bincount(bucket, minlength=BUCKETS)[bucket] >= MIN_TEXTS
+    begin = np.concatenate([[0], np.cumsum(keep)])[begin]
+    named, bucket = np.unique(bucket[keep], return_inverse=True)
+    value = value[keep]
     rng = np.random.default_rng(seed)
-    vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
+    vectors = (rng.standard_normal((len(named), DIM)) * 0.01).astype(np.float32)
     soft = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    one_hot = np.eye(2, dtype=np.float32)[labels]
     # both labels weigh alike, however many rows they have
-    weight = (0.5 / np.bincount(labels, minlength=2).clip(1))[labels].astype(np.float32) * n
+    truth = np.eye(2, dtype=np.float32)[labels] * (0.5 / np.bincount(labels, minlength=2).clip(1)).astype(np.float32) * n
     squares = [np.full_like(x, 1e-6) for x in (vectors, soft, bias)]
     epochs = -(-BATCHES * BATCH // n)
     for epoch in range(epochs):
@@ -143,20 +162,13 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
             docs = order[i : i + BATCH]
             size = begin[docs + 1] - begin[docs]
             at = np.repeat(begin[docs] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            own, col, x = np.repeat(np.arange(len(docs)), size), bucket[at], value[at]
-            taken = vectors[col] * x[:, None]
-            doc_vec = np.stack([np.bincount(own, weights=taken[:, k], minlength=len(docs)) for k in range(DIM)], axis=1).astype(np.float32)
-            logit = doc_vec @ soft + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            error = (p - one_hot[docs]) * weight[docs, None] / len(docs)
-            d_doc = error @ soft.T
-            d_vec = np.stack([np.bincount(col, weights=d_doc[own, k] * x, minlength=BUCKETS) for k in range(DIM)], axis=1).astype(np.float32) + DECAY * vectors
-            for v, s, g in zip((vectors, soft, bias), squares, (d_vec, doc_vec.T @ error + DECAY * soft, error.sum(0)), strict=True):
+            _, d_vec, d_soft, d_bias = gradients(vectors, soft, bias, np.repeat(np.arange(len(docs)), size), bucket[at], value[at], truth[docs])
+            for v, s, g in zip((vectors, soft, bias), squares, (d_vec + DECAY * vectors, d_soft + DECAY * soft, d_bias), strict=True):
                 s += g * g
                 v -= rate * g / np.sqrt(s)
-    share = np.clip(prior, 1e-3, 1 - 1e-3)
-    return Model(vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]) + 0.5 * np.log(share / (1 - share)))
+    weight = np.zeros(BUCKETS, np.float32)
+    weight[named] = vectors @ (soft[:, 1] - soft[:, 0])
+    return Model(weight, float(bias[1] - bias[0]) + 0.5 * np.log(share / (1 - share)))
 
 
 def fold(doc_id) -> F.Column:
@@ -164,24 +176,41 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
-    """A model from at most ``sample_toxic`` and ``sample_clean`` rows of each label, outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``sample_toxic`` and ``sample_clean`` rows of each label, and ``sample_bytes`` of text, outside the held-out fold.
 
     Rows with a null id or label take no part; of contradicting labels of an id
-    the greater counts.
+    the greater counts.  Without labels, or with one kind only, the score is the
+    share of label 1.  The sample goes to one task, where the model is trained;
+    the driver gets one number for each bucket.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    counts = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # two lists of bounded length, which are small enough to broadcast
-    chosen = known.where("_toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_toxic).unionByName(known.where("_toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_clean))
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("toxic = 1").orderBy(*by_hash).limit(sample_toxic).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(sample_clean))
     # a sample in order of another hash, so that repeated rows of an id can't make it longer
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_toxic + sample_clean).collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, F.xxhash64("text")).limit(sample_toxic + sample_clean)
+    sofar = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy(F.lit(0)).orderBy(*by_hash, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("bytes", sofar).where(F.col("bytes") <= sample_bytes).select(F.lit(0).alias("all"), "text", "toxic")
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([r.text or "" for r in rows], np.array([r["_toxic"] for r in rows], dtype=np.int64), prior)
+
+    def run(sample: pa.Table) -> pa.Table:
+        model = train(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy().astype(np.int64), prior)
+        return pa.table({"weight": pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([model.bias])})
+
+    made = rows.groupBy("all").applyInArrow(run, "weight binary, bias double").collect()
+    return Model(np.frombuffer(made[0].weight, "<f4"), made[0].bias) if made else train(pa.array([], pa.string()), np.zeros(0, np.int64), prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score`` (0 to 1). Null and empty texts get what the bias alone gives."""
+    """``docs`` with ``_score`` (0 to 1).
+
+    Null and empty texts get what the bias alone gives.  Texts may have any
+    length, repeated rows are scored alike, an empty table stays empty.  Other
+    columns stay, whatever their names, but for ``_score``, which is replaced.
+    """
+    docs = without(docs, "_score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
