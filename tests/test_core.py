@@ -71,7 +71,7 @@ def test_trail(spark):
 
 
 def test_cap_and_attribution(spark):
-    bank = dict(beneficiary_bank="HDFC Bank", raw_beneficiary_bank="IndusInd Bank", bank_source="IFSC", bank_flag="IFSC_TEXT_MISMATCH", ifsc_code="HDFC0001475")
+    bank = dict(beneficiary_bank="HDFC Bank", raw_beneficiary_bank="IndusInd Bank", bank_source="IFSC", bank_flag="IFSC_TEXT_MISMATCH", ifsc_code="HDFC0007077")
     rows = legs(ledger(spark, hop("V1", "M1", 100000, **bank), cash("M1", 120000, **bank), hop("V1", "W1", 30000, beneficiary_bank="Mobikwik", raw_beneficiary_bank="Mobikwik", bank_source="TEXT", bank_flag="NO_IFSC")))
     accounts = rollup(rows)
     c = money.cashout_view(rows, accounts).first()

@@ -58,9 +58,9 @@ def sheets():
         "Money Transfer to": [
             ["Complete trail"],
             TRANSFER,
-            ["A1", "V1", "SBI", 1, "0012", "IndusInd Bank", "HDFC0001475", "15/01/2024 10:00:00 AM", "1,00,000.00", "₹ 90,000", "U1", "NEFT-UPI ref"],
+            ["A1", "V1", "SBI", 1, "0012", "IndusInd Bank", "HDFC0007077", "15/01/2024 10:00:00 AM", "1,00,000.00", "₹ 90,000", "U1", "NEFT-UPI ref"],
             TRANSFER,
-            ["A1", "12", "SBI", 2, "M2", "Mobikwik", "PPIW0881822", 45306.5, 5000, 5000, "U2", None],
+            ["A1", "12", "SBI", 2, "M2", "Mobikwik", "PPIW0123456", 45306.5, 5000, 5000, "U2", None],
             [None, None, None, None, None, None, None, None, None, None, None, "no account: dropped"],
         ],
         "Withdrawal through ATM": [CASH, ["A1", "12", 2, "40000", "16/01/2024", None, "x // Terminal ID : 21258798 // Card acceptor name: SHOP ONE"]],

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +90,12 @@ WALLET_PREFIX = "PPIW"
 IFSC = "^[A-Z]{4}0[A-Z0-9]{6}$"
 #: Wallets, payment aggregators and gateways by name; the list itself is an assumption, see the README.
 WALLETS = r"(?i)\b(phone ?pe|paytm|mobikwik|cred|ease ?buzz|razor ?pay|pine ?labs|payu|cashfree|bill ?desk|amazon ?pay|google ?pay|gpay|freecharge|cc ?avenue|instamojo|jio ?money|ola ?money|airtel ?money|wallet)\b"
-GENERIC = r"\b(bank|of|india|ltd|limited|the|payments|payment|small|finance|co-?operative)\b"
+#: Words of bank names that don't tell banks apart (fixed values).
+GENERIC_WORDS = ("bank", "of", "india", "ltd", "limited", "the", "payments", "payment", "small", "finance", "cooperative", "co-operative")
+GENERIC = rf"\b({'|'.join(GENERIC_WORDS)})\b"
+#: How account numbers of wallets begin, and what stands for no account at all (fixed values).
+WALLET_ACCOUNTS = ("FPPI", "PPI", "BILLNUMBER")
+NO_ACCOUNT = ("", "—", "-", ".", "NA", "N/A", "NULL", "UNDEFINED")
 
 
 def clean_ifsc(c: Column) -> Column:
@@ -143,9 +151,9 @@ def with_bank(df: DataFrame, ifsc: str = "ifsc_code", raw: str = "raw_beneficiar
 
 def instrument_kind(account: Column, ifsc: Column, bank: Column) -> Column:
     """``wallet``, ``masked`` or ``bank``, in this precedence."""
-    a, code, name = or_empty(account), or_empty(ifsc), F.coalesce(bank, F.lit(""))
-    pseudo = (F.coalesce(F.substring(clean_ifsc(ifsc), 1, 4), F.lit("")) == WALLET_PREFIX) | F.upper(code).isin("NA", "N/A") | code.rlike(WALLETS)
-    entity = name.rlike(WALLETS) & ~name.rlike(r"(?i)\bbank\b")
-    wallet = a.contains("@") | a.rlike("(?i)^(FPPI|PPI|BILLNUMBER)") | pseudo | entity
-    hidden = a.isin("", "—", "-", ".") | a.rlike("(?i)^(N/?A|NULL|UNDEFINED)$") | a.rlike("(?i)x{2,}")
-    return F.when(wallet, "wallet").when(hidden, "masked").otherwise("bank")
+    number, code, name = F.upper(or_empty(account)), F.upper(or_empty(ifsc)), F.coalesce(bank, F.lit(""))
+    by_number = reduce(or_, [number.startswith(x) for x in WALLET_ACCOUNTS], number.contains("@"))
+    by_code = code.isin("NA", "N/A") | code.rlike(WALLETS) | (code.startswith(WALLET_PREFIX) & code.rlike(IFSC))
+    by_name = name.rlike(WALLETS) & ~F.array_contains(F.split(F.lower(name), "[^a-z0-9_]+"), "bank")
+    masked = number.isin(*NO_ACCOUNT) | number.contains("XX")
+    return F.when(by_number | by_code | by_name, "wallet").when(masked, "masked").otherwise("bank")

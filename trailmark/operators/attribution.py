@@ -52,15 +52,15 @@ def with_instrument(lien_rows: DataFrame) -> DataFrame:
     return lien_rows.withColumn("instrument", instrument_kind(F.col("account_no"), F.col("ifsc_code"), F.col("bank_name")))
 
 
-def letters(lien_rows: DataFrame, most: int = 1000) -> DataFrame:
-    """(bank_key, part, bank_name, account_count, total_amount, accounts): letters to each bank, for bank accounts only.
+def letter_accounts(lien_rows: DataFrame) -> DataFrame:
+    """(bank_key, bank_name, account_no, lien_eligible_amount): the accounts that each bank's letter lists, bank accounts only."""
+    some = with_instrument(lien_rows).where("instrument = 'bank'")
+    return some.select(F.lower(F.trim(F.coalesce("bank_name", F.lit("Unknown")))).alias("bank_key"), "bank_name", "account_no", "lien_eligible_amount")
 
-    A bank with more than ``most`` accounts gets several parts, to which accounts are dealt by a hash.
-    """
-    some = with_instrument(lien_rows).where("instrument = 'bank'").withColumn("bank_key", F.lower(F.trim(F.coalesce("bank_name", F.lit("Unknown")))))
-    parts = some.groupBy("bank_key").agg(F.ceil(F.count("*") / most).alias("_parts"))
-    dealt = some.join(parts, "bank_key").withColumn("part", F.pmod(F.xxhash64("account_no"), "_parts").cast("int"))
-    return dealt.groupBy("bank_key", "part").agg(F.min("bank_name").alias("bank_name"), F.count("*").alias("account_count"), total(F.col("lien_eligible_amount")).alias("total_amount"), F.array_sort(F.collect_list(F.struct((-F.col("lien_eligible_amount")).alias("minus_amount"), "account_no"))).alias("accounts"))
+
+def letters(lien_rows: DataFrame) -> DataFrame:
+    """(bank_key, bank_name, account_count, total_amount): one letter to each bank; :func:`letter_accounts` has its lines."""
+    return letter_accounts(lien_rows).groupBy("bank_key").agg(F.min("bank_name").alias("bank_name"), F.count("*").alias("account_count"), total(F.col("lien_eligible_amount")).alias("total_amount"))
 
 
 def letters_to_send(fresh: DataFrame, stored: DataFrame) -> DataFrame:

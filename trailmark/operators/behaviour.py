@@ -69,6 +69,24 @@ def exit_flags(rows: DataFrame) -> DataFrame:
     return rapid.unionByName(many).unionByName(shops)
 
 
+def flag_legs(rows: DataFrame) -> DataFrame:
+    """(channel, flag, subject, id, transaction_date, transaction_amount, why): the legs behind each flag of :func:`exit_flags`."""
+    seen = exits(rows).withColumn("_s", F.unix_seconds(F.col("transaction_date").cast("timestamp")))
+
+    def within(found: DataFrame, key: str, channel: str, flag: str, minutes: int) -> DataFrame:
+        first = F.unix_seconds(F.col("first").cast("timestamp"))
+        own = found.select(F.col(key).alias("subject"), first.alias("_first"), "count")
+        met = seen.where(F.col("channel") == channel).join(own, (F.col(key) == F.col("subject")) & F.col("_s").between(F.col("_first"), F.col("_first") + minutes * 60))
+        return met.select(F.lit(channel).alias("channel"), F.lit(flag).alias("flag"), "subject", "id", "transaction_date", "transaction_amount", F.concat(F.lit("one of "), "count", F.lit(f" within {minutes} min")).alias("why"))
+
+    rapid = within(rapid_withdrawals(rows), "cash_account", "ATM", "rapid", RAPID_MINUTES)
+    shops = within(suspicious_merchants(rows), "atm_id", "POS", "suspicious_merchant", MERCHANT_MINUTES)
+    days = multi_atm(rows).select(F.col("cash_account").alias("subject"), F.col("day").alias("_day"), "distinct_atms")
+    many = seen.where("channel = 'ATM'").where(or_empty(F.col("atm_id")) != "").join(days, (F.col("cash_account") == F.col("subject")) & (F.col("day") == F.col("_day")))
+    many = many.select(F.lit("ATM").alias("channel"), F.lit("multi_atm").alias("flag"), "subject", "id", "transaction_date", "transaction_amount", F.concat(F.lit("one day at "), "distinct_atms", F.lit(" machines")).alias("why"))
+    return rapid.unionByName(many).unionByName(shops)
+
+
 def account_speed(rows: DataFrame) -> DataFrame:
     """(account_no, hours) from an account's first receipt to its first exit at or after it."""
     got = hops(rows).where("transaction_date IS NOT NULL").groupBy(F.col("benef_key").alias("account_no")).agg(F.min("transaction_date").alias("t"))

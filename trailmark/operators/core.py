@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.text import account_key, or_empty
 from trailmark.schema import MONEY
+from trailmark.session import stored
 
 CASH_MODES = ("ATM", "POS", "AEPS")
+#: What the analysis of flagged legs reads.
+ANALYSIS = ("id", "report_id", "ack_no", "victim_key", "benef_key", "cash_account", "row_kind", "cashout_mode", "payment_mode", "layer_no", "transaction_date", "day", "transaction_amount", "disputed_amount", "utr_no", "beneficiary_name", "beneficiary_bank", "raw_beneficiary_bank", "ifsc_code", "bank_source", "bank_flag", "atm_id", "atm_location", "city", "state", "is_duplicate")
 
 
 def money(c: Column) -> Column:
@@ -67,6 +70,12 @@ def legs(ledger: DataFrame) -> DataFrame:
     return flag_duplicates(enrich(ledger)).where(~F.col("is_duplicate"))
 
 
+def stored_legs(ledger: DataFrame) -> DataFrame:
+    """Flagged legs, kept once for figures that need them several times; columns that no analysis reads are left out."""
+    flagged = flag_duplicates(enrich(ledger))
+    return stored(flagged.select(*[c for c in ANALYSIS if c in flagged.columns]))
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """The columns of several tables of one row side by side."""
     out = frames[0]

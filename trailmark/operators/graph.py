@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ def edges(rows: DataFrame) -> DataFrame:
 
 def connectivity(graph: DataFrame) -> DataFrame:
     """(account_no, in_degree, out_degree, total_in, total_out, bank, is_collector) of every account with an edge."""
-    side = lambda me, other, way: graph.select(F.col(me).alias("account_no"), F.col(other).alias("other"), F.lit(way).alias("way"), "amount", "banks")
-    both = side("destination", "source", "in").unionByName(side("source", "destination", "out"))
+    side = lambda me, other, way: F.struct(F.col(me).alias("account_no"), F.col(other).alias("other"), F.lit(way).alias("way"))
+    both = graph.select(F.explode(F.array(side("destination", "source", "in"), side("source", "destination", "out"))).alias("e"), "amount", "banks").select("e.*", "amount", "banks")
     into, out = F.col("way") == "in", F.col("way") == "out"
     found = both.groupBy("account_no").agg(
         F.count(F.when(into, 1)).alias("in_degree"),
@@ -105,35 +107,43 @@ def layer_flows(rows: DataFrame) -> DataFrame:
     return some.select(source.alias("source"), target.alias("target"), "transaction_amount", "disputed_amount").groupBy("source", "target").agg(total(F.col("transaction_amount")).alias("gross"), total(F.col("disputed_amount")).alias("disputed"), F.count("*").alias("txns"))
 
 
-def core_edges(graph: DataFrame) -> DataFrame:
-    """Edges between accounts that have edges in and out, again and again until none goes; cycles lie within them."""
+def core_edges(graph: DataFrame, rounds: int) -> DataFrame:
+    """Edges of which ``rounds`` others can come before and after; shorter dead ends are on no cycle.
+
+    What is left beyond them costs some work, not a wrong result, so the number
+    of rounds does not depend on the longest chain.
+    """
     left = cut(graph)
-    n = left.count()
-    while n:
+    for _ in range(rounds):
         has_out, has_in = left.select(F.col("source").alias("destination")).distinct(), left.select(F.col("destination").alias("source")).distinct()
-        more = cut(left.join(has_out, "destination", "left_semi").join(has_in, "source", "left_semi").select(graph.columns))
-        m = more.count()
-        left, n, before = more, m, n
-        if m == before:
-            break
+        left = cut(left.join(has_out, "destination", "left_semi").join(has_in, "source", "left_semi").select(graph.columns))
     return left
 
 
 def cycles(graph: DataFrame, longest: int = CYCLE_MAX_LENGTH) -> DataFrame:
     """(path, length, amount, txns, banks) of all simple cycles of two to ``longest`` edges, each from its least account.
 
-    Paths grow by one join for each step and never return to an account or go
-    below their first one; cycles are all that is kept of each round.
+    Paths of up to half the length leave the least account of a cycle, others
+    come back to it, and neither goes below it; they are joined where they meet.
+    So no path is longer than half a cycle, and hubs are passed less often.
     """
-    step = cut(core_edges(graph).select("source", "destination", "amount", "txns", "banks"))
-    paths = step.where("source < destination").select(F.col("source").alias("start"), F.col("destination").alias("last"), F.array("source", "destination").alias("path"), "amount", "txns", "banks")
-    found = None
+    half = -(-longest // 2)
+    step = core_edges(graph.where("source <> destination").select("source", "destination", "amount", "txns", "banks"), half)
+
+    def walks(here: str, there: str, most: int) -> dict[int, DataFrame]:
+        """By length: (start, last, nodes after the start in the order of walking, ...)."""
+        more = step.select(F.col(here).alias("last"), F.col(there).alias("to"), F.col("amount").alias("a"), F.col("txns").alias("n"), F.col("banks").alias("b"))
+        ways = {1: step.where(F.col(here) < F.col(there)).select(F.col(here).alias("start"), F.col(there).alias("last"), F.array(there).alias("nodes"), "amount", "txns", "banks")}
+        for k in range(2, most + 1):
+            longer = ways[k - 1].join(more, "last").where((F.col("to") > F.col("start")) & ~F.array_contains("nodes", F.col("to")))
+            ways[k] = cut(longer.select("start", F.col("to").alias("last"), F.array_append("nodes", F.col("to")).alias("nodes"), F.least("amount", "a").alias("amount"), (F.col("txns") + F.col("n")).alias("txns"), F.array_union("banks", "b").alias("banks")))
+        return ways
+
+    forth, back = walks("source", "destination", half), walks("destination", "source", longest // 2)
+    found = []
     for length in range(2, longest + 1):
-        more = paths.join(step.select(F.col("source").alias("last"), F.col("destination").alias("to"), F.col("amount").alias("a"), F.col("txns").alias("n"), F.col("banks").alias("b")), "last")
-        more = more.withColumns({"amount": F.least("amount", "a"), "txns": F.col("txns") + F.col("n"), "banks": F.array_union("banks", "b")})
-        closed = more.where("to = start").select("path", F.lit(length).alias("length"), "amount", "txns", F.array_sort("banks").alias("banks"))
-        found = closed if found is None else found.unionByName(closed)
-        if length < longest:
-            fresh = more.where((F.col("to") > F.col("start")) & ~F.array_contains("path", F.col("to")))
-            paths = cut(fresh.select("start", F.col("to").alias("last"), F.array_append("path", F.col("to")).alias("path"), "amount", "txns", "banks"))
-    return found
+        a, b = -(-length // 2), length // 2
+        home = back[b].select("start", "last", F.expr("slice(reverse(nodes), 2, 100)").alias("rest"), F.col("amount").alias("a"), F.col("txns").alias("n"), F.col("banks").alias("b"))
+        met = forth[a].join(home, ["start", "last"]).where(~F.arrays_overlap("nodes", "rest"))
+        found.append(met.select(F.concat(F.array("start"), "nodes", "rest").alias("path"), F.lit(length).alias("length"), F.least("amount", "a").alias("amount"), (F.col("txns") + F.col("n")).alias("txns"), F.array_sort(F.array_union("banks", "b")).alias("banks")))
+    return reduce(DataFrame.unionByName, found)

@@ -62,11 +62,17 @@ def known_column(header: Column) -> Column:
 
 
 def fill_merged(cells: DataFrame) -> DataFrame:
-    """``cells`` with the value of a merged range's first cell in all of its empty ones."""
-    some = cells.where("merged_to_r IS NOT NULL")
-    grid = some.withColumn("r", F.explode(F.sequence("r", "merged_to_r"))).withColumn("c", F.explode(F.sequence(F.col("c"), F.col("merged_to_c"))))
+    """``cells`` with the value of a merged range's first cell in all of its empty ones, in rows and columns that the sheet uses.
+
+    A merged range may span a whole column or sheet; places are made only for
+    the rows and columns in which some cell of the sheet has a value.
+    """
     own = cells.where("error IS NULL").select(*ROW, "c", "value")
-    missing = grid.select(*ROW, "c", "value").join(own.where(blank_to_null(F.col("value")).isNotNull()), [*ROW, "c"], "left_anti")
+    filled = own.where(blank_to_null(F.col("value")).isNotNull())
+    merged = cells.where("merged_to_r IS NOT NULL").select(*SHEET, F.col("r").alias("_r"), F.col("c").alias("_c"), "merged_to_r", "merged_to_c", "value")
+    used_rows, used_columns = filled.select(*ROW).distinct(), filled.select(*SHEET, "c").distinct()
+    grid = merged.join(used_rows, SHEET).where("r BETWEEN _r AND merged_to_r").join(used_columns, SHEET).where("c BETWEEN _c AND merged_to_c")
+    missing = grid.select(*ROW, "c", "value").join(filled, [*ROW, "c"], "left_anti")
     return own.join(missing.select(*ROW, "c"), [*ROW, "c"], "left_anti").unionByName(missing)
 
 
@@ -182,9 +188,16 @@ def parse_workbooks(cells: DataFrame) -> dict[str, DataFrame]:
 
 
 def with_ids(rows: DataFrame, report_id: int, first: int = 0) -> DataFrame:
-    """Ledger rows with ids in the order of sheet and row, unique within a file: sheet, then row."""
+    """Ledger rows with ids in the order of file, sheet and row, unique over all files, after ``first``.
+
+    Rows of a file are numbered apart; files, of which there are few, are
+    shifted by the numbers of those before them.
+    """
     known = {f.name for f in LEDGER.fields}
-    out = rows.withColumns({"id": F.lit(first) + F.col("sheet_no").cast("long") * (1 << 24) + F.col("r"), "report_id": F.lit(report_id).cast("long")})
+    files = rows.groupBy("path").agg(F.count("*").alias("_n"))
+    shift = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("sheet_no", "r"))
+    out = rows.join(F.broadcast(files.select("path", shift.alias("_shift"))), "path").withColumns({"id": F.lit(first) + F.col("_shift") + place, "report_id": F.lit(report_id).cast("long")})
     return out.select(*[c for c in out.columns if c in known or c in ("raw_beneficiary_bank", "bank_source", "bank_flag")])
 
 

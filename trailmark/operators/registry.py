@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import account_key, or_empty
@@ -59,6 +59,41 @@ def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(new, keys, "full_outer").select(*keys, *[F.coalesce(f"_new_{c}", c).alias(c) for c in other])
 
 
+def update_liens(stored: DataFrame, news: DataFrame, rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """Lien records after status changes: (report_id, account_no, bank_name, ifsc_code, status, remarks, applied_date).
+
+    ``news`` has (report_id, account_no, status, remarks), one row for an
+    account; null keeps what is stored.  ``applied_date`` is stamped when the
+    status becomes ``applied`` for the first time, and stays.  Accounts without
+    a record get one, ``pending`` unless said otherwise, with the bank and code
+    of their first leg in ``rows`` that has them.
+    """
+    keys = ["report_id", "account_no"]
+    now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
+    fresh = news.select(*keys, F.col("status").alias("_status"), F.col("remarks").alias("_remarks"))
+    both = stored.withColumn("_old", F.lit(True)).join(fresh, keys, "full_outer")
+    bank = F.when(or_empty(F.col("beneficiary_bank")) != "", F.col("beneficiary_bank"))
+    legs_of = rows.select("report_id", F.col("benef_key").alias("account_no"), "id", bank.alias("_b"), "ifsc_code").join(fresh.select(*keys), keys, "left_semi")
+    known = legs_of.groupBy(*keys).agg(F.min_by("_b", F.when(F.col("_b").isNotNull(), F.col("id"))).alias("_bank"), F.min_by("ifsc_code", F.when(F.col("ifsc_code").isNotNull(), F.col("id"))).alias("_code"))
+    new = F.col("_old").isNull()
+    status = F.coalesce("_status", F.when(new, "pending").otherwise(F.col("status")))
+    stamp = F.when((F.col("_status") == "applied") & F.col("applied_date").isNull(), now).otherwise(F.col("applied_date"))
+    pick = lambda mine, theirs: F.when(new, F.col(theirs)).otherwise(F.col(mine)).alias(mine)
+    return both.join(known, keys, "left").select(*keys, pick("bank_name", "_bank"), pick("ifsc_code", "_code"), status.alias("status"), F.coalesce("_remarks", "remarks").alias("remarks"), stamp.alias("applied_date"))
+
+
+def lien_status_sums(records: DataFrame) -> DataFrame:
+    """One row of (lien_eligible_amount, status): eligible, applied and successful sums, and the share that succeeded."""
+    amount = F.col("lien_eligible_amount")
+    sums = records.agg(total(amount).alias("eligible"), total(amount, F.col("status") == "applied").alias("applied"), total(amount, F.col("status") == "success").alias("success"))
+    return sums.withColumn("recovery_rate", F.when(F.col("eligible") > 0, F.round(F.col("success").cast("double") / F.col("eligible").cast("double"), 6)).otherwise(0.0))
+
+
+def options(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column that are not blank, in order: what a list of choices offers."""
+    return rows.select(F.col(column)).where(or_empty(F.col(column).cast("string")) != "").distinct().orderBy(column)
+
+
 def earlier_sources(reports: DataFrame) -> DataFrame:
     """(ack_no, source_sha256, earlier_sha256): acknowledgements that came before from another file."""
     a, b = reports.alias("a"), reports.alias("b")

@@ -46,10 +46,11 @@ def score(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """One row for each account that received a hop: its signals, ``mule_score`` (no upper bound), label and reasons."""
     events = F.when(F.col("row_kind") == "HOP", F.array(F.struct(F.col("benef_key").alias("a"), F.lit(True).alias("mine")), F.struct(F.col("victim_key").alias("a"), F.lit(False).alias("mine")))).otherwise(F.array(F.struct(F.col("cash_account").alias("a"), F.lit(True).alias("mine"))))
     own = rows.withColumn("e", F.explode(events)).select("*", F.col("e.a").alias("account_no"), "e.mine").where("account_no <> ''")
+    # there are few cities and channels; cases and names of a hub may be many
     kept = own.groupBy("account_no").agg(
-        F.size(F.collect_set("ack_no")).alias("cases"),
+        F.countDistinct("ack_no").alias("cases"),
         F.size(F.collect_set(F.when(F.col("mine") & (or_empty(F.col("city")) != ""), F.col("city")))).alias("places"),
-        F.size(F.collect_set(F.when(F.col("mine") & (or_empty(F.col("beneficiary_name")) != ""), F.lower("beneficiary_name")))).alias("names"),
+        F.countDistinct(F.when(F.col("mine") & (or_empty(F.col("beneficiary_name")) != ""), F.lower("beneficiary_name"))).alias("names"),
         F.size(F.collect_set(F.when(F.col("row_kind") == "EXIT", F.upper("payment_mode")))).alias("channels"),
         F.min(F.when(F.col("mine") & (F.col("row_kind") == "HOP"), F.col("day"))).alias("first_day"),
         F.min(F.when(F.col("row_kind") == "EXIT", F.col("day"))).alias("first_cash_day"),

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from trailmark.functions import parse, text
 from trailmark.operators import attribution, behaviour, browse, calendar, findings, graph, ingest, money, registry, scoring
-from trailmark.operators.core import enrich, flag_duplicates, legs, one_row, rollup
+from trailmark.operators.core import enrich, flag_duplicates, legs, one_row, rollup, stored_legs
 from trailmark.plans.sql import EDGES, ROLLUP, on_events, on_ledger
+from trailmark.session import cut
 from trailmark.sources.adapter import events_ledger, ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,11 @@ def _flagged(l: DataFrame) -> DataFrame:
     return flag_duplicates(enrich(l))
 
 
+def _legs(l: DataFrame) -> DataFrame:
+    """Legs that are kept, for queries that need them more than once."""
+    return stored_legs(l).where("NOT is_duplicate")
+
+
 D = lambda c, name=None: f"CAST({c} AS DOUBLE) AS {name or c}"
 S = lambda c, name=None: f"CAST({c} AS VARCHAR) AS {name or c}"
 PCT = lambda a, b: f"CAST(CASE WHEN {b} > 0 THEN round(CAST({a} AS DECIMAL(20,4)) * 100 / {b}, 1) ELSE 0 END AS DOUBLE)"
@@ -97,7 +103,7 @@ def _(l):
 
 @query("victim_accounts", on_ledger(ROLLUP, select=f"SELECT victim_key AS account_no, count(*) AS txn_count, {D('sum(transaction_amount)', 'amount_sent')} FROM first_layer GROUP BY 1"))
 def _(l):
-    return money.victims(legs(l))
+    return money.victims(_legs(l))
 
 
 _RECOVERABLE = "greatest(base_amount - cashed_out - on_hold, 0)"
@@ -105,7 +111,7 @@ _RECOVERABLE = "greatest(base_amount - cashed_out - on_hold, 0)"
 
 @query("recovery_status", on_ledger(ROLLUP, select=f"SELECT {D('base_amount')}, {D('cashed_out')}, {D('on_hold')}, 0.0::DOUBLE AS refunded, {D(_RECOVERABLE, 'recoverable')}, {PCT('cashed_out', 'base_amount')} AS cashed_out_pct, {PCT('on_hold', 'base_amount')} AS on_hold_pct, 0.0::DOUBLE AS refunded_pct, {PCT(_RECOVERABLE, 'base_amount')} AS recoverable_pct FROM money"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return money.recovery(rows, rollup(rows))
 
 
@@ -125,8 +131,8 @@ def _(l):
  (SELECT count(*) FROM accounts WHERE hops_in > 0) AS total_accounts, {D("(SELECT sum(lien_eligible_amount) FROM accounts)", "lien_table_total")}, {D("(SELECT base_amount FROM money)", "victim_loss_amount")}, {D("(SELECT cashed_out FROM money)", "cashed_out")},
  {D("(SELECT on_hold FROM money)", "on_hold")}, 0.0::DOUBLE AS refunded, {D(f"(SELECT {_RECOVERABLE} FROM money)", "recoverable_residual")} FROM flagged"""))
 def _(l):
-    flagged = _flagged(l)
-    return money.summary(flagged, rollup(flagged.where("NOT is_duplicate")))
+    flagged = stored_legs(l)
+    return money.summary(flagged, cut(rollup(flagged.where("NOT is_duplicate"))))
 
 
 _RECEIPTS = "receipts AS (SELECT benef_key AS account, min(day) AS first_day FROM legs WHERE row_kind = 'HOP' AND day IS NOT NULL GROUP BY 1)"
@@ -135,14 +141,14 @@ _SAME_DAY = "same_day AS (SELECT legs.* FROM legs JOIN receipts ON cash_account
 
 @query("same_day_cashouts", on_events(_RECEIPTS, _SAME_DAY, select=f"SELECT id, cash_account, {S('day')}, atm_id, {D('transaction_amount')} FROM same_day"), events_ledger)
 def _(l):
-    return money.same_day_exits(legs(l)).select("id", "cash_account", "day", "atm_id", "transaction_amount")
+    return money.same_day_exits(_legs(l)).select("id", "cash_account", "day", "atm_id", "transaction_amount")
 
 
 @query("cashout_analysis", on_ledger(ROLLUP, _RECEIPTS, _SAME_DAY, select=f"""SELECT {D("(SELECT coalesce(sum(capped), 0) FROM capped)", "total_cashout_amount")}, {D("(SELECT sum(transaction_amount) FROM legs WHERE row_kind = 'EXIT')", "total_cashout_amount_uncapped")}, 'CAP_AT_RECEIVED' AS cashout_policy,
  (SELECT count(*) FROM legs WHERE row_kind = 'EXIT') AS total_cashout_transactions, (SELECT count(*) FROM same_day) AS same_day_cashouts,
  (SELECT round(date_diff('second', d, (SELECT min(transaction_date) FROM legs WHERE row_kind = 'EXIT' AND transaction_date >= d)) / 3600, 2) FROM (SELECT min(transaction_date) AS d FROM first_layer)) AS fastest_cashout_hours"""))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return money.cashout_view(rows, rollup(rows))
 
 
@@ -185,13 +191,13 @@ _AGG = "aggregators AS (SELECT account_no, in_degree AS distinct_senders, CASE W
 
 @query("aggregator_accounts", on_ledger(EDGES, ROLLUP, _AGG, select=f"SELECT account_no, distinct_senders, severity, {D('total_received')}, {D('held')}, layer_no FROM aggregators"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return graph.aggregators(graph.connectivity(graph.edges(rows)), rollup(rows))
 
 
 @query("aggregator_summary", on_ledger(EDGES, ROLLUP, _AGG, select=f"SELECT count(*) AS \"count\", max(distinct_senders) AS max_fan_in, median(distinct_senders) AS median_fan_in, {D('sum(held)', 'total_held')}, {D('sum(total_received)', 'total_received')} FROM aggregators"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return graph.aggregator_summary(graph.aggregators(graph.connectivity(graph.edges(rows)), rollup(rows)))
 
 
@@ -210,13 +216,13 @@ hours AS (SELECT layer_no, round(sum(date_diff('second', t, n)) / count(*) / 360
  round(nxt.account_count / b.account_count, 4) AS fan_out_ratio, coalesce(round(nxt.account_count / b.account_count, 4) >= 2.0, false) AS fan_out_high, top_banks, avg_forward_time_hours
  FROM base b LEFT JOIN base nxt ON nxt.layer_no = b.layer_no + 1 LEFT JOIN banks ON banks.layer_no = b.layer_no LEFT JOIN hours ON hours.layer_no = b.layer_no"""))
 def _(l):
-    return graph.layers(legs(l))
+    return graph.layers(_legs(l))
 
 
 @query("layer_flows", on_ledger(select=f"""SELECT CASE WHEN row_kind = 'HOP' AND layer_no = (SELECT min(layer_no) FROM legs WHERE row_kind = 'HOP') THEN 'origin' WHEN row_kind = 'HOP' THEN 'layer:' || (layer_no - 1) ELSE 'layer:' || layer_no END AS source,
  CASE row_kind WHEN 'HOP' THEN 'layer:' || layer_no WHEN 'EXIT' THEN 'sink:cashout' ELSE 'sink:hold' END AS target, {D("sum(transaction_amount)", "gross")}, {D("sum(disputed_amount)", "disputed")}, count(*) AS txns FROM legs WHERE row_kind IN ('HOP', 'EXIT', 'HOLD') GROUP BY 1, 2"""))
 def _(l):
-    return graph.layer_flows(legs(l))
+    return graph.layer_flows(_legs(l))
 
 
 _CYCLES = """
@@ -274,9 +280,36 @@ def _(l):
     return behaviour.multi_atm(legs(l))
 
 
-@query("exit_flags", source=events_ledger)
+def _seen(key: str, channel: str, name: str) -> tuple[str, str]:
+    return (
+        f"""seen_{name} AS (SELECT {key} AS subject, transaction_date AS first, count(*) OVER w AS n, sum(transaction_amount) OVER w AS s, max(transaction_date) OVER w AS last FROM exits WHERE channel = '{channel}' AND transaction_date IS NOT NULL AND {key} IS NOT NULL
+        WINDOW w AS (PARTITION BY {key} ORDER BY epoch(date_trunc('second', transaction_date)) RANGE BETWEEN CURRENT ROW AND 3600 FOLLOWING))""",
+        f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, date_trunc('second', first), first, s DESC) AS r FROM seen_{name} WHERE n >= 3) WHERE r = 1)",
+    )
+
+
+_MANY = (
+    "days AS (SELECT cash_account AS subject, day, count(DISTINCT atm_id) AS distinct_atms, count(*) AS n, sum(transaction_amount) AS s FROM exits WHERE channel = 'ATM' AND day IS NOT NULL AND has_terminal GROUP BY ALL)",
+    "many AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY distinct_atms DESC, day) AS r FROM days WHERE distinct_atms >= 3) WHERE r = 1)",
+)
+_FLAGS = (*_seen("cash_account", "ATM", "rapid"), *_seen("atm_id", "POS", "shops"), *_MANY)
+_MINUTES = "(date_diff('microsecond', first, last) // 60000000)"
+
+
+@query("exit_flags", on_events(*_FLAGS, select=f"""SELECT 'ATM' AS channel, 'rapid' AS flag, subject, n AS "count", {D('s', 'total_amount')}, n || ' withdrawals in ' || {_MINUTES} || ' min' AS why FROM rapid
+ UNION ALL SELECT 'ATM', 'multi_atm', subject, n, s::DOUBLE, distinct_atms || ' different ATMs on ' || day FROM many UNION ALL SELECT 'POS', 'suspicious_merchant', subject, n, s::DOUBLE, n || ' POS txns in ' || {_MINUTES} || ' min' FROM shops"""), events_ledger)
 def _(l):
-    return behaviour.exit_flags(legs(l))
+    return behaviour.exit_flags(_legs(l))
+
+
+_WITHIN = "epoch(date_trunc('second', transaction_date)) BETWEEN epoch(date_trunc('second', first)) AND epoch(date_trunc('second', first)) + 3600"
+
+
+@query("exit_flag_legs", on_events(*_FLAGS, select=f"""SELECT 'ATM' AS channel, 'rapid' AS flag, subject, id, {S('transaction_date')}, {D('transaction_amount')}, 'one of ' || n || ' within 60 min' AS why FROM rapid JOIN exits ON cash_account = subject AND channel = 'ATM' AND {_WITHIN}
+ UNION ALL SELECT 'ATM', 'multi_atm', subject, id, transaction_date::VARCHAR, transaction_amount::DOUBLE, 'one day at ' || distinct_atms || ' machines' FROM many JOIN exits ON cash_account = subject AND channel = 'ATM' AND has_terminal AND exits.day = many.day
+ UNION ALL SELECT 'POS', 'suspicious_merchant', subject, id, transaction_date::VARCHAR, transaction_amount::DOUBLE, 'one of ' || n || ' within 60 min' FROM shops JOIN exits ON atm_id = subject AND channel = 'POS' AND {_WITHIN}"""), events_ledger)
+def _(l):
+    return behaviour.flag_legs(_legs(l))
 
 
 _SPEED = """got AS (SELECT benef_key AS account_no, min(transaction_date) AS t FROM legs WHERE row_kind = 'HOP' AND transaction_date IS NOT NULL GROUP BY 1),
@@ -285,19 +318,19 @@ speed AS (SELECT account_no, date_diff('microsecond', t, min(transaction_date))
 
 @query("account_speed", on_ledger(_SPEED, select="SELECT account_no, round(hours, 6) AS hours FROM speed"))
 def _(l):
-    return behaviour.account_speed(legs(l)).withColumn("hours", F.round("hours", 6))
+    return behaviour.account_speed(_legs(l)).withColumn("hours", F.round("hours", 6))
 
 
 @query("cashout_speed", on_ledger(_SPEED, select="SELECT count(*) AS account_count, round(median(hours), 4) AS median_hours, CAST(round(sum(CAST(round(hours, 6) AS DECIMAL(20,6))) / count(*), 4) AS DOUBLE) AS mean_hours FROM speed"))
 def _(l):
-    return behaviour.cashout_speed(legs(l))
+    return behaviour.cashout_speed(_legs(l))
 
 
 @query("investigation_metrics", on_ledger(ROLLUP, select=f"""SELECT {S("f", "from_date")}, {S("t", "to_date")}, datediff('day', f, t) AS response_gap_days, CASE WHEN datediff('day', f, t) <= 7 THEN 'ok' WHEN datediff('day', f, t) <= 14 THEN 'warn' WHEN t IS NOT NULL THEN 'danger' ELSE 'none' END AS response_gap_severity,
  {D("base_amount")}, {D("on_hold", "secured_amount")}, {PCT("on_hold", "base_amount")} AS recovery_pct, CASE WHEN base_amount <= 0 THEN 'none' WHEN on_hold <= 0 THEN 'danger' WHEN {PCT("on_hold", "base_amount")} < 25 THEN 'warn' ELSE 'ok' END AS recovery_severity
  FROM money, (SELECT min(day) AS f, min(day) FILTER (WHERE row_kind = 'HOLD') AS t FROM legs)"""))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return behaviour.investigation_metrics(rows, rollup(rows))
 
 
@@ -367,14 +400,14 @@ quality AS (SELECT benef_key AS account_no, beneficiary_bank AS bank, raw_benefi
 
 @query("data_quality", on_ledger(_QUALITY, select="SELECT * FROM quality"))
 def _(l):
-    return attribution.flagged_accounts(legs(l)).drop("message")
+    return attribution.flagged_accounts(_legs(l)).drop("message")
 
 
 @query("data_quality_summary", on_ledger(ROLLUP, _QUALITY, select=f"""SELECT *, {PCT("flagged_accounts", "total_accounts")} AS pct_affected, CASE WHEN freeze_target_accounts > 0 THEN 'red' WHEN actionable_accounts > 0 THEN 'amber' ELSE 'green' END AS status FROM (
  SELECT count(*) AS flagged_accounts, count(*) FILTER (WHERE severity = 'actionable') AS actionable_accounts, count(*) FILTER (WHERE bank_flag = 'IFSC_TEXT_MISMATCH') AS auto_corrected, count(*) FILTER (WHERE severity <> 'actionable' AND bank_flag = 'NO_IFSC') AS expected_no_ifsc,
  count(*) FILTER (WHERE severity = 'actionable' AND account_no IN (SELECT account_no FROM liens)) AS freeze_target_accounts, (SELECT count(DISTINCT benef_key) FROM legs WHERE benef_key <> '') AS total_accounts FROM quality)"""))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return attribution.quality_summary(rows, attribution.flagged_accounts(rows), money.liens(rollup(rows)))
 
 
@@ -387,10 +420,14 @@ def _(l):
     return attribution.with_instrument(money.liens(rollup(legs(l)))).select("account_no", "bank_name", "instrument", "lien_eligible_amount")
 
 
-@query("letters", on_ledger(ROLLUP, _INSTRUMENT, select=f"SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, 0 AS part, min(bank_name) AS bank_name, count(*) AS account_count, {D('sum(lien_eligible_amount)', 'total_amount')}, string_agg(account_no, '; ' ORDER BY lien_eligible_amount DESC, account_no) AS accounts FROM instruments WHERE instrument = 'bank' GROUP BY 1"))
+@query("letters", on_ledger(ROLLUP, _INSTRUMENT, select=f"SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, min(bank_name) AS bank_name, count(*) AS account_count, {D('sum(lien_eligible_amount)', 'total_amount')} FROM instruments WHERE instrument = 'bank' GROUP BY 1"))
 def _(l):
-    out = attribution.letters(money.liens(rollup(legs(l))))
-    return out.withColumn("accounts", F.transform("accounts", lambda a: a["account_no"]))
+    return attribution.letters(money.liens(rollup(legs(l))))
+
+
+@query("letter_accounts", on_ledger(ROLLUP, _INSTRUMENT, select=f"SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, bank_name, account_no, {D('lien_eligible_amount')} FROM instruments WHERE instrument = 'bank'"))
+def _(l):
+    return attribution.letter_accounts(money.liens(rollup(legs(l))))
 
 
 @query("padded_accounts", on_ledger(select="SELECT benef_key AS account_no, count(DISTINCT trim(beneficiary_account)) AS spellings, min(trim(beneficiary_account)) AS shown FROM legs WHERE benef_key <> '' GROUP BY 1 HAVING count(DISTINCT trim(beneficiary_account)) > 1"))
@@ -460,7 +497,10 @@ def _(l):
     return browse.day_legs(legs(l), "1997-03-03").select(_SHOWN)
 
 
-@query("leg_detail")
+_FIELDS = "report_id ack_no complaint_date victim_account victim_bank beneficiary_account raw_beneficiary_bank beneficiary_name ifsc_code transaction_date transaction_amount disputed_amount utr_no payment_mode layer_no atm_id atm_location city state remarks bank_source bank_flag beneficiary_bank victim_key benef_key row_kind cashout_mode cash_account day is_duplicate".split()
+
+
+@query("leg_detail", on_ledger(f"one AS (SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _FIELDS)} FROM flagged WHERE id = (SELECT min(id) FROM flagged))", select=f"SELECT field, value FROM (UNPIVOT one ON {', '.join(_FIELDS)} INTO NAME field VALUE value) WHERE trim(value) <> ''"))
 def _(l):
     rows = _flagged(l)
     return browse.leg_fields(rows.join(rows.agg(F.min("id").alias("id")), "id"), rows.agg(F.min("id")).scalar())
@@ -483,7 +523,7 @@ def _(l):
 
 @query("bank_rankings", on_ledger(ROLLUP, select=f"SELECT bank_name, count(*) AS accounts, {D('sum(lien_eligible_amount)', 'lien_total')}, coalesce(any_value(n), 0) AS legs FROM liens LEFT JOIN (SELECT beneficiary_bank, count(*) AS n FROM legs GROUP BY 1) ON beneficiary_bank = bank_name WHERE trim(bank_name) <> '' GROUP BY 1"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return browse.bank_rankings(money.liens(rollup(rows)), rows)
 
 
@@ -539,49 +579,59 @@ _CONDUIT = "risk_label IN ('HIGH', 'MEDIUM') AND disputed_received < 10000 AND g
 
 @query("mule_scores", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, bank_name, layer_no, mule_score, risk_label, ratio AS pass_through_ratio, cases, places, channels, same_day, {_CONDUIT} AS gross_conduit, CASE WHEN distinct_senders >= 5 THEN 'danger' WHEN distinct_senders >= 3 THEN 'warn' END AS aggregator_severity, {', '.join(f'points_{k}' for k in _POINTS)} FROM scored"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return scoring.score(rows, rollup(rows)).select("account_no", "bank_name", "layer_no", "mule_score", "risk_label", "pass_through_ratio", "cases", "places", "channels", "same_day", "gross_conduit", "aggregator_severity", *[f"points_{k}" for k in scoring.WEIGHTS])
 
 
-@query("mule_reasons")
+_SAYS = {
+    "pass_through": "'Passes on ' || CAST(round(ratio * 100, 0) AS BIGINT) || '% of what is traced'",
+    "cashout_speed": "'Cashes out within ' || round(hours, 1) || ' hours'",
+    "cross_case": "'Appears in ' || cases || ' cases'",
+    "same_day_in_out": "'Receives and cashes out on one day'",
+    "in_degree_collector": "'High fan-in collector: in-degree ' || distinct_senders",
+}
+_REASONS = ", ".join(f"CASE WHEN points_{k} > 0 THEN {v} || ' (+' || CAST(round(points_{k}, 0) AS INT) || ')' END" for k, v in _SAYS.items())
+
+
+@query("mule_reasons", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, mule_score, array_to_string(list_filter([{_REASONS}], lambda x: x IS NOT NULL), '; ') AS suspicion_reasons FROM scored"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return scoring.score(rows, rollup(rows)).select("account_no", "mule_score", "suspicion_reasons")
 
 
 @query("mule_list", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, bank_name, layer_no, mule_score, {D('total_received')} FROM scored WHERE risk_label = 'HIGH' AND layer_no IN (1, 2) AND bank_name ILIKE '%bank%' AND scored.total_received BETWEEN 100000 AND 5000000"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return browse.risk_list(scoring.score(rows, rollup(rows)), risk="HIGH", layers=[1, 2], text="bank", received_from=Decimal(100000), received_to=Decimal(5000000)).select("account_no", "bank_name", "layer_no", "mule_score", "total_received")
 
 
 @query("risk_counts", on_ledger(ROLLUP, _SPEED, _SCORES, select="SELECT count(*) FILTER (WHERE risk_label = 'HIGH') AS high, count(*) FILTER (WHERE risk_label = 'MEDIUM') AS medium, count(*) FILTER (WHERE risk_label = 'LOW') AS low FROM scored"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return scoring.risk_counts(scoring.score(rows, rollup(rows)))
 
 
 @query("layer_detail", on_ledger(ROLLUP, _SPEED, _SCORES, select="SELECT account_no, mule_score, risk_label, layer_no FROM scored WHERE layer_no = 2"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return browse.layer_accounts(scoring.score(rows, rollup(rows)), 2).select("account_no", "mule_score", "risk_label", "layer_no")
 
 
 @query("peak_layer", on_ledger(_LAYERS, select="SELECT arg_max(layer_no, account_count) AS peak_layer, max(account_count) AS accounts FROM base"))
 def _(l):
-    return graph.layers(legs(l)).agg(F.max_by("layer_no", "account_count").alias("peak_layer"), F.max("account_count").alias("accounts"))
+    return graph.layers(_legs(l)).agg(F.max_by("layer_no", "account_count").alias("peak_layer"), F.max("account_count").alias("accounts"))
 
 
 @query("cashout_reconciliation", on_ledger(ROLLUP, select=f"""SELECT {D("(SELECT sum(transaction_amount) FROM flagged WHERE row_kind = 'EXIT')", "gross_shown")}, {D("(SELECT coalesce(sum(transaction_amount), 0) FROM flagged WHERE row_kind = 'EXIT' AND is_duplicate)", "dup_amount_shown")},
  {D("(SELECT sum(cashed - capped) FROM capped)", "cap_excess")}, {D("(SELECT sum(capped) FROM capped)", "confirmed")}"""))
 def _(l):
-    flagged = _flagged(l)
+    flagged = stored_legs(l)
     return money.cashout_reconciliation(flagged, rollup(flagged.where("NOT is_duplicate")))
 
 
 @query("badges", on_ledger(ROLLUP, _SPEED, _SCORES, _QUALITY, select="SELECT (SELECT count(*) FROM scored WHERE risk_label = 'HIGH') AS high_risk, (SELECT count(*) FROM quality) AS bank_flags"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return one_row(scoring.score(rows, rollup(rows)).agg(F.count_if(F.col("risk_label") == "HIGH").alias("high_risk")), attribution.flagged_accounts(rows).agg(F.count("*").alias("bank_flags")))
 
 
@@ -622,19 +672,31 @@ def _(l):
     return _flagged(l).select("id", text.masked_account(F.col("beneficiary_account")).alias("masked"))
 
 
-@query("key_findings")
+_FIXED = lambda e: f"CAST(CAST(abs({e}) AS DECIMAL(18,2)) AS VARCHAR)"
+_UNITS = lambda e: f"split_part({_FIXED(e)}, '.', 1)"
+_RUPEES = lambda e: f"""(CASE WHEN {e} < 0 THEN '-Rs. ' ELSE 'Rs. ' END || CASE WHEN length({_UNITS(e)}) > 3 THEN ltrim(reverse(regexp_replace(reverse({_UNITS(e)}[1:length({_UNITS(e)}) - 3]), '([0-9][0-9])', '\\1,', 'g')), ',') || ',' || right({_UNITS(e)}, 3) ELSE {_UNITS(e)} END || '.' || split_part({_FIXED(e)}, '.', 2))"""
+_FIGURES = f"""figures AS (SELECT (SELECT base_amount FROM money) AS loss, (SELECT cashed_out FROM money) AS cash, (SELECT on_hold FROM money) AS hold, (SELECT {_RECOVERABLE} FROM money) AS rest, (SELECT sum(lien_eligible_amount) FROM accounts) AS lien,
+ (SELECT count(DISTINCT layer_no) FROM legs WHERE row_kind = 'HOP') AS depth, (SELECT count(*) FROM flagged WHERE is_duplicate) AS again, (SELECT count(*) FROM scored WHERE risk_label = 'HIGH') AS high, (SELECT count(*) FROM scored WHERE risk_label = 'MEDIUM') AS medium)"""
+
+
+@query("key_findings", on_ledger(ROLLUP, _SPEED, _SCORES, _FIGURES, select=f"""SELECT 0 AS place, 'Victims lost ' || {_RUPEES('loss')} || ' over ' || depth || ' layers.' AS finding FROM figures UNION ALL SELECT 1, 'Cashed out: ' || {_RUPEES('cash')} || '; on hold: ' || {_RUPEES('hold')} || '.' FROM figures
+ UNION ALL SELECT 2, 'Still recoverable: ' || {_RUPEES('rest')} || '; liens could take ' || {_RUPEES('lien')} || '.' FROM figures UNION ALL SELECT 3, high || ' accounts of high and ' || medium || ' of medium risk.' FROM figures
+ UNION ALL SELECT 4, again || ' repeated legs were set apart.' FROM figures"""))
 def _(l):
-    flagged = _flagged(l)
+    flagged = stored_legs(l)
     rows = flagged.where("NOT is_duplicate")
-    accounts = rollup(rows)
+    accounts = cut(rollup(rows))
     return findings.key_findings(money.summary(flagged, accounts), scoring.risk_counts(scoring.score(rows, accounts)))
 
 
-@query("roadmap")
+@query("roadmap", on_ledger(ROLLUP, _SPEED, _SCORES, _QUALITY, _FIGURES, "doubt AS (SELECT count(*) AS n FROM quality WHERE severity = 'actionable' AND account_no IN (SELECT account_no FROM liens))", select=f"""SELECT * FROM (
+ SELECT 'P0' AS priority, 'Place liens' AS title, CASE WHEN lien > 0 THEN 'Balances of ' || {_RUPEES('lien')} || ' can be held now.' END AS description FROM figures
+ UNION ALL SELECT 'P0', 'Confirm banks of lien targets', CASE WHEN n > 0 THEN n || ' lien targets have doubtful banks.' END FROM doubt UNION ALL SELECT 'P1', 'Examine accounts of high risk', CASE WHEN high > 0 THEN high || ' accounts score high.' END FROM figures
+ UNION ALL SELECT 'P2', 'Ask for footage of cash exits', CASE WHEN cash > 0 THEN {_RUPEES('cash')} || ' left as cash.' END FROM figures UNION ALL SELECT 'P3', 'Check repeated legs', CASE WHEN again > 0 THEN again || ' legs are listed more than once.' END FROM figures) WHERE description IS NOT NULL"""))
 def _(l):
-    flagged = _flagged(l)
+    flagged = stored_legs(l)
     rows = flagged.where("NOT is_duplicate")
-    accounts = rollup(rows)
+    accounts = cut(rollup(rows))
     quality = attribution.quality_summary(rows, attribution.flagged_accounts(rows), money.liens(accounts))
     return findings.roadmap(money.summary(flagged, accounts), scoring.risk_counts(scoring.score(rows, accounts)), quality)
 
@@ -665,6 +727,29 @@ def _(l):
     return registry.upsert(stored, news, ["account_no"])
 
 
+_STATUS = "CASE WHEN total_on_hold > 0 THEN 'applied' WHEN total_cashed_out > 0 THEN 'success' ELSE 'pending' END"
+
+
+@query("lien_status_sums", on_ledger(ROLLUP, f"said AS (SELECT lien_eligible_amount AS a, {_STATUS} AS status FROM liens)", select=f"SELECT {D('sum(a)', 'eligible')}, {D("coalesce(sum(a) FILTER (WHERE status = 'applied'), 0)", 'applied')}, {D("coalesce(sum(a) FILTER (WHERE status = 'success'), 0)", 'success')}, round(coalesce(sum(a) FILTER (WHERE status = 'success'), 0)::DOUBLE / sum(a)::DOUBLE, 6) AS recovery_rate FROM said"))
+def _(l):
+    return registry.lien_status_sums(money.liens(rollup(legs(l))).withColumn("status", F.expr(_STATUS)))
+
+
+@query("lien_updates", on_ledger(ROLLUP, "firsts AS (SELECT report_id, benef_key AS account_no, arg_min(beneficiary_bank, id) FILTER (WHERE trim(beneficiary_bank) <> '') AS b, arg_min(ifsc_code, id) FILTER (WHERE ifsc_code IS NOT NULL) AS c FROM legs WHERE benef_key <> '' GROUP BY 1, 2)",
+ select="SELECT report_id, account_no, CASE WHEN report_id = 2 THEN 'stored' ELSE b END AS bank_name, CASE WHEN report_id = 2 THEN NULL ELSE c END AS ifsc_code, CASE report_id WHEN 1 THEN 'applied' WHEN 2 THEN CASE WHEN length(account_no) % 2 = 0 THEN 'applied' ELSE 'success' END ELSE 'pending' END AS status, CASE WHEN report_id = 2 THEN 'old' ELSE 'new' END AS remarks, CASE report_id WHEN 1 THEN '2024-01-02 00:00:00' WHEN 2 THEN CASE WHEN length(account_no) % 2 = 0 THEN '2024-01-02 00:00:00' END END AS applied_date FROM firsts WHERE report_id IN (1, 2, 3)"))
+def _(l):
+    rows = _legs(l)
+    accounts = rows.where("benef_key <> '' AND report_id IN (1, 2, 3)").select("report_id", F.col("benef_key").alias("account_no")).distinct()
+    stored = accounts.where("report_id = 2").selectExpr("report_id", "account_no", "'stored' AS bank_name", "CAST(NULL AS STRING) AS ifsc_code", "'pending' AS status", "'old' AS remarks", "CAST(NULL AS TIMESTAMP_NTZ) AS applied_date")
+    news = accounts.selectExpr("report_id", "account_no", "CASE WHEN report_id = 1 OR report_id = 2 AND length(account_no) % 2 = 0 THEN 'applied' WHEN report_id = 2 THEN 'success' END AS status", "CASE WHEN report_id <> 2 THEN 'new' END AS remarks")
+    return registry.update_liens(stored, news, rows, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+
+
+@query("bank_options", on_ledger(select="SELECT DISTINCT beneficiary_bank FROM legs WHERE trim(beneficiary_bank) <> ''"))
+def _(l):
+    return registry.options(legs(l), "beneficiary_bank")
+
+
 @query("letters_diff", on_ledger(ROLLUP, _INSTRUMENT, "fresh AS (SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, sum(lien_eligible_amount) AS total_amount FROM instruments WHERE instrument = 'bank' GROUP BY 1)", select=f"SELECT bank_key, {D('total_amount')}, CASE WHEN bank_key LIKE '%bank%' THEN 'sent' ELSE 'draft' END AS status FROM fresh UNION ALL SELECT 'closed bank', 1.0, 'withdrawn'"))
 def _(l):
     fresh = attribution.letters(money.liens(rollup(legs(l))))
@@ -675,7 +760,7 @@ def _(l):
 
 @query("report_deleted", on_ledger(_CONTRIB, select="SELECT 'contributions' AS name, count(*) AS rows FROM contributed WHERE report_id <> 2 UNION ALL SELECT 'transactions', count(*) FROM flagged WHERE report_id <> 2 UNION ALL SELECT 'audit_log', count(*) FROM flagged WHERE is_duplicate"))
 def _(l):
-    flagged = _flagged(l)
+    flagged = stored_legs(l)
     tables = registry.delete_report({"transactions": flagged, "contributions": registry.contributions(flagged.where("NOT is_duplicate")), "audit_log": flagged.where("is_duplicate")}, 2)
     out = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])

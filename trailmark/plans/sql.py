@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trailmark.functions.banks import BANKS, GENERIC
-from trailmark.sources.adapter import CODES, LINE_ORDER, NAMES, REPEAT_EVERY, UNDATED_EVERY
+from trailmark.sources.adapter import CODES, LINE_ORDER, NAMES, REPEAT_EVERY, UNDATED_EVERY, UNDISPUTED_EVERY
 
 
 def _text(s: str) -> str:
@@ -60,7 +60,7 @@ raw AS (
          {_pick(CODES, f"l_suppkey % {len(CODES)}")} AS ifsc_code,
          CASE WHEN (l_partkey + l_suppkey) % {UNDATED_EVERY} <> 0 THEN l_shipdate + ((l_suppkey % 24) * 60 + l_partkey % 60) * INTERVAL 1 MINUTE END AS transaction_date,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS transaction_amount,
-         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2)) * 5) AS DECIMAL(18,2)) AS disputed_amount,
+         CASE WHEN l_partkey % {UNDISPUTED_EVERY} = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2)) * 5) AS DECIMAL(18,2)) END AS disputed_amount,
          'U' || l_orderkey || '-' || l_linenumber AS utr_no, mode AS payment_mode, CAST(l_linenumber AS INT) AS layer_no,
          CASE WHEN mode IN ('ATM', 'POS') THEN 'T' || (l_suppkey % 40) END AS atm_id, CASE WHEN mode IN ('ATM', 'POS') THEN 'Place ' || (l_suppkey % 40) END AS atm_location,
          n_name AS city, r_name AS state, mode || ' ref ' || l_orderkey AS remarks
@@ -81,7 +81,7 @@ emoded AS (SELECT *, CASE WHEN event_id % 7 IN (0, 1, 2) THEN 'ATM' WHEN event_i
 enamed AS (
   SELECT event_id AS id, 'ACK' || (user_id % 20) AS ack_no, CASE WHEN mode = 'UPI' THEN 'V' || (event_id % 50) ELSE 'E' || user_id END AS victim_account, 'E' || user_id AS beneficiary_account,
          ts AS transaction_date, CAST(abs(coalesce(value, 0)) AS DECIMAL(18,2)) AS transaction_amount, CAST(abs(coalesce(value, 0)) AS DECIMAL(18,2)) AS disputed_amount,
-         'E' || event_id AS utr_no, mode AS payment_mode, 1 AS layer_no, CASE WHEN mode <> 'UPI' THEN 'T' || (event_id % 30) END AS atm_id
+         'E' || event_id AS utr_no, mode AS payment_mode, 1 AS layer_no, CASE WHEN mode = 'POS' THEN 'S' || (event_id % 2) WHEN mode <> 'UPI' THEN 'T' || (event_id % 30) END AS atm_id
   FROM emoded),
 {_ENRICH.replace("NAMED", "enamed")},
 exits AS (SELECT *, CASE WHEN m IN ('POS', 'AEPS') THEN m ELSE 'ATM' END AS channel FROM legs WHERE row_kind = 'EXIT')"""

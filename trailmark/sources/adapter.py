@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from trailmark.functions.banks import with_bank
 from trailmark.schema import MONEY
 
-CODES = ("SBIN0001234", "HDFC0001475", "ICIC0000002", "PPIW0881822", "ZZZZ0000001", "bad code", "", "PUNB0123400")
+CODES = ("SBIN0004321", "HDFC0007077", "ICIC0003030", "PPIW0123456", "ZZZZ0000001", "bad code", "", "PUNB0567800")
 NAMES = ("State Bank of India", "HDFC", "Paytm", "", "Others", "Punjab National Bank")
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 #: Lines whose order and place sum up to a multiple of this come twice.
 REPEAT_EVERY = 50
 UNDATED_EVERY = 97
+#: Nothing is in dispute of what goes to every so many parts.
+UNDISPUTED_EVERY = 11
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +40,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("c_custkey", "n_name", "r_name")
     )
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
-    lines = table(spark, sf_dir, "lineitem").withColumn("rn", place).withColumn("id", F.col("l_orderkey") * 1000 + F.col("rn"))
-    again = lines.where((F.col("l_orderkey") + F.col("rn")) % REPEAT_EVERY == 0).withColumn("id", F.col("id") + 500)
-    rows = lines.unionByName(again).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey"), "left")
+    twice = (F.col("l_orderkey") + F.col("rn")) % REPEAT_EVERY == 0
+    lines = table(spark, sf_dir, "lineitem").withColumn("rn", place).withColumn("again", F.explode(F.when(twice, F.array(F.lit(0), F.lit(500))).otherwise(F.array(F.lit(0)))))
+    rows = lines.withColumn("id", F.col("l_orderkey") * 1000 + F.col("rn") + F.col("again")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey"), "left")
 
     kind = F.concat("l_returnflag", "l_linestatus")
     mode = (
@@ -68,7 +70,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(CODES, supp % len(CODES)).alias("ifsc_code"),
         F.when((F.col("l_partkey") + supp) % UNDATED_EVERY != 0, at).alias("transaction_date"),
         price.alias("transaction_amount"),
-        (price * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)") * F.lit(5).cast("decimal(4,0)"))).cast(MONEY).alias("disputed_amount"),
+        F.when(F.col("l_partkey") % UNDISPUTED_EVERY == 0, F.lit(0).cast(MONEY)).otherwise((price * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)") * F.lit(5).cast("decimal(4,0)"))).cast(MONEY)).alias("disputed_amount"),
         F.concat(F.lit("U"), F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber")).alias("utr_no"),
         F.col("mode").alias("payment_mode"),
         F.col("l_linenumber").cast("int").alias("layer_no"),
@@ -99,5 +101,5 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("E"), F.col("event_id")).alias("utr_no"),
         F.col("mode").alias("payment_mode"),
         F.lit(1).alias("layer_no"),
-        F.when(F.col("mode") != "UPI", F.concat(F.lit("T"), F.col("event_id") % 30)).alias("atm_id"),
+        F.when(F.col("mode") == "POS", F.concat(F.lit("S"), F.col("event_id") % 2)).when(F.col("mode") != "UPI", F.concat(F.lit("T"), F.col("event_id") % 30)).alias("atm_id"),
     )
