@@ -78,3 +78,10 @@ def test_empty_repeated_and_null_ids(spark):
 
 def test_sql(spark):
     assert same(spark, d.op6_line_dedup, d.OP6_SQL, "/root/testdata/sf0.01") == 1000
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"same line\nown {i}", "t", "b", 5) for i in range(12)], "doc_id long, text string, tag string, bitmap string, _N_lines int")
+    out = d.drop_frequent_lines(docs)
+    assert out.columns == ["doc_id", "text", "tag", "bitmap", "_n_lines", "_n_dropped"]
+    assert sorted(tuple(r) for r in out.collect()) == [(i, f"own {i}", "t", "b", 2, 1) for i in range(12)]

@@ -1,3 +1,6 @@
+import math
+import random
+from collections import Counter
 import glob
 import hashlib
 import os
@@ -69,3 +72,38 @@ def test_query(spark):
     rows = d.op3_media_archive(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert {r.doc_id: r.n_bytes for r in rows} == {i: len((t or "").encode()) for i, t in docs.items()}
+
+
+def naive_feature(payload):
+    """The features by plain Python."""
+    n = len(payload)
+    mean = sum(payload) / n
+    deviation = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+    rows = [payload[i : i + d.WIDTH] for i in range(0, n, d.WIDTH)]
+    size, extra = divmod(len(rows), 8)
+    tiles, at = [], 0
+    for k in range(8):
+        band = rows[at : at + size + (k < extra)]
+        at += len(band)
+        for c in range(8):
+            some = [x for r in band for x in r[c * d.WIDTH // 8 : (c + 1) * d.WIDTH // 8]]
+            tiles.append(sum(some) / len(some) if some else 0.0)
+    middle = sum(tiles) / 64
+    return f"mean={mean:.4f};sd={deviation:.4f};bits={bits:.4f};hash={int(''.join('1' if t > middle else '0' for t in tiles), 2):016x}"
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(None, None), (1, ""), (2, "é" * 200), (3, "".join(chr(rng.randint(32, 1000)) for _ in range(5000)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in d.op3_media_archive(spark, str(tmp_path)).collect()}
+    assert len(got) == 4
+    for i, text in rows:
+        data = (text or "").encode()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        media = d.encode_png(payload, len(data))
+        assert d.decode_png(media) == (payload, len(data))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), naive_feature(payload))

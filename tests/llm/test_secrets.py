@@ -64,3 +64,12 @@ def test_no_python_in_the_plan(spark):
 
 def test_sql(spark):
     assert same(spark, d.op2_secret_scan, d.OP2_SQL, "/root/testdata/sf0.01") == 1000
+
+
+def test_many_matches_and_clashing_columns(spark):
+    text = "".join(f"x{i} AKIA{i:016d} é " for i in range(700)) + "a" * 5
+    rows = spark.createDataFrame([(1, text, 7), (2, "none", 8)], "doc_id long, text string, _SECRETS int")
+    found = d.scan_secrets(rows, out_col="out").where("doc_id = 1").first()
+    assert [text[s.start : s.end] for s in found.out if s.rank == 1] == [f"AKIA{i:016d}" for i in range(700)]
+    out = {r.doc_id: r for r in d.redact_secrets(rows).collect()}
+    assert out[1].text.count("[SECRET]") == 700 and out[1]._SECRETS == 7 and out[2].text == "none"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.bytewords import IS_BLANK, LOWER, SpanHash, blocks
-from trailmark.llm.common import cut, table
+from trailmark.llm.common import cut, fresh, without, table
 
 MIN_DOCS = 10
 NEWLINE = 10
@@ -163,13 +163,14 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bits of the kept lines.  Documents are told apart by their integer id (all
     null ids count as one document) and ``tag`` is a hash of the text, so rows
     that share an id but not the text get bitmaps of their own and equal rows
-    count once.  Null and empty texts are one empty line, which has no key.
+    count once.  Null and empty texts are one empty line, which has no key.  Texts
+    may have any length; an empty table has no bitmaps; other columns play no part.
     """
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_emit_lines(min_chars), "h1 long, h2 long, doc long, tag long, pos int, n_lines int")
     spread = lines.repartitionByRange(*[F.col(c) for c in _KEY]).sortWithinPartitions(*_KEY)
     found = cut(spread.mapInArrow(_stream(min_docs, keep == "first"), "h1 long, h2 long, doc long, tag long, pos int, n_lines int, edge boolean"))
     edges = found.where("edge")
-    # at most two keys for each partition of the sort
+    # the first and the last key of each partition of the sort, so that this table has two rows a partition at most
     totals = edges.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("docs"), F.min(F.struct("doc", "tag", "pos")).alias("head")).where(F.col("docs") >= min_docs)
     across = edges.join(F.broadcast(totals), ["h1", "h2"])
     if keep == "first":
@@ -179,47 +180,49 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return drops.groupBy("doc", "tag").agg(F.collect_set("pos").alias("drop"), F.max("n_lines").alias("n_lines")).mapInArrow(_pack, "doc long, tag long, n_lines int, bitmap binary")
 
 
-def _tagger(at: int):
+def _tagger(at: int, tag: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags = [_tags(data, off) for _, _, data, off in blocks(batch.column(at))]
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(tags) if tags else np.zeros(0, np.int64))], names=[*batch.schema.names, "_tag"])
+            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(tags) if tags else np.zeros(0, np.int64))], names=[*batch.schema.names, tag])
 
     return run
 
 
-def _apply(at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            texts, total, lost = [], [], []
-            for text, bitmap in zip(batch.column(at), batch.column(names.index("_bitmap")), strict=True):
-                text, bitmap = text.as_py() or "", bitmap.as_py()
-                n = text.count("\n") + 1
-                total.append(n)
-                if bitmap is None:
-                    texts.append(text)
-                    lost.append(0)
-                else:
-                    keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n)
-                    texts.append("\n".join(x for x, k in zip(text.split("\n"), keep, strict=True) if k))
-                    lost.append(n - int(keep.sum()))
-            columns = [c for c, n in zip(batch.columns, names, strict=True) if n != "_bitmap"]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*(n for n in names if n != "_bitmap"), "_n_lines", "_n_dropped"])
-
-    return run
+def _apply(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Texts in column ``at`` without the lines that the bitmap in the last column lacks."""
+    for batch in batches:
+        texts, total, lost = [], [], []
+        for text, bitmap in zip(batch.column(at), batch.columns[-1], strict=True):
+            text, bitmap = text.as_py() or "", bitmap.as_py()
+            n = text.count("\n") + 1
+            total.append(n)
+            if bitmap is None:
+                texts.append(text)
+                lost.append(0)
+            else:
+                keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n)
+                texts.append("\n".join(x for x, k in zip(text.split("\n"), keep, strict=True) if k))
+                lost.append(n - int(keep.sum()))
+        columns = list(batch.columns[:-1])
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        yield pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "_n_lines", "_n_dropped"])
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept lines as text (joined by \\n; null becomes empty), ``_n_lines`` and ``_n_dropped``."""
+    """``docs`` with the kept lines as text (joined by \\n; null becomes empty), ``_n_lines`` and ``_n_dropped``.
+
+    Other columns stay, whatever their names, but for the two counts, which are replaced.
+    """
+    docs = without(docs, "_n_lines", "_n_dropped")
     at = docs.columns.index(text_col)
     fields = docs.schema.fields
-    tagged = docs.mapInArrow(_tagger(at), T.StructType([*fields, T.StructField("_tag", T.LongType())]))
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("tag").alias("_own"), F.col("bitmap").alias("_bitmap"))
-    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_DOC)) == F.col("_doc")) & (F.col("_tag") == F.col("_own"))
-    joined = tagged.join(maps, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_bitmap")
-    return joined.mapInArrow(_apply(at), T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]))
+    tag, doc, own, bits = fresh(docs, "tag", "doc", "own_tag", "bitmap")
+    tagged = docs.mapInArrow(_tagger(at, tag), T.StructType([*fields, T.StructField(tag, T.LongType())]))
+    maps = bitmaps.select(F.col("doc").alias(doc), F.col("tag").alias(own), F.col("bitmap").alias(bits))
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_DOC)) == F.col(doc)) & (F.col(tag) == F.col(own))
+    joined = tagged.join(maps, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], bits)
+    return joined.mapInArrow(lambda batches: _apply(batches, at), T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]))
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

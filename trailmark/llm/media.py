@@ -98,21 +98,28 @@ def _packer(folder: str):
         name = f"{base}/part-{context.partitionId():06d}.zip"
         draft, n = f"{base}/_draft-{uuid.uuid4().hex}", 0
         out = archive = None
-        for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                if archive is None:
-                    out = store.open_output_stream(draft)
-                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                data = (text.as_py() or "").encode()
-                payload = data.ljust(max(WIDTH, -(-len(data) // WIDTH) * WIDTH), b" ")
-                key = key.as_py()
-                info = zipfile.ZipInfo(f"{n:08d}_{'null' if key is None else key}.png")
-                archive.writestr(info, encode_png(payload, len(data)))
-                n += 1
+        try:
+            for batch in batches:
+                for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                    if archive is None:
+                        out = store.open_output_stream(draft)
+                        archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+                    data = (text.as_py() or "").encode()
+                    payload = data.ljust(max(WIDTH, -(-len(data) // WIDTH) * WIDTH), b" ")
+                    key = key.as_py()
+                    info = zipfile.ZipInfo(f"{n:08d}_{'null' if key is None else key}.png")
+                    archive.writestr(info, encode_png(payload, len(data)))
+                    n += 1
+            if archive is not None:
+                archive.close()
+                out.close()
+                store.move(draft, name)
+        except BaseException:
+            # a task that fails leaves no draft; one whose executor is lost may, and readers pass over it
+            if out is not None and store.get_file_info(draft).type == fs.FileType.File:
+                store.delete_file(draft)
+            raise
         if archive is not None:
-            archive.close()
-            out.close()
-            store.move(draft, name)
             yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "members"])
 
     return run
@@ -123,7 +130,8 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
 
     A member is named by its place and its id.  Null texts are empty ones, which
     make a row of spaces; a null id is named ``null``; repeated rows are members
-    of their own.  Tasks without rows write nothing.
+    of their own.  Tasks without rows write nothing.  A text of any length is one
+    member; other columns of ``docs`` play no part.
     """
     store, base = filesystem(folder)
     store.create_dir(base, recursive=True)
@@ -178,29 +186,40 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _directory(self, store: fs.FileSystem, partition: ByteRange) -> list[zipfile.ZipInfo]:
-        with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as archive:
-            return [m for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
-
-    def _member(self, store: fs.FileSystem, archive: str, member: zipfile.ZipInfo) -> bytes:
-        """The bytes of one member, read at its offset; the file is opened anew for every attempt."""
+    def _retried(self, what: str, read):
+        """``read()``; it opens its file anew for every attempt."""
         error: Exception | None = None
         for _ in range(self.attempts):
             try:
-                with store.open_input_file(archive) as f:
-                    f.seek(member.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member at this offset")
-                    name, extra = struct.unpack("<HH", head[26:30])
-                    f.seek(member.header_offset + 30 + name + extra)
-                    data = f.read(member.compress_size)
-                if zlib.crc32(data) != member.CRC:
-                    raise ValueError("a damaged member")
-                return data
-            except (OSError, ValueError) as e:
+                return read()
+            except (OSError, ValueError, zipfile.BadZipFile) as e:
                 error = e
-        raise OSError(f"{member.filename} at {member.header_offset} of {archive}: {error}") from error
+        raise OSError(f"{what}: {error}") from error
+
+    def _directory(self, store: fs.FileSystem, partition: ByteRange) -> list[zipfile.ZipInfo]:
+        def read() -> list[zipfile.ZipInfo]:
+            with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as archive:
+                return [m for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
+
+        return self._retried(f"the directory of {partition.archive}", read)
+
+    def _member(self, store: fs.FileSystem, archive: str, member: zipfile.ZipInfo) -> bytes:
+        """The bytes of one member, read at its offset."""
+
+        def read() -> bytes:
+            with store.open_input_file(archive) as f:
+                f.seek(member.header_offset)
+                head = f.read(30)
+                if head[:4] != b"PK\x03\x04":
+                    raise ValueError("no member at this offset")
+                name, extra = struct.unpack("<HH", head[26:30])
+                f.seek(member.header_offset + 30 + name + extra)
+                data = f.read(member.compress_size)
+            if zlib.crc32(data) != member.CRC:
+                raise ValueError("a damaged member")
+            return data
+
+        return self._retried(f"{member.filename} at {member.header_offset} of {archive}", read)
 
 
 def _batch(rows: list[tuple[str, int, str, bytes]]) -> pa.RecordBatch:
@@ -248,5 +267,8 @@ def media_features(members: DataFrame) -> DataFrame:
 
 def op3_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if not urlsplit(folder).scheme and not default.startswith("file:"):
+        folder = default.rstrip("/") + folder  # a path without a scheme is one of the cluster's own file system
     write_archives(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
     return media_features(read_archives(spark, folder))

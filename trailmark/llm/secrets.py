@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import table
+from trailmark.llm.common import fresh, table
 
 
 def _either(word: str) -> str:
@@ -28,6 +28,8 @@ VALUE_LENGTH = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
+#: Matches of one text whose places are folded together.
+CHUNK = 256
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
@@ -50,14 +52,24 @@ def _matches(text: Column, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:long,end:long,value:string>>")
 
+    size = lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
 
+    def shift(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
     # there is one gap more than there are matches
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    scanned = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    # a fold copies what it has so far at every match, so matches are folded in chunks, from where each begins
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda i: F.slice(steps, i * CHUNK + 1, F.lit(CHUNK)))
+    sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + size(x)))
+    begin = F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out")), shift, lambda acc: acc["out"])
+    fold = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    scanned = F.when(F.size(found) <= CHUNK, fold(steps, F.lit(0).cast("long"))).otherwise(F.flatten(F.zip_with(chunks, begin, fold)))
     return F.when(text.rlike(pattern), scanned).otherwise(empty)
 
 
@@ -136,19 +148,19 @@ def scan_secrets(
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every span of :func:`scan_secrets` (overlapping ones merged) replaced by ``mark``."""
-    found = scan_secrets(df, text_col, out_col="_secrets")
+    """``df`` with every span of :func:`scan_secrets` (overlapping ones merged) replaced by ``mark``; other columns stay, whatever their names."""
+    (own,) = fresh(df, "_secrets")
+    found = scan_secrets(df, text_col, out_col=own)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    done = F.aggregate("_secrets", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
+    done = F.aggregate(own, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
     rest = F.substring(text, done["at"].cast("int") + 1, F.length(text))
-    whole = F.when(F.size("_secrets") > 0, F.concat(done["out"], rest)).otherwise(F.col(f"`{text_col}`"))
-    return found.withColumn(text_col, whole).drop("_secrets")
+    whole = F.when(F.size(own) > 0, F.concat(done["out"], rest)).otherwise(F.col(f"`{text_col}`"))
+    return found.withColumn(text_col, whole).drop(own)
 
 
 def _joined(spans: Column) -> Column:
