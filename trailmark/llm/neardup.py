@@ -44,7 +44,7 @@ ROWS = 5
 #: Members up to which the outsiders of a bucket are compared with all of it at once.
 SMALL_BUCKET = 32
 #: Texts and their bytes on either side of a block in which larger groups are compared, and shingles that it looks at together.
-BLOCK, BLOCK_BYTES, BLOCK_COLUMNS = 512, 1 << 23, 8192
+BLOCK, BLOCK_BYTES, BLOCK_COLUMNS = 256, 1 << 22, 8192
 #: Pairs are compared exactly if their signatures agree this much less than the threshold; five deviations at 160 slots.
 SLACK = 0.16
 #: Nodes (32 bytes each) up to which a list of them is broadcast; beyond, texts are joined with it by their keys.
