@@ -151,3 +151,31 @@ def test_components(spark):
         assert n == len(want)
         assert {r.node: r.label for r in got.collect()} == want
     assert np.unique([*want.values()]).size > 3
+
+
+def test_no_link_is_lost_on_a_real_table(spark):
+    """Ids divisible by 20 against all documents: pairs at 0.8 or more, found exactly by an inverted index, are of one class."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
+    classes = {r.doc_id: r.class_id for r in d.op4_probminhash_near_dedup(spark, sf).collect()}
+    parts = []
+    for i, j, data, off in blocks(pa.array(docs["text"], pa.string())):
+        doc, element, count = d.bags(Words(data, off))
+        parts.append((doc + i, element, count))
+    doc, element, count = (np.concatenate(x) for x in zip(*parts))
+    first = np.searchsorted(doc, np.arange(len(docs) + 1))
+    order = np.argsort(element, kind="stable")
+    named = element[order]
+    links = lost = 0
+    for q in np.flatnonzero(docs["doc_id"] % 20 == 0):
+        own = slice(first[q], first[q + 1])
+        left, right = np.searchsorted(named, element[own], "left"), np.searchsorted(named, element[own], "right")
+        shared = np.bincount(np.concatenate([doc[order[a:b]] for a, b in zip(left, right)] or [np.zeros(0, int)]), minlength=len(docs))
+        for x in np.flatnonzero(shared > 0.05 * (first[q + 1] - first[q])):
+            if x != q and docs["text"][x] != docs["text"][q]:
+                other = slice(first[x], first[x + 1])
+                if max(d.similarity((element[own], count[own]), (element[other], count[other]))) >= 0.8:
+                    links += 1
+                    lost += classes[docs["doc_id"][x]] != classes[docs["doc_id"][q]]
+    print(f"{links} links, {lost} lost")
+    assert links > 20 and lost <= links / 1000
