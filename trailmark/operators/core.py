@@ -10,8 +10,8 @@ from trailmark.schema import MONEY
 from trailmark.session import stored
 
 CASH_MODES = ("ATM", "POS", "AEPS")
-#: What the analysis of flagged legs reads.
-ANALYSIS = ("id", "report_id", "ack_no", "victim_key", "benef_key", "cash_account", "row_kind", "cashout_mode", "payment_mode", "layer_no", "transaction_date", "day", "transaction_amount", "disputed_amount", "utr_no", "beneficiary_name", "beneficiary_bank", "raw_beneficiary_bank", "ifsc_code", "bank_source", "bank_flag", "atm_id", "atm_location", "city", "state", "is_duplicate")
+#: What sums by account, edges and layers read of flagged legs.
+SUMMED = ("id", "victim_key", "benef_key", "cash_account", "row_kind", "layer_no", "transaction_date", "transaction_amount", "disputed_amount", "beneficiary_bank", "ifsc_code", "is_duplicate")
 
 
 def money(c: Column) -> Column:
@@ -70,10 +70,10 @@ def legs(ledger: DataFrame) -> DataFrame:
     return flag_duplicates(enrich(ledger)).where(~F.col("is_duplicate"))
 
 
-def stored_legs(ledger: DataFrame) -> DataFrame:
-    """Flagged legs, kept once for figures that need them several times; columns that no analysis reads are left out."""
+def stored_legs(ledger: DataFrame, *more: str) -> DataFrame:
+    """Flagged legs, kept once for figures that need them several times: the columns SUMMED and ``more``, as far as there are."""
     flagged = flag_duplicates(enrich(ledger))
-    return stored(flagged.select(*[c for c in ANALYSIS if c in flagged.columns]))
+    return stored(flagged.select(*[c for c in flagged.columns if c in SUMMED or c in more]))
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

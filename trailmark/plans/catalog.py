@@ -54,9 +54,14 @@ def _flagged(l: DataFrame) -> DataFrame:
     return flag_duplicates(enrich(l))
 
 
-def _legs(l: DataFrame) -> DataFrame:
-    """Legs that are kept, for queries that need them more than once."""
-    return stored_legs(l).where("NOT is_duplicate")
+def _legs(l: DataFrame, *more: str) -> DataFrame:
+    """Legs that are kept, for queries that need them more than once; ``more`` columns than sums need."""
+    return stored_legs(l, *more).where("NOT is_duplicate")
+
+
+#: Columns that scores, and that flags of banks read besides.
+_SCORED = ("day", "ack_no", "city", "beneficiary_name", "payment_mode")
+_BANKED = ("bank_source", "bank_flag", "raw_beneficiary_bank")
 
 
 D = lambda c, name=None: f"CAST({c} AS DOUBLE) AS {name or c}"
@@ -131,7 +136,7 @@ def _(l):
  (SELECT count(*) FROM accounts WHERE hops_in > 0) AS total_accounts, {D("(SELECT sum(lien_eligible_amount) FROM accounts)", "lien_table_total")}, {D("(SELECT base_amount FROM money)", "victim_loss_amount")}, {D("(SELECT cashed_out FROM money)", "cashed_out")},
  {D("(SELECT on_hold FROM money)", "on_hold")}, 0.0::DOUBLE AS refunded, {D(f"(SELECT {_RECOVERABLE} FROM money)", "recoverable_residual")} FROM flagged"""))
 def _(l):
-    flagged = stored_legs(l)
+    flagged = stored_legs(l, "day")
     return money.summary(flagged, cut(rollup(flagged.where("NOT is_duplicate"))))
 
 
@@ -141,14 +146,14 @@ _SAME_DAY = "same_day AS (SELECT legs.* FROM legs JOIN receipts ON cash_account
 
 @query("same_day_cashouts", on_events(_RECEIPTS, _SAME_DAY, select=f"SELECT id, cash_account, {S('day')}, atm_id, {D('transaction_amount')} FROM same_day"), events_ledger)
 def _(l):
-    return money.same_day_exits(_legs(l)).select("id", "cash_account", "day", "atm_id", "transaction_amount")
+    return money.same_day_exits(_legs(l, "day", "cashout_mode", "atm_id")).select("id", "cash_account", "day", "atm_id", "transaction_amount")
 
 
 @query("cashout_analysis", on_ledger(ROLLUP, _RECEIPTS, _SAME_DAY, select=f"""SELECT {D("(SELECT coalesce(sum(capped), 0) FROM capped)", "total_cashout_amount")}, {D("(SELECT sum(transaction_amount) FROM legs WHERE row_kind = 'EXIT')", "total_cashout_amount_uncapped")}, 'CAP_AT_RECEIVED' AS cashout_policy,
  (SELECT count(*) FROM legs WHERE row_kind = 'EXIT') AS total_cashout_transactions, (SELECT count(*) FROM same_day) AS same_day_cashouts,
  (SELECT round(date_diff('second', d, (SELECT min(transaction_date) FROM legs WHERE row_kind = 'EXIT' AND transaction_date >= d)) / 3600, 2) FROM (SELECT min(transaction_date) AS d FROM first_layer)) AS fastest_cashout_hours"""))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, "day", "cashout_mode")
     return money.cashout_view(rows, rollup(rows))
 
 
@@ -216,7 +221,7 @@ hours AS (SELECT layer_no, round(sum(date_diff('second', t, n)) / count(*) / 360
  round(nxt.account_count / b.account_count, 4) AS fan_out_ratio, coalesce(round(nxt.account_count / b.account_count, 4) >= 2.0, false) AS fan_out_high, top_banks, avg_forward_time_hours
  FROM base b LEFT JOIN base nxt ON nxt.layer_no = b.layer_no + 1 LEFT JOIN banks ON banks.layer_no = b.layer_no LEFT JOIN hours ON hours.layer_no = b.layer_no"""))
 def _(l):
-    return graph.layers(_legs(l))
+    return graph.layers(_legs(l, "ack_no"))
 
 
 @query("layer_flows", on_ledger(select=f"""SELECT CASE WHEN row_kind = 'HOP' AND layer_no = (SELECT min(layer_no) FROM legs WHERE row_kind = 'HOP') THEN 'origin' WHEN row_kind = 'HOP' THEN 'layer:' || (layer_no - 1) ELSE 'layer:' || layer_no END AS source,
@@ -299,7 +304,7 @@ _MINUTES = "(date_diff('microsecond', first, last) // 60000000)"
 @query("exit_flags", on_events(*_FLAGS, select=f"""SELECT 'ATM' AS channel, 'rapid' AS flag, subject, n AS "count", {D('s', 'total_amount')}, n || ' withdrawals in ' || {_MINUTES} || ' min' AS why FROM rapid
  UNION ALL SELECT 'ATM', 'multi_atm', subject, n, s::DOUBLE, distinct_atms || ' different ATMs on ' || day FROM many UNION ALL SELECT 'POS', 'suspicious_merchant', subject, n, s::DOUBLE, n || ' POS txns in ' || {_MINUTES} || ' min' FROM shops"""), events_ledger)
 def _(l):
-    return behaviour.exit_flags(_legs(l))
+    return behaviour.exit_flags(_legs(l, "day", "payment_mode", "atm_id"))
 
 
 _WITHIN = "epoch(date_trunc('second', transaction_date)) BETWEEN epoch(date_trunc('second', first)) AND epoch(date_trunc('second', first)) + 3600"
@@ -309,7 +314,7 @@ _WITHIN = "epoch(date_trunc('second', transaction_date)) BETWEEN epoch(date_trun
  UNION ALL SELECT 'ATM', 'multi_atm', subject, id, transaction_date::VARCHAR, transaction_amount::DOUBLE, 'one day at ' || distinct_atms || ' machines' FROM many JOIN exits ON cash_account = subject AND channel = 'ATM' AND has_terminal AND exits.day = many.day
  UNION ALL SELECT 'POS', 'suspicious_merchant', subject, id, transaction_date::VARCHAR, transaction_amount::DOUBLE, 'one of ' || n || ' within 60 min' FROM shops JOIN exits ON atm_id = subject AND channel = 'POS' AND {_WITHIN}"""), events_ledger)
 def _(l):
-    return behaviour.flag_legs(_legs(l))
+    return behaviour.flag_legs(_legs(l, "day", "payment_mode", "atm_id"))
 
 
 _SPEED = """got AS (SELECT benef_key AS account_no, min(transaction_date) AS t FROM legs WHERE row_kind = 'HOP' AND transaction_date IS NOT NULL GROUP BY 1),
@@ -330,7 +335,7 @@ def _(l):
  {D("base_amount")}, {D("on_hold", "secured_amount")}, {PCT("on_hold", "base_amount")} AS recovery_pct, CASE WHEN base_amount <= 0 THEN 'none' WHEN on_hold <= 0 THEN 'danger' WHEN {PCT("on_hold", "base_amount")} < 25 THEN 'warn' ELSE 'ok' END AS recovery_severity
  FROM money, (SELECT min(day) AS f, min(day) FILTER (WHERE row_kind = 'HOLD') AS t FROM legs)"""))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, "day")
     return behaviour.investigation_metrics(rows, rollup(rows))
 
 
@@ -400,14 +405,14 @@ quality AS (SELECT benef_key AS account_no, beneficiary_bank AS bank, raw_benefi
 
 @query("data_quality", on_ledger(_QUALITY, select="SELECT * FROM quality"))
 def _(l):
-    return attribution.flagged_accounts(_legs(l)).drop("message")
+    return attribution.flagged_accounts(_legs(l, *_BANKED)).drop("message")
 
 
 @query("data_quality_summary", on_ledger(ROLLUP, _QUALITY, select=f"""SELECT *, {PCT("flagged_accounts", "total_accounts")} AS pct_affected, CASE WHEN freeze_target_accounts > 0 THEN 'red' WHEN actionable_accounts > 0 THEN 'amber' ELSE 'green' END AS status FROM (
  SELECT count(*) AS flagged_accounts, count(*) FILTER (WHERE severity = 'actionable') AS actionable_accounts, count(*) FILTER (WHERE bank_flag = 'IFSC_TEXT_MISMATCH') AS auto_corrected, count(*) FILTER (WHERE severity <> 'actionable' AND bank_flag = 'NO_IFSC') AS expected_no_ifsc,
  count(*) FILTER (WHERE severity = 'actionable' AND account_no IN (SELECT account_no FROM liens)) AS freeze_target_accounts, (SELECT count(DISTINCT benef_key) FROM legs WHERE benef_key <> '') AS total_accounts FROM quality)"""))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, *_BANKED)
     return attribution.quality_summary(rows, attribution.flagged_accounts(rows), money.liens(rollup(rows)))
 
 
@@ -579,7 +584,7 @@ _CONDUIT = "risk_label IN ('HIGH', 'MEDIUM') AND disputed_received < 10000 AND g
 
 @query("mule_scores", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, bank_name, layer_no, mule_score, risk_label, ratio AS pass_through_ratio, cases, places, channels, same_day, {_CONDUIT} AS gross_conduit, CASE WHEN distinct_senders >= 5 THEN 'danger' WHEN distinct_senders >= 3 THEN 'warn' END AS aggregator_severity, {', '.join(f'points_{k}' for k in _POINTS)} FROM scored"))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, *_SCORED)
     return scoring.score(rows, rollup(rows)).select("account_no", "bank_name", "layer_no", "mule_score", "risk_label", "pass_through_ratio", "cases", "places", "channels", "same_day", "gross_conduit", "aggregator_severity", *[f"points_{k}" for k in scoring.WEIGHTS])
 
 
@@ -595,31 +600,31 @@ _REASONS = ", ".join(f"CASE WHEN points_{k} > 0 THEN {v} || ' (+' || CAST(round(
 
 @query("mule_reasons", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, mule_score, array_to_string(list_filter([{_REASONS}], lambda x: x IS NOT NULL), '; ') AS suspicion_reasons FROM scored"))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, *_SCORED)
     return scoring.score(rows, rollup(rows)).select("account_no", "mule_score", "suspicion_reasons")
 
 
 @query("mule_list", on_ledger(ROLLUP, _SPEED, _SCORES, select=f"SELECT account_no, bank_name, layer_no, mule_score, {D('total_received')} FROM scored WHERE risk_label = 'HIGH' AND layer_no IN (1, 2) AND bank_name ILIKE '%bank%' AND scored.total_received BETWEEN 100000 AND 5000000"))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, *_SCORED)
     return browse.risk_list(scoring.score(rows, rollup(rows)), risk="HIGH", layers=[1, 2], text="bank", received_from=Decimal(100000), received_to=Decimal(5000000)).select("account_no", "bank_name", "layer_no", "mule_score", "total_received")
 
 
 @query("risk_counts", on_ledger(ROLLUP, _SPEED, _SCORES, select="SELECT count(*) FILTER (WHERE risk_label = 'HIGH') AS high, count(*) FILTER (WHERE risk_label = 'MEDIUM') AS medium, count(*) FILTER (WHERE risk_label = 'LOW') AS low FROM scored"))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, *_SCORED)
     return scoring.risk_counts(scoring.score(rows, rollup(rows)))
 
 
 @query("layer_detail", on_ledger(ROLLUP, _SPEED, _SCORES, select="SELECT account_no, mule_score, risk_label, layer_no FROM scored WHERE layer_no = 2"))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, *_SCORED)
     return browse.layer_accounts(scoring.score(rows, rollup(rows)), 2).select("account_no", "mule_score", "risk_label", "layer_no")
 
 
 @query("peak_layer", on_ledger(_LAYERS, select="SELECT arg_max(layer_no, account_count) AS peak_layer, max(account_count) AS accounts FROM base"))
 def _(l):
-    return graph.layers(_legs(l)).agg(F.max_by("layer_no", "account_count").alias("peak_layer"), F.max("account_count").alias("accounts"))
+    return graph.layers(_legs(l, "ack_no")).agg(F.max_by("layer_no", "account_count").alias("peak_layer"), F.max("account_count").alias("accounts"))
 
 
 @query("cashout_reconciliation", on_ledger(ROLLUP, select=f"""SELECT {D("(SELECT sum(transaction_amount) FROM flagged WHERE row_kind = 'EXIT')", "gross_shown")}, {D("(SELECT coalesce(sum(transaction_amount), 0) FROM flagged WHERE row_kind = 'EXIT' AND is_duplicate)", "dup_amount_shown")},
@@ -631,7 +636,7 @@ def _(l):
 
 @query("badges", on_ledger(ROLLUP, _SPEED, _SCORES, _QUALITY, select="SELECT (SELECT count(*) FROM scored WHERE risk_label = 'HIGH') AS high_risk, (SELECT count(*) FROM quality) AS bank_flags"))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, *_SCORED, *_BANKED)
     return one_row(scoring.score(rows, rollup(rows)).agg(F.count_if(F.col("risk_label") == "HIGH").alias("high_risk")), attribution.flagged_accounts(rows).agg(F.count("*").alias("bank_flags")))
 
 
@@ -683,7 +688,7 @@ _FIGURES = f"""figures AS (SELECT (SELECT base_amount FROM money) AS loss, (SELE
  UNION ALL SELECT 2, 'Still recoverable: ' || {_RUPEES('rest')} || '; liens could take ' || {_RUPEES('lien')} || '.' FROM figures UNION ALL SELECT 3, high || ' accounts of high and ' || medium || ' of medium risk.' FROM figures
  UNION ALL SELECT 4, again || ' repeated legs were set apart.' FROM figures"""))
 def _(l):
-    flagged = stored_legs(l)
+    flagged = stored_legs(l, *_SCORED)
     rows = flagged.where("NOT is_duplicate")
     accounts = cut(rollup(rows))
     return findings.key_findings(money.summary(flagged, accounts), scoring.risk_counts(scoring.score(rows, accounts)))
@@ -694,7 +699,7 @@ def _(l):
  UNION ALL SELECT 'P0', 'Confirm banks of lien targets', CASE WHEN n > 0 THEN n || ' lien targets have doubtful banks.' END FROM doubt UNION ALL SELECT 'P1', 'Examine accounts of high risk', CASE WHEN high > 0 THEN high || ' accounts score high.' END FROM figures
  UNION ALL SELECT 'P2', 'Ask for footage of cash exits', CASE WHEN cash > 0 THEN {_RUPEES('cash')} || ' left as cash.' END FROM figures UNION ALL SELECT 'P3', 'Check repeated legs', CASE WHEN again > 0 THEN again || ' legs are listed more than once.' END FROM figures) WHERE description IS NOT NULL"""))
 def _(l):
-    flagged = stored_legs(l)
+    flagged = stored_legs(l, *_SCORED, *_BANKED)
     rows = flagged.where("NOT is_duplicate")
     accounts = cut(rollup(rows))
     quality = attribution.quality_summary(rows, attribution.flagged_accounts(rows), money.liens(accounts))
@@ -738,7 +743,7 @@ def _(l):
 @query("lien_updates", on_ledger(ROLLUP, "firsts AS (SELECT report_id, benef_key AS account_no, arg_min(beneficiary_bank, id) FILTER (WHERE trim(beneficiary_bank) <> '') AS b, arg_min(ifsc_code, id) FILTER (WHERE ifsc_code IS NOT NULL) AS c FROM legs WHERE benef_key <> '' GROUP BY 1, 2)",
  select="SELECT report_id, account_no, CASE WHEN report_id = 2 THEN 'stored' ELSE b END AS bank_name, CASE WHEN report_id = 2 THEN NULL ELSE c END AS ifsc_code, CASE report_id WHEN 1 THEN 'applied' WHEN 2 THEN CASE WHEN length(account_no) % 2 = 0 THEN 'applied' ELSE 'success' END ELSE 'pending' END AS status, CASE WHEN report_id = 2 THEN 'old' ELSE 'new' END AS remarks, CASE report_id WHEN 1 THEN '2024-01-02 00:00:00' WHEN 2 THEN CASE WHEN length(account_no) % 2 = 0 THEN '2024-01-02 00:00:00' END END AS applied_date FROM firsts WHERE report_id IN (1, 2, 3)"))
 def _(l):
-    rows = _legs(l)
+    rows = _legs(l, "report_id")
     accounts = rows.where("benef_key <> '' AND report_id IN (1, 2, 3)").select("report_id", F.col("benef_key").alias("account_no")).distinct()
     stored = accounts.where("report_id = 2").selectExpr("report_id", "account_no", "'stored' AS bank_name", "CAST(NULL AS STRING) AS ifsc_code", "'pending' AS status", "'old' AS remarks", "CAST(NULL AS TIMESTAMP_NTZ) AS applied_date")
     news = accounts.selectExpr("report_id", "account_no", "CASE WHEN report_id = 1 OR report_id = 2 AND length(account_no) % 2 = 0 THEN 'applied' WHEN report_id = 2 THEN 'success' END AS status", "CASE WHEN report_id <> 2 THEN 'new' END AS remarks")
@@ -760,7 +765,7 @@ def _(l):
 
 @query("report_deleted", on_ledger(_CONTRIB, select="SELECT 'contributions' AS name, count(*) AS rows FROM contributed WHERE report_id <> 2 UNION ALL SELECT 'transactions', count(*) FROM flagged WHERE report_id <> 2 UNION ALL SELECT 'audit_log', count(*) FROM flagged WHERE is_duplicate"))
 def _(l):
-    flagged = stored_legs(l)
+    flagged = stored_legs(l, "report_id")
     tables = registry.delete_report({"transactions": flagged, "contributions": registry.contributions(flagged.where("NOT is_duplicate")), "audit_log": flagged.where("is_duplicate")}, 2)
     out = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
