@@ -196,13 +196,13 @@ _AGG = "aggregators AS (SELECT account_no, in_degree AS distinct_senders, CASE W
 
 @query("aggregator_accounts", on_ledger(EDGES, ROLLUP, _AGG, select=f"SELECT account_no, distinct_senders, severity, {D('total_received')}, {D('held')}, layer_no FROM aggregators"))
 def _(l):
-    rows = _legs(l)
+    rows = legs(l)
     return graph.aggregators(graph.connectivity(graph.edges(rows)), rollup(rows))
 
 
 @query("aggregator_summary", on_ledger(EDGES, ROLLUP, _AGG, select=f"SELECT count(*) AS \"count\", max(distinct_senders) AS max_fan_in, median(distinct_senders) AS median_fan_in, {D('sum(held)', 'total_held')}, {D('sum(total_received)', 'total_received')} FROM aggregators"))
 def _(l):
-    rows = _legs(l)
+    rows = legs(l)
     return graph.aggregator_summary(graph.aggregators(graph.connectivity(graph.edges(rows)), rollup(rows)))
 
 
