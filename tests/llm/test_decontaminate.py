@@ -1,9 +1,14 @@
 import random
 import re
+import sys
 import time
+from pathlib import Path
 
 import numpy as np
 
+sys.path.insert(0, str(Path(__file__).parent))
+from oracle import same
+
 from trailmark.llm import decontaminate as d
 from trailmark.llm.bytewords import Words
 
@@ -80,3 +85,7 @@ def test_drop_keeps_columns(spark):
     more = docs.withColumnRenamed("hash", "_Spans")
     assert d.drop_contaminated(more, bench).columns == more.columns
     assert [tuple(r) for r in out.collect()] == [(2, "clean text", 6)] * 2
+
+
+def test_sql(spark):
+    assert same(spark, d.op10_winnowing_decontamination, d.OP10_SQL, "/root/testdata/sf0.01") > 900

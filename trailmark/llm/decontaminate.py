@@ -326,3 +326,20 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+_WORDS = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP10_SQL = f"""
+WITH src AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS("text")} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, w, least(len(w), {WINDOW}) AS k FROM (SELECT item_id, {_WORDS("text")} AS w FROM benchmark) WHERE len(w) > 0),
+item_windows AS (SELECT DISTINCT item, k, array_to_string(w[i + 1:i + k], ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS i FROM items)),
+doc_windows AS (
+  SELECT rid, i, k, array_to_string(w[i + 1:i + k], ' ') AS win
+  FROM (SELECT rid, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM src, (SELECT DISTINCT k FROM item_windows) WHERE len(w) >= k)),
+hits AS (SELECT rid, i, k, item FROM doc_windows JOIN item_windows USING (k, win)),
+words_hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT rid, i, k FROM hits)) GROUP BY rid),
+items_hit AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM src LEFT JOIN words_hit USING (rid) LEFT JOIN items_hit USING (rid)
+"""

@@ -31,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_secret_scan": secrets.OP2_SQL,
         "op6_line_dedup": linededup.OP6_SQL,
         "op7_poisson_mixing": mixing.OP7_SQL,
+        "op10_winnowing_decontamination": decontaminate.OP10_SQL,
     }
