@@ -6,6 +6,9 @@ partial figures are worse than none.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from trailmark.functions.headers import HEADERS
 from trailmark.functions.similar import best_labels
 from trailmark.functions.text import blank_to_null, loose_header, normalised_header, without_label
 from trailmark.schema import LEDGER
+from trailmark.session import stored
 
 HEADER_ROWS, HEADER_MATCHES = 11, 3
 SHEET = ["path", "sheet_no", "sheet"]
@@ -29,6 +33,11 @@ SHEET_NAMES = [
     ("others less then 500", "OTHER"),
     ("old transaction", "OLD_TRANSACTION"),
 ]
+#: Rows of a sheet in which an export names one of its columns at least, the words that tell (fixed values), and file endings.
+TOKEN_ROWS = 5
+TOKENS = ("layer", "acknowledg", "account no", "accountno", "beneficiary", "disputed", "utr")
+ENDINGS = (".xlsx", ".xls")
+#: Headers that only sheets of old transactions have, in their loose form, and the columns that they become (fixed values).
 OLD_ONLY = {"ptrans": "parent_txn", "paccountno": "parent_account", "pifsccode": "pifsc_code", "pisnodal": "pis_nodal"}
 
 
@@ -61,6 +70,16 @@ def known_column(header: Column) -> Column:
     return F.coalesce(_lookup(strict, normalised_header(header)), _lookup(loose, loose_header(header)))
 
 
+def upload_problems(cells: DataFrame) -> DataFrame:
+    """(path, problem): files that have another ending than workbooks, or no header word in the first rows of any sheet."""
+    words = F.regexp_replace(F.lower("value"), r"\s+", " ")
+    tells = (F.col("r") < TOKEN_ROWS) & reduce(or_, [words.contains(t) for t in TOKENS])
+    files = cells.groupBy("path").agg(F.max("error").alias("_error"), F.coalesce(F.bool_or(tells), F.lit(False)).alias("_tells"))
+    fine = reduce(or_, [F.lower("path").endswith(e) for e in ENDINGS])
+    problem = F.when(F.col("_error").isNotNull(), F.col("_error")).when(~fine, "FILE_TYPE").when(~F.col("_tells"), "NOT_AN_EXPORT")
+    return files.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def fill_merged(cells: DataFrame) -> DataFrame:
     """``cells`` with the value of a merged range's first cell in all of its empty ones, in rows and columns that the sheet uses.
 
@@ -94,7 +113,8 @@ def column_mapping(cells: DataFrame, heads: DataFrame) -> DataFrame:
     sure = first(exact.where("field IS NOT NULL")).withColumn("how", F.lit("exact"))
     labels = sorted({(_loose(n), c) for c, names in HEADERS.items() for n in (c, *names)})
     place = [*SHEET, "header_r", "c", "header"]
-    near = best_labels(exact.where("field IS NULL").withColumn("_loose", loose_header(F.col("header"))), place, "_loose", labels).withColumnRenamed("value", "field")
+    unknown = exact.where("field IS NULL").withColumn("_loose", loose_header(F.col("header"))).where(~F.col("_loose").isin(*OLD_ONLY))
+    near = best_labels(unknown, place, "_loose", labels).withColumnRenamed("value", "field")
     near = first(near.join(sure.select(*SHEET, "field"), [*SHEET, "field"], "left_anti")).withColumn("how", F.lit("similar"))
     return sure.unionByName(near)
 
@@ -117,6 +137,13 @@ def raw_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.where(~((F.col("_same") >= 2) & (F.col("_same") == F.col("_cells")))).drop("_same", "_cells")
 
 
+def old_columns(cells: DataFrame, heads: DataFrame) -> DataFrame:
+    """(sheet, r, parent_txn, parent_account, pifsc_code, pis_nodal) of the rows that have one of the columns of OLD_ONLY."""
+    named = cells.join(heads, SHEET).where("r = header_r").select(*SHEET, "header_r", "c", _lookup(OLD_ONLY, loose_header(F.col("value"))).alias("field")).where("field IS NOT NULL")
+    kept = cells.join(named, [*SHEET, "c"]).where("r > header_r")
+    return kept.groupBy(*ROW).agg(*[F.max(F.when(F.col("field") == f, blank_to_null(F.col("value")))).alias(f) for f in OLD_ONLY.values()])
+
+
 def sheet_problems(rows: DataFrame, channels: DataFrame, mapping: DataFrame) -> DataFrame:
     """(sheet, category, known, data_rows, problem): REQUIRED_COLUMN_MISSING, UNKNOWN_CHANNEL, ZERO_AMOUNTS or null."""
     has = mapping.groupBy(*SHEET).agg(F.collect_set("field").alias("fields"))
@@ -170,17 +197,21 @@ def typed_rows(rows: DataFrame) -> DataFrame:
 
 def parse_workbooks(cells: DataFrame) -> dict[str, DataFrame]:
     """``rows`` (the ledger of all accepted sheets), ``old_transactions``, ``mapping``, ``sheets`` and ``errors``."""
-    filled = fill_merged(cells)
-    mapping = column_mapping(filled, header_rows(filled))
+    # read once, as each reader of the result would open the workbooks again
+    cells = stored(cells)
+    uploads = upload_problems(cells)
+    filled = stored(fill_merged(cells.join(uploads, "path", "left_anti")))
+    heads = header_rows(filled)
+    mapping = column_mapping(filled, heads)
     rows = raw_rows(filled, mapping)
     problems = sheet_problems(rows, sheet_channels(filled), mapping)
     fine = rows.join(problems.where("problem IS NULL").select(*SHEET, "category", "_has_beneficiary"), SHEET)
     typed = typed_rows(fine)
-    broken = cells.where("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("sheet"), F.col("error").alias("problem"))
+    broken = uploads.select("path", F.lit(None).cast("string").alias("sheet"), "problem")
     refused = problems.where("problem IN ('REQUIRED_COLUMN_MISSING', 'UNKNOWN_CHANNEL')").select("path", "sheet", "problem")
     return {
         "rows": typed.where("category <> 'OLD_TRANSACTION'"),
-        "old_transactions": typed.where("category = 'OLD_TRANSACTION'"),
+        "old_transactions": typed.where("category = 'OLD_TRANSACTION'").join(old_columns(filled, heads), ROW, "left"),
         "mapping": mapping,
         "sheets": problems.drop("_has_beneficiary"),
         "errors": broken.unionByName(refused),

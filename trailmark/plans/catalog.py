@@ -15,6 +15,8 @@ from trailmark.operators.core import enrich, flag_duplicates, legs, one_row, rol
 from trailmark.plans.sql import EDGES, ROLLUP, on_events, on_ledger
 from trailmark.session import cut
 from trailmark.sources.adapter import events_ledger, ledger
+from trailmark.sources.demo import demo_trail
+from trailmark.sources.sheets import ledger_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -769,3 +771,98 @@ def _(l):
     tables = registry.delete_report({"transactions": flagged, "contributions": registry.contributions(flagged.where("NOT is_duplicate")), "audit_log": flagged.where("is_duplicate")}, 2)
     out = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# -- ingestion: the ledger as cells of workbooks, and what is read from them ----
+_SHEETED = """sheeted AS (
+  SELECT *, r0 + CAST(id % 1000 AS INT) AS r, k = 3 AND sheet_no = 2 AS is_old,
+         CASE WHEN k = 3 AND sheet_no = 2 THEN 'Old Transaction' WHEN k = 1 AND sheet_no = 3 THEN 'Sheet 7' WHEN k = 2 AND sheet_no = 4 THEN 'Sheet 8' WHEN k = 4 AND sheet_no = 4 THEN 'Transacton put on hld'
+              ELSE ['Money Transfer to', 'Withdrawal through ATM', 'Withdrawal through POS', 'AEPS', 'Put on hold'][sheet_no + 1] END AS sheet,
+         CASE WHEN k = 3 AND sheet_no = 2 THEN 'OLD_TRANSACTION' WHEN (k, sheet_no) IN ((1, 3), (2, 4)) THEN 'OTHER' ELSE ['TRANSFER', 'ATM', 'POS', 'AEPS', 'HOLD'][sheet_no + 1] END AS category,
+         CASE (k, sheet_no) WHEN (0, 0) THEN 'REQUIRED_COLUMN_MISSING' WHEN (1, 3) THEN 'UNKNOWN_CHANNEL' WHEN (2, 4) THEN 'ZERO_AMOUNTS' END AS problem
+  FROM (SELECT *, id // 1000 AS o, id // 100000 AS file, 'case-' || (id // 100000) || '.xlsx' AS path, id // 100000 % 5 AS k, CAST(2 + id // 1000 % 100 * 1000 AS INT) AS r0,
+               CASE payment_mode WHEN 'ATM' THEN 1 WHEN 'POS' THEN 2 WHEN 'AEPS' THEN 3 WHEN 'HOLD' THEN 4 ELSE 0 END AS sheet_no
+        FROM named WHERE id % 1000 < 500))"""
+_TERMINAL = "payment_mode IN ('ATM', 'POS') AND NOT is_old"
+_REMARKS = "remarks || CASE WHEN atm_id IS NULL THEN '' ELSE ' // Terminal ID : ' || atm_id || ' // Card acceptor name: ' || atm_location END"
+_T = lambda c: f"CASE WHEN sheet_no = 0 THEN nullif(trim({c}), '') END AS {c}"
+_NAMED_BANK = "sheet_no = 0 AND (nullif(trim(raw_beneficiary_bank), '') IS NOT NULL OR nullif(trim(ifsc_code), '') IS NOT NULL)"
+_TYPED = f"""path, sheet, r, category, ack_no, victim_account, {_T('victim_bank')}, CASE WHEN sheet_no = 0 THEN beneficiary_account ELSE victim_account END AS beneficiary_account, {_T('raw_beneficiary_bank')}, {_T('ifsc_code')},
+ CASE WHEN {_NAMED_BANK} THEN beneficiary_bank END AS beneficiary_bank, CASE WHEN {_NAMED_BANK} THEN bank_flag END AS bank_flag, {S('transaction_date')}, {D('transaction_amount')}, {D('CASE WHEN sheet_no = 0 THEN disputed_amount ELSE 0 END', 'disputed_amount')},
+ {_T('utr_no')}, CASE WHEN NOT is_old THEN payment_mode END AS payment_mode, layer_no, CASE WHEN {_TERMINAL} THEN atm_id END AS atm_id, CASE WHEN {_TERMINAL} THEN atm_location END AS atm_location, {_REMARKS} AS remarks"""
+_TYPED_COLUMNS = ["path", "sheet", "r", "category", "ack_no", "victim_account", "victim_bank", "beneficiary_account", "raw_beneficiary_bank", "ifsc_code", "beneficiary_bank", "bank_flag", "transaction_date", "transaction_amount", "disputed_amount", "utr_no", "payment_mode", "layer_no", "atm_id", "atm_location", "remarks"]
+_EXTRA_FILES = "extra AS (SELECT DISTINCT file FROM sheeted WHERE file % 10 = 0)"
+_TRANSFER_MAP = "(0, 'ack_no', 'exact'), (1, 'victim_account', 'exact'), (2, 'victim_bank', 'exact'), (3, 'layer_no', 'exact'), (4, 'beneficiary_account', 'exact'), (5, 'beneficiary_bank', 'exact'), (6, 'ifsc_code', 'exact'), (7, 'transaction_date', 'exact'), (8, 'transaction_amount', 'similar'), (9, 'disputed_amount', 'exact'), (10, 'utr_no', 'exact'), (11, 'remarks', 'exact')"
+_CASH_MAP = "(0, 'ack_no', 'exact'), (1, 'victim_account', 'exact'), (2, 'layer_no', 'exact'), (3, 'transaction_amount', 'exact'), (4, 'transaction_date', 'exact'), (5, 'remarks', 'exact')"
+
+
+@query("ingest_rows", on_ledger(_SHEETED, select=f"SELECT {_TYPED} FROM sheeted WHERE problem IS NULL AND NOT is_old"), source=ledger_cells)
+def _(cells):
+    return ingest.parse_workbooks(cells)["rows"].select(_TYPED_COLUMNS)
+
+
+@query("ingest_old_transactions", on_ledger(_SHEETED, select=f"SELECT {_TYPED}, sheeted.utr_no AS parent_txn, victim_account AS parent_account FROM sheeted WHERE is_old"), source=ledger_cells)
+def _(cells):
+    return ingest.parse_workbooks(cells)["old_transactions"].select(*_TYPED_COLUMNS, "parent_txn", "parent_account")
+
+
+@query("ingest_sheets", on_ledger(_SHEETED, select="SELECT path, sheet_no, sheet, category, category <> 'OTHER' AS known, count(*) + count(DISTINCT CASE WHEN o % 7 = 0 THEN o END) AS data_rows, problem FROM sheeted GROUP BY ALL"), source=ledger_cells)
+def _(cells):
+    return ingest.parse_workbooks(cells)["sheets"].select("path", "sheet_no", "sheet", "category", "known", "data_rows", "problem")
+
+
+@query("ingest_mapping", on_ledger(_SHEETED, "heads AS (SELECT DISTINCT path, sheet, sheet_no, k FROM sheeted)", f"layouts AS (SELECT 0 AS layout, * FROM (VALUES {_TRANSFER_MAP}) v(c, field, how) UNION ALL SELECT 1, * FROM (VALUES {_CASH_MAP}) w(c, field, how))", select="SELECT path, sheet, c, field, how FROM heads JOIN layouts ON layout = CASE WHEN sheet_no = 0 THEN 0 ELSE 1 END WHERE NOT (k = 0 AND sheet_no = 0 AND c = 9)"), source=ledger_cells)
+def _(cells):
+    return ingest.parse_workbooks(cells)["mapping"].select("path", "sheet", "c", "field", "how")
+
+
+@query("ingest_errors", on_ledger(_SHEETED, _EXTRA_FILES, select="""SELECT DISTINCT path, sheet, problem FROM sheeted WHERE problem IN ('REQUIRED_COLUMN_MISSING', 'UNKNOWN_CHANNEL') UNION ALL SELECT 'broken-' || file || '.xlsx', NULL, 'not an .xlsx workbook' FROM extra
+ UNION ALL SELECT 'notes-' || file || '.xlsx', NULL, 'NOT_AN_EXPORT' FROM extra UNION ALL SELECT 'case-' || file || '.docx', NULL, 'FILE_TYPE' FROM extra"""), source=ledger_cells)
+def _(cells):
+    return ingest.parse_workbooks(cells)["errors"]
+
+
+@query("ingest_merged_cells", on_ledger(_SHEETED, select="SELECT path, sheet, r, ack_no AS value FROM sheeted"), source=ledger_cells)
+def _(cells):
+    return ingest.fill_merged(cells).where("c = 0 AND r > 1 AND value LIKE 'ACK%'").select("path", "sheet", "r", "value")
+
+
+@query("ingest_header_rows", on_ledger(_SHEETED, select="SELECT DISTINCT path, sheet_no, sheet, 1 AS header_r FROM sheeted"), source=ledger_cells)
+def _(cells):
+    return ingest.header_rows(cells)
+
+
+@query("row_problems", on_ledger(select="SELECT id, CASE WHEN id % 13 = 0 THEN 'no account' ELSE 'layer out of bounds' END AS problem FROM flagged WHERE id % 13 = 0 OR id % 17 = 0 ORDER BY id LIMIT 100"))
+def _(l):
+    gone = F.col("id") % 13 == 0
+    hurt = l.withColumns({c: F.when(~gone, F.col(c)) for c in ("victim_account", "beneficiary_account")})
+    return ingest.row_problems(hurt.withColumn("layer_no", F.when(F.col("id") % 17 == 0, 25).otherwise(F.col("layer_no"))))
+
+
+# -- display forms, order and nested values ------------------------------------
+@query("dates_shown", on_ledger(select="SELECT id, strftime(transaction_date, '%d %b %Y') AS shown FROM flagged"))
+def _(l):
+    return _flagged(l).select("id", text.display_date(F.col("transaction_date")).alias("shown"))
+
+
+@query("identifiers_cleaned", on_ledger(select="SELECT id, (remarks || ' b')[1:20] AS cleaned FROM flagged"))
+def _(l):
+    return _flagged(l).select("id", text.safe_identifier(F.concat(F.lit(" <"), "remarks", F.lit("\x07> &b'\"`")), 20).alias("cleaned"))
+
+
+@query("nulls_last", on_ledger(select=f"SELECT id, {S('transaction_date')} FROM flagged ORDER BY flagged.transaction_date NULLS LAST, id DESC LIMIT 50"))
+def _(l):
+    return browse.page(_flagged(l), by="transaction_date", descending=False, nulls_last=True).select("id", "transaction_date")
+
+
+@query("details_decoded", on_ledger(select=f"SELECT id, ack_no AS subject, {D('transaction_amount', 'amount')}, layer_no FROM flagged"))
+def _(l):
+    details = F.to_json(F.struct(F.col("ack_no").alias("subject"), F.col("transaction_amount").alias("amount"), "layer_no"))
+    read = F.from_json(details, "subject string, amount decimal(18,2), layer_no int")
+    return _flagged(l).select("id", read.alias("x")).select("id", "x.*")
+
+
+@query("demo_trail", """SELECT i + 1 AS id, 'DEMO-1' AS ack_no, layer AS layer_no, CASE WHEN layer = 4 OR layer = 3 AND i % 3 = 0 THEN CASE WHEN i % 4 = 3 THEN 'POS' ELSE 'ATM' END ELSE ['IMPS', 'UPI', 'NEFT'][i % 3 + 1] END AS payment_mode,
+ CAST((5 - layer) * 10000 + i * 500 AS DOUBLE) AS transaction_amount FROM (SELECT CAST(range AS BIGINT) AS i, CASE WHEN range < 5 THEN 0 WHEN range < 15 THEN 1 WHEN range < 27 THEN 2 WHEN range < 40 THEN 3 ELSE 4 END AS layer FROM range(50))""", source=lambda spark, sf_dir: demo_trail(spark))
+def _(l):
+    return l.select("id", "ack_no", "layer_no", "payment_mode", "transaction_amount")
