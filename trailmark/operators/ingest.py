@@ -201,9 +201,9 @@ def parse_workbooks(cells: DataFrame) -> dict[str, DataFrame]:
     cells = stored(cells)
     uploads = upload_problems(cells)
     filled = stored(fill_merged(cells.join(uploads, "path", "left_anti")))
-    heads = header_rows(filled)
-    mapping = column_mapping(filled, heads)
-    rows = raw_rows(filled, mapping)
+    heads = stored(header_rows(filled))
+    mapping = stored(column_mapping(filled, heads))
+    rows = stored(raw_rows(filled, mapping))
     problems = sheet_problems(rows, sheet_channels(filled), mapping)
     fine = rows.join(problems.where("problem IS NULL").select(*SHEET, "category", "_has_beneficiary"), SHEET)
     typed = typed_rows(fine)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import indian_money
+from trailmark.session import stored
 from trailmark.sources.adapter import ledger
 from trailmark.sources.workbook import CELLS
 
@@ -54,7 +55,7 @@ def ledger_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines as CELLS, and some files that are no exports."""
     lines = _placed(ledger(spark, sf_dir))
     first = F.col("id") == F.min("id").over(Window.partitionBy("order", "sheet_no"))
-    lines = lines.withColumn("first", first)
+    lines = stored(lines.withColumn("first", first))
     ack = F.when(F.col("first"), F.col("ack_no"))
     date = F.date_format("transaction_date", "dd/MM/yyyy hh:mm:ss a")
     money = F.when((F.col("k") == NO_MONEY[0]) & (F.col("sheet_no") == NO_MONEY[1]), "0.00").otherwise(indian_money(F.col("transaction_amount")))
