@@ -36,10 +36,13 @@ def best_labels(df: DataFrame, keys: list[str], candidate: str, labels: list[tup
     Rows whose best label is below LEAST, or not ahead of another value's by MARGIN, are left out.
     """
     options = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(value).alias("value")) for label, value in labels])
-    each = df.where(F.col(candidate) != "").select(*keys, F.col(candidate).alias("_candidate"), F.explode(options).alias("_o"))
-    scored = each.select(*keys, F.col("_o.value").alias("value"), similarity(F.col("_candidate"), F.col("_o.label")).alias("_score"))
-    by_value = scored.groupBy(*keys, "value").agg(F.max("_score").alias("_score")).where(F.col("_score") >= LEAST)
-    ranked = by_value.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("_score")).alias("minus"), "value"))).alias("_r"))
+    # files repeat each other's labels, so each is compared once
+    asked = df.where(F.col(candidate) != "").select(*keys, F.col(candidate).alias("_candidate"))
+    each = asked.select("_candidate").distinct().select("_candidate", F.explode(options).alias("_o"))
+    scored = each.select("_candidate", F.col("_o.value").alias("value"), similarity(F.col("_candidate"), F.col("_o.label")).alias("_score"))
+    by_value = scored.groupBy("_candidate", "value").agg(F.max("_score").alias("_score")).where(F.col("_score") >= LEAST)
+    ranked = by_value.groupBy("_candidate").agg(F.array_sort(F.collect_list(F.struct((-F.col("_score")).alias("minus"), "value"))).alias("_r"))
     second = F.get("_r", F.lit(1))["minus"]
     clear = second.isNull() | (second - F.get("_r", F.lit(0))["minus"] >= MARGIN)
-    return ranked.where(clear).select(*keys, F.get("_r", F.lit(0))["value"].alias("value"))
+    best = ranked.where(clear).select("_candidate", F.get("_r", F.lit(0))["value"].alias("value"))
+    return asked.join(best, "_candidate").select(*keys, "value")
