@@ -2,9 +2,9 @@
 
 A word is a maximal run of the bytes ``0-9``, ``a-z`` (after lower-casing A-Z)
 and of any byte of a non-ASCII character, i.e. ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
-Words and lines are hashed to 64 bits by differences of a running polynomial
-sum, so the cost is a few array operations for each block of text, however
-many words it has.  Every function works on blocks of bounded size; a document
+Words and lines are hashed to 64 bits by differences of a running sum, so the
+cost is a few array operations for each block of text, however many words it
+has.  Every function works on blocks of bounded size; a document
 longer than a block makes a block of its own.
 """
 
@@ -18,8 +18,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 18
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_BASE = _U(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -36,32 +35,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _BASE + _U(seed))
+#: Places of a span whose values are looked up in a table; values of later ones are computed.
+_PLACES = 256
 
 
-_VALUES = (_byte_values(1), _byte_values(2))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+def _place_values(key: np.ndarray, which: int) -> np.ndarray:
+    """A scrambled value for each place and byte, ``key`` being 256 times the place plus the byte."""
+    return mix(mix((key.astype(np.uint64) + _U(1)) * _BASE) + _U((which + 1) * 0x11B54A32D192ED03))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        base = np.full(max(n, BLOCK_BYTES + 1), _BASE if kind == "up" else _INVERSE, dtype=np.uint64)
-        base[0] = 1
-        _powers[kind] = np.multiply.accumulate(base)
-    return _powers[kind][:n]
+_TABLES = tuple(_place_values(np.arange(_PLACES * 256), which) for which in (0, 1))
+_scratch = np.zeros((1 << 18) + (1 << 16), np.uint64)  # memory of the sums of a usual block, which nothing keeps
 
 
 class SpanHash:
-    """Hashes of any spans of ``data`` (uint8), in constant time for each."""
+    """Hashes of spans of ``data`` (uint8) that are in order and do not overlap: sums of a scrambled value for each byte and its place in the span.
+
+    Every place has values of its own, so what repeats within a span does not
+    cancel out, and two hashes (``which``) have nothing in common.
+    """
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[which][data] * _power("up", len(data)), out=sums[1:])
-        self.sums, self.down = sums, _power("down", len(data) + 1)
+        self.data, self.which = data, which
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _BASE)
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        # what lies between spans is counted on from the span before, and plays no part
+        low, high = int(start[0]), int(end[-1])
+        size = np.diff(start, append=high)
+        sums = _scratch[: high - low + 1] if high - low < len(_scratch) else np.empty(high - low + 1, np.uint64)
+        place = np.arange(low, high)
+        place -= np.repeat(start, size)
+        far = int(size.max()) > _PLACES
+        key = (np.minimum(place, _PLACES - 1) if far else place) << 8
+        key |= self.data[low:high]
+        sums[0] = 0
+        np.take(_TABLES[self.which], key, out=sums[1:], mode="clip")
+        if far:
+            at = np.flatnonzero(place >= _PLACES)
+            sums[at + 1] = _place_values(place[at] * 256 + self.data[at + low], self.which)
+        np.cumsum(sums, out=sums)
+        return mix(sums[end - low] - sums[start - low] + (end - start).astype(np.uint64) * _BASE)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +106,10 @@ class Words:
     """Words of a block of texts: ``hash``, ``start``/``end`` bytes, and ``first``,
     where the words of text d are ``first[d]`` to ``first[d + 1]``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = IS_WORD):
+        """``kind`` tells which bytes are inside of words."""
         self.data = LOWER[data]
-        inside = IS_WORD[self.data]
+        inside = kind[self.data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         begins = inside.copy()
