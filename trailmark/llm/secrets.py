@@ -78,7 +78,7 @@ def _clog(n: Column) -> Column:
 
 
 def _entropy_hull(value: Column, window: int, hex_bits: float, other_bits: float) -> Column:
-    """struct<first, last>: the first and the last window (0-based) with enough entropy; null if there is none."""
+    """struct<first, last>: the first and the last window (0-based) with enough entropy; both null if there is none."""
     places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     zero = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("count"),
@@ -116,9 +116,10 @@ def _entropy_hull(value: Column, window: int, hex_bits: float, other_bits: float
             F.when(good, at).otherwise(acc["last"]).alias("last"),
         )
 
-    steps = F.transform(places, lambda p, i: F.struct(p.alias("came"), F.when(i >= window, F.get(places, i - window)).alias("went")))
-    hull = F.aggregate(steps, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-    return F.when(hull["first"].isNotNull(), hull)
+    # each character with the one that leaves the window; nothing is worked out anew inside of a lambda
+    before = F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), window), places), F.lit(1), F.length(value))
+    steps = F.zip_with(places, before, lambda came, went: F.struct(came.alias("came"), went.alias("went")))
+    return F.aggregate(steps, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def scan_secrets(
@@ -133,7 +134,8 @@ def scan_secrets(
     """``df`` with ``out_col``: array<struct<start long, rank int, end long>> in order, ``rank`` an index of :data:`KINDS`.
 
     Offsets are code points, ends are exclusive.  A null text counts as empty and
-    has no spans.  Rows are treated one by one: repeated rows get equal spans, an
+    has no spans; work grows in proportion to the length of a text and of each
+    candidate in it.  Rows are treated one by one: repeated rows get equal spans, an
     empty table stays empty, and columns of ``df`` stay but for one named ``out_col``.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -142,7 +144,7 @@ def scan_secrets(
     harmless = lambda v: v.rlike("|".join(f"(?:{p})" for p in allow)) if allow else F.lit(False)
     candidates = F.filter(_matches(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~harmless(m["value"]))
     judged = F.transform(candidates, lambda m: F.struct(m["start"].alias("start"), _entropy_hull(m["value"], window, hex_bits, other_bits).alias("hull")))
-    entropy = F.transform(F.filter(judged, lambda m: m["hull"].isNotNull()), lambda m: F.struct((m["start"] + m["hull"]["first"]).alias("start"), F.lit(3).alias("rank"), (m["start"] + m["hull"]["last"] + window).alias("end")))
+    entropy = F.transform(F.filter(judged, lambda m: m["hull"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["hull"]["first"]).alias("start"), F.lit(3).alias("rank"), (m["start"] + m["hull"]["last"] + window).alias("end")))
     spans = F.concat(F.transform(assign, span(0)), F.transform(_matches(text, ACCESS), span(1)), F.transform(_matches(text, HEX), span(2)), entropy)
     return df.withColumn(out_col, F.array_sort(spans))
 
