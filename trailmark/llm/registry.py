@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, langid, linededup, media, mixing, neardup, pseudonyms, secrets, toxicity, transcripts
+from trailmark.llm import decontaminate, langid, linededup, media, mixing, neardup, pseudonyms, resampling, secrets, toxicity, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_transcript_roles": transcripts.op8_transcript_roles,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_winnowing_decontamination": decontaminate.op10_winnowing_decontamination,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": linededup.OP6_SQL,
         "op7_poisson_mixing": mixing.OP7_SQL,
         "op10_winnowing_decontamination": decontaminate.OP10_SQL,
+        "op11_importance_resampling": resampling.OP11_SQL,
     }
