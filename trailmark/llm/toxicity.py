@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.bytewords import _BASE, SpanHash, Words, blocks, mix
+from trailmark.llm.bytewords import _BASE, Words, blocks, mix
 from trailmark.llm.common import table, without
 
 #: Lengths of n-grams in bytes; word edges count as a byte.
@@ -44,11 +44,19 @@ SMOOTH = 20
 THRESHOLD = 0.7
 
 
+def _packed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans of up to seven bytes as one number each, with their length."""
+    out = size.astype(np.uint64) << np.uint64(56)
+    for j in range(int(size.max()) if len(size) else 0):
+        some = np.flatnonzero(size > j)
+        out[some] |= data[start[some] + j].astype(np.uint64) << np.uint64(8 * j)
+    return out
+
+
 def _features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the words, the word of each, and how many each word has."""
     n = len(words.start)
     length = words.end - words.start
-    spans = SpanHash(words.data, 1)
     bucket, owner = [mix(words.hash + np.uint64(7))], [np.arange(n)]
     for k in GRAMS:
         # with an edge on both sides there are length + 2 - k + 1 n-grams
@@ -57,7 +65,7 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) - 1
         a, z = np.maximum(at, 0), np.minimum(at + k, length[own])
         side = ((at < 0) * 1 + (at + k > length[own]) * 2).astype(np.uint64)
-        bucket.append(mix(spans(words.start[own] + a, words.start[own] + z) + side * _BASE + np.uint64(k)))
+        bucket.append(mix(mix(_packed(words.data, words.start[own] + a, z - a)) + side * _BASE + np.uint64(k)))
         owner.append(own)
     owner_all = np.concatenate(owner)
     return (np.concatenate(bucket) % np.uint64(BUCKETS)).astype(np.int64), owner_all, np.bincount(owner_all, minlength=n)
