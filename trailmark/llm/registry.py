@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, jaccardjoin, langid, linededup, media, mixing, neardup, pseudonyms, resampling, secrets, toxicity, transcripts
+from trailmark.llm import crosstoken, decontaminate, jaccardjoin, langid, linededup, media, mixing, neardup, pseudonyms, resampling, secrets, toxicity, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_winnowing_decontamination": decontaminate.op10_winnowing_decontamination,
         "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_token_alignment": crosstoken.op12_token_alignment,
         "op13_jaccard_join": jaccardjoin.op13_jaccard_join,
     }
 
