@@ -5,11 +5,11 @@ into groups of bounded size, by the least hash of their sets.  A group is opened
 once to compare its own members.  The matrix of tokens and groups then says
 which other groups a text may have links into, and it is kept in two forms.
 Rows of (token, group) hold the tokens that members need to share: of the
-``n - ceil(t * n) + 1`` first tokens of each set, rarest first, two sets of
-similarity ``t`` share one.  And of every group that such rows lead to the whole
-union of tokens is stored; the overlap of a query with the union bounds its
-overlap with each member, so that only groups that qualify are opened, and their
-members compared exactly.
+``n - ceil(t * n) + l`` first tokens of each set, rarest first, two sets of
+similarity ``t`` share ``l``.  And of every larger group that such rows lead to
+the whole union of tokens is stored; the overlap of a query with the union
+bounds its overlap with each member, so that only groups that qualify are
+opened, and their members compared exactly.
 
 What is joined are texts, not rows: copies of one text are one node.  Only
 links between different components matter, so a group whose members are of the
@@ -35,6 +35,8 @@ from trailmark.llm.neardup import _NULL_DOC, _keyed, _texts_of, bags
 SHINGLE = 3
 #: Least similarity in percent.
 PERCENT = 90
+#: Two sets share one of their first tokens for each so many tokens that they have.
+SHARE = 20
 #: Texts of one group, and bytes of them.
 GROUP, GROUP_BYTES = 256, 1 << 22
 #: Slots of the table of token counts, which is broadcast as one byte for each.
@@ -81,7 +83,7 @@ def _signer(levels, shingle: int, percent: int):
                 doc, token = doc[order], token[order]
                 size = np.bincount(doc, minlength=j - i)
                 first = np.cumsum(size) - size
-                needed = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
+                needed = np.where(size > 0, size - -(-size * percent // 100) + -(-size // SHARE), 0)
                 keep = np.arange(len(doc)) - first[doc] < needed[doc]
                 key = np.zeros(j - i, np.uint64)
                 some = np.flatnonzero(size)
@@ -94,20 +96,13 @@ def _signer(levels, shingle: int, percent: int):
     return run
 
 
-def _tokens(nodes: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens binary, size) of ``nodes``, kept in the shared folder."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, doc, token, _ in _sets(batch.column(1), shingle):
-                at = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([token[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array(np.diff(at))], names=["node", "tokens", "size"])
-
-    return cut(_texts_of(nodes, heads, texts).mapInArrow(run, "node long, tokens binary, size long"))
-
-
-def _read(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(t, np.uint64) for t in column.to_pylist()]
+def _read(column: pa.ChunkedArray, shingle: int) -> list[np.ndarray]:
+    """The set of each text, its tokens in order."""
+    out: list[np.ndarray] = []
+    for i, j, doc, token, _ in _sets(column.combine_chunks(), shingle):
+        at = np.searchsorted(doc, np.arange(j - i + 1))
+        out += [token[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -158,32 +153,38 @@ def links(sets: list[np.ndarray], node: np.ndarray, label: np.ndarray, asks: np.
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _open(percent: int):
+def _open(percent: int, shingle: int):
     def run(cell: pa.Table) -> pa.Table:
         node, label = (cell.column(c).to_numpy() for c in ("node", "label"))
-        return links(_read(cell.column("tokens")), node, label, np.array(cell.column("asks").to_pylist(), bool), percent)
+        return links(_read(cell.column("text"), shingle), node, label, np.array(cell.column("asks").to_pylist(), bool), percent)
 
     return run
 
 
-def _union(group: pa.Table) -> pa.Table:
-    sets = _read(group.column("tokens"))
-    return pa.table({"key": group.column("key")[:1], "part": group.column("part")[:1], "tokens": pa.array([np.unique(np.concatenate(sets)).tobytes()], pa.binary()), "least": pa.array([min(map(len, sets))], pa.int64())})
+def _union(shingle: int):
+    """The union of the tokens of a group, and the size of its least set."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = _read(group.column("text"), shingle)
+        return pa.table({"b": group.column("b")[:1], "tokens": pa.array([np.unique(np.concatenate(sets)).tobytes()], pa.binary()), "least": pa.array([min(map(len, sets))], pa.int64())})
+
+    return run
 
 
-def _bound(percent: int):
+def _bound(percent: int, shingle: int):
     """Queries of a cell whose overlap with the group's union allows for a link with a member."""
 
     def run(cell: pa.Table) -> pa.Table:
         query = np.array(cell.column("asks").to_pylist(), bool)
-        sets, size = _read(cell.column("tokens")), cell.column("size").to_numpy()
         [g] = np.flatnonzero(~query)
-        use = np.zeros(len(query), bool)
-        for i in np.flatnonzero(query):
-            n = len(sets[i])
-            most = int(np.isin(sets[i], sets[g], assume_unique=True).sum())
-            use[i] = (100 + percent) * most >= percent * (n + max(int(size[g]), -(-n * percent // 100)))
-        return cell.select(["cell", "node"]).filter(pa.array(use))
+        union, least = np.frombuffer(cell.column("tokens")[g].as_py(), np.uint64), cell.column("least")[g].as_py()
+        asks = cell.filter(pa.array(query))
+        use = []
+        for tokens in _read(asks.column("text"), shingle):
+            n = len(tokens)
+            most = int(np.isin(tokens, union, assume_unique=True).sum())
+            use.append((100 + percent) * most >= percent * (n + max(least, -(-n * percent // 100))))
+        return asks.select(["cell", "node"]).filter(pa.array(use, pa.bool_()))
 
     return run
 
@@ -198,10 +199,9 @@ def _components(heads: DataFrame, n_nodes: int, texts: DataFrame, percent: int,
 
     # groups are opened to compare their own members; one text of a family is in all of its groups
     own = grouped.where("pivot IS NOT NULL")
-    tokens = _tokens(own.select("node"), heads, texts, shingle)
     seats = own.select("node", "key", "part").unionByName(own.where("cut").select(F.col("pivot").alias("node"), "key", "part").distinct()).distinct()
-    opened = seats.join(tokens, "node").select("key", "part", "node", F.col("node").alias("label"), "tokens", F.lit(True).alias("asks"))
-    found, n_found = cut_small(opened.groupBy("key", "part").applyInArrow(_open(percent), "a long, b long"))
+    opened = seats.join(_texts_of(own.select("node"), heads, texts), "node").select("key", "part", "node", F.col("node").alias("label"), "text", F.lit(True).alias("asks"))
+    found, n_found = cut_small(opened.groupBy("key", "part").applyInArrow(_open(percent, shingle), "a long, b long"))
     labels, n_labels = connected_components(found, n_found)
 
     # the matrix: of tokens that two or more components need, the groups that have them
@@ -220,28 +220,36 @@ def _components(heads: DataFrame, n_nodes: int, texts: DataFrame, percent: int,
     away = F.col("label") != F.col("home")
     matrix = cut(torn.groupBy("token", "key", "part").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("size").alias("least"), F.max("size").alias("most"), F.max(away).alias("away")))
     asking = matrix.where("away").select("token", *[F.col(c).alias(f"q_{c}") for c in ("key", "part", "l", "m", "least", "most")])
-    other = (F.col("q_key") != F.col("key")) | (F.col("q_part") != F.col("part"))
-    once = ~F.col("away") | (F.struct("q_key", "q_part") < F.struct("key", "part"))
+    q, g = F.struct(F.col("q_key").alias("key"), F.col("q_part").alias("part")), F.struct("key", "part")
+    once = (q != g) & (~F.col("away") | (q < g))
     near = (F.col("least") * percent <= F.col("q_most") * 100) & (F.col("q_least") * percent <= F.col("most") * 100)
-    differ = (F.least("l", "q_l") != F.greatest("m", "q_m"))
-    pairs = asking.join(matrix, "token").where(other & once & near & differ).select("q_key", "q_part", "key", "part").distinct()
-    cells, n_cells = cut_small(pairs.withColumn("cell", F.monotonically_increasing_id()))
+    differ = F.least("l", "q_l") != F.greatest("m", "q_m")
+    met = asking.join(matrix, "token").where(once & near & differ).select(F.least(q, g).alias("a"), F.greatest(q, g).alias("b"), F.least("least", "q_least").alias("least"))
+    enough = F.col("tokens") >= F.ceil(F.col("least") / SHARE)
+    cells, n_cells = cut_small(met.groupBy("a", "b").agg(F.count("*").alias("tokens"), F.min("least").alias("least")).where(enough).select("a", "b", F.monotonically_increasing_id().alias("cell")))
     if not n_cells:
         return labels, n_labels
 
     # queries are bounded by the union of each group, and what qualifies is compared with its members
-    in_torn = cut(torn.select("node", "key", "part", "label").distinct())
-    tokens = _tokens(in_torn.select("node"), heads, texts, shingle)
-    members = cut(in_torn.join(tokens, "node"))
-    unions = members.join(cells.select("key", "part").distinct(), ["key", "part"], "left_semi").groupBy("key", "part").applyInArrow(_union, "key long, part int, tokens binary, least long")
-    queries = cells.select("cell", F.col("q_key").alias("key"), F.col("q_part").alias("part")).join(members, ["key", "part"])
-    ask = queries.select("cell", "node", "tokens", "size", F.lit(True).alias("asks"))
-    groups = cells.join(unions, ["key", "part"]).select("cell", F.lit(None).cast("long").alias("node"), "tokens", F.col("least").alias("size"), F.lit(False).alias("asks"))
-    qualified, n_qualified = cut_small(ask.unionByName(groups).groupBy("cell").applyInArrow(_bound(percent), "cell long, node long"))
-    sides = ["cell", "node", "label", "tokens", "asks"]
-    askers = join_hot(qualified, n_qualified, members.select("node", "label", "tokens"), "node", F.col("cell")).withColumn("asks", F.lit(True)).select(sides)
-    held = cells.join(qualified.select("cell").distinct(), "cell").join(members, ["key", "part"]).withColumn("asks", F.lit(False)).select(sides)
-    more, n_more = cut_small(askers.unionByName(held).groupBy("cell").applyInArrow(_open(percent), "a long, b long"))
+    wanted = cells.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+    members = torn.select("node", F.struct("key", "part").alias("g"), "label").distinct().join(wanted, "g")
+    members = cut(members.join(_texts_of(members.select("node"), heads, texts), "node"))
+    alone = members.groupBy("g").agg(F.count("*").alias("n")).where("n = 1").select(F.col("g").alias("b"))
+    large = cells.join(alone, "b", "left_anti")
+    held = members.select(F.col("g").alias("b"), "text")
+    unions = held.join(large.select("b").distinct(), "b", "left_semi").groupBy("b").applyInArrow(_union(shingle), "b struct<key: long, part: int>, tokens binary, least long")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    queries = members.select(F.col("g").alias("a"), "node", "text")
+    ask = large.join(queries, "a").select("cell", "node", "text", none("binary", "tokens"), none("long", "least"), F.lit(True).alias("asks"))
+    groups = large.join(unions, "b").select("cell", none("long", "node"), none("string", "text"), "tokens", "least", F.lit(False).alias("asks"))
+    bounded = ask.unionByName(groups).groupBy("cell").applyInArrow(_bound(percent, shingle), "cell long, node long")
+    # of a group of one text the union is its set, and it is compared at once
+    direct = cells.join(alone, "b", "left_semi").join(queries, "a").select("cell", "node")
+    qualified, n_qualified = cut_small(bounded.unionByName(direct))
+    sides = ["cell", "node", "label", "text", "asks"]
+    askers = join_hot(qualified, n_qualified, members.select("node", "label", "text"), "node", F.col("cell")).withColumn("asks", F.lit(True)).select(sides)
+    others = cells.join(qualified.select("cell").distinct(), "cell").join(members.withColumnRenamed("g", "b"), "b").withColumn("asks", F.lit(False)).select(sides)
+    more, n_more = cut_small(askers.unionByName(others).groupBy("cell").applyInArrow(_open(percent, shingle), "a long, b long"))
     if not n_more:
         return labels, n_labels
     edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
