@@ -21,6 +21,8 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,18 +92,28 @@ def load_files(folder: str = TOKENIZERS) -> tuple[bytes, bytes]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=1)
+def tokenizers_of(byte_bpe: bytes, piece_bpe: bytes) -> Tokenizers:
+    """The encoders of these files, made once in a process."""
+    return Tokenizers(byte_bpe, piece_bpe)
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
+
+
 def _encoder(files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = None
+        both = tokenizers_of(*files.value)
         for batch in batches:
-            both = both or Tokenizers(*files.value)
             sizes = np.cumsum(batch.column("text").cast(pa.large_binary()).to_pandas().str.len().to_numpy()) if batch.num_rows else np.zeros(0)
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + BLOCK_BYTES, side="right")))
                 part = batch.slice(i, j - i)
                 a, b = both.encode(part.column("text").to_pylist())
-                yield pa.record_batch([*(part.column(c) for c in ("k1", "k2", "n")), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["k1", "k2", "n", "a", "b"])
+                yield pa.record_batch([*(part.column(c) for c in ("k1", "k2", "n")), _lists(a), _lists(b)], names=["k1", "k2", "n", "a", "b"])
                 i = j
 
     return run
@@ -187,7 +199,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files
     """
     spark = docs.sparkSession
     files = files or load_files()
-    both = Tokenizers(*files)
+    both = tokenizers_of(*files)
     sizes = [spark.createDataFrame([(i, len(x)) for i, x in enumerate(side) if x], "id int, size int") for side in (both.a_bytes, both.b_bytes)]
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
@@ -195,34 +207,33 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files
     tokens = kept.read()
     grouped = groups(tokens, cuts(tokens.select("k1", "k2", "a", "b"), *sizes))
 
-    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    # most groups have one token on either side
+    listed = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)).cast("string")).otherwise(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
     digest = F.sha2(F.array_join(F.transform("groups", lambda g: F.concat(listed(g["a"]), F.lit("|"), listed(g["b"]))), ";").cast("binary"), 256)
     in_group = lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: F.shiftleft(a.cast("long"), 32) + b)))
-    links = F.flatten(F.transform("groups", in_group))
-    names = ["node", "n", "n_a", "n_b", "n_groups", "groups_sha256", "least"]
-    one = grouped.select("k1", "k2", "node", "n", "n_a", "n_b", F.size("groups").alias("n_groups"), digest.alias("groups_sha256"), links.alias("links")).withColumn("least", F.array_min("links"))
-    # one pass over the groups: how often a text has each of its links, and with them its figures, which sorted rows store once
+    figures = ["k1", "k2", "node", "n", "n_a", "n_b", "n_groups", "groups_sha256"]
+    one = grouped.select("k1", "k2", "node", "n", "n_a", "n_b", F.size("groups").alias("n_groups"), digest.alias("groups_sha256"), F.flatten(F.transform("groups", in_group)).alias("links"))
     folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
-    single = one.select("k1", "k2", *names, F.explode("links").alias("link")).groupBy("k1", "k2", *names, "link").agg(F.count("*").alias("times"))
     with co_partitioned(spark):
-        single.sortWithinPartitions("k1", "k2", "link").write.option("compression", "zstd").parquet(folder)
+        one.write.option("compression", "zstd").parquet(folder)
     kept.drop()
     linked = spark.read.parquet(folder)
 
-    counts = cut(linked.groupBy("link").agg(F.sum("n").alias("docs"), F.count("*").alias("n")))
+    # documents that hold a link, and how many rows of links it has
+    held = linked.select("n", F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.sum("n").alias("docs"))
+    times = linked.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("n"))
+    counts = cut(held.join(times, "link"))
     top = counts.groupBy(F.shiftright("link", 32).alias("a_id")).agg(F.max("docs").alias("most"))  # a row for each id of the vocabulary at most
     judged = counts.join(F.broadcast(top), F.shiftright("link", 32) == F.col("a_id")).select("link", "docs", (F.col("docs") == F.col("most")).alias("best"), "n")
     sums = counts.agg(F.count("*").alias("links"), F.sum("n").alias("n")).first()
-    own = linked.select("node", "link", "times")
+    own = linked.select("node", F.explode("links").alias("link"))
     if sums["links"] <= BROADCAST_LINKS:
         met = own.join(F.broadcast(judged), "link")
     else:
         met = join_counted(own, judged, "link", hot_bound(sums["n"]), F.col("node"))
-    per_node = met.groupBy("node").agg(F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-    figures = linked.where("link = least").select("k1", "k2", *names[:-1])
-    of_text = figures.join(per_node, "node").drop("node")
-    n_rows = sums["n"] or 0
-    found = join_counted(rows.select("doc", "k1", "k2"), of_text, ["k1", "k2"], hot_bound(n_rows), F.xxhash64(F.monotonically_increasing_id()), F.lit(0).cast("long"), keep=True)
+    per_node = met.groupBy("node").agg(F.count("*").alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("docs").alias("count_sum"))
+    of_text = linked.select(*figures).join(per_node, "node").drop("node")
+    found = join_counted(rows.select("doc", "k1", "k2"), of_text, ["k1", "k2"], hot_bound(linked.agg(F.sum("n")).first()[0] or 0), F.xxhash64(F.monotonically_increasing_id()), F.lit(0).cast("long"), keep=True)
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return found.select("doc", *map(number, ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
 
