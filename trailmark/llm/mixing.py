@@ -37,13 +37,14 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: DataFrame
     """(source, n_rows, rate): rate = total * weight share / rows, where ``total`` defaults to all rows.
 
     ``weights`` has (source, weight); sources that it lacks, or with a weight
-    that is null or not positive, get rate 0.  A null source is a source.
+    that is null or not positive, get rate 0, and those that it names more than
+    once the sum of their weights.  A null source is a source.
     """
     counts = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count("*").alias("n_rows"))
     if weights is None:
         counts = counts.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(alpha)))
     else:
-        own = weights.select(F.col("source").alias("_s"), F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight"))
+        own = weights.select(F.col("source").alias("_s"), F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight")).groupBy("_s").agg(F.sum("weight").alias("weight"))
         counts = counts.join(own, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "n_rows", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     counts = cut(counts)
     sums = counts.agg(F.sum("weight").alias("w"), F.sum("n_rows").alias("n")).first()
@@ -73,14 +74,16 @@ def mix_sources(
     total: float | None = None,
     alpha: float = ALPHA,
     seed: str = SEED,
+    text_col: str | None = "text",
 ) -> DataFrame:
     """``docs`` repeated to the target weights and shuffled, with ``_copy`` (0, 1, ...), ``_n_copies`` and ``_mix_key``.
 
-    The output is in order of ``_mix_key``, a hash of seed, id and copy, within
-    each of its partitions, to which rows are dealt by the same hash.  The draw
-    depends on the id alone: repeated rows are repeated alike, a null id is an
-    id, a null source a source, and texts, of any length or null, play no part.
-    An empty table stays empty.  Other columns stay, whatever their names, but
+    The output is in order of ``_mix_key``, a hash of seed, id, text and copy,
+    within each of its partitions, to which rows are dealt by the same hash.  The
+    draw depends on id and text (on the id alone if ``text_col`` is None), so rows
+    without an id, or with one id, are drawn each for itself; only repeated rows
+    are repeated alike.  A null source is a source, a null text an empty one, and
+    an empty table stays empty.  Other columns stay, whatever their names, but
     for ``_copy``, ``_n_copies`` and ``_mix_key``, which are replaced.
     """
     docs = without(docs, "_copy", "_n_copies", "_mix_key")
@@ -92,6 +95,8 @@ def mix_sources(
     rows = docs.select("*", F.coalesce(own, F.lit("")).alias(source), own.isNull().alias(absent))
     sums = rates.agg(F.count("*").alias("sources"), F.sum("n").alias("n")).first()
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    if text_col is not None:
+        name = F.concat(name, F.lit(":"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
     if sums["sources"] <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(rates.drop("n")), [source, absent])
     else:  # the largest sources are looked up all the same, and their rows are not dealt by the source
@@ -99,15 +104,18 @@ def mix_sources(
         found = join_counted(rows.select(packed, source, absent), rates, [source, absent], hot_bound(sums["n"]), F.sha1(F.monotonically_increasing_id().cast("string")), F.lit(False))
         joined = found.select("row.*", source, absent, pieces, cdf)
 
+    (named,) = fresh(joined, "name")
+    joined = joined.withColumn(named, name)
+
     def drawn(k: Column) -> Column:
-        u = uniform(F.lit(seed), name, k.cast("string"))
+        u = uniform(F.lit(seed), F.col(named), k.cast("string"))
         return F.size(F.filter(cdf, lambda c: c < u))
 
     copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(pieces)), drawn), F.lit(0), lambda a, n: a + n)
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("_n_copies")).where("_n_copies > 0")
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], named, copies.alias("_n_copies")).where("_n_copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n_copies") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), name, F.col("_copy").cast("string")).cast("binary"))
-    return out.withColumn("_mix_key", key).repartition("_mix_key").sortWithinPartitions("_mix_key")
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col(named), F.col("_copy").cast("string")).cast("binary"))
+    return out.withColumn("_mix_key", key).drop(named).repartition("_mix_key").sortWithinPartitions("_mix_key")
 
 
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +123,8 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "text", F.col("_copy").alias("copy"), F.col("_n_copies").alias("n_copies"), F.col("_mix_key").alias("mix_key"))
 
 
+_NAME = "coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))"
+
 OP7_SQL = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n_rows, pow(CAST(count(*) AS DOUBLE), {ALPHA}) AS weight FROM documents GROUP BY source),
 rates AS (
@@ -124,11 +134,11 @@ cdf AS (
   SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM rates
   UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < {TERMS - 1}),
 draws AS (
-  SELECT rid, source, (CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), CAST(piece AS VARCHAR))), 1, 13)) AS BIGINT) + 0.5) / pow(2.0, 52) AS u
-  FROM (SELECT rid, doc_id, d.source, unnest(generate_series(1, pieces)) AS piece
-        FROM (SELECT row_number() OVER () AS rid, doc_id, source FROM documents) d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)),
+  SELECT rid, source, (CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', {_NAME}, CAST(piece AS VARCHAR))), 1, 13)) AS BIGINT) + 0.5) / pow(2.0, 52) AS u
+  FROM (SELECT rid, doc_id, text, d.source, unnest(generate_series(1, pieces)) AS piece
+        FROM (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents) d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)),
 numbers AS (SELECT rid, count(c) AS n_copies FROM draws d LEFT JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND cdf.c < d.u GROUP BY rid)
-SELECT doc_id, source, lang, text, copy, n_copies, md5(concat_ws('|', '{SEED}', 'order', coalesce(CAST(doc_id AS VARCHAR), 'null'), CAST(copy AS VARCHAR))) AS mix_key
+SELECT doc_id, source, lang, text, copy, n_copies, md5(concat_ws('|', '{SEED}', 'order', {_NAME}, CAST(copy AS VARCHAR))) AS mix_key
 FROM (SELECT doc_id, source, lang, text, CAST(n_copies AS INT) AS n_copies, CAST(unnest(generate_series(0, n_copies - 1)) AS INT) AS copy
       FROM (SELECT row_number() OVER () AS rid, * FROM documents) JOIN numbers USING (rid) WHERE n_copies > 0)
 """
