@@ -27,7 +27,6 @@ from trailmark.llm.common import cut, fresh, without, table
 
 MIN_DOCS = 10
 NEWLINE = 10
-_NULL_DOC = -(1 << 63)
 _KEY = ["h1", "h2", "doc", "tag", "pos"]
 
 
@@ -46,26 +45,34 @@ def _tags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _emit_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL_DOC).to_numpy(zero_copy_only=False)
+            given = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for i, j, data, off in blocks(batch.column(1)):
                 start, end, first = _line_bounds(data, off)
+                tags = _tags(data, off)
+                ids = np.where(null[i:j], tags, given[i:j])
+                # of repeated rows the lines of one count, in each task
+                pairs = list(zip(ids.tolist(), tags.tolist(), strict=True))
+                again = np.array([p in seen or seen.add(p) is not None for p in pairs], bool)
                 solid = np.flatnonzero(~IS_BLANK[data])
                 a, z = np.searchsorted(solid, start), np.searchsorted(solid, end)
                 some = np.flatnonzero(z > a)
                 begin, stop = solid[a[some]], solid[z[some] - 1] + 1
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 long = points[stop] - points[begin] >= max(1, min_chars)
-                some, begin, stop = some[long], begin[long], stop[long]
-                low = LOWER[data]
                 doc = np.searchsorted(first, some, side="right") - 1
+                long &= ~again[doc]
+                some, begin, stop, doc = some[long], begin[long], stop[long], doc[long]
+                low = LOWER[data]
                 count = np.diff(first)
                 yield pa.record_batch(
                     [
                         pa.array(SpanHash(low, 0)(begin, stop).view(np.int64)),
                         pa.array(SpanHash(low, 1)(begin, stop).view(np.int64)),
-                        pa.array(ids[i:j][doc].astype(np.int64)),
-                        pa.array(_tags(data, off)[doc]),
+                        pa.array(ids[doc].astype(np.int64)),
+                        pa.array(tags[doc]),
                         pa.array((some - first[doc]).astype(np.int32)),
                         pa.array(count[doc].astype(np.int32)),
                     ],
@@ -160,10 +167,9 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lower-cased.  Keys of at least ``min_chars`` code points in at least
     ``min_docs`` documents lose all lines (``keep="none"``) or all but the first
     by document and position (``keep="first"``).  ``bitmap`` is the zlib-packed
-    bits of the kept lines.  Documents are told apart by their integer id (all
-    null ids count as one document) and ``tag`` is a hash of the text, so rows
-    that share an id but not the text get bitmaps of their own and equal rows
-    count once.  Null and empty texts are one empty line, which has no key.  Texts
+    bits of the kept lines.  Documents are told apart by their integer id, those
+    without one by ``tag``, a hash of the text; rows that share an id but not the
+    text get bitmaps of their own, and equal rows count once.  Null and empty texts are one empty line, which has no key.  Texts
     may have any length; an empty table has no bitmaps; other columns play no part.
     """
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_emit_lines(min_chars), "h1 long, h2 long, doc long, tag long, pos int, n_lines int")
@@ -220,7 +226,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     tag, doc, own, bits = fresh(docs, "tag", "doc", "own_tag", "bitmap")
     tagged = docs.mapInArrow(_tagger(at, tag), T.StructType([*fields, T.StructField(tag, T.LongType())]))
     maps = bitmaps.select(F.col("doc").alias(doc), F.col("tag").alias(own), F.col("bitmap").alias(bits))
-    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_DOC)) == F.col(doc)) & (F.col(tag) == F.col(own))
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.col(tag)) == F.col(doc)) & (F.col(tag) == F.col(own))
     joined = tagged.join(maps, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], bits)
     return joined.mapInArrow(lambda batches: _apply(batches, at), T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]))
 
@@ -238,11 +244,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Lines of `src` (doc_id, text), whether they stay, and how to join those that do.
 LINES_SQL = """
 lines AS (
-  SELECT rid, doc_id, pos, line,
+  SELECT rid, doc_id, tag, pos, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT rid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
-        FROM (SELECT rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM src))),
-often AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -1)) >= 10),
+  FROM (SELECT rid, doc_id, tag, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+        FROM (SELECT rid, doc_id, 'null:' || md5(coalesce(text, '')) AS tag, string_split(coalesce(text, ''), chr(10)) AS parts FROM src))),
+often AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), tag)) >= 10),
 kept AS (
   SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE often.key IS NOT NULL) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '') AS text
