@@ -15,6 +15,7 @@ host's counts before they are used for it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,12 +80,12 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> TextModel:
-    """A model from about ``sample_per_language`` rows of each label; null labels take no part.
+    """A model from about ``sample_per_language`` rows of each label; null and blank labels take no part.
 
     Trigrams are counted by the tasks and summed by language; the model has
     256 KB for each language.
     """
-    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("key")).where("lang IS NOT NULL")
+    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("key")).where("trim(lang) <> ''")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
@@ -110,16 +111,41 @@ def fit_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return TextModel(languages, np.log(smooth / smooth.sum(axis=0)))
 
 
+_OPENING = re.compile("<!--|<(script)|<(style)", re.I | re.A)
+_CLOSING = {"": re.compile("-->"), "script": re.compile("</script>", re.I | re.A), "style": re.compile("</style>", re.I | re.A)}
+_ENTITY = re.compile("&[#A-Za-z0-9]+;")
+
+
+def bare_text(html: str) -> str:
+    """``html`` without scripts, styles, comments, tags and entities; each character is looked at a few times, however broken it is."""
+    out: list[str] = []
+    at, seek = 0, 0
+    endless: set[str] = set()  # kinds that nothing closes from here on
+    while found := _OPENING.search(html, seek):
+        kind, seek = (found[1] or found[2] or "").lower(), found.end()
+        if kind in endless:
+            continue
+        begin = html.find(">", seek) + 1 if kind else seek
+        end = _CLOSING[kind].search(html, begin) if begin or not kind else None
+        if end is None:
+            endless.add(kind)
+            continue
+        out += (html[at : found.start()], " ")
+        at = seek = end.end()
+    *parts, last = "".join((*out, html[at:])).split(">")
+    # a tag is all from the first < on to the next >
+    text = "".join(f"{p.partition('<')[0]} " if "<" in p else f"{p}>" for p in parts) + last
+    return _ENTITY.sub(" ", text)
+
+
 def html_text(html: Column) -> Column:
-    """The text of a page without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->|<(?i:script)[^>]*>.*?</(?i:script)>|<(?i:style)[^>]*>.*?</(?i:style)>", " ")
-    bare = F.regexp_replace(bare, r"<[^>]*>", " ")
-    return F.regexp_replace(bare, r"&[#A-Za-z0-9]+;", " ")
+    """The text of a page without scripts, styles, comments and tags; null stays null."""
+    return F.udf(lambda h: None if h is None else bare_text(h), "string", useArrow=True)(html)
 
 
 def declared_language(html: Column) -> Column:
     """The primary subtag that the page declares for itself, in lower case; null if it declares none."""
-    found = F.lower(F.regexp_extract(html, r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})""", 1))
+    found = F.lower(F.regexp_extract(html, r"""(?i)<html[^<>]*?\slang\s*=\s*["']?([a-z]{2,3})""", 1))
     return F.when(found != "", found)
 
 
@@ -278,10 +304,11 @@ def keep_identified(docs: DataFrame, model: TextModel, text_col: str = "text", h
     ``lang_col`` counts as the declaration of a row, and what is found is written
     there; other columns are as they were.  A label that the model does not know
     cannot be judged: such rows stay as they are if they have letters.  Without a
-    model nothing can be judged, and all rows stay.  Null and empty texts go.
+    model nothing can be judged, and all rows with letters stay.  Null and empty
+    texts go.
     """
     if not model.languages:
-        return docs
+        return docs.where(F.col(f"`{text_col}`").cast("string").rlike("[A-Za-z]|[^\\x00-\\x7F]"))
     label = None if lang_col is None else F.col(f"`{lang_col}`")
     judged, lang, _, letters = _decide(docs, model, text_col, F.col(f"`{host_col}`"), label, SMOOTH, LEAST_POSTERIOR, True)
     found = F.col(lang)
