@@ -30,6 +30,8 @@ BUCKETS = 1 << 17
 DIM = 4
 #: Labelled rows of label 1 and of label 0 that training reads at most, chosen by a hash of the id, and the bytes of their texts.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2500, 5000, 1 << 26
+#: A text is left out of the sample if fewer than so many like it would fill it.
+LARGEST = 64
 #: Buckets in fewer training texts have no weight.
 MIN_TEXTS = 3
 #: Minibatches of training, in as many passes over the sample as they take.
@@ -188,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     """A model from at most ``sample_toxic`` and ``sample_clean`` rows of each label, and ``sample_bytes`` of text, outside the held-out fold.
 
     Rows with a null id or label take no part; of contradicting labels of an id
-    the greater counts.  Without labels, or with one kind only, the score is the
+    the greater counts.  A text longer than a 64th of ``sample_bytes`` is passed
+    over.  Without labels, or with one kind only, the score is the
     share of label 1.  The sample goes to one task, where the model is trained;
     the driver gets one number for each bucket.
     """
@@ -197,13 +200,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     # two lists of bounded length, which are small enough to broadcast
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*by_hash).limit(sample_toxic).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(sample_clean))
-    # a sample in order of another hash, so that repeated rows of an id can't make it longer
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, F.xxhash64("text")).limit(sample_toxic + sample_clean)
-    sofar = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy(F.lit(0)).orderBy(*by_hash, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("bytes", sofar).where(F.col("bytes") <= sample_bytes).select(F.lit(0).alias("all"), "text", "toxic")
+    # rows are chosen by their lengths; texts that alone would fill a good part of the sample are passed over
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select("doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("bytes")).where(F.col("bytes") <= sample_bytes // LARGEST)
+    narrow = narrow.join(F.broadcast(chosen), "doc_id").distinct().orderBy(*by_hash, "key").limit(sample_toxic + sample_clean)
+    sofar = F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy(*by_hash, "key").rowsBetween(Window.unboundedPreceding, 0))
+    picked = narrow.withColumn("sofar", sofar).where(F.col("sofar") <= sample_bytes).select("doc_id", "key", "toxic")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key")).join(F.broadcast(picked), ["doc_id", "key"])
+    rows = rows.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select(F.lit(0).alias("all"), "text", "toxic", F.xxhash64("doc_id").alias("place"), "doc_id", "key")
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
 
     def run(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("key", "ascending")])
         model = train(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy().astype(np.int64), prior)
         return pa.table({"weight": pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
