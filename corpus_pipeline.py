@@ -33,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten or more documents go everywhere; ``n_chars`` counts what stays.
 
-    Null texts become empty ones.  All null ids count as one document; repeated
-    rows lose the same lines, and an empty table stays empty.
+    Null texts become empty ones.  Rows without an id are told apart by their
+    texts; repeated rows lose the same lines, and an empty table stays empty.
     """
     kept = linededup.drop_frequent_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -61,9 +61,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the weights of their sources, shuffled.
 
-    A null source is a source and a null id an id; texts, null or empty too,
-    play no part.  Repeated rows are repeated alike, and an empty table stays
-    empty.
+    A null source is a source.  A row is drawn by its id and its text, null or
+    not; repeated rows are repeated alike, and an empty table stays empty.
     """
     mixed = mixing.mix_sources(docs)
     return mixed.select(*COLUMNS, F.col("_copy").alias("copy"), F.col("_n_copies").alias("n_copies"), F.col("_mix_key").alias("mix_key"))
