@@ -178,11 +178,21 @@ def test_registry_is_idempotent(spark):
 
 def test_letters(spark):
     liens = money.liens(rollup(legs(ledger(spark, hop("V", "A", 100, beneficiary_bank="HDFC Bank"), hop("V", "B", 300, beneficiary_bank="hdfc bank"), hop("V", "w@ybl", 5, beneficiary_bank="Y"), hop("V", "XX12", 5, beneficiary_bank="Z")))))
-    fresh = attribution.letters(liens)
-    [letter] = fresh.collect()
-    assert (letter.bank_key, letter.account_count, letter.total_amount, [a.account_no for a in letter.accounts]) == ("hdfc bank", 2, 400, ["B", "A"])
-    stored = spark.createDataFrame([("hdfc bank", Decimal(400), "sent"), ("gone", Decimal(1), "sent")], "bank_key string, total_amount decimal(18,2), status string")
-    assert {r.bank_key: r.status for r in attribution.letters_to_send(fresh, stored).collect()} == {"hdfc bank": "sent", "gone": "withdrawn"}
+    [letter] = attribution.letters(liens).collect()
+    lines = attribution.letter_accounts(liens)
+    assert (letter.bank_key, letter.account_count, letter.total_amount) == ("hdfc bank", 2, 400)
+    assert {(r.bank_key, r.account_no, r.lien_eligible_amount) for r in lines.collect()} == {("hdfc bank", "A", 100), ("hdfc bank", "B", 300)}
+
+    def diff(*stored):
+        rows = [("hdfc bank", a, Decimal(n), "sent") for a, n in stored] + [("gone", "X", Decimal(1), "sent")]
+        old = spark.createDataFrame(rows, "bank_key string, account_no string, lien_eligible_amount decimal(18,2), status string")
+        return {r.bank_key: (r.status, r.changed_accounts) for r in attribution.letters_to_send(lines, old).collect()}
+
+    assert diff(("A", 100), ("B", 300)) == {"hdfc bank": ("sent", 0), "gone": ("withdrawn", 1)}
+    # the same total, but another account, or other amounts
+    assert diff(("A", 100), ("C", 300))["hdfc bank"] == ("draft", 2)
+    assert diff(("A", 300), ("B", 100))["hdfc bank"] == ("draft", 2)
+    assert diff(("A", 100))["hdfc bank"] == ("draft", 1)
 
 
 def test_browse(spark):
@@ -201,4 +211,6 @@ def test_empty_ledger(spark, empty):
 
     tables = report_tables(trail(spark).limit(0))
     counts = {n: df.count() for n, df in tables.items()}
-    assert {n for n, c in counts.items() if c} == {"summary", "recovery", "reconciliation", "weekdays"}
+    # tables of one row, and the bins of hours and weekdays, which are there with zeros
+    assert {n for n, c in counts.items() if c} == {"summary", "recovery", "reconciliation", "timeline_summary", "hours", "weekdays"}
+    assert counts["hours"] == 24 and tables["hours"].agg({"txns": "sum"}).first()[0] == 0

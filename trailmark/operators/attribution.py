@@ -9,6 +9,7 @@ from trailmark.functions.banks import WALLETS, instrument_kind
 from trailmark.functions.text import account_key, or_empty
 from trailmark.operators.core import one_row, total
 from trailmark.operators.money import percent
+from trailmark.schema import MONEY
 
 FLAGS = ("IFSC_TEXT_MISMATCH", "UNKNOWN_IFSC_PREFIX", "INVALID_IFSC", "NO_IFSC")
 
@@ -64,12 +65,21 @@ def letters(lien_rows: DataFrame) -> DataFrame:
 
 
 def letters_to_send(fresh: DataFrame, stored: DataFrame) -> DataFrame:
-    """Fresh letters with the status of equal stored ones: ``sent`` stays where bank and total are the same."""
-    old = stored.select(F.col("bank_key").alias("_k"), F.col("total_amount").alias("_t"), F.col("status").alias("_s"))
-    fresh = fresh.groupBy("bank_key").agg(total(F.col("total_amount")).alias("total_amount"))
-    joined = fresh.join(old, F.col("bank_key") == F.col("_k"), "full_outer")
-    state = F.when(F.col("bank_key").isNull(), "withdrawn").when((F.col("_s") == "sent") & (F.col("_t") == F.col("total_amount")), "sent").otherwise("draft")
-    return joined.select(F.coalesce("bank_key", "_k").alias("bank_key"), F.coalesce("total_amount", "_t").alias("total_amount"), state.alias("status"))
+    """(bank_key, total_amount, changed_accounts, status): a bank's letter is sent again if any of its accounts is another or has another amount.
+
+    Both have the lines of letters (bank_key, account_no, lien_eligible_amount),
+    ``stored`` with the ``status`` of the letter.  ``sent`` stays only where all
+    lines are the same; letters without fresh lines are withdrawn.
+    """
+    keys = ["bank_key", "account_no"]
+    new = fresh.groupBy(*keys).agg(total(F.col("lien_eligible_amount")).alias("_new"))
+    old = stored.groupBy(*keys).agg(total(F.col("lien_eligible_amount")).alias("_old"), F.max("status").alias("_status"))
+    lines = new.join(old, keys, "full_outer")
+    found = lines.groupBy("bank_key").agg(
+        F.sum("_new").alias("_fresh"), total(F.col("_old")).alias("_stored"), F.count(F.when(~F.col("_new").eqNullSafe(F.col("_old")), 1)).alias("changed_accounts"), F.max("_status").alias("_status")
+    )
+    state = F.when(F.col("_fresh").isNull(), "withdrawn").when((F.col("_status") == "sent") & (F.col("changed_accounts") == 0), "sent").otherwise("draft")
+    return found.select("bank_key", F.coalesce("_fresh", "_stored").cast(MONEY).alias("total_amount"), "changed_accounts", state.alias("status"))
 
 
 def hidden_twins(rows: DataFrame) -> DataFrame:

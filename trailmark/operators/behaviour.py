@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from trailmark.functions.text import or_empty
 from trailmark.operators.core import hops, one_row, total
 from trailmark.operators.money import recovery
+from trailmark.operators.selection import median
 from trailmark.schema import MERCHANT_COUNT, MERCHANT_MINUTES, MULTI_ATM_COUNT, RAPID_COUNT, RAPID_MINUTES, RECOVERY_RATE_PCT, RESPONSE_GAP_DAYS
+from trailmark.session import stored
 
 
 def exits(rows: DataFrame) -> DataFrame:
@@ -96,7 +98,10 @@ def account_speed(rows: DataFrame) -> DataFrame:
 
 
 def cashout_speed(rows: DataFrame) -> DataFrame:
-    return account_speed(rows).agg(F.count("*").alias("account_count"), F.round(F.median("hours"), 4).alias("median_hours"), F.round(F.sum(F.round("hours", 6).cast("decimal(20,6)")) / F.count("*"), 4).cast("double").alias("mean_hours"))
+    """One row: accounts that cashed out what they received, and the exact median and the mean of their hours."""
+    speeds = stored(account_speed(rows).select("hours"))
+    mean = F.round(F.sum(F.round("hours", 6).cast("decimal(20,6)")) / F.count("*"), 4).cast("double")
+    return speeds.agg(F.count("*").alias("account_count"), mean.alias("mean_hours")).select("account_count", F.round(F.lit(median(speeds, "hours")[1]).cast("double"), 4).alias("median_hours"), "mean_hours")
 
 
 def band(value: Column, warn: float, danger: float) -> Column:

@@ -60,15 +60,19 @@ def filtered(
     return rows
 
 
-def ordered(rows: DataFrame, by: str = "transaction_date", descending: bool = True, nulls_last: bool = False) -> DataFrame:
-    """Sorted by one of SORTS, ties by id from the newest; anything else sorts by date."""
-    by = by if by in SORTS else "transaction_date"
-    c = F.col(by)
+def order_of(by: str = "transaction_date", descending: bool = True, nulls_last: bool = False) -> list[Column]:
+    """One of SORTS, ties by id from the newest; anything else sorts by date."""
+    c = F.col(by if by in SORTS else "transaction_date")
     if nulls_last:
         first = c.desc_nulls_last() if descending else c.asc_nulls_last()
     else:
         first = c.desc() if descending else c.asc()
-    return rows.orderBy(first, F.desc("id"))
+    return [first, F.desc("id")]
+
+
+def ordered(rows: DataFrame, by: str = "transaction_date", descending: bool = True, nulls_last: bool = False) -> DataFrame:
+    """Sorted by :func:`order_of`."""
+    return rows.orderBy(*order_of(by, descending, nulls_last))
 
 
 def page(rows: DataFrame, number: int = 1, size: int = 50, **sort) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
 
 def exit_tables(rows: DataFrame, channel: str | None = None, flag: str | None = None) -> dict[str, DataFrame]:
     """The view of cash exits, of one channel or flag if they are given: exits, their flags, and the legs of those."""
-    own = lambda df, **kw: df.where(" AND ".join(f"{c} = '{v}'" for c, v in kw.items() if v is not None) or "true")
+    own = lambda df, **kw: reduce(DataFrame.where, [F.col(c) == F.lit(v) for c, v in kw.items() if v is not None], df)
     return {"exits": own(behaviour.exits(rows), channel=channel), "flags": own(behaviour.exit_flags(rows), channel=channel, flag=flag), "flag_legs": own(behaviour.flag_legs(rows), channel=channel, flag=flag)}
 
 

@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import or_empty
-from trailmark.operators.core import hops, total
-from trailmark.schema import AGGREGATOR_MIN, AGGREGATOR_RED, COLLECTOR_TOP, CYCLE_MAX_LENGTH, FANOUT_HIGH
-from trailmark.session import cut
+from trailmark.operators.core import hops, one_row, total
+from trailmark.operators.selection import median, value_at
+from trailmark.operators.timejoin import next_at_or_after
+from trailmark.schema import AGGREGATOR_MIN, AGGREGATOR_RED, COLLECTOR_TOP, CYCLE_MAX_LENGTH, CYCLE_TOP, FANOUT_HIGH
+from trailmark.session import cut, stored
+
+#: Strongest edges among which the first cycles are sought, and by how much more if there are too few.
+CYCLE_EDGES, CYCLE_MORE = 2000, 8
+
 
 def _bank() -> Column:
     """The bank of a leg, null if it is blank."""
@@ -58,7 +64,9 @@ def aggregators(accounts: DataFrame, rolled: DataFrame) -> DataFrame:
 
 
 def aggregator_summary(some: DataFrame) -> DataFrame:
-    return some.agg(F.count("*").alias("count"), F.max("distinct_senders").alias("max_fan_in"), F.median("distinct_senders").alias("median_fan_in"), total(F.col("held")).alias("total_held"), total(F.col("total_received")).alias("total_received"))
+    some = stored(some.select("distinct_senders", "held", "total_received"))
+    sums = some.agg(F.count("*").alias("count"), F.max("distinct_senders").alias("max_fan_in"), total(F.col("held")).alias("total_held"), total(F.col("total_received")).alias("total_received"))
+    return sums.select("count", "max_fan_in", F.lit(median(some, "distinct_senders")[1]).cast("double").alias("median_fan_in"), "total_held", "total_received")
 
 
 def layers(rows: DataFrame) -> DataFrame:
@@ -87,13 +95,11 @@ def forward_hours(rows: DataFrame) -> DataFrame:
     """(layer_no, avg_forward_time_hours): from an account's first receipt in a layer to the case's next hop a layer on."""
     dated = hops(rows).where("transaction_date IS NOT NULL")
     got = dated.groupBy("layer_no", "benef_key").agg(F.min(F.struct("transaction_date", "ack_no")).alias("g")).select("layer_no", F.col("g.transaction_date").alias("t"), F.col("g.ack_no").alias("ack_no"))
-    # the first hop of the next layer at or after each receipt: both kinds of events in time order of a case and layer
-    receipts = got.select("ack_no", (F.col("layer_no") + 1).alias("layer"), "t", F.lit(1).alias("kind"))
-    moves = dated.select("ack_no", F.col("layer_no").alias("layer"), F.col("transaction_date").alias("t"), F.lit(0).alias("kind")).distinct()
-    later = Window.partitionBy("ack_no", "layer").orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = receipts.unionByName(moves).withColumn("next", F.min(F.when(F.col("kind") == 0, F.col("t"))).over(later)).where("kind = 1 AND next IS NOT NULL")
+    receipts = got.groupBy("ack_no", (F.col("layer_no") + 1).alias("layer"), "t").agg(F.count("*").alias("n"))
+    moves = dated.select("ack_no", F.col("layer_no").alias("layer"), F.col("transaction_date").alias("t"))
+    met = next_at_or_after(receipts, moves, ["ack_no", "layer"]).where("next IS NOT NULL")
     seconds = F.timestamp_diff("SECOND", F.col("t"), F.col("next"))
-    return met.groupBy((F.col("layer") - 1).alias("layer_no")).agg(F.round(F.sum(seconds) / F.count("*") / 3600, 2).alias("avg_forward_time_hours"))
+    return met.groupBy((F.col("layer") - 1).alias("layer_no")).agg(F.round(F.sum(seconds * F.col("n")) / F.sum("n") / 3600, 2).alias("avg_forward_time_hours"))
 
 
 def layer_flows(rows: DataFrame) -> DataFrame:
@@ -120,6 +126,10 @@ def core_edges(graph: DataFrame, rounds: int) -> DataFrame:
     return left
 
 
+def _between(graph: DataFrame) -> DataFrame:
+    return graph.where("source <> destination").select("source", "destination", "amount", "txns", "banks")
+
+
 def cycles(graph: DataFrame, longest: int = CYCLE_MAX_LENGTH) -> DataFrame:
     """(path, length, amount, txns, banks) of all simple cycles of two to ``longest`` edges, each from its least account.
 
@@ -128,7 +138,7 @@ def cycles(graph: DataFrame, longest: int = CYCLE_MAX_LENGTH) -> DataFrame:
     So no path is longer than half a cycle, and hubs are passed less often.
     """
     half = -(-longest // 2)
-    step = core_edges(graph.where("source <> destination").select("source", "destination", "amount", "txns", "banks"), half)
+    step = core_edges(_between(graph), half)
 
     def walks(here: str, there: str, most: int) -> dict[int, DataFrame]:
         """By length: (start, last, nodes after the start in the order of walking, ...)."""
@@ -147,3 +157,30 @@ def cycles(graph: DataFrame, longest: int = CYCLE_MAX_LENGTH) -> DataFrame:
         met = forth[a].join(home, ["start", "last"]).where(~F.arrays_overlap("nodes", "rest"))
         found.append(met.select(F.concat(F.array("start"), "nodes", "rest").alias("path"), F.lit(length).alias("length"), F.least("amount", "a").alias("amount"), (F.col("txns") + F.col("n")).alias("txns"), F.array_sort(F.array_union("banks", "b")).alias("banks")))
     return reduce(DataFrame.unionByName, found)
+
+
+def top_cycles(graph: DataFrame, top: int = CYCLE_TOP, longest: int = CYCLE_MAX_LENGTH, first: int = CYCLE_EDGES) -> DataFrame:
+    """The ``top`` cycles by their least edge, shorter ones first among equals, then by path.
+
+    The amount of a cycle is that of its weakest edge, so cycles among the
+    strongest edges come before all others.  Edges are added by falling amount,
+    all of one amount together, until enough cycles stand; only if there are not
+    so many cycles at all, every edge takes part.
+    """
+    core = stored(core_edges(_between(graph), -(-longest // 2)))
+    n, most = core.count(), first
+    best = [F.desc("amount"), "length", F.array_join("path", "; ")]
+    while most < n:
+        least = F.lit(value_at(core, "amount", n - most, n)).cast(core.schema["amount"].dataType)
+        found = cut(cycles(core.where(F.col("amount") >= least), longest))
+        if found.count() >= top:
+            return found.orderBy(*best).limit(top)
+        most *= CYCLE_MORE
+    return cycles(core, longest).orderBy(*best).limit(top)
+
+
+def cycle_totals(rows: DataFrame, graph: DataFrame, longest: int = CYCLE_MAX_LENGTH) -> DataFrame:
+    """One row: all cycles, how many of them have two edges, and the legs that an account pays to itself."""
+    found = cycles(graph, longest).agg(F.count("*").alias("cycles"), F.count(F.when(F.col("length") == 2, 1)).alias("two_way"))
+    loops = rows.agg(F.count(F.when((F.col("row_kind") == "OTHER") & (F.col("victim_key") != "") & (F.col("victim_key") == F.col("benef_key")), 1)).alias("self_loops"))
+    return one_row(found, loops)

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.functions import parse, text
-from trailmark.operators import attribution, behaviour, browse, calendar, findings, graph, ingest, money, registry, scoring
+from trailmark.functions import banks, parse, text
+from trailmark.operators import attribution, behaviour, browse, calendar, exports, findings, graph, ingest, money, pages, registry, scoring
 from trailmark.operators.core import enrich, flag_duplicates, legs, one_row, rollup, stored_legs
 from trailmark.plans.sql import EDGES, ROLLUP, on_events, on_ledger
-from trailmark.session import cut
+from trailmark.session import cut, stored
 from trailmark.sources.adapter import events_ledger, ledger
 from trailmark.sources.demo import demo_trail
 from trailmark.sources.sheets import ledger_cells
@@ -249,7 +249,13 @@ def _(l):
 
 @query("top_cycles", on_ledger(EDGES, _CYCLES, select=f"SELECT {_CYCLE_COLS} FROM cycles ORDER BY cycles.amount DESC, cycles.length, array_to_string(cycles.path, '; ') LIMIT 10"))
 def _(l):
-    return graph.cycles(graph.edges(legs(l))).orderBy(F.desc("amount"), "length", F.array_join("path", "; ")).limit(10)
+    return graph.top_cycles(graph.edges(legs(l)))
+
+
+@query("cycle_totals", on_ledger(EDGES, _CYCLES, select="SELECT count(*) AS cycles, count(*) FILTER (WHERE length = 2) AS two_way, (SELECT count(*) FROM legs WHERE row_kind = 'OTHER' AND victim_key <> '' AND victim_key = benef_key) AS self_loops FROM cycles"))
+def _(l):
+    rows = _legs(l)
+    return graph.cycle_totals(rows, graph.edges(rows))
 
 
 # -- behaviour ---------------------------------------------------------------
@@ -319,6 +325,17 @@ def _(l):
     return behaviour.flag_legs(_legs(l, "day", "payment_mode", "atm_id"))
 
 
+@query("exit_view", on_events(select=f"SELECT id, channel, cash_account, atm_id, {S('transaction_date')}, {D('transaction_amount')} FROM exits WHERE channel = 'POS'"), events_ledger)
+def _(l):
+    rows = _legs(l, "day", "payment_mode", "atm_id")
+    return exports.exit_tables(rows, channel="POS")["exits"].select("id", "channel", "cash_account", "atm_id", "transaction_date", "transaction_amount")
+
+
+@query("exit_view_flags", on_events(*_FLAGS, select=f"""SELECT 'POS' AS channel, 'suspicious_merchant' AS flag, subject, n AS "count", {D('s', 'total_amount')}, n || ' POS txns in ' || {_MINUTES} || ' min' AS why FROM shops"""), events_ledger)
+def _(l):
+    return exports.exit_tables(_legs(l, "day", "payment_mode", "atm_id"), channel="POS", flag="suspicious_merchant")["flags"]
+
+
 _SPEED = """got AS (SELECT benef_key AS account_no, min(transaction_date) AS t FROM legs WHERE row_kind = 'HOP' AND transaction_date IS NOT NULL GROUP BY 1),
 speed AS (SELECT account_no, date_diff('microsecond', t, min(transaction_date)) // 1000000 / 3600 AS hours FROM got JOIN legs ON cash_account = account_no WHERE row_kind = 'EXIT' AND transaction_date >= t GROUP BY account_no, t)"""
 
@@ -418,8 +435,12 @@ def _(l):
     return attribution.quality_summary(rows, attribution.flagged_accounts(rows), money.liens(rollup(rows)))
 
 
-_INSTRUMENT = f"""instruments AS (SELECT *, CASE WHEN contains(account_no, '@') OR regexp_matches(account_no, '(?i)^(FPPI|PPI|BILLNUMBER)') OR upper(trim(coalesce(ifsc_code, ''))) IN ('NA', 'N/A') OR regexp_matches(upper(trim(coalesce(ifsc_code, ''))), '^PPIW0[A-Z0-9]{{6}}$') OR regexp_matches(coalesce(ifsc_code, ''), '{_WALLETS}')
- OR (regexp_matches(coalesce(bank_name, ''), '{_WALLETS}') AND NOT regexp_matches(coalesce(bank_name, ''), '(?i)\\bbank\\b')) THEN 'wallet' WHEN account_no IN ('', '—', '-', '.') OR regexp_matches(account_no, '(?i)^(N/?A|NULL|UNDEFINED)$') OR regexp_matches(account_no, '(?i)x{{2,}}') THEN 'masked' ELSE 'bank' END AS instrument FROM liens)"""
+_QUOTED = lambda values: ", ".join(f"'{v}'" for v in values)
+_BY_NUMBER = " OR ".join(["contains(number, '@')", *(f"starts_with(number, '{x}')" for x in banks.WALLET_ACCOUNTS)])
+_BY_CODE = f"code IN ('NA', 'N/A') OR regexp_matches(code, '{_WALLETS}') OR (starts_with(code, '{banks.WALLET_PREFIX}') AND regexp_matches(code, '{banks.IFSC}'))"
+_BY_NAME = f"regexp_matches(name, '{_WALLETS}') AND NOT list_contains(regexp_split_to_array(lower(name), '[^a-z0-9_]+'), 'bank')"
+_INSTRUMENT = f"""written AS (SELECT *, upper(trim(account_no)) AS number, upper(trim(coalesce(ifsc_code, ''))) AS code, coalesce(bank_name, '') AS name FROM liens),
+instruments AS (SELECT * EXCLUDE (number, code, name), CASE WHEN {_BY_NUMBER} OR {_BY_CODE} OR ({_BY_NAME}) THEN 'wallet' WHEN number IN ({_QUOTED(banks.NO_ACCOUNT)}) OR contains(number, 'XX') THEN 'masked' ELSE 'bank' END AS instrument FROM written)"""
 
 
 @query("instruments", on_ledger(ROLLUP, _INSTRUMENT, select=f"SELECT account_no, bank_name, instrument, {D('lien_eligible_amount')} FROM instruments"))
@@ -462,6 +483,12 @@ def _(l):
     return browse.page(_flagged(l), 2, 50, by="transaction_amount").select(_SHOWN)
 
 
+@query("ledger_last_page", on_ledger(select=f"SELECT {_SHOWN_SQL} FROM flagged ORDER BY flagged.transaction_amount DESC, id DESC LIMIT 50 OFFSET (SELECT (count(*) - 1) // 50 * 50 FROM flagged)"))
+def _(l):
+    index = pages.RankIndex(_flagged(l).select(_SHOWN), by="transaction_amount")
+    return index.page(index.pages(50), 50)
+
+
 @query("page_counts", on_ledger(select="SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM flagged"))
 def _(l):
     return browse.page_counts(_flagged(l))
@@ -482,6 +509,11 @@ def _(l):
     return browse.account_legs(_flagged(l), "10")
 
 
+@query("drill_down", on_ledger(select=f"SELECT 'Account 10' AS title, count(*) AS legs, {D('coalesce(sum(transaction_amount), 0)', 'amount')}, {D('coalesce(sum(disputed_amount), 0)', 'disputed')}, {S('min(day)', 'first_day')}, {S('max(day)', 'last_day')} FROM flagged WHERE benef_key = '10' OR victim_key = '10'"))
+def _(l):
+    return exports.drill_down(browse.account_legs(_flagged(l), "10").withColumn("day", F.to_date("transaction_date")), "Account 10")["figures"]
+
+
 @query("terminal_detail", on_ledger(select=f"SELECT {_SHOWN_SQL} FROM flagged WHERE row_kind = 'EXIT' AND trim(coalesce(atm_id, '')) = ''"))
 def _(l):
     return browse.terminal_legs(_flagged(l), "UNKNOWN_ATM").select(_SHOWN)
@@ -544,6 +576,12 @@ def _(l):
     return registry.aggregate(registry.contributions(legs(l)))
 
 
+@query("registry_orphans", on_ledger(_CONTRIB, select=f"SELECT * FROM ({_REGISTRY('contributed')}) r WHERE account_no NOT IN (SELECT benef_key FROM legs WHERE report_id <> 3)"))
+def _(l):
+    rows = _legs(l, "report_id")
+    return registry.orphans(registry.aggregate(registry.contributions(rows)), rows.where("report_id <> 3"))
+
+
 @query("repeat_accounts_withdrawn", on_ledger(_CONTRIB, select=_REGISTRY("(SELECT * FROM contributed WHERE report_id <> 3)")))
 def _(l):
     return registry.aggregate(registry.withdraw_report(registry.contributions(legs(l)), 3))
@@ -708,7 +746,10 @@ def _(l):
     return findings.roadmap(money.summary(flagged, accounts), scoring.risk_counts(scoring.score(rows, accounts)), quality)
 
 
-@query("payment_rails", on_ledger(select="SELECT id, nullif(regexp_extract(upper(remarks), '(?:^|[^A-Z])(?:DR|CR)?(UPI|IMPS|NEFT|RTGS)(?:[^A-Z]|$)', 1), '') AS rail FROM flagged"))
+_BARE = "list_transform(string_split_regex(upper(remarks), '[^A-Z]+'), lambda w: CASE WHEN w[1:2] IN ('DR', 'CR') THEN w[3:] ELSE w END)"
+
+
+@query("payment_rails", on_ledger(select=f"SELECT id, list_filter({_BARE}, lambda w: w IN ({_QUOTED(parse.RAILS)}))[1] AS rail FROM flagged"))
 def _(l):
     return _flagged(l).select("id", parse.payment_rail(F.col("remarks")).alias("rail"))
 
@@ -757,11 +798,17 @@ def _(l):
     return registry.options(legs(l), "beneficiary_bank")
 
 
-@query("letters_diff", on_ledger(ROLLUP, _INSTRUMENT, "fresh AS (SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, sum(lien_eligible_amount) AS total_amount FROM instruments WHERE instrument = 'bank' GROUP BY 1)", select=f"SELECT bank_key, {D('total_amount')}, CASE WHEN bank_key LIKE '%bank%' THEN 'sent' ELSE 'draft' END AS status FROM fresh UNION ALL SELECT 'closed bank', 1.0, 'withdrawn'"))
+_LINES = "letter_lines AS (SELECT lower(trim(coalesce(bank_name, 'Unknown'))) AS bank_key, count(*) AS n, sum(lien_eligible_amount) AS total_amount FROM instruments WHERE instrument = 'bank' GROUP BY 1)"
+
+
+@query("letters_diff", on_ledger(ROLLUP, _INSTRUMENT, _LINES, select=f"""SELECT bank_key, {D('total_amount')}, CASE WHEN bank_key = 'hdfc bank' THEN 2 * n WHEN bank_key LIKE '%bank%' THEN 0 ELSE n END AS changed_accounts,
+ CASE WHEN bank_key LIKE '%bank%' AND bank_key <> 'hdfc bank' THEN 'sent' ELSE 'draft' END AS status FROM letter_lines UNION ALL SELECT 'closed bank', 1.0, 1, 'withdrawn'"""))
 def _(l):
-    fresh = attribution.letters(money.liens(rollup(legs(l))))
-    sent = fresh.groupBy("bank_key").agg(F.sum("total_amount").cast("decimal(18,2)").alias("total_amount")).withColumn("total_amount", F.when(F.col("bank_key").contains("bank"), F.col("total_amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
-    gone = fresh.sparkSession.createDataFrame([("closed bank", Decimal(1))], "bank_key string, total_amount decimal(18,2)")
+    # what was sent: the same lines to banks, but one bank's under other numbers, and other amounts to the rest
+    fresh = stored(attribution.letter_accounts(money.liens(rollup(legs(l)))).select("bank_key", "account_no", "lien_eligible_amount"))
+    other = F.when(F.col("bank_key") == "hdfc bank", F.concat(F.lit("old-"), "account_no")).otherwise(F.col("account_no"))
+    sent = fresh.select("bank_key", other.alias("account_no"), F.when(F.col("bank_key").contains("bank"), F.col("lien_eligible_amount")).otherwise(F.lit(0).cast("decimal(18,2)")).alias("lien_eligible_amount"))
+    gone = fresh.sparkSession.createDataFrame([("closed bank", "1", Decimal(1))], "bank_key string, account_no string, lien_eligible_amount decimal(18,2)")
     return attribution.letters_to_send(fresh, sent.unionByName(gone).withColumn("status", F.lit("sent")))
 
 

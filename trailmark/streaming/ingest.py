@@ -1,4 +1,4 @@
-"""Ledger files as a stream: every new workbook or Parquet file is ingested once."""
+"""Ledger files as streams: new Parquet files of rows, and new workbooks, which are told apart by their content."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.operators.core import enrich, total
+from trailmark.operators.ingest import parse_workbooks
 from trailmark.schema import LEDGER
+from trailmark.sources.workbook import MAX_BYTES, cells_of
 
 
 def ledger_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
@@ -27,3 +29,31 @@ def daily_exits(rows: DataFrame, late: str = "2 days") -> DataFrame:
 def ingest(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Runs ``handle`` on every batch until all files that are there are done."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def workbook_files(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
+    """(path, content, source_sha256) of new files in ``folder``; a content that came before, under whatever name, is left out.
+
+    The state is one hash for each content.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_a_batch).load(folder)
+    return files.where(F.col("length") <= MAX_BYTES).select("path", "content", F.sha2("content", 256).alias("source_sha256")).dropDuplicates(["source_sha256"])
+
+
+def ingest_workbooks(files: DataFrame, checkpoint: str, handle: Callable[[dict[str, DataFrame], DataFrame, int], None]) -> StreamingQuery:
+    """Runs ``handle`` on what :func:`parse_workbooks` gives for every batch of new files, until all that are there are done.
+
+    ``handle`` gets the tables, (path, source_sha256) of the files, and the
+    number of the batch.  A batch that failed comes again with its number, which
+    a versioned store takes as a key.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        df = df.persist()
+        try:
+            if not df.isEmpty():
+                handle(parse_workbooks(cells_of(df)), df.select("path", "source_sha256"), number)
+        finally:
+            df.unpersist()
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
