@@ -8,7 +8,7 @@ from trailmark.operators import ingest, registry
 from trailmark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-HEAVY = ["cashout_analysis", "report_summary", "recovery_status", "layer_analysis", "mule_scores", "data_quality_summary", "key_findings", "roadmap"]
+HEAVY = ["cashout_analysis", "report_summary", "recovery_status", "layer_analysis", "mule_scores", "data_quality_summary", "key_findings", "roadmap", "leg_detail", "aggregator_accounts", "aggregator_summary", "edge_detail", "letters_diff", "lien_statuses", "earlier_sources", "repeat_accounts_replaced", "registry_orphans", "cycle_totals"]
 
 
 @pytest.mark.parametrize("name", HEAVY)

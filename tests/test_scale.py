@@ -90,3 +90,54 @@ def test_deep_pages(spark):
             assert [x.id for x in index.page(number, 50).collect()] == every[(number - 1) * 50 : number * 50]
         assert [x.id for x in index.page(3, 499).collect()] == every[998:1497]
     assert pages.RankIndex(rows.limit(0)).page(1).count() == 0
+
+
+def test_search_skips_blocks(spark):
+    from trailmark.operators.textindex import TextIndex
+
+    rows = catalog._flagged(catalog.ledger(spark, SF)).select("id", *browse.SEARCHED)
+    index = TextIndex(rows, block_rows=300)
+    assert index.blocks > 15
+    for text in ("u1234", "U12", "name 7", "%", "12", "", "no such text", "P1\nN"):
+        assert sorted(r.id for r in index.search(text).collect()) == sorted(r.id for r in browse.filtered(rows, text=text).collect())
+    rare = next(r.utr_no for r in rows.where("utr_no IS NOT NULL").orderBy("id").take(1))
+    assert len(index.may_have(f"{rare} ") or []) < index.blocks and len(index.may_have(rare)) < index.blocks / 2
+    assert index.may_have("no such text") == [] and index.may_have("ab") is None
+    assert TextIndex(rows.limit(0)).search("abc").count() == 0
+
+
+def test_one_pass_for_tables_of_one_key(spark):
+    from trailmark.operators import calendar
+    from trailmark.operators.core import stored_legs
+
+    flagged = stored_legs(catalog.ledger(spark, SF), "day", "payment_mode", "state", "city")
+    rows = flagged.where("NOT is_duplicate")
+    tables = calendar.one_key_tables(flagged)
+    want = {"hours": calendar.hours(flagged), "weekdays": calendar.weekdays(rows), "states": calendar.by_place(rows, "state"), "cities": calendar.by_place(rows, "city"), "payment_modes": calendar.payment_modes(rows), "daily_volume": calendar.daily_volume(flagged)}
+    assert set(tables) == set(want)
+    for name, df in want.items():
+        assert sorted(map(tuple, tables[name].select(*df.columns).collect())) == sorted(map(tuple, df.collect())), name
+        # what is left to be run reads the sums only
+        assert "victim_key" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_data_goes(spark):
+    from pathlib import Path
+
+    from trailmark.session import clean_up, kept_dir
+
+    catalog.QUERIES["layer_analysis"](spark, SF).collect()
+    folder = Path(kept_dir(spark).removeprefix("file:"))
+    assert list(folder.iterdir())
+    clean_up(spark)
+    assert not folder.exists()
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_ids_over_ranges_of_files(spark, monkeypatch, most):
+    from trailmark.operators import ingest
+
+    monkeypatch.setattr(ingest, "BROADCAST_FILES", most)
+    rows = spark.createDataFrame([(f"f{f:02}", s, r, "A") for f in range(30) for s in range(2) for r in range(1, f % 4 + 2)], "path string, sheet_no int, r long, ack_no string")
+    got = sorted((r.utr_no, r.id) for r in ingest.with_ids(rows.withColumn("utr_no", F.col("path")), 7, first=100).collect())
+    assert [i for _, i in got] == list(range(101, 101 + rows.count()))  # in order of the files

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.text import or_empty
 from trailmark.operators.core import one_row, total
 from trailmark.operators.money import percent
+from trailmark.session import stored
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -77,3 +78,45 @@ def payment_modes(rows: DataFrame) -> DataFrame:
 def report_gap(rows: DataFrame, uploaded) -> DataFrame:
     """Days from the first dated leg to the upload."""
     return one_row(rows.agg(F.min("day").alias("first_day"))).select(F.datediff(F.lit(uploaded).cast("date"), "first_day").alias("days"))
+
+
+#: Tables of one key that :func:`one_key_tables` makes, and their keys.
+ONE_KEY = {"hours": "hour", "weekdays": "weekday", "states": "state", "cities": "city", "payment_modes": "mode", "daily_volume": "day"}
+
+
+def one_key_tables(flagged: DataFrame) -> dict[str, DataFrame]:
+    """Hours, weekdays, states, cities, payment modes and daily volume by grouping sets over one pass of ``flagged``.
+
+    The same rows as ``hours`` and ``daily_volume`` of all legs and ``weekdays``,
+    ``by_place`` and ``payment_modes`` of those that are not repeated.  The sums
+    have one row for each value of a key and are kept for the tables.
+    """
+    fresh, amount, mode = ~F.col("is_duplicate"), F.col("transaction_amount"), F.upper(or_empty(F.col("payment_mode")))
+    place = lambda key: F.when(or_empty(F.col(key)) != "", F.trim(key)).otherwise("Unknown")
+    keyed = flagged.select(
+        "day", fresh.alias("fresh"), amount.alias("amount"), mode.isin("ATM", "POS").alias("cash"), (F.col("row_kind") == "EXIT").alias("exit"), F.hour("transaction_date").alias("hour"),
+        F.coalesce(F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday("day")), F.lit("Undated")).alias("weekday"), place("state").alias("state"), place("city").alias("city"), F.when(mode != "", mode).otherwise("OTHERS").alias("mode"),
+    )
+    keys = list(ONE_KEY.values())
+    sums = keyed.groupingSets([[F.col(k)] for k in keys], *keys).agg(
+        *[F.grouping(k).alias(f"_{k}") for k in keys],
+        F.count("*").alias("all_txns"), total(amount_ := F.col("amount")).alias("all_amount"), total(amount_, F.col("cash")).alias("cash"), total(amount_, ~F.col("cash")).alias("transfer"),
+        F.count(F.when(F.col("fresh"), 1)).alias("txns"), total(amount_, F.col("fresh")).alias("amount"), F.count(F.when(F.col("fresh") & F.col("exit"), 1)).alias("exits"),
+    )
+    sums = stored(sums)
+    of = lambda key: sums.where(F.col(f"_{key}") == 0)
+    own = lambda key: of(key).where("txns > 0")
+    whole = of("mode").agg(total(F.col("amount"))).scalar()
+    bins = lambda names, schema: flagged.sparkSession.createDataFrame(names, schema)
+    filled = lambda df, n, a: df.select(*df.columns[:-2], F.coalesce(n, F.lit(0)).alias("txns"), F.coalesce(a, F.lit(0)).cast("decimal(18,2)").alias("total_amount"))
+    hour_bins = bins([(h,) for h in range(24)], "hour int").join(of("hour").where("hour IS NOT NULL").select("hour", "all_txns", "all_amount"), "hour", "left")
+    weekday_bins = bins([(i, d) for i, d in enumerate((*WEEKDAYS, "Undated"))], "place int, weekday string").join(of("weekday").select("weekday", "txns", "amount"), "weekday", "left")
+    out = {
+        "hours": filled(hour_bins, F.col("all_txns"), F.col("all_amount")),
+        "weekdays": filled(weekday_bins.select("place", "weekday", "txns", "amount"), F.col("txns"), F.col("amount")),
+        "payment_modes": own("mode").select("mode", F.col("txns").alias("count"), "amount", percent(F.col("amount"), whole).alias("share_pct")),
+        "daily_volume": of("day").where("day IS NOT NULL").select("day", "transfer", "cash"),
+    }
+    for name, key in (("states", "state"), ("cities", "city")):
+        out[name] = own(key).select(key, "amount", F.col("txns").alias("count"), F.col("exits").alias("cashout_count"), percent(F.col("amount"), whole).alias("pct"))
+    return out

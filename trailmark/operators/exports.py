@@ -22,6 +22,7 @@ def report_tables(ledger: DataFrame) -> dict[str, DataFrame]:
     lien_rows = money.liens(accounts)
     flags = attribution.flagged_accounts(rows)
     scored = scoring.score(rows, accounts)
+    by_key = calendar.one_key_tables(flagged)
     return {
         "transactions": flagged,
         "summary": money.summary(flagged, accounts),
@@ -44,11 +45,7 @@ def report_tables(ledger: DataFrame) -> dict[str, DataFrame]:
         "terminals": browse.atm_terminals(rows),
         "timeline": calendar.timeline(rows),
         "timeline_summary": calendar.timeline_summary(rows),
-        "hours": calendar.hours(flagged),
-        "daily_volume": calendar.daily_volume(flagged),
-        "weekdays": calendar.weekdays(rows),
-        "states": calendar.by_place(rows, "state"),
-        "payment_modes": calendar.payment_modes(rows),
+        **by_key,
         "data_quality": flags,
         "letters": attribution.letters(lien_rows),
         "letter_accounts": attribution.letter_accounts(lien_rows),

@@ -21,6 +21,8 @@ from trailmark.schema import LEDGER
 from trailmark.session import stored
 
 HEADER_ROWS, HEADER_MATCHES = 11, 3
+#: Files up to which the table of them is broadcast.
+BROADCAST_FILES = 100_000
 SHEET = ["path", "sheet_no", "sheet"]
 ROW = [*SHEET, "r"]
 #: Sheet names in lower case, and their channels (fixed values); for names that no pattern knows.
@@ -218,17 +220,26 @@ def parse_workbooks(cells: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _rows_before(files: DataFrame) -> DataFrame:
+    """(path, _shift) of ``files`` (path, _n): the rows of all files before; files are numbered by ranges of their paths."""
+    placed = stored(files.repartitionByRange("path").withColumn("_range", F.spark_partition_id()))
+    sums = sorted((r["_range"], r["n"]) for r in placed.groupBy("_range").agg(F.sum("_n").alias("n")).collect())  # one row for each range
+    before = [(p, sum(n for q, n in sums if q < p)) for p, _ in sums]
+    first = F.broadcast(files.sparkSession.createDataFrame(before, "_range int, _first long"))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_within", within).join(first, "_range").select("path", (F.col("_first") + F.col("_within")).alias("_shift"))
+
+
 def with_ids(rows: DataFrame, report_id: int, first: int = 0) -> DataFrame:
     """Ledger rows with ids in the order of file, sheet and row, unique over all files, after ``first``.
 
-    Rows of a file are numbered apart; files, of which there are few, are
-    shifted by the numbers of those before them.
+    Rows of a file are numbered apart; files are shifted by the numbers of those
+    before them, which are looked up by broadcast if there are few.
     """
     known = {f.name for f in LEDGER.fields}
-    files = rows.groupBy("path").agg(F.count("*").alias("_n"))
-    shift = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = stored(_rows_before(rows.groupBy("path").agg(F.count("*").alias("_n"))))
     place = F.row_number().over(Window.partitionBy("path").orderBy("sheet_no", "r"))
-    out = rows.join(F.broadcast(files.select("path", shift.alias("_shift"))), "path").withColumns({"id": F.lit(first) + F.col("_shift") + place, "report_id": F.lit(report_id).cast("long")})
+    out = rows.join(F.broadcast(shifts) if shifts.count() <= BROADCAST_FILES else shifts, "path").withColumns({"id": F.lit(first) + F.col("_shift") + place, "report_id": F.lit(report_id).cast("long")})
     return out.select(*[c for c in out.columns if c in known or c in ("raw_beneficiary_bank", "bank_source", "bank_flag")])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.operators.browse import PAGE_MOST, order_of
-from trailmark.session import shared_dir
+from trailmark.session import kept_dir
 
 
 class RankIndex:
@@ -22,7 +22,7 @@ class RankIndex:
 
     def __init__(self, rows: DataFrame, folder: str | None = None, **sort):
         self.spark, self.sort = rows.sparkSession, sort
-        self.folder = folder or f"{shared_dir(self.spark)}/ranks-{uuid.uuid4().hex}"
+        self.folder = folder or f"{kept_dir(self.spark)}/ranks-{uuid.uuid4().hex}"
         ranged = rows.repartitionByRange(*order_of(**sort)).withColumn("_range", F.spark_partition_id())
         self.schema = ranged.schema
         ranged.write.partitionBy("_range").parquet(self.folder)

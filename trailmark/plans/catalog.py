@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.functions import banks, parse, text
-from trailmark.operators import attribution, behaviour, browse, calendar, exports, findings, graph, ingest, money, pages, registry, scoring
+from trailmark.operators import attribution, behaviour, browse, calendar, exports, findings, graph, ingest, money, pages, registry, scoring, textindex
 from trailmark.operators.core import enrich, flag_duplicates, legs, one_row, rollup, stored_legs
 from trailmark.plans.sql import EDGES, ROLLUP, on_events, on_ledger
 from trailmark.session import cut, stored
@@ -198,13 +198,13 @@ _AGG = "aggregators AS (SELECT account_no, in_degree AS distinct_senders, CASE W
 
 @query("aggregator_accounts", on_ledger(EDGES, ROLLUP, _AGG, select=f"SELECT account_no, distinct_senders, severity, {D('total_received')}, {D('held')}, layer_no FROM aggregators"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return graph.aggregators(graph.connectivity(graph.edges(rows)), rollup(rows))
 
 
 @query("aggregator_summary", on_ledger(EDGES, ROLLUP, _AGG, select=f"SELECT count(*) AS \"count\", max(distinct_senders) AS max_fan_in, median(distinct_senders) AS median_fan_in, {D('sum(held)', 'total_held')}, {D('sum(total_received)', 'total_received')} FROM aggregators"))
 def _(l):
-    rows = legs(l)
+    rows = _legs(l)
     return graph.aggregator_summary(graph.aggregators(graph.connectivity(graph.edges(rows)), rollup(rows)))
 
 
@@ -478,6 +478,19 @@ def _(l):
     return browse.filtered(_flagged(l), text="u12").select(_SHOWN)
 
 
+@query("ledger_search_blocks", SQL["ledger_search"])
+def _(l):
+    return textindex.TextIndex(_flagged(l).select(*{c: 1 for c in (*_SHOWN, *browse.SEARCHED)})).search("u12").select(_SHOWN)
+
+
+def _one_key(name: str):
+    return lambda l: calendar.one_key_tables(stored_legs(l, "day", "payment_mode", "state", "city"))[name]
+
+
+for _name, _like in {"hours": "hourly_pattern", "weekdays": "weekday_breakdown", "states": "geography_states", "cities": "geography_cities", "payment_modes": "payment_modes", "daily_volume": "daily_volume"}.items():
+    query(f"one_pass_{_name}", SQL[_like])(_one_key(_name))
+
+
 @query("ledger_page", on_ledger(select=f"SELECT {_SHOWN_SQL} FROM flagged ORDER BY flagged.transaction_amount DESC, id DESC LIMIT 50 OFFSET 50"))
 def _(l):
     return browse.page(_flagged(l), 2, 50, by="transaction_amount").select(_SHOWN)
@@ -521,8 +534,8 @@ def _(l):
 
 @query("edge_detail", on_ledger(EDGES, select=f"SELECT {_SHOWN_SQL} FROM legs WHERE row_kind = 'HOP' AND victim_key = '1' AND benef_key IN (SELECT destination FROM edges WHERE source = '1' ORDER BY destination LIMIT 1)"))
 def _(l):
-    rows = legs(l)
-    first = graph.edges(rows).where("source = '1'").agg(F.min("destination")).scalar()
+    rows = _legs(l, *_SHOWN)
+    first = rows.where("row_kind = 'HOP' AND victim_key = '1'").agg(F.min("benef_key")).scalar()
     return browse.edge_legs(rows, F.lit("1"), first).select(_SHOWN)
 
 
@@ -541,8 +554,8 @@ _FIELDS = "report_id ack_no complaint_date victim_account victim_bank beneficiar
 
 @query("leg_detail", on_ledger(f"one AS (SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _FIELDS)} FROM flagged WHERE id = (SELECT min(id) FROM flagged))", select=f"SELECT field, value FROM (UNPIVOT one ON {', '.join(_FIELDS)} INTO NAME field VALUE value) WHERE trim(value) <> ''"))
 def _(l):
-    rows = _flagged(l)
-    return browse.leg_fields(rows.join(rows.agg(F.min("id").alias("id")), "id"), rows.agg(F.min("id")).scalar())
+    rows = stored(_flagged(l))
+    return browse.leg_fields(rows, rows.agg(F.min("id")).scalar())
 
 
 @query("merchants", on_ledger(select=f"SELECT coalesce(nullif(trim(atm_location), ''), nullif(trim(beneficiary_name), ''), 'UNKNOWN_MERCHANT') AS name, coalesce(nullif(trim(atm_id), ''), '—') AS terminal_id, {D('sum(transaction_amount)', 'amount')}, count(*) AS txn_count FROM flagged WHERE m = 'POS' GROUP BY 1, 2"))
@@ -589,7 +602,7 @@ def _(l):
 
 @query("repeat_accounts_replaced", on_ledger(_CONTRIB, select=_REGISTRY("(SELECT * FROM contributed WHERE report_id <> 3 UNION ALL SELECT account_no, 3, min(bank_name), sum(amount_passed) FROM contributed WHERE report_id = 4 GROUP BY account_no)")))
 def _(l):
-    all_of = registry.contributions(legs(l))
+    all_of = stored(registry.contributions(legs(l)))
     return registry.aggregate(registry.replace_report(all_of, 3, all_of.where("report_id = 4")))
 
 
@@ -687,7 +700,7 @@ def _(l):
 
 @query("earlier_sources", on_ledger("reports AS (SELECT DISTINCT ack_no, report_id, 'h' || (report_id % 3) AS source_sha256 FROM flagged)", select="SELECT DISTINCT a.ack_no, a.source_sha256, b.source_sha256 AS earlier_sha256 FROM reports a JOIN reports b ON a.ack_no = b.ack_no AND b.report_id < a.report_id AND a.source_sha256 <> b.source_sha256"))
 def _(l):
-    return registry.earlier_sources(_flagged(l).select("ack_no", "report_id", F.concat(F.lit("h"), F.col("report_id") % 3).alias("source_sha256")).distinct())
+    return registry.earlier_sources(stored(l.select("ack_no", "report_id", F.concat(F.lit("h"), F.col("report_id") % 3).alias("source_sha256")).distinct()))
 
 
 @query("weak_duplicates", on_ledger(select=f"SELECT utr_no, beneficiary_account, {D('transaction_amount')}, {S('transaction_date')}, count(*) AS n FROM flagged WHERE utr_no IS NOT NULL AND beneficiary_account IS NOT NULL GROUP BY utr_no, beneficiary_account, flagged.transaction_amount, flagged.transaction_date HAVING count(*) > 1"))
@@ -769,10 +782,10 @@ def _(l):
 
 @query("lien_statuses", on_ledger(ROLLUP, select="SELECT account_no, CASE WHEN total_on_hold > 0 THEN 'applied' ELSE 'pending' END AS status, 'first list' AS remarks FROM liens"))
 def _(l):
-    lien_rows = money.liens(rollup(legs(l)))
-    stored = lien_rows.select("account_no", F.lit("pending").alias("status"), F.lit("first list").alias("remarks"))
+    lien_rows = stored(money.liens(rollup(legs(l))))
+    first = lien_rows.select("account_no", F.lit("pending").alias("status"), F.lit("first list").alias("remarks"))
     news = lien_rows.where("total_on_hold > 0").select("account_no", F.lit("applied").alias("status"), F.lit(None).cast("string").alias("remarks"))
-    return registry.upsert(stored, news, ["account_no"])
+    return registry.upsert(first, news, ["account_no"])
 
 
 _STATUS = "CASE WHEN total_on_hold > 0 THEN 'applied' WHEN total_cashed_out > 0 THEN 'success' ELSE 'pending' END"

@@ -25,8 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_dir(spark: SparkSession) -> str:
+    """Where this application keeps what is used more than once, until ``clean_up``."""
+    return f"{shared_dir(spark)}/kept-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read again, for what is used more than once; readers still prune and push down."""
-    folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    folder = f"{kept_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Drops all that this application has kept; results that were not read yet can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
