@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,33 @@ class RegistryView:
         found = self.store.read("registry")
         return registry.aggregate(self.contributions()) if found is None else found
 
+    def load(self, contributed: DataFrame, token: str = "loaded") -> bool:
+        """Contributions of many reports as the first version; False if there is a version already.
+
+        ``contributed`` has (account_no, report_id, bank_name, amount_passed), each
+        account once for a report, under its key.
+        """
+        store, base = self.store, self.store.current()
+        if base["version"]:
+            return False
+        made = store.write(contributed.select([f.name for f in CONTRIBUTED.fields]).withColumn("_part", F.col("report_id")), by="_part")
+        kept = store.spark.read.schema(CONTRIBUTED).parquet(f"{store.folder}/{made}")
+        reports = [r["report_id"] for r in kept.select("report_id").distinct().collect()]  # one row for each report
+        buckets, folder = self._written(registry.aggregate(kept))
+        applied = {f"report-{r}": token for r in reports}
+        store.commit({"contributions": {str(r): f"{made}/_part={r}" for r in reports}, "registry": {str(b): f"{folder}/bucket={b}" for b in buckets}}, base | {"applied": base["applied"] | applied})
+        return True
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("account_no"), F.lit(self.buckets)).cast("int")
+
+    def _written(self, counted: DataFrame) -> tuple[set[int], str]:
+        """The parts that ``counted`` has accounts in, and the folder of them."""
+        folder = self.store.write(counted.withColumn("bucket", self._bucket()).repartition("bucket"), by="bucket")
+        schema = counted.withColumn("bucket", self._bucket()).schema
+        written = self.store.spark.read.schema(schema).parquet(f"{self.store.folder}/{folder}")
+        return {r["bucket"] for r in written.select("bucket").distinct().collect()}, folder  # as many as there are parts at most
+
     def apply(self, report_id: int, fresh: DataFrame, token: str) -> bool:
         """``fresh`` (account_no, bank_name, amount_passed) takes the place of the report's contributions.
 
@@ -64,8 +91,7 @@ class RegistryView:
         new = spark.createDataFrame([], CONTRIBUTED) if folder is None else spark.read.parquet(f"{store.folder}/{folder}")
         old = store.read("contributions", version, [part]) if version else None
         touched = new.select("account_no") if old is None else registry.touched(old, new)
-        bucket = F.pmod(F.xxhash64("account_no"), F.lit(self.buckets)).cast("int")
-        touched = touched.distinct().withColumn("bucket", bucket)
+        touched = touched.distinct().withColumn("bucket", self._bucket())
 
         others = store.read("contributions", version, [p for p in known if p != part]) if version else None
         counted = new if others is None else new.unionByName(others.join(touched.select("account_no"), "account_no", "left_semi").select(new.columns))
@@ -74,8 +100,7 @@ class RegistryView:
         stays = store.read("registry", version, [str(b) for b in numbers]) if version else None
         if stays is not None:
             again = stays.join(touched.select("account_no"), "account_no", "left_anti").select(again.columns).unionByName(again)
-        made = store.write(again.withColumn("bucket", bucket).repartition("bucket"), by="bucket")
-        full = {r["bucket"] for r in again.select(bucket.alias("bucket")).distinct().collect()} if numbers else set()
+        full, made = self._written(again)
         parts = {str(b): f"{made}/bucket={b}" if b in full else None for b in numbers}
         store.commit({"contributions": {part: folder}, "registry": parts}, base, key, token)
         return True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -12,11 +13,13 @@ from pyspark.sql import types as T
 from trailmark.functions import banks, parse, text
 from trailmark.operators import attribution, behaviour, browse, calendar, exports, findings, graph, ingest, money, pages, registry, scoring, textindex
 from trailmark.operators.core import enrich, flag_duplicates, legs, one_row, rollup, stored_legs
+from trailmark.operators.registry_view import RegistryView, store_upsert
 from trailmark.plans.sql import EDGES, ROLLUP, on_events, on_ledger
-from trailmark.session import cut, stored
+from trailmark.session import cut, kept_dir, stored
 from trailmark.sources.adapter import events_ledger, ledger
 from trailmark.sources.demo import demo_trail
 from trailmark.sources.sheets import ledger_cells
+from trailmark.sources.store import VersionedStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,6 +592,31 @@ def _(l):
     return registry.aggregate(registry.contributions(legs(l)))
 
 
+_CHANGED = "(SELECT * FROM contributed WHERE report_id NOT IN (3, 5) UNION ALL SELECT account_no, 3, min(bank_name), sum(amount_passed) FROM contributed WHERE report_id = 4 GROUP BY account_no)"
+
+
+@query("registry_view", on_ledger(_CONTRIB, select=_REGISTRY(_CHANGED)))
+def _(l):
+    # all reports, then one replaced by another's accounts and one withdrawn
+    view = RegistryView(VersionedStore(l.sparkSession, f"{kept_dir(l.sparkSession)}/registry-{uuid.uuid4().hex}"))
+    view.load(registry.contributions(legs(l)))
+    view.apply(3, view.contributions().where("report_id = 4").drop("report_id"), "other")
+    view.withdraw(5)
+    return view.read()
+
+
+@query("liens_stored", on_ledger(ROLLUP, select=f"SELECT account_no, CASE WHEN total_on_hold > 0 THEN 'applied' ELSE 'pending' END AS status, {D('lien_eligible_amount')} FROM liens"))
+def _(l):
+    # pending for all, then news on some, twice
+    store = VersionedStore(l.sparkSession, f"{kept_dir(l.sparkSession)}/liens-{uuid.uuid4().hex}")
+    lien_rows = stored(money.liens(rollup(legs(l))).select("account_no", "total_on_hold", "lien_eligible_amount"))
+    store_upsert(store, "liens", lien_rows.select("account_no", F.lit("pending").alias("status"), "lien_eligible_amount"), ["account_no"], "liens", "first")
+    news = lien_rows.where("total_on_hold > 0").select("account_no", F.lit("applied").alias("status"), F.lit(None).cast("decimal(18,2)").alias("lien_eligible_amount"))
+    for _ in range(2):
+        store_upsert(store, "liens", news, ["account_no"], "liens", "news")
+    return store.read("liens")
+
+
 @query("registry_orphans", on_ledger(_CONTRIB, select=f"SELECT * FROM ({_REGISTRY('contributed')}) r WHERE account_no NOT IN (SELECT benef_key FROM legs WHERE report_id <> 3)"))
 def _(l):
     rows = _legs(l, "report_id")
