@@ -26,6 +26,8 @@ from trailmark.llm.bytewords import IS_BLANK, LOWER, SpanHash, blocks
 from trailmark.llm.common import cut, fresh, without, table
 
 MIN_DOCS = 10
+#: Bytes of text that are hashed together, so that what is made of them stays in a processor's cache.
+BLOCK_BYTES = 1 << 16
 NEWLINE = 10
 _KEY = ["h1", "h2", "doc", "tag", "pos"]
 
@@ -49,7 +51,7 @@ def _emit_lines(min_chars: int):
         for batch in batches:
             given = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            for i, j, data, off in blocks(batch.column(1)):
+            for i, j, data, off in blocks(batch.column(1), BLOCK_BYTES):
                 start, end, first = _line_bounds(data, off)
                 tags = _tags(data, off)
                 ids = np.where(null[i:j], tags, given[i:j])
@@ -189,7 +191,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _tagger(at: int, tag: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = [_tags(data, off) for _, _, data, off in blocks(batch.column(at))]
+            tags = [_tags(data, off) for _, _, data, off in blocks(batch.column(at), BLOCK_BYTES)]
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate(tags) if tags else np.zeros(0, np.int64))], names=[*batch.schema.names, tag])
 
     return run
