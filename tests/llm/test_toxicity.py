@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from trailmark.llm import toxicity as d
-from trailmark.llm.bytewords import _BASE, _VALUES, blocks
+from trailmark.llm.bytewords import _BASE, blocks
 
 SF, LARGE = "/root/testdata/sf0.1", "/root/testdata/check_s"
 
@@ -54,9 +54,14 @@ def naive_mix(x):
     return x ^ (x >> 31)
 
 
-def naive_hash(data, which):
+def naive_word(data):
     base = int(_BASE)
-    return naive_mix((sum(int(_VALUES[which][b]) * pow(base, i, 2**64) for i, b in enumerate(data)) + len(data) * base) % 2**64)
+    values = (naive_mix((naive_mix((256 * i + b + 1) * base % 2**64) + 0x11B54A32D192ED03) % 2**64) for i, b in enumerate(data))
+    return naive_mix((sum(values) + len(data) * base) % 2**64)
+
+
+def naive_gram(data):
+    return naive_mix(len(data) << 56 | int.from_bytes(data, "little"))
 
 
 def naive_score(model, text):
@@ -71,11 +76,11 @@ def naive_score(model, text):
             word = b""
     total = 0.0
     for w in words:
-        grams = [naive_mix((naive_hash(w, 0) + 7) % 2**64)]
+        grams = [naive_mix((naive_word(w) + 7) % 2**64)]
         for k in d.GRAMS:
             for at in range(-1, len(w) + 2 - k):
                 side = (at < 0) + 2 * (at + k > len(w))
-                grams.append(naive_mix((naive_hash(w[max(at, 0) : at + k], 1) + side * int(_BASE) + k) % 2**64))
+                grams.append(naive_mix((naive_gram(w[max(at, 0) : at + k]) + side * int(_BASE) + k) % 2**64))
         total += sum(float(model.weight[g % d.BUCKETS]) for g in grams) / len(grams)
     return 1 / (1 + math.exp(-(d.SCALE * total / (len(words) + d.SMOOTH) + model.bias)))
 

@@ -80,7 +80,7 @@ def mix_sources(
 
     The output is in order of ``_mix_key``, a hash of seed, id, text and copy,
     within each of its partitions, to which rows are dealt by the same hash.  The
-    draw depends on id and text (on the id alone if ``text_col`` is None), so rows
+    draw depends on id and text (on the id alone if there is no such column), so rows
     without an id, or with one id, are drawn each for itself; only repeated rows
     are repeated alike.  A null source is a source, a null text an empty one, and
     an empty table stays empty.  Other columns stay, whatever their names, but
@@ -95,7 +95,7 @@ def mix_sources(
     rows = docs.select("*", F.coalesce(own, F.lit("")).alias(source), own.isNull().alias(absent))
     sums = rates.agg(F.count("*").alias("sources"), F.sum("n").alias("n")).first()
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
-    if text_col is not None:
+    if text_col is not None and text_col in docs.columns:
         name = F.concat(name, F.lit(":"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
     if sums["sources"] <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(rates.drop("n")), [source, absent])
