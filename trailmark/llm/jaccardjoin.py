@@ -40,7 +40,9 @@ SHARE = 20
 #: Texts of one group, and bytes of them.
 GROUP, GROUP_BYTES = 256, 1 << 22
 #: Slots of the table of token counts, which is broadcast as one byte for each.
-SLOTS = 1 << 18
+SLOTS = 1 << 22
+#: Slots whose counts are summed up together.
+SLOT_BLOCK = 1 << 12
 #: Tokens that a comparison looks at together.
 COLUMNS = 8192
 _U = np.uint64
@@ -58,20 +60,36 @@ def _slot(token: np.ndarray) -> np.ndarray:
 
 
 def token_levels(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How frequent the tokens of each slot are: the binary logarithm of the number of texts that have one."""
+    """How frequent the tokens of each slot are: the binary logarithm of the number of texts that have one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    Every task counts all slots; its counts are dealt in blocks of slots, and
+    each block is summed up as it comes in.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for _, _, _, token, _ in _sets(batch.column(0), shingle):
-                total += np.bincount(_slot(token), minlength=SLOTS)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+                slot, n = np.unique(_slot(token), return_counts=True)
+                total[slot] += n.astype(np.uint32)
+        rows = total.reshape(-1, SLOT_BLOCK)
+        for i in range(0, len(rows), 64):
+            some = i + np.flatnonzero(rows[i : i + 64].any(axis=1))
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([rows[b].tobytes() for b in some], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[b] = sums.get(b, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        levels = [np.log2(np.maximum(n, 1)).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
 
-    found = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.floor(F.log2(F.sum("n").cast("double"))).cast("byte").alias("level")).toArrow()  # a row for each slot at most
-    out = np.zeros(SLOTS, np.uint8)
-    out[found["slot"].to_numpy()] = found["level"].to_numpy()
-    return out
+    dealt = texts.select("text").mapInArrow(count, "block int, counts binary").repartition("block")
+    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
+    for row in dealt.mapInArrow(add, "block int, levels binary").collect():  # a byte for each slot
+        out[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.reshape(-1)
 
 
 def _signer(levels, shingle: int, percent: int):
@@ -189,7 +207,7 @@ def _bound(percent: int, shingle: int):
     return run
 
 
-def _components(heads: DataFrame, n_nodes: int, texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, int]:
+def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, int]:
     """(node, label) of all nodes with links, and their number."""
     rows = heads.where("size > 0").select("node", "key", "n_bytes", "size")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"), F.min("node").alias("pivot")).where("n > 1")
@@ -205,11 +223,8 @@ def _components(heads: DataFrame, n_nodes: int, texts: DataFrame, percent: int,
     labels, n_labels = connected_components(found, n_found)
 
     # the matrix: of tokens that two or more components need, the groups that have them
-    seen = Observation()
-    needs = heads.select("node", F.explode("prefix").alias("token")).observe(seen, F.count("*").alias("n"))
-    tokened = cut(needs)
-    n_tokens = seen.get["n"] or 0
-    shared = tokened.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    tokened = heads.select("node", F.explode("prefix").alias("token"))
+    shared = cut(tokened.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
     tokened = cut(join_counted(tokened, shared, "token", hot_bound(n_tokens), F.col("node")).drop("n"))
     info = grouped.join(labels, "node", "left").select("node", "key", "part", "size", F.coalesce("label", "node").alias("label"))
     known = cut(tokened.join(info, "node"))
@@ -275,10 +290,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = F.coalesce(F.min(F.when(F.col("doc") != _NULL_DOC, F.col("doc"))), F.lit(_NULL_DOC))
     one = signed.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), least.alias("id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n_bytes", "size", "key", "prefix")])
     seen = Observation()
-    heads = cut(one.observe(seen, F.sum("n").alias("rows"), F.count("*").alias("nodes")).select(F.monotonically_increasing_id().alias("node"), "*"))
-    n_rows, n_nodes = seen.get["rows"] or 0, seen.get["nodes"] or 0
+    heads = cut(one.observe(seen, F.sum("n").alias("rows"), F.count("*").alias("nodes"), F.sum(F.size("prefix")).alias("tokens")).select(F.monotonically_increasing_id().alias("node"), "*"))
+    n_rows, n_nodes, n_tokens = (seen.get[c] or 0 for c in ("rows", "nodes", "tokens"))
 
-    labels, n_labels = _components(heads, n_nodes, texts, percent, shingle)
+    labels, n_labels = _components(heads, n_nodes, n_tokens, texts, percent, shingle)
     firsts = labels.join(heads.select("node", "id"), "node").groupBy("label").agg(F.coalesce(F.min(F.when(F.col("id") != _NULL_DOC, F.col("id"))), F.lit(_NULL_DOC)).alias("least"), F.count("*").alias("n"))
     of_node = join_counted(labels, firsts, "label", hot_bound(n_labels), F.col("node")).select("node", "least")
     of_text = heads.join(of_node, "node", "left").select("k1", "k2", "n", "size", F.coalesce("least", "id").alias("component"))
