@@ -36,14 +36,23 @@ def bursts(rows: DataFrame, key: str, minutes: int, least: int) -> DataFrame:
     A leg exactly ``minutes`` later counts.  Of equal stretches the earliest is taken.
     """
     dated = rows.where(F.col("transaction_date").isNotNull() & (or_empty(F.col(key)) != "")).withColumn("_s", F.unix_seconds(F.col("transaction_date").cast("timestamp")))
-    # a leg is seen with its own slice of time and, as one that follows, with the slice before; so a busy key is many groups
-    slice_of = F.floor(F.col("_s") / (minutes * 60))
-    both = dated.withColumn("_at", F.explode(F.array(F.struct(slice_of.alias("k"), F.lit(True).alias("own")), F.struct((slice_of - 1).alias("k"), F.lit(False).alias("own")))))
-    span = Window.partitionBy(key, "_at.k").orderBy("_s").rangeBetween(0, minutes * 60)
-    seen = both.withColumns({"_n": F.count("*").over(span), "_sum": F.sum("transaction_amount").over(span), "_end": F.max("transaction_date").over(span)}).where("_at.own")
-    best = F.max_by(F.struct("_n", "_sum", "transaction_date", "_end"), F.struct("_n", (-F.col("_s")).alias("s")))
+    # legs of one second are one row; a second has its place in its own slice of time and, as one that follows, in the slice before,
+    # so a busy key is many groups, and what a stretch holds are two running sums: its own slice from it on, and the next slice up to its end
+    amount = F.col("transaction_amount")
+    seconds = dated.groupBy(key, "_s").agg(F.count("*").alias("n"), F.sum(amount).alias("s"), F.min("transaction_date").alias("first"), F.max("transaction_date").alias("last"))
+    length = minutes * 60
+    slice_of = F.floor(F.col("_s") / length)
+    both = seconds.withColumn("_at", F.explode(F.array(F.struct(slice_of.alias("k"), F.col("_s").alias("p"), F.lit(True).alias("own")), F.struct((slice_of - 1).alias("k"), (F.col("_s") - length).alias("p"), F.lit(False).alias("own")))))
+    group = Window.partitionBy(key, "_at.k")
+    onward = group.orderBy(F.desc("_at.p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = group.orderBy("_at.p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own, later = F.col("_at.own"), ~F.col("_at.own")
+    added = lambda c, nothing: F.coalesce(F.sum(F.when(own, F.col(c))).over(onward), nothing) + F.coalesce(F.sum(F.when(later, F.col(c))).over(upto), nothing)
+    end = F.greatest(F.max(F.when(own, F.col("last"))).over(onward), F.max(F.when(later, F.col("last"))).over(upto))
+    seen = both.withColumns({"_n": added("n", F.lit(0)), "_sum": added("s", F.lit(0).cast("decimal(18,2)")), "_end": end}).where(own)
+    best = F.max_by(F.struct("_n", "_sum", "first", "_end"), F.struct("_n", (-F.col("_s")).alias("s")))
     found = seen.where(F.col("_n") >= least).groupBy(key).agg(best.alias("b"))
-    return found.select(key, F.col("b._n").alias("count"), F.col("b._sum").cast("decimal(18,2)").alias("total_amount"), F.col("b.transaction_date").alias("first"), F.col("b._end").alias("last"))
+    return found.select(key, F.col("b._n").alias("count"), F.col("b._sum").cast("decimal(18,2)").alias("total_amount"), F.col("b.first").alias("first"), F.col("b._end").alias("last"))
 
 
 def rapid_withdrawals(rows: DataFrame) -> DataFrame:
