@@ -53,3 +53,18 @@ def test_bursts_are_running_sums(spark):
 
     best = max((stretch(t) for t in times), key=lambda x: (x[0], -floor(x[2]).timestamp()))
     assert [(r[1], int(r[2]), r[3], r[4]) for r in found.collect()] == [best]
+
+
+def test_merged_ranges_meet_rows_of_their_block_only(spark):
+    """A range in each of many rows: no join of all ranges of a sheet with all of its rows."""
+    from trailmark.operators import ingest
+    from trailmark.sources.workbook import CELLS
+
+    at = lambda r, c, value, to_r=None, to_c=None: ("a.xlsx", 0, "s", r, c, value, to_r, to_c, None)
+    cells = [at(r, 0, f"A{r}", r + 2, 0) for r in range(0, 6000, 3)] + [at(r, 1, "x") for r in range(0, 6000, 2)] + [at(7000, 2, "wide", 9000, 4), at(8001, 3, "y"), at(8500, 4, " ")]
+    filled = ingest.fill_merged(spark.createDataFrame(cells, CELLS))
+    assert "BETWEEN" not in plan(filled).upper() and not any("Join" in x and ">=" in x for x in plan(filled).splitlines())
+    got = {(r.r, r.c): r.value for r in filled.where("c <> 1").collect()}
+    used = {r for r in range(6000) if r % 3 == 0 or r % 2 == 0}
+    wide = {(7000, 2): "wide", (7000, 3): "wide", (8001, 2): "wide", (8001, 3): "y", (8500, 4): " "}
+    assert got == {(r, 0): f"A{r - r % 3}" for r in used} | wide
