@@ -68,3 +68,17 @@ def test_merged_ranges_meet_rows_of_their_block_only(spark):
     used = {r for r in range(6000) if r % 3 == 0 or r % 2 == 0}
     wide = {(7000, 2): "wide", (7000, 3): "wide", (8001, 2): "wide", (8001, 3): "y", (8500, 4): " "}
     assert got == {(r, 0): f"A{r - r % 3}" for r in used} | wide
+
+
+def test_equal_legs_are_found_where_their_order_is(spark):
+    """Lines are dealt by their order once; no second shuffle of whole legs by all that equal ones share."""
+    from trailmark.operators.core import legs
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = legs(ledger(spark, SF)).select("id", "benef_key")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    dealt = [s for s in steps if "Exchange hashpartitioning" in s]
+    assert any("l_orderkey" in s for s in dealt) and not any("victim_key" in s for s in dealt)

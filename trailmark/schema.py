@@ -3,6 +3,8 @@
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
+#: A column that equal legs of a source share, if it knows one; see `core.flag_duplicates`.
+LEG_GROUP = "_leg_group"
 #: Wall-clock times have no zone; they are never shifted.
 TIME = T.TimestampNTZType()
 
