@@ -82,3 +82,18 @@ def test_equal_legs_are_found_where_their_order_is(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     dealt = [s for s in steps if "Exchange hashpartitioning" in s]
     assert any("l_orderkey" in s for s in dealt) and not any("victim_key" in s for s in dealt)
+
+
+def test_distinct_values_of_accounts_are_not_multiplied(spark):
+    """Cases, places, names and channels are counted by one aggregation that neither copies wide rows nor collects sets."""
+    from trailmark.operators import scoring
+    from trailmark.operators.core import rollup, stored_legs
+
+    rows = stored_legs(ledger(spark, SF), "day", "ack_no", "city", "beneficiary_name", "payment_mode").where("NOT is_duplicate")
+    scored = scoring.score(rows, rollup(rows)).select("account_no", "cases", "places", "names", "channels")
+    assert "collect_set" not in plan(scored) and "ObjectHashAggregate" not in scored._jdf.queryExecution().executedPlan().toString()
+    mine = rows.where("row_kind = 'HOP' AND benef_key <> ''").select(F.col("benef_key").alias("account_no"), "ack_no", "city", "beneficiary_name", F.lit(None).cast("string").alias("mode"))
+    out = rows.where("row_kind = 'HOP'").select("victim_key", "ack_no", F.lit(None), F.lit(None), F.lit(None))
+    rest = rows.where("row_kind <> 'HOP'").select("cash_account", "ack_no", "city", "beneficiary_name", F.when(F.col("row_kind") == "EXIT", F.col("payment_mode")))
+    want = mine.union(out).union(rest).groupBy("account_no").agg(*[F.countDistinct(c) for c in ("ack_no", "city", "beneficiary_name", "mode")])
+    assert scored.count() > 0 and scored.exceptAll(want.join(scored, "account_no", "left_semi")).count() == 0

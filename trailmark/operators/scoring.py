@@ -46,16 +46,24 @@ def score(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """One row for each account that received a hop: its signals, ``mule_score`` (no upper bound), label and reasons."""
     events = F.when(F.col("row_kind") == "HOP", F.array(F.struct(F.col("benef_key").alias("a"), F.lit(True).alias("mine")), F.struct(F.col("victim_key").alias("a"), F.lit(False).alias("mine")))).otherwise(F.array(F.struct(F.col("cash_account").alias("a"), F.lit(True).alias("mine"))))
     own = rows.withColumn("e", F.explode(events)).select("*", F.col("e.a").alias("account_no"), "e.mine").where("account_no <> ''")
-    # there are few cities and channels; cases and names of a hub may be many
-    kept = own.groupBy("account_no").agg(
-        F.countDistinct("ack_no").alias("cases"),
-        F.size(F.collect_set(F.when(F.col("mine") & (or_empty(F.col("city")) != ""), F.col("city")))).alias("places"),
-        F.countDistinct(F.when(F.col("mine") & (or_empty(F.col("beneficiary_name")) != ""), F.lower("beneficiary_name"))).alias("names"),
-        F.size(F.collect_set(F.when(F.col("row_kind") == "EXIT", F.upper("payment_mode")))).alias("channels"),
-        F.min(F.when(F.col("mine") & (F.col("row_kind") == "HOP"), F.col("day"))).alias("first_day"),
-        F.min(F.when(F.col("row_kind") == "EXIT", F.col("day"))).alias("first_cash_day"),
-        F.min("day").alias("first_date"),
-        F.max("day").alias("last_date"),
+    # what is counted once for each account: cases, places, names (a hub may have many of them) and channels
+    written = lambda c: F.when(F.col("mine") & (or_empty(F.col(c)) != ""), F.col(c))
+    exit_ = F.col("row_kind") == "EXIT"
+    kinds = {"cases": F.col("ack_no"), "places": written("city"), "names": F.lower(written("beneficiary_name")), "channels": F.when(exit_, F.upper("payment_mode"))}
+    pairs = [F.struct(F.lit(i).alias("kind"), v.alias("value")) for i, v in enumerate(kinds.values())]
+    # days go with the first pair, which every leg has
+    said = F.filter(F.array(*pairs), lambda p: (p["kind"] == 0) | p["value"].isNotNull())
+    first = F.col("p.kind") == 0
+    each = own.select("account_no", "mine", "row_kind", "day", F.explode(said).alias("p")).groupBy("account_no", F.col("p.kind").alias("kind"), F.col("p.value").alias("value")).agg(
+        F.min(F.when(first & F.col("mine") & (F.col("row_kind") == "HOP"), F.col("day"))).alias("first_day"),
+        F.min(F.when(first & exit_, F.col("day"))).alias("first_cash_day"),
+        F.min(F.when(first, F.col("day"))).alias("first_date"),
+        F.max(F.when(first, F.col("day"))).alias("last_date"),
+    )
+    kept = each.groupBy("account_no").agg(
+        *[F.count(F.when(F.col("kind") == i, F.col("value"))).alias(name) for i, name in enumerate(kinds)],
+        *[F.min(c).alias(c) for c in ("first_day", "first_cash_day", "first_date")],
+        F.max("last_date").alias("last_date"),
     )
     base = accounts.where("hops_in > 0").join(kept, "account_no").join(account_speed(rows), "account_no", "left")
     ratio = F.when(F.col("disputed_received") > 0, F.round(F.col("total_forwarded").cast("double") / F.col("disputed_received").cast("double"), 4))
