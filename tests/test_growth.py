@@ -97,3 +97,25 @@ def test_distinct_values_of_accounts_are_not_multiplied(spark):
     rest = rows.where("row_kind <> 'HOP'").select("cash_account", "ack_no", "city", "beneficiary_name", F.when(F.col("row_kind") == "EXIT", F.col("payment_mode")))
     want = mine.union(out).union(rest).groupBy("account_no").agg(*[F.countDistinct(c) for c in ("ack_no", "city", "beneficiary_name", "mode")])
     assert scored.count() > 0 and scored.exceptAll(want.join(scored, "account_no", "left_semi")).count() == 0
+
+
+def test_index_of_texts_makes_rows_once(spark):
+    """Making the index runs the rows that it is given one time; its trigrams are those of each column, of any letters."""
+    from trailmark.operators import browse
+    from trailmark.operators.textindex import TextIndex
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    texts = [("Ab\nc", None, "", "İx€y", "zz"), ("AB", "abC", "q😀r", None, "zzz")]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts * 50)], "id long, " + ", ".join(f"{c} string" for c in browse.SEARCHED))
+    index = TextIndex(rows.mapInArrow(seen, rows.schema), block_rows=30)
+    assert made.value == 100 and index.blocks > 1
+    low = spark.createDataFrame([(t,) for r in texts for t in r], "t string").selectExpr("lower(t) AS t").collect()
+    want = {r.t[i : i + 3] for r in low if r.t for i in range(len(r.t) - 2)}
+    assert {r.gram for r in spark.read.parquet(f"{index.folder}/grams").collect()} == want
+    assert index.search("BC").count() == 50 and index.search("b\nC").count() == 50 and index.search("Q😀").count() == 50 and index.search("nothing").count() == 0
