@@ -119,3 +119,12 @@ def test_index_of_texts_makes_rows_once(spark):
     want = {r.t[i : i + 3] for r in low if r.t for i in range(len(r.t) - 2)}
     assert {r.gram for r in spark.read.parquet(f"{index.folder}/grams").collect()} == want
     assert index.search("BC").count() == 50 and index.search("b\nC").count() == 50 and index.search("Q😀").count() == 50 and index.search("nothing").count() == 0
+
+
+def test_receipts_are_found_once(spark):
+    """Both readers of first receipts in the join by time read kept ones."""
+    from trailmark.operators import graph
+    from trailmark.operators.core import stored_legs
+
+    rows = stored_legs(ledger(spark, SF), "ack_no").where("NOT is_duplicate")
+    assert "min(struct" not in plan(graph.forward_hours(rows)).lower()

@@ -95,7 +95,8 @@ def forward_hours(rows: DataFrame) -> DataFrame:
     """(layer_no, avg_forward_time_hours): from an account's first receipt in a layer to the case's next hop a layer on."""
     dated = hops(rows).where("transaction_date IS NOT NULL")
     got = dated.groupBy("layer_no", "benef_key").agg(F.min(F.struct("transaction_date", "ack_no")).alias("g")).select("layer_no", F.col("g.transaction_date").alias("t"), F.col("g.ack_no").alias("ack_no"))
-    receipts = got.groupBy("ack_no", (F.col("layer_no") + 1).alias("layer"), "t").agg(F.count("*").alias("n"))
+    # the join reads its left side twice
+    receipts = stored(got.groupBy("ack_no", (F.col("layer_no") + 1).alias("layer"), "t").agg(F.count("*").alias("n")))
     moves = dated.select("ack_no", F.col("layer_no").alias("layer"), F.col("transaction_date").alias("t"))
     met = next_at_or_after(receipts, moves, ["ack_no", "layer"]).where("next IS NOT NULL")
     seconds = F.timestamp_diff("SECOND", F.col("t"), F.col("next"))
