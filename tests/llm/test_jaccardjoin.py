@@ -89,3 +89,34 @@ def test_small_tables(spark, rows):
 def test_other_columns_play_no_part(spark):
     df = spark.createDataFrame([(1, "a b c", 1, 2), (2, "A B C", 3, 4)], "doc_id long, text string, node int, `k1.x` int")
     assert sorted(tuple(r) for r in j.jaccard_components(df).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("level", [0, 1, 40])
+def test_frequent_and_rare_tokens(spark, monkeypatch, level):
+    """Which tokens count as frequent changes nothing."""
+    monkeypatch.setattr(j, "frequent_level", lambda levels: level)
+    monkeypatch.setattr(j, "hot_bound", lambda n: 3)
+    monkeypatch.setattr(j, "GROUP", 4)
+    rng = np.random.default_rng(7)
+    rows = list(enumerate(t for n, words, edits in ((60, 80, 6), (40, 30, 1)) for t in family(rng, n, words, edits)))
+    assert mine(spark, rows) == brute(rows)
+
+
+def test_rare_tokens_and_texts_are_dealt_once(spark):
+    heads = spark.createDataFrame([(i, i, i, -i, [i % 7, 100 + i], 2) for i in range(40)], "node long, doc long, k1 long, k2 long, prefix array<long>, rare int").checkpoint()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = j.shared_tokens(heads, 80)
+    rare = heads.sparkSession.createDataFrame(found.where("NOT often").collect(), found.schema)
+    assert sorted(tuple(r)[:2] for r in rare.collect()) == sorted((i, i % 7) for i in range(40))
+    assert plan(found.where("NOT often")).count("hashpartitioning(token#") == 1
+    texts = spark.createDataFrame([(i, i, -i, f"t{i}") for i in range(40)], "doc long, k1 long, k2 long, text string")
+    own = j._texts_of(heads.select("node"), heads, texts)
+    # a join by node takes them where they are
+    assert plan(own).count("hashpartitioning(node#") == plan(heads.select("node").hint("merge").join(own, "node")).count("hashpartitioning(node#") - 1
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_counts_of_any_size(spark, parts):
+    texts = spark.createDataFrame([(" ".join(f"w{i}" for i in range(500)),)] * 300, "text string").repartition(parts)
+    levels = j.token_levels(texts, 1)
+    assert len(levels) == j.SLOTS and levels.max() >= 8 and (levels >= 8).sum() + (levels == 9).sum() == 500

@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.bytewords import _BASE, IS_BLANK, Words, blocks, mix
-from trailmark.llm.common import cut, cut_small, hot_bound, join_counted, join_hot, table
+from trailmark.llm.common import HOT_ROWS, cut, cut_small, hot_bound, join_counted, table
 from trailmark.llm.components import connected_components
-from trailmark.llm.neardup import _NULL_DOC, _keyed, _texts_of, bags
+from trailmark.llm.neardup import BROADCAST_NODES, _NULL_DOC, _keyed, bags
 
 SHINGLE = 3
 #: Least similarity in percent.
@@ -43,6 +43,8 @@ GROUP, GROUP_BYTES = 256, 1 << 22
 SLOTS = 1 << 22
 #: Slots whose counts are summed up together.
 SLOT_BLOCK = 1 << 12
+#: Slots that hold more than one in so many of all tokens of texts are frequent, so at most so many are.
+OFTEN = 100_000
 #: Tokens that a comparison looks at together.
 COLUMNS = 8192
 _U = np.uint64
@@ -75,13 +77,14 @@ def token_levels(texts: DataFrame, shingle: int) -> np.ndarray:
         rows = total.reshape(-1, SLOT_BLOCK)
         for i in range(0, len(rows), 64):
             some = i + np.flatnonzero(rows[i : i + 64].any(axis=1))
-            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([rows[b].tobytes() for b in some], pa.binary())], names=["block", "counts"])
+            # in as many bytes for a count as the largest of the block takes
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([rows[b].astype(np.min_scalar_type(rows[b].max())).tobytes() for b in some], pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+                sums[b] = sums.get(b, 0) + np.frombuffer(counts, f"u{len(counts) // SLOT_BLOCK}").astype(np.int64)
         levels = [np.log2(np.maximum(n, 1)).astype(np.uint8).tobytes() for n in sums.values()]
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
 
@@ -92,7 +95,12 @@ def token_levels(texts: DataFrame, shingle: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _signer(levels, shingle: int, percent: int):
+def frequent_level(levels: np.ndarray) -> int:
+    """Least level of frequent slots; a token of any other slot has fewer texts than two to the power of it."""
+    return int(np.ceil(np.log2(max(HOT_ROWS, float(np.exp2(levels.astype(np.float64)).sum()) / OFTEN))))
+
+
+def _signer(levels, shingle: int, percent: int, often: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
@@ -107,9 +115,10 @@ def _signer(levels, shingle: int, percent: int):
                 some = np.flatnonzero(size)
                 if len(some):
                     key[some] = np.minimum.reduceat(mix(token ^ _BASE), first[some])
+                rare = np.bincount(doc[keep & (level[_slot(token)] < often)], minlength=j - i)  # they come first
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(needed)]).astype(np.int32)), pa.array(token[keep].view(np.int64)))
-                columns = [*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(n_bytes.astype(np.int64)), pa.array(size), pa.array(key.view(np.int64)), lists]
-                yield pa.record_batch(columns, names=["doc", "k1", "k2", "n_bytes", "size", "key", "prefix"])
+                columns = [*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(n_bytes.astype(np.int64)), pa.array(size), pa.array(key.view(np.int64)), lists, pa.array(rare.astype(np.int32))]
+                yield pa.record_batch(columns, names=["doc", "k1", "k2", "n_bytes", "size", "key", "prefix", "rare"])
 
     return run
 
@@ -207,6 +216,37 @@ def _bound(percent: int, shingle: int):
     return run
 
 
+def _texts_of(nodes: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes``, dealt by node; they are not kept, so a join by node that follows takes them where they are."""
+    wanted, n = cut_small(nodes.join(heads.select("node", "doc", "k1", "k2"), "node"))
+    found = texts.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, ["doc", "k1", "k2"])
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def shared_tokens(heads: DataFrame, n_tokens: int) -> DataFrame:
+    """(node, token, often) of the first tokens that two nodes or more have.
+
+    Rare tokens have few nodes each, so their rows are dealt once and counted
+    where they are; those of frequent slots are counted before they are dealt.
+    """
+    some = lambda start, n: heads.select("node", F.explode(F.slice("prefix", start, n)).alias("token"))
+    rare = some(F.lit(1), F.col("rare")).withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("node", "token", F.lit(False).alias("often"))
+    often = some(F.col("rare") + 1, F.size("prefix") - F.col("rare"))
+    counts = cut(often.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    return rare.unionByName(join_counted(often, counts, "token", hot_bound(n_tokens), F.col("node")).select("node", "token", F.lit(True).alias("often")))
+
+
+def torn_tokens(known: DataFrame, n_tokens: int) -> DataFrame:
+    """``known`` (token, often, label, ...) with ``home``, of tokens that two labels or more have: the label with most of the rows of a token."""
+    most = F.struct("m", "label")
+    rare, of_token = known.where(~F.col("often")).repartition("token"), Window.partitionBy("token")
+    rare = rare.withColumn("m", F.count("*").over(Window.partitionBy("token", "label")))
+    rare = rare.withColumns({"home": F.max(most).over(of_token)["label"], "one": F.min("label").over(of_token) == F.max("label").over(of_token)}).where(~F.col("one")).drop("m", "one")
+    often = known.where("often")
+    counted = often.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("label", most).alias("home"), F.sum("m").alias("n"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    return rare.unionByName(join_counted(often, counted, "token", hot_bound(n_tokens), F.col("node")).drop("n"))
+
+
 def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, int]:
     """(node, label) of all nodes with links, and their number."""
     rows = heads.where("size > 0").select("node", "key", "n_bytes", "size")
@@ -223,13 +263,9 @@ def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame,
     labels, n_labels = connected_components(found, n_found)
 
     # the matrix: of tokens that two or more components need, the groups that have them
-    tokened = heads.select("node", F.explode("prefix").alias("token"))
-    shared = cut(tokened.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
-    tokened = cut(join_counted(tokened, shared, "token", hot_bound(n_tokens), F.col("node")).drop("n"))
     info = grouped.join(labels, "node", "left").select("node", "key", "part", "size", F.coalesce("label", "node").alias("label"))
-    known = cut(tokened.join(info, "node"))
-    counted = known.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("home"), F.sum("m").alias("n"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    torn, n_torn = cut_small(join_counted(known, counted, "token", hot_bound(n_tokens), F.col("node")).drop("n"))
+    known = cut(shared_tokens(heads, n_tokens).join(info, "node"))
+    torn, n_torn = cut_small(torn_tokens(known, n_tokens))
     if not n_torn:
         return labels, n_labels
     away = F.col("label") != F.col("home")
@@ -251,7 +287,7 @@ def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame,
     members = cut(members.join(_texts_of(members.select("node"), heads, texts), "node"))
     alone = members.groupBy("g").agg(F.count("*").alias("n")).where("n = 1").select(F.col("g").alias("b"))
     large = cells.join(alone, "b", "left_anti")
-    held = members.select(F.col("g").alias("b"), "text")
+    held = members.select(F.col("g").alias("b"), "node", "text")
     unions = held.join(large.select("b").distinct(), "b", "left_semi").groupBy("b").applyInArrow(_union(shingle), "b struct<key: long, part: int>, tokens binary, least long")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     queries = members.select(F.col("g").alias("a"), "node", "text")
@@ -260,11 +296,12 @@ def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame,
     bounded = ask.unionByName(groups).groupBy("cell").applyInArrow(_bound(percent, shingle), "cell long, node long")
     # of a group of one text the union is its set, and it is compared at once
     direct = cells.join(alone, "b", "left_semi").join(queries, "a").select("cell", "node")
-    qualified, n_qualified = cut_small(bounded.unionByName(direct))
-    sides = ["cell", "node", "label", "text", "asks"]
-    askers = join_hot(qualified, n_qualified, members.select("node", "label", "text"), "node", F.col("cell")).withColumn("asks", F.lit(True)).select(sides)
-    others = cells.join(qualified.select("cell").distinct(), "cell").join(members.withColumnRenamed("g", "b"), "b").withColumn("asks", F.lit(False)).select(sides)
-    more, n_more = cut_small(askers.unionByName(others).groupBy("cell").applyInArrow(_open(percent, shingle), "a long, b long"))
+    qualified, _ = cut_small(bounded.unionByName(direct))
+    # members are dealt once, by their group; a group asks with those that qualify, GROUP of them at most, and answers with all
+    asks = cells.join(qualified.groupBy("cell").agg(F.collect_set("node").alias("own")), "cell")
+    sides = asks.select("cell", F.col("a").alias("g"), "own").unionByName(asks.select("cell", F.col("b").alias("g"), F.lit(None).cast("array<long>").alias("own")))
+    opened = sides.join(members, "g").where("own IS NULL OR array_contains(own, node)").select("cell", "node", "label", "text", F.col("own").isNotNull().alias("asks"))
+    more, n_more = cut_small(opened.groupBy("cell").applyInArrow(_open(percent, shingle), "a long, b long"))
     if not n_more:
         return labels, n_labels
     edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
@@ -285,10 +322,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``docs``, whatever their names, play no part.
     """
     texts = _keyed(docs, id_col, text_col)
-    levels = docs.sparkSession.sparkContext.broadcast(token_levels(texts, shingle))
-    signed = texts.mapInArrow(_signer(levels, shingle, percent), "doc long, k1 long, k2 long, n_bytes long, size long, key long, prefix array<long>")
+    levels = token_levels(texts, shingle)
+    often = frequent_level(levels)
+    levels = docs.sparkSession.sparkContext.broadcast(levels)
+    signed = texts.mapInArrow(_signer(levels, shingle, percent, often), "doc long, k1 long, k2 long, n_bytes long, size long, key long, prefix array<long>, rare int")
     least = F.coalesce(F.min(F.when(F.col("doc") != _NULL_DOC, F.col("doc"))), F.lit(_NULL_DOC))
-    one = signed.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), least.alias("id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n_bytes", "size", "key", "prefix")])
+    one = signed.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), least.alias("id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n_bytes", "size", "key", "prefix", "rare")])
     seen = Observation()
     heads = cut(one.observe(seen, F.sum("n").alias("rows"), F.count("*").alias("nodes"), F.sum(F.size("prefix")).alias("tokens")).select(F.monotonically_increasing_id().alias("node"), "*"))
     n_rows, n_nodes, n_tokens = (seen.get[c] or 0 for c in ("rows", "nodes", "tokens"))
