@@ -264,12 +264,12 @@ def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame,
 
     # the matrix: of tokens that two or more components need, the groups that have them
     info = grouped.join(labels, "node", "left").select("node", "key", "part", "size", F.coalesce("label", "node").alias("label"))
-    known = cut(shared_tokens(heads, n_tokens).join(info, "node"))
-    torn, n_torn = cut_small(torn_tokens(known, n_tokens))
+    # rare and frequent tokens are read once each, so these rows, the most of all, are not kept
+    known = shared_tokens(heads, n_tokens).join(info, "node")
+    torn, n_torn = cut_small(torn_tokens(known, n_tokens).withColumn("away", F.col("label") != F.col("home")).drop("home", "often"))
     if not n_torn:
         return labels, n_labels
-    away = F.col("label") != F.col("home")
-    matrix = cut(torn.groupBy("token", "key", "part").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("size").alias("least"), F.max("size").alias("most"), F.max(away).alias("away")))
+    matrix = cut(torn.groupBy("token", "key", "part").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("away").alias("away")))
     asking = matrix.where("away").select("token", *[F.col(c).alias(f"q_{c}") for c in ("key", "part", "l", "m", "least", "most")])
     q, g = F.struct(F.col("q_key").alias("key"), F.col("q_part").alias("part")), F.struct("key", "part")
     once = (q != g) & (~F.col("away") | (q < g))
