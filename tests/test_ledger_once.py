@@ -43,3 +43,13 @@ def test_merged_columns_of_any_length(spark):
     df = spark.createDataFrame(cells, "path string, sheet_no int, sheet string, r long, c long, value string, merged_to_r long, merged_to_c long, error string")
     got = {(r.r, r.c): r.value for r in ingest.fill_merged(df).collect()}
     assert got == {(0, 0): "head", (0, 3): "head", (5, 0): "head", (5, 3): "x", (7, 0): "own", (7, 3): "head"}
+
+
+def test_summary_keeps_what_it_reads(spark, monkeypatch):
+    """Senders of an account are not told apart for a summary that doesn't count them."""
+    kept = []
+    monkeypatch.setattr(catalog, "cut", lambda df: kept.append(df) or df)
+    catalog.QUERIES["report_summary"](spark, SF)
+    [accounts] = kept
+    plan = accounts._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and "beneficiary_bank" not in plan.split("Relation")[0]

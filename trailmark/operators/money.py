@@ -74,6 +74,10 @@ def reconciliation(flagged: DataFrame) -> DataFrame:
     )
 
 
+#: What a summary reads of accounts.
+SUMMARIZED = ("account_no", "hops_in", "disputed_received", "total_cashed_out", "lien_eligible_amount")
+
+
 def summary(flagged: DataFrame, accounts: DataFrame) -> DataFrame:
     """One row with the headline figures of a ledger."""
     fresh = F.col("is_duplicate") == F.lit(False)

@@ -142,7 +142,8 @@ def _(l):
  {D("(SELECT on_hold FROM money)", "on_hold")}, 0.0::DOUBLE AS refunded, {D(f"(SELECT {_RECOVERABLE} FROM money)", "recoverable_residual")} FROM flagged"""))
 def _(l):
     flagged = stored_legs(l, "day")
-    return money.summary(flagged, cut(rollup(flagged.where("NOT is_duplicate"))))
+    # what a summary doesn't read of the accounts is not made
+    return money.summary(flagged, cut(rollup(flagged.where("NOT is_duplicate")).select(*money.SUMMARIZED)))
 
 
 _RECEIPTS = "receipts AS (SELECT benef_key AS account, min(day) AS first_day FROM legs WHERE row_kind = 'HOP' AND day IS NOT NULL GROUP BY 1)"
