@@ -103,6 +103,35 @@ def test_no_row_of_tokens_is_shuffled(spark):
         kept.drop()
 
 
+def test_tokens_carry_their_ends(spark, both):
+    """Rows of tokens are sorted for the join only: no running sum over rows, no lookup of lengths."""
+    texts = spark.createDataFrame([(i, -i, f"naïve two {i} " * (1 + i % 3)) for i in range(50)], "k1 long, k2 long, text string")
+    kept = c.TokenTable(texts, c.load_files())
+    sizes = [spark.createDataFrame([(i, len(x)) for i, x in enumerate(side) if x], "id int, size int") for side in (both.a_bytes, both.b_bytes)]
+    try:
+        with c.co_partitioned(spark):
+            found = c.cuts(kept.read())
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Window" not in plan and "Broadcast" not in plan and "hashpartitioning" not in plan
+            assert sorted(found.collect()) == sorted(c.cuts(kept.read(), *sizes).collect())
+    finally:
+        kept.drop()
+
+
+def test_texts_in_small_blocks(spark, both, plain, monkeypatch):
+    monkeypatch.setattr(c, "BLOCK_TOKENS", 4)
+    pairs = c._pairs(len(both.a_bytes), len(both.b_bytes))
+    texts = spark.createDataFrame([(i, -i, t) for i, t in enumerate(ODD) if t], "k1 long, k2 long, text string").coalesce(1)
+    kept = c.TokenTable(texts, c.load_files())
+    try:
+        rows = c.groups(kept.read(), c.cuts(kept.read())).toArrow().combine_chunks().to_batches()
+        found = {r["k1"]: r for batch in pairs(iter(rows)) for r in batch.to_pylist()}
+    finally:
+        kept.drop()
+    want = brute(both, plain, list(enumerate(ODD)))
+    assert {i: (r["n_a"], r["n_b"], r["n_groups"], len(r["links"]), r["groups_sha256"]) for i, r in found.items()} == {r[0]: (*r[1:5], r[7]) for r in want if r[1]}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=4))
 def test_encoders_are_equal(both, plain, texts):

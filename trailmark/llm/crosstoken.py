@@ -1,11 +1,12 @@
 """Alignment of two tokenizers' tokens, as relations of tokens.
 
-Every distinct text is encoded by both tokenizers once.  Its tokens become rows,
-their lengths a running sum that gives the byte where each ends, and an equal
+Every distinct text is encoded by both tokenizers once, and a running sum of
+lengths gives the byte where each token ends.  Tokens become rows, and an equal
 join of both sides on text and end finds the cuts: places where both have a
 border.  A token's group is the number of cuts before it, so groups are the
 ranges of tokens between neighbouring cuts, and all pairs within a group are
-links.  Links are counted over the corpus by the documents that hold them.
+links.  Groups are written out and paired by arrays of a block of texts.  Links
+are counted over the corpus by the documents that hold them.
 
 Token lists are kept in a table that is bucketed by text.  Tokens of one text
 stay together, and with Spark's ``requireAllClusterKeysForCoPartition`` off for
@@ -16,6 +17,7 @@ is looked up by broadcast is counted first.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -26,7 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import cut, hot_bound, join_counted, shared_dir, table
@@ -38,6 +40,8 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 100_000
 #: Bytes of text that are encoded at once.
 BLOCK_BYTES = 1 << 20
+#: Tokens of one side that are paired at once.
+BLOCK_TOKENS = 1 << 17
 #: Different links up to which their counts are broadcast; beyond, only those of hot links are.
 BROADCAST_LINKS = 1_000_000
 #: Splits a text into words, marks and blanks for the byte-level tokenizer (a fixed value).
@@ -72,6 +76,7 @@ class Tokenizers:
         piece = lambda i: self.pieces.id_to_piece(i)
         self.a_bytes = [vocabulary.get(i, b"") for i in range(max(vocabulary) + 1)]
         self.b_bytes = [bytes([int(piece(i)[1:-1], 16)]) if self.pieces.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.pieces.get_piece_size())]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int32) for side in (self.a_bytes, self.b_bytes))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a blank and the text, by either side; of none if the text is empty or a side does not give its bytes back."""
@@ -98,9 +103,13 @@ def tokenizers_of(byte_bpe: bytes, piece_bpe: bytes) -> Tokenizers:
     return Tokenizers(byte_bpe, piece_bpe)
 
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
+def _lists(ids: list[list[int]], sizes: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Lists of ids, and of the bytes where their tokens end."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+    so_far = np.concatenate([[0], np.cumsum(sizes[flat], dtype=np.int64)])
+    ends = so_far[1:] - np.repeat(so_far[offsets[:-1]], np.diff(offsets))
+    return tuple(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int32))) for x in (flat, ends))
 
 
 def _encoder(files):
@@ -113,14 +122,14 @@ def _encoder(files):
                 j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + BLOCK_BYTES, side="right")))
                 part = batch.slice(i, j - i)
                 a, b = both.encode(part.column("text").to_pylist())
-                yield pa.record_batch([*(part.column(c) for c in ("k1", "k2", "n")), _lists(a), _lists(b)], names=["k1", "k2", "n", "a", "b"])
+                yield pa.record_batch([*(part.column(c) for c in ("k1", "k2", "n")), *_lists(a, both.a_sizes), *_lists(b, both.b_sizes)], names=["k1", "k2", "n", "a", "a_end", "b", "b_end"])
                 i = j
 
     return run
 
 
 class TokenTable:
-    """(k1, k2, node, n, a, b) of distinct texts, kept in the shared folder in buckets by (k1, k2)."""
+    """(k1, k2, node, n, a, b, a_end, b_end) of distinct texts, kept in the shared folder in buckets by (k1, k2); ends are written as differences."""
 
     def __init__(self, texts: DataFrame, files: tuple[bytes, bytes]):
         self.spark = texts.sparkSession
@@ -131,9 +140,10 @@ class TokenTable:
         buckets = min(MOST_BUCKETS // dealt, -(-n_bytes // (BUCKET_BYTES * dealt))) * dealt or dealt
         # copies are put together before they are dealt
         one = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-        encoded = one.select("k1", "k2", "n", "text").mapInArrow(_encoder(self.spark.sparkContext.broadcast(files)), "k1 long, k2 long, n long, a array<int>, b array<int>")
-        kept = encoded.where(F.size("a") > 0).select("k1", "k2", F.monotonically_increasing_id().alias("node"), "n", "a", "b")
-        kept.write.option("path", self.folder).option("compression", "zstd").bucketBy(buckets, "k1", "k2").saveAsTable(self.name)
+        encoded = one.select("k1", "k2", "n", "text").mapInArrow(_encoder(self.spark.sparkContext.broadcast(files)), "k1 long, k2 long, n long, a array<int>, a_end array<int>, b array<int>, b_end array<int>")
+        kept = encoded.where(F.size("a") > 0).select("k1", "k2", F.monotonically_increasing_id().alias("node"), "n", "a", "b", "a_end", "b_end")
+        as_differences = {"parquet.writer.version": "v2"} | {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("a_end", "b_end")}
+        kept.write.option("path", self.folder).options(compression="zstd", **as_differences).bucketBy(buckets, "k1", "k2").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -157,32 +167,81 @@ def co_partitioned(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def token_ends(tokens: DataFrame, ids: str, sizes: DataFrame) -> DataFrame:
-    """(k1, k2, pos, end): the byte after each token of a text, by a running sum of lengths; ``sizes`` has (id, size) of the vocabulary."""
+def token_ends(tokens: DataFrame, ids: str, sizes: DataFrame | None = None) -> DataFrame:
+    """(k1, k2, pos, end): the byte after each token of a text; ``sizes`` has (id, size) of the vocabulary, for a running sum where ``tokens`` has no ends."""
+    if sizes is None:
+        return tokens.select("k1", "k2", F.posexplode(f"{ids}_end").alias("pos", "end"))
     rows = tokens.select("k1", "k2", F.posexplode(ids).alias("pos", "id")).join(F.broadcast(sizes), "id")
     so_far = Window.partitionBy("k1", "k2").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("k1", "k2", "pos", F.sum("size").over(so_far).alias("end"))
 
 
-def cuts(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame) -> DataFrame:
+def cuts(tokens: DataFrame, a_sizes: DataFrame | None = None, b_sizes: DataFrame | None = None) -> DataFrame:
     """(k1, k2, a_pos, b_pos): the tokens of both sides that end at the same byte of a text."""
     a = token_ends(tokens, "a", a_sizes).withColumnRenamed("pos", "a_pos")
     b = token_ends(tokens, "b", b_sizes).withColumnRenamed("pos", "b_pos")
-    return a.join(b, ["k1", "k2", "end"]).select("k1", "k2", "a_pos", "b_pos")
+    # files of lists are far smaller than their rows, so neither side is one to broadcast
+    return a.join(b.hint("merge"), ["k1", "k2", "end"]).select("k1", "k2", "a_pos", "b_pos")
 
 
 def groups(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """``tokens`` with ``groups``: array<struct<a, b>> of the ids between neighbouring cuts; a group's id is the number of cuts before it."""
+    """``tokens`` with ``cuts``: the last tokens of each group in order, that of ``a`` times 2 to the 32 plus that of ``b``."""
     at = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.shiftleft(F.col("a_pos").cast("long"), 32) + F.col("b_pos"))).alias("cuts"))
-    first = lambda c: F.shiftright(c, 32).cast("int")
-    last = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return tokens.join(at, ["k1", "k2"]).select("k1", "k2", "node", "n", "a", "b", "cuts")
 
-    def between(cut_: Column, before: Column) -> Column:
-        a, b = (F.coalesce(x(before), F.lit(-1)) for x in (first, last))
-        return F.struct(F.slice("a", a + 2, first(cut_) - a).alias("a"), F.slice("b", b + 2, last(cut_) - b).alias("b"))
 
-    befores = F.slice(F.concat(F.array(F.lit(None).cast("long")), F.col("cuts")), F.lit(1), F.size("cuts"))
-    return tokens.join(at, ["k1", "k2"]).select("k1", "k2", "node", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.zip_with("cuts", befores, between).alias("groups"))
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists, and the place at which each list starts."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _written(n: int, last: str) -> list[str]:
+    """Ids as they are written within a group, and as the last ones of their side."""
+    return [f"{i}{mark}" for mark in (",", last) for i in range(n)]
+
+
+def _pairs(n_a: int, n_b: int):
+    """Groups of texts written out and hashed, and their links; of vocabularies of so many ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(_written(n_a, "|") + _written(n_b, ";"), pa.large_string())
+        for batch in batches:
+            so_far = _flat(batch.column("a"))[1] if batch.num_rows else np.zeros(1, np.int32)
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(so_far, so_far[i] + BLOCK_TOKENS, side="right")) - 1)
+                part = batch.slice(i, j - i)
+                (a, a_at), (b, b_at), (cut_, at) = (_flat(part.column(c)) for c in ("a", "b", "cuts"))
+                # the last cut of a text is its end, so a group starts where the one before has ended
+                n_groups = np.diff(at)
+                a_to = (cut_ >> 32) + np.repeat(a_at[:-1], n_groups) + 1
+                b_to = (cut_ & 0xFFFFFFFF) + np.repeat(b_at[:-1], n_groups) + 1
+                a_of, b_of = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+                a_from, b_from = a_to - a_of, b_to - b_of
+
+                word = np.empty(len(a) + len(b), np.int64)
+                is_last = np.zeros(len(a), bool)
+                is_last[a_to - 1] = True
+                word[np.arange(len(a)) + np.repeat(b_from, a_of)] = a + n_a * is_last
+                is_last = np.zeros(len(b), bool)
+                is_last[b_to - 1] = True
+                word[np.arange(len(b)) + np.repeat(a_to, b_of)] = 2 * n_a + b + n_b * is_last
+                _, offsets, data = words.take(pa.array(word)).buffers()
+                byte, data = np.frombuffer(offsets, np.int64)[a_at + b_at], memoryview(data)
+                digests = [hashlib.sha256(data[s : e - 1]).hexdigest() for s, e in zip(byte[:-1].tolist(), byte[1:].tolist(), strict=True)]
+
+                n_links = a_of * b_of
+                so_many = np.concatenate([[0], np.cumsum(n_links)])
+                of = np.repeat(np.arange(len(cut_)), n_links)
+                x, y = np.divmod(np.arange(so_many[-1]) - so_many[of], b_of[of])
+                links = (a[a_from[of] + x].astype(np.int64) << 32) + b[b_from[of] + y]
+                lists = pa.ListArray.from_arrays(pa.array(so_many[at].astype(np.int32)), pa.array(links))
+                figures = [*(part.column(c) for c in ("k1", "k2", "node", "n")), *(pa.array(np.diff(x).astype(np.int32)) for x in (a_at, b_at, at)), pa.array(digests, pa.string()), lists]
+                yield pa.record_batch(figures, names=["k1", "k2", "node", "n", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+                i = j
+
+    return run
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: tuple[bytes, bytes] | None = None) -> DataFrame:
@@ -200,19 +259,14 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files
     spark = docs.sparkSession
     files = files or load_files()
     both = tokenizers_of(*files)
-    sizes = [spark.createDataFrame([(i, len(x)) for i, x in enumerate(side) if x], "id int, size int") for side in (both.a_bytes, both.b_bytes)]
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
     kept = TokenTable(rows.where("text <> ''").select("k1", "k2", "text"), files)
     tokens = kept.read()
-    grouped = groups(tokens, cuts(tokens.select("k1", "k2", "a", "b"), *sizes))
-
-    # most groups have one token on either side
-    listed = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)).cast("string")).otherwise(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
-    digest = F.sha2(F.array_join(F.transform("groups", lambda g: F.concat(listed(g["a"]), F.lit("|"), listed(g["b"]))), ";").cast("binary"), 256)
-    in_group = lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: F.shiftleft(a.cast("long"), 32) + b)))
+    grouped = groups(tokens, cuts(tokens))
     figures = ["k1", "k2", "node", "n", "n_a", "n_b", "n_groups", "groups_sha256"]
-    one = grouped.select("k1", "k2", "node", "n", "n_a", "n_b", F.size("groups").alias("n_groups"), digest.alias("groups_sha256"), F.flatten(F.transform("groups", in_group)).alias("links"))
+    kinds = "k1 long, k2 long, node long, n long, n_a int, n_b int, n_groups int, groups_sha256 string, links array<long>"
+    one = grouped.mapInArrow(_pairs(len(both.a_bytes), len(both.b_bytes)), kinds)
     folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
     with co_partitioned(spark):
         one.write.option("compression", "zstd").parquet(folder)
