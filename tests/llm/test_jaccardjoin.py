@@ -115,6 +115,15 @@ def test_rare_tokens_and_texts_are_dealt_once(spark):
     assert plan(own).count("hashpartitioning(node#") == plan(heads.select("node").hint("merge").join(own, "node")).count("hashpartitioning(node#") - 1
 
 
+def test_rare_rows_of_the_matrix_are_dealt_once(spark):
+    torn = spark.createDataFrame([(i % 9, i, i % 3, i % 5, 0, 10 + i, i % 2 == 0, i % 9 == 4) for i in range(90)], "token long, node long, label long, key long, part int, size long, away boolean, often boolean").checkpoint()
+    rare, often = j.matrices(torn)
+    met = rare.select("token", "key").hint("merge").join(rare.withColumnRenamed("key", "q_key"), "token")
+    assert met._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 2  # one for each side, of which one is used again
+    assert {r.token for r in often.collect()} == {4} and {r.token for r in rare.collect()} == {*range(9)} - {4}
+    assert rare.count() + often.count() == len({(i % 9, i % 5) for i in range(90)})
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_counts_of_any_size(spark, parts):
     texts = spark.createDataFrame([(" ".join(f"w{i}" for i in range(500)),)] * 300, "text string").repartition(parts)

@@ -223,6 +223,15 @@ def _texts_of(nodes: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
+def _seated(seats: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """``seats`` (node, ...) with text: those of one row as they are read, not dealt by node first; of copies one is taken."""
+    wanted, n = cut_small(seats.join(heads.select("node", "doc", "k1", "k2", F.col("n").alias("copies")), "node"))
+    alone, copied = (wanted.where(x) for x in ("copies = 1", "copies > 1"))
+    once = texts.join(F.broadcast(alone) if n <= BROADCAST_NODES else alone, ["doc", "k1", "k2"])
+    own = _texts_of(copied.select("node").distinct(), heads, texts)
+    return once.select(*seats.columns, "text").unionByName(copied.select(*seats.columns).join(own, "node"))
+
+
 def shared_tokens(heads: DataFrame, n_tokens: int) -> DataFrame:
     """(node, token, often) of the first tokens that two nodes or more have.
 
@@ -247,6 +256,16 @@ def torn_tokens(known: DataFrame, n_tokens: int) -> DataFrame:
     return rare.unionByName(join_counted(often, counted, "token", hot_bound(n_tokens), F.col("node")).drop("n"))
 
 
+def matrices(torn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row for each token and group that has it, of rare and of frequent tokens.
+
+    Rare tokens are dealt by token once, and met with themselves where they are.
+    A frequent one may be in very many texts, so its rows are put together before.
+    """
+    rows = lambda some: some.groupBy("token", "key", "part").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("away").alias("away"))
+    return rows(torn.where("NOT often").repartition("token")), cut(rows(torn.where("often")))
+
+
 def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, int]:
     """(node, label) of all nodes with links, and their number."""
     rows = heads.where("size > 0").select("node", "key", "n_bytes", "size")
@@ -258,7 +277,7 @@ def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame,
     # groups are opened to compare their own members; one text of a family is in all of its groups
     own = grouped.where("pivot IS NOT NULL")
     seats = own.select("node", "key", "part").unionByName(own.where("cut").select(F.col("pivot").alias("node"), "key", "part").distinct()).distinct()
-    opened = seats.join(_texts_of(own.select("node"), heads, texts), "node").select("key", "part", "node", F.col("node").alias("label"), "text", F.lit(True).alias("asks"))
+    opened = _seated(seats, heads, texts).select("key", "part", "node", F.col("node").alias("label"), "text", F.lit(True).alias("asks"))
     found, n_found = cut_small(opened.groupBy("key", "part").applyInArrow(_open(percent, shingle), "a long, b long"))
     labels, n_labels = connected_components(found, n_found)
 
@@ -266,16 +285,20 @@ def _components(heads: DataFrame, n_nodes: int, n_tokens: int, texts: DataFrame,
     info = grouped.join(labels, "node", "left").select("node", "key", "part", "size", F.coalesce("label", "node").alias("label"))
     # rare and frequent tokens are read once each, so these rows, the most of all, are not kept
     known = shared_tokens(heads, n_tokens).join(info, "node")
-    torn, n_torn = cut_small(torn_tokens(known, n_tokens).withColumn("away", F.col("label") != F.col("home")).drop("home", "often"))
+    torn, n_torn = cut_small(torn_tokens(known, n_tokens).withColumn("away", F.col("label") != F.col("home")).drop("home"))
     if not n_torn:
         return labels, n_labels
-    matrix = cut(torn.groupBy("token", "key", "part").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("away").alias("away")))
-    asking = matrix.where("away").select("token", *[F.col(c).alias(f"q_{c}") for c in ("key", "part", "l", "m", "least", "most")])
     q, g = F.struct(F.col("q_key").alias("key"), F.col("q_part").alias("part")), F.struct("key", "part")
     once = (q != g) & (~F.col("away") | (q < g))
     near = (F.col("least") * percent <= F.col("q_most") * 100) & (F.col("q_least") * percent <= F.col("most") * 100)
     differ = F.least("l", "q_l") != F.greatest("m", "q_m")
-    met = asking.join(matrix, "token").where(once & near & differ).select(F.least(q, g).alias("a"), F.greatest(q, g).alias("b"), F.least("least", "q_least").alias("least"))
+
+    def meet(matrix: DataFrame) -> DataFrame:
+        asking = matrix.where("away").select("token", *[F.col(c).alias(f"q_{c}") for c in ("key", "part", "l", "m", "least", "most")])
+        return asking.join(matrix, "token").where(once & near & differ).select(F.least(q, g).alias("a"), F.greatest(q, g).alias("b"), F.least("least", "q_least").alias("least"))
+
+    rare, often = map(meet, matrices(torn))
+    met = rare.unionByName(often)
     enough = F.col("tokens") >= F.ceil(F.col("least") / SHARE)
     cells, n_cells = cut_small(met.groupBy("a", "b").agg(F.count("*").alias("tokens"), F.min("least").alias("least")).where(enough).select("a", "b", F.monotonically_increasing_id().alias("cell")))
     if not n_cells:
