@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trailmark.operators.core import enrich, total
 from trailmark.operators.ingest import parse_workbooks
 from trailmark.schema import LEDGER
-from trailmark.sources.workbook import MAX_BYTES, cells_of
+from trailmark.sources.workbook import MAX_BYTES, rows_of
 
 
 def ledger_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
@@ -52,7 +52,7 @@ def ingest_workbooks(files: DataFrame, checkpoint: str, handle: Callable[[dict[s
         df = df.persist()
         try:
             if not df.isEmpty():
-                handle(parse_workbooks(cells_of(df)), df.select("path", "source_sha256"), number)
+                handle(parse_workbooks(rows_of(df)), df.select("path", "source_sha256"), number)
         finally:
             df.unpersist()
 
